@@ -8,19 +8,40 @@ from pyspark.sql import DataFrame, SparkSession
 
 from granary.llm.common import documents
 from granary.llm.exact_dedup import exact_dedup
+from granary.llm.merge_codec import encode_documents
+from granary.llm.secret_scan import labelled_samples, secret_scan, train
 from granary.llm.sharding import rendezvous_shards
 
 
+def piece_model() -> bytes:
+    """The public vocabulary's file, of about half a megabyte, read where the driver runs."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        return file.read()
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return secret_scan(docs, train(labelled_samples(spark, docs)))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op7_merge_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(documents(spark, sf_dir), piece_model())
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendezvous_shards(documents(spark, sf_dir), [1.0] * 16)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_merge_codec": op7_merge_codec,
     "op10_sharding": op10_sharding,
 }
 
