@@ -11,6 +11,7 @@ from granary.llm.exact_dedup import exact_dedup
 from granary.llm.merge_codec import encode_documents
 from granary.llm.secret_scan import labelled_samples, secret_scan, train
 from granary.llm.sharding import rendezvous_shards
+from granary.llm.token_counts import token_counts
 
 
 def piece_model() -> bytes:
@@ -26,6 +27,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(docs, train(labelled_samples(spark, docs)))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(documents(spark, sf_dir), piece_model())
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
@@ -40,6 +45,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op4_token_counts": op4_token_counts,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_merge_codec": op7_merge_codec,
     "op10_sharding": op10_sharding,
