@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from granary.llm.common import documents
+from granary.llm import language_id, toxicity
+from granary.llm.common import documents, fold, table
 from granary.llm.exact_dedup import exact_dedup
 from granary.llm.merge_codec import encode_documents
 from granary.llm.secret_scan import labelled_samples, secret_scan, train
@@ -27,6 +29,14 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(docs, train(labelled_samples(spark, docs)))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = toxicity.bounded_labels(table(spark, sf_dir, "labels"), fold(modulus=5) == 0)
+    model = toxicity.train(docs.join(F.broadcast(labels), "doc_id").select("text", "toxic"))
+    scored = toxicity.score(docs.select("doc_id", (fold(modulus=5) == 0).alias("held_out"), "text"), model, keep=("doc_id", "held_out"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), piece_model())
 
@@ -39,15 +49,24 @@ def op7_merge_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(documents(spark, sf_dir), piece_model())
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fold(modulus=4) == 2
+    model = language_id.train(docs.filter(~held_out))
+    return language_id.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model, keep=("doc_id", "held_out"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendezvous_shards(documents(spark, sf_dir), [1.0] * 16)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_toxicity": op2_toxicity,
     "op4_token_counts": op4_token_counts,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_merge_codec": op7_merge_codec,
+    "op8_language_id": op8_language_id,
     "op10_sharding": op10_sharding,
 }
 
