@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import language_id, toxicity
+from granary.llm import bloom_lm, language_id, toxicity
 from granary.llm.common import documents, fold, table
 from granary.llm.exact_dedup import exact_dedup
 from granary.llm.merge_codec import encode_documents
@@ -41,6 +41,13 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), piece_model())
 
 
+def op5_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = fold(modulus=5) == 1
+    model, counts = bloom_lm.train(docs.filter(~held_out))
+    return bloom_lm.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model, counts)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
@@ -64,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_toxicity": op2_toxicity,
     "op4_token_counts": op4_token_counts,
+    "op5_bloom_lm": op5_bloom_lm,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_merge_codec": op7_merge_codec,
     "op8_language_id": op8_language_id,
