@@ -123,3 +123,52 @@ SOLID = byte_class(lambda x: x != 32 and not 9 <= x <= 13)
 ALNUM = byte_class(lambda x: x >= 128 or chr(x).isalnum())
 #: A-Z to a-z.
 LOWER = np.array([x + 32 if 65 <= x <= 90 else x for x in range(256)], np.uint8)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str = "block") -> Iterator[pa.Table]:
+    """Tables of whole groups from rows that come sorted by `key`; a group that spans batches is held until it ends."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        keys = rows.column(key).to_numpy()
+        change = np.flatnonzero(keys[1:] != keys[:-1])
+        same = not held or held[-1].column(key)[-1].as_py() == keys[0]
+        if not same:
+            yield pa.concat_tables(held).combine_chunks()
+            held = []
+        if not len(change):
+            held.append(rows)
+            continue
+        cut = int(change[-1]) + 1
+        yield pa.concat_tables([*held, rows.slice(0, cut)]).combine_chunks()
+        held = [rows.slice(cut)]
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, share: float = 0.001, how: str = "inner") -> DataFrame:
+    """rows join groups on keys, where `size` counts a group's rows: groups of over `share` of all rows, at most 1 / share of them, are broadcast."""
+    large = groups.filter(F.col(size) > max(1.0, share * total))
+    hot = rows.join(F.broadcast(large), keys)
+    cold = rows.join(F.broadcast(large.select(*keys)), keys, "left_anti").join(groups.filter(F.col(size) <= max(1.0, share * total)), keys, how)
+    return hot.unionByName(cold)
+
+
+def components(edges: DataFrame, name: str) -> DataFrame:
+    """node, label (the least node that it is linked to, over any path) of every node in edges (a, b).
+
+    Labels go to neighbours and then to the label's own label, so a path of n edges needs some log n rounds; each round is
+    written to the shared folder. Only nodes and labels are shuffled, and nothing but a count comes to the driver.
+    """
+    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
+    labels = written(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")), f"{name}-labels")
+    while True:
+        heard = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("heard")).withColumnRenamed("a", "node")
+        near = labels.join(heard, "node").select("node", "label", F.least("label", "heard").alias("near"))
+        jump = near.join(labels.select(F.col("node").alias("near"), F.col("label").alias("far")), "near")
+        after = written(jump.select("node", F.col("label").alias("before"), F.least("near", "far").alias("label")), f"{name}-labels")
+        labels = after.select("node", "label")
+        if not after.filter("label <> before").limit(1).count():
+            return labels

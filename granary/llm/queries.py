@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm import bloom_lm, language_id, toxicity
+from granary.llm.bayes_jaccard import jaccard_classes
 from granary.llm.common import documents, fold, table
 from granary.llm.exact_dedup import exact_dedup
 from granary.llm.merge_codec import encode_documents
@@ -63,6 +64,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model, keep=("doc_id", "held_out"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(documents(spark, sf_dir))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendezvous_shards(documents(spark, sf_dir), [1.0] * 16)
 
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_merge_codec": op7_merge_codec,
     "op8_language_id": op8_language_id,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_sharding": op10_sharding,
 }
 
