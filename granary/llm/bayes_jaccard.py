@@ -145,10 +145,10 @@ _SKETCH = "rid long, doc_id {}, n long, set_a long, set_b long, sketch binary"
 
 
 def jaccard_classes(docs: DataFrame, *, text: str = "text", threshold: float = 0.8, tolerance: float = 1e-6, bands: int = 24, rows: int = 4, step: int = 16, block: int = 512, filter_bits: int = 1 << 24) -> DataFrame:
-    """One row for each document: doc_id, class_id, n_links, n_shingles.
+    """One row for each document: doc_id, class_id, n_links, n_shingles, stays, rid.
 
     n_links counts the other rows whose shingle sets have a Jaccard similarity of `threshold` or more, copies included;
-    class_id is the least doc_id that is linked to the row over any path of links. A text without words (null, empty or
+    class_id is the least doc_id that is linked to the row over any path of links, and stays marks that row. A text without words (null, empty or
     white space) has no links and is a class of its own. Repeated rows count as copies of each other. A null doc_id
     counts as less than any other in a class. An empty table gives no rows; other columns are not read.
 
@@ -158,7 +158,7 @@ def jaccard_classes(docs: DataFrame, *, text: str = "text", threshold: float = 0
     spark = docs.sparkSession
     size = bands * rows
     kind = docs.schema["doc_id"].dataType.simpleString()
-    source = docs.select(F.xxhash64("doc_id", text).alias("rid"), "doc_id", F.col(text).alias("text_"))
+    source = docs.select(row_id(text).alias("rid"), "doc_id", F.col(text).alias("text_"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,7 +173,7 @@ def jaccard_classes(docs: DataFrame, *, text: str = "text", threshold: float = 0
     sketched = written(source.mapInArrow(sketch, _SKETCH.format(kind)), "sketch")
     keys = ["set_a", "set_b"]
     nodes = sketched.filter("n > 0").groupBy(*keys).agg(
-        F.min("rid").alias("node"), F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.first("sketch").alias("sketch"), F.count_if(F.col("doc_id").isNull()).alias("nulls")
+        F.min("rid").alias("node"), F.count("*").alias("copies"), F.min(F.struct("doc_id", "rid")).alias("least"), F.first("sketch").alias("sketch")
     )
     nodes = written(nodes, "nodes")
 
@@ -258,18 +258,22 @@ def jaccard_classes(docs: DataFrame, *, text: str = "text", threshold: float = 0
     labels = components(verified.filter("a <> b").select("a", "b"), "classes")
     links = verified.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     named = nodes.join(labels, "node", "left").join(links, "node", "left")
-    named = named.select(*keys, "node", "copies", "least", "nulls", F.coalesce("label", "node").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    least = named.groupBy("label").agg(F.min("least").alias("least"), F.sum("nulls").alias("nulls"))
-    named = named.drop("least", "nulls").join(least, "label")
-    named = named.select(*keys, "copies", F.when(F.col("nulls") == 0, F.col("least")).alias("class_id"), "n_links")
-    named = written(named, "named")
+    named = named.select(*keys, "copies", "least", F.coalesce("label", "node").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    named = named.drop("least").join(named.groupBy("label").agg(F.min("least").alias("least")), "label")
+    named = written(named.select(*keys, "copies", "least", "n_links"), "named")
     total = sketched.count()
-    slim = sketched.filter("n > 0").select("doc_id", "n", *keys)
-    out = join_groups(slim, named, keys, "copies", total).select("doc_id", "class_id", "n_links", F.col("n").alias("n_shingles"))
-    alone = sketched.filter("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("n").alias("n_shingles"))
+    slim = sketched.filter("n > 0").select("rid", "doc_id", "n", *keys)
+    out = join_groups(slim, named, keys, "copies", total)
+    out = out.select("doc_id", F.col("least.doc_id").alias("class_id"), "n_links", F.col("n").alias("n_shingles"), (F.col("least.rid") == F.col("rid")).alias("stays"), "rid")
+    alone = sketched.filter("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("n").alias("n_shingles"), F.lit(True).alias("stays"), "rid")
     return out.unionByName(alone)
 
 
+def row_id(text: str = "text") -> Column:
+    """The hash of id and text by which jaccard_classes names a row, as `rid`."""
+    return F.xxhash64("doc_id", text)
+
+
 def similar(sets: list[np.ndarray], threshold: float, columns: int = 4096) -> np.ndarray:
     """(n, n) of whether the Jaccard similarity reaches the threshold, exactly; False on the diagonal."""
     n = len(sets)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from granary.llm import bloom_lm, language_id, toxicity
 from granary.llm.bayes_jaccard import jaccard_classes
 from granary.llm.common import documents, fold, table
+from granary.llm.decontaminate import benchmark, contamination
 from granary.llm.exact_dedup import exact_dedup
 from granary.llm.merge_codec import encode_documents
 from granary.llm.secret_scan import labelled_samples, secret_scan, train
@@ -38,6 +39,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(documents(spark, sf_dir), benchmark(table(spark, sf_dir, "benchmark")))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), piece_model())
 
@@ -65,7 +70,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_classes(documents(spark, sf_dir))
+    return jaccard_classes(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links", "n_shingles")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +80,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_toxicity": op2_toxicity,
+    "op3_decontaminate": op3_decontaminate,
     "op4_token_counts": op4_token_counts,
     "op5_bloom_lm": op5_bloom_lm,
     "op6_exact_dedup": op6_exact_dedup,
