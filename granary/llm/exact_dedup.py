@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.common import written
@@ -81,6 +81,11 @@ def digest_groups(docs: DataFrame, partitions: int | None = None, fan_in_bits: i
     return (runs if bits else runs.coalesce(1).sortWithinPartitions("digest", "check").mapInArrow(_merge, _RUN)).select("digest", "check", "best_id", "n")
 
 
+def text_digest(text: str = "text") -> Column:
+    """Lowercase hex of the normalised text's SHA-256; null counts as empty."""
+    return F.sha2(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), WHITE, ""), 256)
+
+
 def exact_dedup(docs: DataFrame, *, text: str = "text", partitions: int | None = None, hot_share: float = 0.001) -> DataFrame:
     """One row for each document: doc_id, keep_id, group_size, kept, text_sha256.
 

@@ -146,6 +146,21 @@ def train(rows: DataFrame, *, max_docs: int = 6000, windows_per_doc: int = 4, wi
     return fit(data, labels, languages, **options)
 
 
+def text_languages(model: ByteConv, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's language by number, and that language's mean probability over the text's bytes."""
+    best, score = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+    for lo, hi, data, offsets in text_slabs(texts, 1 << 19) if model.languages else ():
+        windows, length, first = cut_windows(data, offsets, model.window)
+        logs = model.log_probabilities(windows)
+        share = length[:, None].astype(np.float64)
+        sums = np.concatenate([np.zeros((1, logs.shape[1])), np.cumsum(logs * share, axis=0)])
+        odds = np.concatenate([np.zeros((1, logs.shape[1])), np.cumsum(np.exp(logs) * share, axis=0)])
+        best[lo:hi] = (sums[first[1:]] - sums[first[:-1]]).argmax(axis=1)
+        mean = (odds[first[1:]] - odds[first[:-1]]) / np.maximum(1, np.diff(offsets))[:, None]
+        score[lo:hi] = np.clip(mean[np.arange(hi - lo), best[lo:hi]], 0, 1)
+    return best, score
+
+
 def predict(docs: DataFrame, model: ByteConv, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep`, lang_pred and score: the mean over the text's bytes of the predicted language's probability in its window.
 
@@ -163,19 +178,26 @@ def predict(docs: DataFrame, model: ByteConv, *, text: str = "text", keep: tuple
             if not batch.num_rows:
                 continue
             letters = np.asarray(batch.column(n_keep + 1)).astype(bool) if own.languages else np.zeros(batch.num_rows, bool)
-            best, score = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for lo, hi, data, offsets in text_slabs(batch.column(n_keep), 1 << 19) if own.languages else ():
-                windows, length, first = cut_windows(data, offsets, own.window)
-                logs = own.log_probabilities(windows)
-                share = length[:, None].astype(np.float64)
-                sums = np.concatenate([np.zeros((1, logs.shape[1])), np.cumsum(logs * share, axis=0)])
-                odds = np.concatenate([np.zeros((1, logs.shape[1])), np.cumsum(np.exp(logs) * share, axis=0)])
-                best[lo:hi] = (sums[first[1:]] - sums[first[:-1]]).argmax(axis=1)
-                mean = (odds[first[1:]] - odds[first[:-1]]) / np.maximum(1, np.diff(offsets))[:, None]
-                score[lo:hi] = np.clip(mean[np.arange(hi - lo), best[lo:hi]], 0, 1)
+            best, score = text_languages(own, batch.column(n_keep))
             names = pa.array([*own.languages, UNDETERMINED], pa.string()).take(pa.array(np.where(letters, best, len(own.languages))))
             yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], names, pa.array(np.where(letters, score, 0.0))], [*keep, "lang_pred", "score"])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     has_letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("has_letter")
     return docs.select(*keep, F.col(text).alias("text_"), has_letter).mapInArrow(run, f"{fields}, lang_pred string, score double")
+
+
+def identified(docs: DataFrame, model: ByteConv, *, text: str = "text", least_score: float = 0.3) -> DataFrame:
+    """The rows of docs, with all columns, whose language is told with at least this score; "und" rows go. Decided row by row, with no join."""
+    at = docs.columns.index(text)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    marked = docs.select("*", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("has_letter_"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            letters = np.asarray(batch.column(batch.num_columns - 1)).astype(bool)
+            _, score = text_languages(shared.value, batch.column(at))
+            rest = pa.RecordBatch.from_arrays(batch.columns[:-1], schema=pa.schema(list(batch.schema)[:-1]))
+            yield rest.filter(pa.array(letters & (score >= least_score)))
+
+    return marked.mapInArrow(run, docs.schema)

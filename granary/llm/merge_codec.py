@@ -14,6 +14,7 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -221,7 +222,7 @@ def encode_documents(docs: DataFrame, proto: bytes, *, text: str = "text", with_
                     ids_sha.append(sha(joined))
                     decoded_sha.append(sha(decoded))
                     if with_ids:
-                        all_ids.append([int(i) for i in joined.split(" ")])
+                        all_ids.append(np.array(joined.split(" "), np.int32))
                         all_decoded.append(decoded)
                 columns = [part.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
