@@ -157,18 +157,25 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
-    """node, label (the least node that it is linked to, over any path) of every node in edges (a, b).
+    """node, label of every node in edges (a, b): all nodes that any path links have one label, one of theirs.
 
-    Labels go to neighbours and then to the label's own label, so a path of n edges needs some log n rounds; each round is
-    written to the shared folder. Only nodes and labels are shuffled, and nothing but a count comes to the driver.
+    Each round gives a node its least neighbour, if that is less, and puts it in the node's place in all edges; equal edges
+    become one, and a star of any size is gone after a round. The parents of each round, written to the shared folder, are
+    then followed back. Only nodes are shuffled, and nothing but whether edges are left comes to the driver.
     """
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
-    labels = written(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")), f"{name}-labels")
-    while True:
-        heard = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("heard")).withColumnRenamed("a", "node")
-        near = labels.join(heard, "node").select("node", "label", F.least("label", "heard").alias("near"))
-        jump = near.join(labels.select(F.col("node").alias("near"), F.col("label").alias("far")), "near")
-        after = written(jump.select("node", F.col("label").alias("before"), F.least("near", "far").alias("label")), f"{name}-labels")
-        labels = after.select("node", "label")
-        if not after.filter("label <> before").limit(1).count():
-            return labels
+    edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-edges")
+    parents = []
+    while edges.limit(1).count():
+        ends = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
+        parent = written(ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("parent")), f"{name}-parents")
+        parents.append(parent)
+        moved = edges.join(parent.select(F.col("node").alias("a"), F.col("parent").alias("c")), "a")
+        moved = moved.join(parent.select(F.col("node").alias("b"), F.col("parent").alias("d")), "b").filter("c <> d")
+        edges = written(moved.select(F.greatest("c", "d").alias("a"), F.least("c", "d").alias("b")).distinct(), f"{name}-edges")
+    if not parents:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    labels = parents.pop().withColumnRenamed("parent", "label")
+    while parents:
+        above = labels.select(F.col("node").alias("parent"), "label")
+        labels = parents.pop().join(above, "parent", "left").select("node", F.coalesce("label", "parent").alias("label"))
+    return written(labels, f"{name}-labels")
