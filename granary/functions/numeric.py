@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,13 +28,17 @@ def lr_multiplier(step: Column, total: int, warmup: int, kind: str, least: float
     return F.when(step < warmup, warm).otherwise(after)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once, not once for each element of a lambda inside body."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
 def log_sum_exp(values: Column) -> Column:
-    top = F.array_max(values)
-    return top + F.log(_sum(F.transform(values, lambda v: F.exp(v - top))))
+    return let(F.array_max(values), lambda top: top + F.log(F.aggregate(values, F.lit(0.0), lambda a, v: a + F.exp(v - top))))
 
 
 def cross_entropy(logits: Column, target: Column) -> Column:
@@ -50,18 +55,15 @@ def masked(logits: Column, blocked: list[int]) -> Column:
 
 
 def softmax(logits: Column, temperature: float) -> Column:
-    scaled = F.transform(logits, lambda v: v / temperature)
-    top = F.array_max(scaled)
-    weights = F.transform(scaled, lambda v: F.coalesce(F.exp(v - top), F.lit(0.0)))
-    total = _sum(weights)
-    return F.transform(weights, lambda w: w / total)
+    weights = let(F.array_max(logits), lambda top: F.transform(logits, lambda v: F.coalesce(F.exp((v - top) / temperature), F.lit(0.0))))
+    return let(weights, lambda w: let(_sum(w), lambda total: F.transform(w, lambda x: x / total)))
 
 
 def top_k(logits: Column, k: int) -> Column:
     """Values under the k-th largest become null; ties with it stay."""
     ranked = F.sort_array(F.array_compact(logits), asc=False)
-    cutoff = F.element_at(ranked, F.least(F.lit(k), F.size(ranked)))
-    return F.transform(logits, lambda v: F.when(v >= cutoff, v))
+    cutoff = let(ranked, lambda r: F.element_at(r, F.least(F.lit(k), F.size(r))))
+    return let(cutoff, lambda c: F.transform(logits, lambda v: F.when(v >= c, v)))
 
 
 def clip_factor(norm: Column, limit: float, eps: float = 1e-6) -> Column:
@@ -77,8 +79,8 @@ def rope(values: Column, position: Column, base: float = 10000.0) -> Column:
 
 
 def rms_norm(values: Column, eps: float = 1e-6) -> Column:
-    scale = F.sqrt(_sum(F.transform(values, lambda v: v * v)) / F.size(values) + eps)
-    return F.transform(values, lambda v: v / scale)
+    scale = F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, v: a + v * v) / F.size(values) + eps)
+    return let(scale, lambda s: F.transform(values, lambda v: v / s))
 
 
 def causal_convolution(values: Column, weights: list[float]) -> Column:

@@ -5,6 +5,7 @@ A run is one partition of a window, as its steps are an ordered series; runs are
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,16 +23,18 @@ def by_step() -> Window:
 
 
 def rolling_median(series: DataFrame, half: int = 100) -> DataFrame:
-    """Adds median and residual: over `half` steps on either side, as if the first and last value went on."""
-    edge = Window.partitionBy("run")
-    ends = series.groupBy("run").agg(F.min(F.struct("step", "value")).alias("first"), F.max(F.struct("step", "value")).alias("last"))
-    pads = F.sequence(F.lit(1), F.lit(half))
-    before = ends.select("run", (F.col("first.step") - F.explode(pads)).alias("step"), F.col("first.value").alias("value"), F.lit(True).alias("pad"))
-    after = ends.select("run", (F.col("last.step") + F.explode(pads)).alias("step"), F.col("last.value").alias("value"), F.lit(True).alias("pad"))
-    padded = series.select("run", "step", "value", F.lit(False).alias("pad")).unionByName(before).unionByName(after)
-    frame = edge.orderBy("step").rowsBetween(-half, half)
-    out = padded.withColumn("median", F.expr("percentile(value, 0.5)").over(frame)).filter(~F.col("pad")).drop("pad")
-    return out.withColumn("residual", F.col("value") - F.col("median"))
+    """Adds median and residual: over `half` steps on either side, as if the first and last value went on.
+
+    A run is folded in order by one task: a sliding heap over its values, where a framed percentile would sort each frame anew.
+    """
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("step")
+        padded = pd.Series(np.pad(rows["value"].to_numpy(), half, mode="edge"))
+        median = padded.rolling(2 * half + 1).median().to_numpy()[2 * half :]
+        return rows.assign(median=median, residual=rows["value"].to_numpy() - median)
+
+    return series.select("run", "step", "value").groupBy("run").applyInPandas(fold, "run string, step long, value double, median double, residual double")
 
 
 def spike_summary(grad: DataFrame, loss: DataFrame, validation: DataFrame, after_step: int = 1000, limit: float = 1.0, following: int = 20, half: int = 100) -> DataFrame:

@@ -1,8 +1,444 @@
-"""Queries by name and the SQL of each."""
+"""Queries by name, and for each the SQL that gives the same rows.
+
+documents is the corpus. events stands in for a metric log: run is event_type, step the rank by event_id. embeddings
+stands in for logits, label for the target. Figures with fractions are rounded on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from granary.functions import numeric
+from granary.functions.text import byte_ids, python_capitalize, strip, word_count
+from granary.operators import artifacts, batches, corpus, metrics
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+#: Names and sizes (documents, words) of the splits for which tokens are extrapolated.
+SPLITS = [
+    ("tiny", 10_000_000, 4_000_000_000), ("small", 20_000_000, 8_000_000_000), ("medium", 50_000_000, 20_000_000_000),
+    ("large", 75_000_000, 30_000_000_000), ("full", 103_000_000, 41_000_000_000),
+]
+LENGTH, SHARD, BATCH, SEED = 1024, 50_000, 16, 42
+PREFIXES = {"small": 50_000, "mid": 500_000, "large": 2_000_000}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def put(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            SQL[name or f.__name__] = sql
+        return f
+
+    return put
+
+
+def _docs(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+
+
+def _series(spark, sf_dir):
+    """run, step, value."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("run"), "event_id", "value")
+    return rows.select("run", F.row_number().over(Window.partitionBy("run").orderBy("event_id")).cast("long").alias("step"), "value")
+
+
+def _logits(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("int").alias("label"))
+
+
+def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*(F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
+
+
+_TRIM = "trim(text, chr(32) || chr(9) || chr(10) || chr(13))"
+_N = f"""d AS (SELECT doc_id, {_TRIM} AS t FROM documents WHERE length({_TRIM}) > 0),
+n AS (SELECT doc_id, t, (strlen(t) + 2)::BIGINT AS n_tokens, coalesce(sum(strlen(t) + 2) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_pos FROM d)"""
+_TOKENS = f"""{_N},
+x AS (SELECT doc_id, n_tokens, start_pos, hex(encode(t)) AS h, unnest(range(n_tokens)) AS i FROM n),
+f AS (SELECT doc_id, start_pos + i AS pos, CASE WHEN i = 0 THEN 1 WHEN i = n_tokens - 1 THEN 2 ELSE 7 + ('0x' || substr(h, 2 * i - 1, 2))::INT END AS tok FROM x)"""
+_BLOCKS = f"""{_TOKENS},
+g AS (SELECT pos, tok, pos // {LENGTH} AS b FROM f UNION ALL SELECT pos, tok, pos // {LENGTH} - 1 FROM f WHERE pos % {LENGTH} = 0 AND pos > 0),
+b AS (SELECT b AS block_id, list(tok ORDER BY pos) AS ids FROM g GROUP BY b HAVING count(*) = {LENGTH + 1})"""
+_S = "s AS (SELECT event_type AS run, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS step, value FROM events)"
+_E = "e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings)"
+_BLOCK_COUNT = f"{_N}, c AS (SELECT (sum(n_tokens)::BIGINT - 1) // {LENGTH} AS n FROM n), blk AS (SELECT unnest(range(n)) AS block_id FROM c)"
+
+
+# Projections, filters and totals over documents.
+
+
+@query(f"SELECT count(*) AS documents_seen, count(*) FILTER (WHERE length({_TRIM}) > 0) AS documents_written FROM documents")
+def nonblank_documents(spark, sf_dir):
+    return corpus.document_counts(_docs(spark, sf_dir))
+
+
+_STATS = r"SELECT count(*) AS docs, sum(length(text))::BIGINT AS chars, sum(len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')))::BIGINT AS words, sum(strlen(text))::BIGINT AS tokens FROM documents"
+
+
+@query(_STATS)
+def corpus_stats(spark, sf_dir):
+    return corpus.corpus_stats(_docs(spark, sf_dir))
+
+
+@query(f"WITH s AS ({_STATS}) SELECT round(tokens / words, 6) AS tokens_per_word, round(chars / tokens, 6) AS chars_per_token FROM s")
+def tokens_per_word(spark, sf_dir):
+    return _rounded(corpus.token_ratios(corpus.corpus_stats(_docs(spark, sf_dir))))
+
+
+@query(f"WITH s AS ({_STATS}), v(split, docs, words) AS (VALUES {', '.join(map(str, SPLITS))}) SELECT v.split, v.docs::BIGINT AS docs, v.words::BIGINT AS words, round_even(v.words * (s.tokens / s.words), 0)::BIGINT AS tokens FROM v, s")
+def split_extrapolation(spark, sf_dir):
+    return corpus.extrapolated(corpus.corpus_stats(_docs(spark, sf_dir)), SPLITS)
+
+
+@query(r"SELECT doc_id, length(text) AS n_chars, strlen(text) AS n_bytes, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) AS n_words FROM documents")
+def document_measures(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.length("text").cast("long").alias("n_chars"), F.octet_length("text").cast("long").alias("n_bytes"), word_count(F.col("text")).alias("n_words"))
+
+
+@query(f"WITH d AS (SELECT doc_id, strlen({_TRIM}) AS n_bytes FROM documents WHERE length({_TRIM}) > 0), b AS (SELECT *, coalesce(sum(n_bytes) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM d) SELECT doc_id, n_bytes, before FROM b WHERE before < 1000000")
+def tokenizer_sample_byte_budget(spark, sf_dir):
+    return corpus.byte_budget_sample(_docs(spark, sf_dir), 1_000_000)
+
+
+@query(_STATS.replace("FROM documents", "FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 100)"))
+def document_limit_stats(spark, sf_dir):
+    return corpus.corpus_stats(corpus.first_documents(_docs(spark, sf_dir), 100))
+
+
+# The token stream.
+
+
+@query(f"WITH {_TOKENS} SELECT doc_id, count(*) AS n_tokens, md5(string_agg(tok::VARCHAR, ',' ORDER BY pos)) AS digest FROM f GROUP BY doc_id")
+def framed_byte_tokens(spark, sf_dir):
+    return corpus.framed_bytes(_docs(spark, sf_dir)).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.md5(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary")).alias("digest"))
+
+
+@query(f"WITH {_N} SELECT doc_id, n_tokens, start_pos FROM n")
+def token_offsets(spark, sf_dir):
+    return corpus.token_offsets(_docs(spark, sf_dir)).select("doc_id", "n_tokens", "start_pos")
+
+
+def _prefix(target):
+    sql = f"""WITH {_N}, u AS (SELECT *, least(n_tokens, {target} - start_pos) AS take FROM n WHERE start_pos < {target}),
+    l AS (SELECT max(doc_id) AS last_doc, sum(take)::BIGINT AS token_count, count(*) AS seen, max(start_pos + n_tokens) AS e FROM u)
+    SELECT {target}::BIGINT AS target, token_count, (SELECT count(*) FROM documents WHERE doc_id <= last_doc) AS documents_seen, seen AS nonempty_documents_seen,
+    e = {target} AS ends_at_document_boundary, token_count = {target} AS complete FROM l"""
+    return sql, lambda spark, sf_dir: corpus.prefix_report(_docs(spark, sf_dir), target)
+
+
+for _name, _target in PREFIXES.items():
+    _sql, _query = _prefix(_target)
+    query(_sql, f"prefix_artifact_cut_{_name}")(_query)
+
+
+@query(f"WITH {_N}, t AS (SELECT sum(n_tokens)::BIGINT AS total FROM n), k AS (SELECT unnest(range((total + {SHARD - 1}) // {SHARD})) AS shard, total FROM t) SELECT shard, printf('tokens-%05d.bin', shard) AS file, least({SHARD}, total - shard * {SHARD}) AS tokens, 2 * least({SHARD}, total - shard * {SHARD}) AS bytes FROM k")
+def shard_manifest(spark, sf_dir):
+    """The digests are of the files' bytes; a test holds them against a plain writer."""
+    return artifacts.shard_manifest(corpus.token_stream(_docs(spark, sf_dir)), SHARD).select("shard", "file", "tokens", "bytes")
+
+
+@query()
+def shard_digests(spark, sf_dir):
+    return artifacts.shard_manifest(corpus.token_stream(_docs(spark, sf_dir)), SHARD)
+
+
+@query(f"WITH {_BLOCKS} SELECT block_id, len(ids) AS n, ids[1] AS first_token, ids[-1] AS last_token, list_sum(ids)::BIGINT AS total FROM b")
+def token_blocks(spark, sf_dir):
+    found = corpus.blocks(corpus.token_stream(_docs(spark, sf_dir)), LENGTH)
+    return found.select("block_id", F.size("ids").cast("long").alias("n"), F.element_at("ids", 1).alias("first_token"), F.element_at("ids", -1).alias("last_token"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query(f"WITH {_BLOCKS} SELECT block_id, md5(array_to_string(ids[1:{LENGTH}], ',')) AS inputs, md5(array_to_string(ids[2:{LENGTH + 1}], ',')) AS targets FROM b")
+def block_targets(spark, sf_dir):
+    found = corpus.block_targets(corpus.blocks(corpus.token_stream(_docs(spark, sf_dir)), LENGTH), LENGTH)
+    digest = lambda c: F.md5(F.array_join(F.col(c).cast("array<string>"), ",").cast("binary")).alias(c)
+    return found.select("block_id", digest("inputs"), digest("targets"))
+
+
+_STARTS = [0, 1_011, 25_000, 25_500, 100_050]
+
+
+@query(f"WITH {_TOKENS}, st(start_token) AS (VALUES {', '.join(f'({s})' for s in _STARTS)}) SELECT start_token::BIGINT AS start_token, count(*) AS n, md5(string_agg(tok::VARCHAR, ',' ORDER BY pos)) AS digest FROM f JOIN st ON pos BETWEEN start_token AND start_token + {LENGTH} GROUP BY start_token HAVING count(*) = {LENGTH + 1}")
+def fixed_eval_blocks(spark, sf_dir):
+    starts = spark.createDataFrame([(s,) for s in _STARTS], "start_token long")
+    found = corpus.evaluation_blocks(corpus.token_stream(_docs(spark, sf_dir)), starts, LENGTH)
+    return found.select("start_token", F.size("ids").cast("long").alias("n"), F.md5(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary")).alias("digest"))
+
+
+@query(f"WITH {_N} SELECT doc_id, start_pos, start_pos // {SHARD} AS shard, start_pos % {SHARD} AS offset_in_shard FROM n")
+def position_to_shard(spark, sf_dir):
+    at = F.col("start_pos")
+    return corpus.token_offsets(_docs(spark, sf_dir)).select("doc_id", "start_pos", F.floor(at / SHARD).alias("shard"), (at % SHARD).alias("offset_in_shard"))
+
+
+@query(f"WITH {_N}, k AS (SELECT start_pos // {SHARD} AS shard, n_tokens FROM n), t AS (SELECT sum(n_tokens)::BIGINT AS tokens, count(*) AS documents FROM k) SELECT tokens, 2 * tokens AS bytes, (tokens + {SHARD - 1}) // {SHARD} + 1 AS files, documents, round(2 * tokens / 1073741824, 6) AS gib FROM t")
+def artifact_totals(spark, sf_dir):
+    t = corpus.token_offsets(_docs(spark, sf_dir)).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("documents"))
+    return t.select("tokens", (F.col("tokens") * 2).alias("bytes"), (F.ceil(F.col("tokens") / SHARD) + 1).alias("files"), "documents", F.round(F.col("tokens") * 2 / 1073741824, 6).alias("gib"))
+
+
+@query("WITH d AS (SELECT 'f' || (doc_id % 50) AS file, sum(n_chars)::BIGINT AS bytes FROM documents WHERE doc_id % 7 <> 3 GROUP BY 1), a AS (SELECT 'f' || (doc_id % 50) AS file, sum(n_chars)::BIGINT AS bytes FROM documents WHERE doc_id % 50 < 47 GROUP BY 1) SELECT coalesce(d.file, a.file) AS file, CASE WHEN a.file IS NULL THEN 'missing' WHEN d.file IS NULL THEN 'extra' ELSE 'size' END AS fault FROM d FULL JOIN a ON d.file = a.file WHERE a.file IS NULL OR d.file IS NULL OR a.bytes <> d.bytes")
+def artifact_inventory_check(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars")
+    file = F.concat(F.lit("f"), (F.col("doc_id") % 50).cast("string")).alias("file")
+    side = lambda rows: rows.groupBy(file).agg(F.sum("n_chars").alias("bytes"))
+    return artifacts.inventory_faults(side(docs.filter("doc_id % 7 <> 3")), side(docs.filter("doc_id % 50 < 47")))
+
+
+# Epochs and batches.
+
+
+def _blocks(spark, sf_dir):
+    total = corpus.token_offsets(_docs(spark, sf_dir)).agg(F.sum("n_tokens")).first()[0] or 0
+    return spark.range(max(0, (total - 1) // LENGTH)).withColumnRenamed("id", "block_id")
+
+
+_SHUFFLED = f"{_BLOCK_COUNT}, r AS (SELECT block_id, row_number() OVER (ORDER BY md5('{SEED + 1}:' || block_id), block_id) - 1 AS rank FROM blk)"
+
+
+@query(f"WITH {_SHUFFLED} SELECT 1 AS epoch, rank // {BATCH} AS batch_id, (rank % {BATCH})::INT AS slot, block_id FROM r, c WHERE rank // {BATCH} < n // {BATCH}")
+def epoch_shuffle_batches(spark, sf_dir):
+    return batches.train_batches(_blocks(spark, sf_dir), BATCH, SEED, 1)
+
+
+@query(f"WITH {_SHUFFLED} SELECT 1 AS epoch, rank // {BATCH} AS batch_id, (rank % {BATCH})::INT AS slot, block_id FROM r, c WHERE rank // {BATCH} < n // {BATCH} AND rank // {BATCH} >= 5")
+def resume_cursor(spark, sf_dir):
+    return batches.train_batches(_blocks(spark, sf_dir), BATCH, SEED, 1, start_batch=5)
+
+
+@query(f"WITH {_BLOCK_COUNT} SELECT block_id // {BATCH} AS batch_id, (block_id % {BATCH})::INT AS slot, block_id FROM blk WHERE block_id // {BATCH} < 7")
+def validation_batches(spark, sf_dir):
+    return batches.validation_batches(_blocks(spark, sf_dir), BATCH, 7)
+
+
+@query(f"WITH {_BLOCK_COUNT} SELECT n // {BATCH} // 2 AS steps_per_epoch, least(n // {BATCH} // 2 * 3, 100) AS total_steps FROM c")
+def optimizer_horizon(spark, sf_dir):
+    each, total = batches.horizon(_blocks(spark, sf_dir).count(), BATCH, 2, 3, 100)
+    return spark.createDataFrame([(each, total)], "steps_per_epoch long, total_steps long")
+
+
+@query(f"WITH {_S}, b AS (SELECT run, step // 7 AS batch, sum(value) AS loss_sum, count(*) AS tokens FROM s GROUP BY 1, 2) SELECT round(sum(loss_sum) / sum(tokens), 6) AS loss, sum(tokens)::BIGINT AS tokens FROM b")
+def weighted_validation_loss(spark, sf_dir):
+    rows = _series(spark, sf_dir).groupBy("run", F.floor(F.col("step") / 7).alias("batch")).agg(F.sum("value").alias("loss_sum"), F.count("*").alias("tokens"))
+    return _rounded(batches.weighted_loss(rows))
+
+
+# Metric logs.
+
+
+@query("SELECT event_type AS run, event_type || '/value' AS tag, count(*) AS n FROM events GROUP BY 1, 2")
+def metric_inventory(spark, sf_dir):
+    return metrics.inventory(_series(spark, sf_dir).withColumn("tag", F.concat("run", F.lit("/value"))))
+
+
+_PADDED = f"""{_S}, q AS (SELECT run, min(step) AS lo, max(step) AS hi, arg_min(value, step) AS a, arg_max(value, step) AS z FROM s GROUP BY run),
+p AS (SELECT run, step, value, FALSE AS pad FROM s UNION ALL SELECT run, lo - i, a, TRUE FROM q, range(1, 101) r(i) UNION ALL SELECT run, hi + i, z, TRUE FROM q, range(1, 101) r(i)),
+m AS (SELECT run, step, value, pad, quantile_cont(value, 0.5) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN 100 PRECEDING AND 100 FOLLOWING) AS median FROM p),
+k AS (SELECT run, step, value, median, value - median AS residual FROM m WHERE NOT pad)"""
+
+
+@query(f"WITH {_PADDED} SELECT run, step, round(median, 6) AS median, round(residual, 6) AS residual FROM k")
+def rolling_median_residual(spark, sf_dir):
+    return _rounded(metrics.rolling_median(_series(spark, sf_dir)).select("run", "step", "median", "residual"))
+
+
+@query(f"""WITH {_PADDED}, c AS (SELECT *, CASE WHEN count(*) OVER w = 20 THEN avg(residual) OVER w END AS ahead FROM k WINDOW w AS (PARTITION BY run ORDER BY step ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING)),
+i AS (SELECT run, value - lag(value) OVER (PARTITION BY run ORDER BY step) AS change FROM s), j AS (SELECT run, max(change) AS largest_increase, count(*) FILTER (WHERE change > 0) AS increases FROM i GROUP BY run)
+SELECT c.run, count(*) AS steps, round(quantile_cont(value, 0.5) FILTER (WHERE step > 50), 6) AS median_grad, round(quantile_cont(value, 0.99) FILTER (WHERE step > 50), 6) AS p99_grad, round(max(value) FILTER (WHERE step > 50), 6) AS max_grad,
+count(*) FILTER (WHERE step > 50 AND value > 90) AS clipped_steps, round(100 * count(*) FILTER (WHERE step > 50 AND value > 90) / count(*) FILTER (WHERE step > 50), 6) AS clipped_percent,
+round(quantile_cont(residual, 0.95) FILTER (WHERE step > 50), 6) AS loss_residual_p95, round(quantile_cont(residual, 0.99) FILTER (WHERE step > 50), 6) AS loss_residual_p99,
+round(quantile_cont(residual, 0.5) FILTER (WHERE step > 50 AND value > 90), 6) AS loss_residual_at_clipped_median, round(avg(ahead) FILTER (WHERE step > 50 AND value > 90), 6) AS next_loss_residual_mean,
+0::BIGINT AS unaligned, round(any_value(largest_increase), 6) AS largest_increase, any_value(increases) AS increases FROM c JOIN j ON c.run = j.run GROUP BY c.run""")
+def spike_summary(spark, sf_dir):
+    series = _series(spark, sf_dir)
+    return _rounded(metrics.spike_summary(series, series, series, after_step=50, limit=90.0))
+
+
+@query(f"WITH {_S}, i AS (SELECT run, value - lag(value) OVER (PARTITION BY run ORDER BY step) AS change FROM s) SELECT run, round(max(change), 6) AS largest_increase, count(*) FILTER (WHERE change > 0) AS increases FROM i GROUP BY run")
+def validation_increases(spark, sf_dir):
+    return _rounded(metrics.increases(_series(spark, sf_dir)))
+
+
+@query(f"WITH {_S} SELECT run, step, round(sum((value > 50)::INT) OVER (PARTITION BY run ORDER BY step) / step, 6) AS clip_fraction FROM s")
+def clip_fraction(spark, sf_dir):
+    return _rounded(metrics.clip_fraction(_series(spark, sf_dir), 50.0).select("run", "step", "clip_fraction"))
+
+
+@query(f"WITH {_S} SELECT run, step, (sum(16) OVER (PARTITION BY run ORDER BY step))::BIGINT AS tokens_seen FROM s")
+def tokens_seen(spark, sf_dir):
+    rows = _series(spark, sf_dir).select("run", "step", F.lit(16).cast("long").alias("value"))
+    return metrics.running(rows, "sum", "tokens_seen").select("run", "step", "tokens_seen")
+
+
+@query(f"WITH {_S} SELECT run, step, min(value) OVER (PARTITION BY run ORDER BY step) AS best FROM s")
+def best_validation(spark, sf_dir):
+    return metrics.running(_series(spark, sf_dir), "min", "best").select("run", "step", "best")
+
+
+@query(f"WITH {_S}, t AS (SELECT run, value, ntile(10) OVER (PARTITION BY run ORDER BY step) AS d FROM s) SELECT run, d::INT AS decile, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.99), 6) AS p99 FROM t GROUP BY 1, 2")
+def decile_regions(spark, sf_dir):
+    return _rounded(metrics.deciles(_series(spark, sf_dir)))
+
+
+@query(f"WITH {_S}, t AS (SELECT run, abs(value - avg(value) OVER w) AS off, stddev_pop(value) OVER w AS dev FROM s WINDOW w AS (PARTITION BY run ORDER BY step ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)) SELECT run, round(100 * count(*) FILTER (WHERE dev > 1e-9 AND off >= 1.5 * dev) / count(*), 4) AS spike_percent FROM t GROUP BY run")
+def spike_score(spark, sf_dir):
+    return _rounded(metrics.spike_score(_series(spark, sf_dir), 1.5, 100), 4)
+
+
+@query(f"WITH {_S} SELECT run, step, value FROM s WHERE step <= 100")
+def metric_purge(spark, sf_dir):
+    return metrics.purge_after(_series(spark, sf_dir), 100)
+
+
+_THROUGHPUT = (3, 6, 4)  # interval, validation, checkpoint
+
+
+@query(f"""WITH RECURSIVE {_S}, z AS (SELECT run, max(step) AS last FROM s GROUP BY run), log AS (SELECT s.run, step, (step * 16)::BIGINT AS seen, (1 + step % 3)::DOUBLE AS seconds, last FROM s JOIN z ON s.run = z.run WHERE step <= 40),
+g AS (SELECT run, 0::BIGINT AS step, 0::BIGINT AS since, FALSE AS closed FROM z UNION ALL
+SELECT log.run, log.step, CASE WHEN log.step - CASE WHEN g.closed THEN g.step ELSE g.since END >= 3 OR log.step % 6 = 0 OR log.step = least(last, 40) OR (log.step % 4 = 0 AND log.step < least(last, 40)) THEN CASE WHEN g.closed THEN g.step ELSE g.since END ELSE CASE WHEN g.closed THEN g.step ELSE g.since END END,
+log.step - CASE WHEN g.closed THEN g.step ELSE g.since END >= 3 OR log.step % 6 = 0 OR log.step = least(last, 40) OR (log.step % 4 = 0 AND log.step < least(last, 40)) FROM g JOIN log ON log.run = g.run AND log.step = g.step + 1)
+SELECT g.run, g.step, (g.step - g.since) * 16 AS tokens, (SELECT sum(seconds) FROM log l WHERE l.run = g.run AND l.step > g.since AND l.step <= g.step) AS seconds,
+round((g.step - g.since) * 16 / (SELECT sum(seconds) FROM log l WHERE l.run = g.run AND l.step > g.since AND l.step <= g.step), 6) AS tokens_per_second FROM g WHERE closed""")
+def throughput_windows(spark, sf_dir):
+    log = _series(spark, sf_dir).filter("step <= 40").select("run", "step", (F.col("step") * 16).alias("tokens_seen"), (1 + F.col("step") % 3).cast("double").alias("seconds"))
+    return _rounded(metrics.throughput_windows(log, *_THROUGHPUT))
+
+
+_PARAMETERS = "CASE event_id % 9 WHEN 0 THEN 'embeddings.weight' WHEN 1 THEN 'blocks.0.attn.c_attn.weight' WHEN 2 THEN 'blocks.0.attn.q_proj.weight' WHEN 3 THEN 'blocks.1.attn.k_proj.weight' WHEN 4 THEN 'blocks.0.attn.c_proj.weight' WHEN 5 THEN 'blocks.0.ffn.w1.weight' WHEN 6 THEN 'blocks.0.ffn.w2.weight' WHEN 7 THEN 'blocks.0.attn_norm.weight' ELSE 'head.bias' END"
+
+
+@query(f"""WITH p AS (SELECT {_PARAMETERS} AS name, value FROM events), g AS (SELECT CASE WHEN name = 'embeddings.weight' THEN 'embeddings' WHEN contains(name, '.attn.c_attn.') THEN 'attention_qkv' WHEN contains(name, '.attn.q_proj.') THEN 'attention_query' WHEN contains(name, '.attn.k_proj.') THEN 'attention_key'
+WHEN contains(name, '.attn.c_proj.') THEN 'attention_output' WHEN contains(name, '.ffn.w1.') THEN 'ffn_input_gate' WHEN contains(name, '.ffn.w2.') THEN 'ffn_output' WHEN contains(name, '_norm.') THEN 'norms' ELSE 'other' END AS g, value FROM p),
+u AS (SELECT g AS "group", value FROM g UNION ALL SELECT 'attention_qkv', value FROM g WHERE g IN ('attention_query', 'attention_key', 'attention_value')) SELECT "group", round(sqrt(sum(value * value)), 4) AS norm, count(*) AS n FROM u GROUP BY 1""")
+def gradient_group_norms(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.expr(_PARAMETERS).alias("name"), "value")
+    return _rounded(metrics.group_norms(rows), 4)
+
+
+@query(f"WITH p AS (SELECT DISTINCT {_PARAMETERS} AS name FROM events), d AS (SELECT name, CASE WHEN contains(name, 'norm') OR contains(name, 'bias') THEN 1 ELSE 2 END AS dims FROM p) SELECT name, dims, CASE WHEN contains(name, '_norm.') OR name = 'norm.weight' THEN 'norm' WHEN dims = 2 AND name <> 'embeddings.weight' THEN 'muon' WHEN dims >= 2 AND name <> 'embeddings.weight' THEN 'decay' ELSE 'no_decay' END AS optimizer_group FROM d")
+def parameter_partition(spark, sf_dir):
+    names = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.expr(_PARAMETERS).alias("name")).distinct()
+    rows = names.withColumn("dims", F.when(F.col("name").contains("norm") | F.col("name").contains("bias"), 1).otherwise(2))
+    return rows.withColumn("optimizer_group", metrics.optimizer_group(F.col("name"), F.col("dims"), muon=True))
+
+
+@query("WITH n AS (SELECT DISTINCT 'run' || (user_id % 40) AS model_path, event_type AS config FROM events), e AS (SELECT DISTINCT 'run' || (user_id % 40) AS model_path, event_type AS config FROM events WHERE event_id % 90 < 3) SELECT n.model_path, n.config FROM n WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.model_path = n.model_path AND e.config = n.config)")
+def registry_append_dedup(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.concat(F.lit("run"), (F.col("user_id") % 40).cast("string")).alias("model_path"), F.col("event_type").alias("config"))
+    return metrics.new_registry_rows(rows.filter("event_id % 90 < 3"), rows.select("model_path", "config"))
+
+
+@query("WITH f AS (SELECT 'r' || (user_id % 5) || '/' || CASE WHEN event_id % 3 = 0 THEN 'notes.txt' ELSE printf('step_%08d.pt', event_id) END AS path, (event_id * 7919 % 100003)::BIGINT AS mtime_ns FROM events), m AS (SELECT * FROM f WHERE contains(path, 'step_')) SELECT path, mtime_ns, row_number() OVER (ORDER BY mtime_ns DESC, path DESC) <= 25 AS keep FROM m")
+def checkpoint_retention(spark, sf_dir):
+    name = F.when(F.col("event_id") % 3 == 0, F.lit("notes.txt")).otherwise(F.format_string("step_%08d.pt", F.col("event_id")))
+    files = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.concat(F.lit("r"), (F.col("user_id") % 5).cast("string"), F.lit("/"), name).alias("path"), (F.col("event_id") * 7919 % 100003).cast("long").alias("mtime_ns"))
+    return metrics.retained(files, 25)
+
+
+@query("SELECT event_id, lower(trim(event_type)) IN ('click', 'view', 'true', 'yes', 'on', '1') AS flag, try_cast(event_id % 10 || CASE WHEN event_id % 4 = 0 THEN 'x' ELSE '' END AS BIGINT) AS number, event_type AS kind FROM events")
+def legacy_config_parse(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    raw = F.concat((F.col("event_id") % 10).cast("string"), F.when(F.col("event_id") % 4 == 0, "x").otherwise(""))
+    settings = F.str_to_map(F.concat(F.lit("number="), raw, F.lit(";kind="), F.col("event_type")), F.lit(";"), F.lit("="))
+    return rows.select("event_id", F.lower(F.trim("event_type")).isin("click", "view", "true", "yes", "on", "1").alias("flag"), settings["number"].try_cast("long").alias("number"), settings["kind"].alias("kind"))
+
+
+@query("SELECT source, upper(substr(replace(source || '_Run_X', '_', ' '), 1, 1)) || lower(substr(replace(source || '_Run_X', '_', ' '), 2)) AS label, CASE WHEN doc_id % 2 = 0 THEN 1000 ELSE 300 END AS millions, count(*) AS n FROM documents GROUP BY ALL")
+def run_labels(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "doc_id")
+    variant = F.when(F.col("doc_id") % 2 == 0, "web_1b").otherwise("web_300m")
+    label = python_capitalize(F.replace(F.concat("source", F.lit("_Run_X")), F.lit("_"), F.lit(" ")))
+    return docs.select("source", label.alias("label"), metrics.variant_millions(variant).alias("millions")).groupBy("source", "label", "millions").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_S}, b AS (SELECT run, avg(value) / 100 AS loss FROM s GROUP BY run) SELECT run, round(loss, 6) AS loss, round(exp(loss), 6) AS perplexity FROM b")
+def perplexity(spark, sf_dir):
+    rows = _series(spark, sf_dir).groupBy("run").agg((F.avg("value") / 100).alias("loss"))
+    return _rounded(rows.withColumn("perplexity", F.exp("loss")))
+
+
+@query(f"WITH {_S}, r AS (SELECT DISTINCT run FROM s WHERE run <> 'click'), m AS (SELECT DISTINCT run AS mix FROM s), z AS (SELECT unnest([100, 300, 1000]) AS size), c AS (SELECT run, count(*) AS n FROM s WHERE run <> 'click' GROUP BY run) SELECT mix, size, coalesce(n, 0) AS n, coalesce(CASE WHEN n IS NOT NULL THEN 'log' END, 'No log supplied') AS state FROM m CROSS JOIN z LEFT JOIN c ON c.run = m.mix")
+def log_grid(spark, sf_dir):
+    series = _series(spark, sf_dir)
+    sizes = spark.createDataFrame([(100,), (300,), (1000,)], "size int")
+    counts = series.filter("run <> 'click'").groupBy(F.col("run").alias("mix")).agg(F.count("*").alias("n"))
+    grid = series.select(F.col("run").alias("mix")).distinct().crossJoin(F.broadcast(sizes))
+    return grid.join(counts, "mix", "left").select("mix", "size", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n").isNotNull(), "log").otherwise("No log supplied").alias("state"))
+
+
+# Schedules, losses and array kernels.
+
+_STEPS, _WARM = 2_000, 100
+_REST = _STEPS - _WARM
+
+
+@query(f"SELECT range AS step, round(CASE WHEN range < {_WARM} THEN (range + 1) / {_WARM} ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(1, (range - {_WARM}) / {_REST - 1}))) END, 9) AS multiplier, round(0.0024 * 0.25 * CASE WHEN range < {_WARM} THEN (range + 1) / {_WARM} ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(1, (range - {_WARM}) / {_REST - 1}))) END, 9) AS norm_rate FROM range({_STEPS})")
+def lr_schedule_cosine(spark, sf_dir):
+    m = numeric.lr_multiplier(F.col("step"), _STEPS, _WARM, "cosine", 0.1)
+    return spark.range(_STEPS).withColumnRenamed("id", "step").select("step", F.round(m, 9).alias("multiplier"), F.round(0.0024 * 0.25 * m, 9).alias("norm_rate"))
+
+
+@query(f"SELECT range AS step, round(CASE WHEN range < {_WARM} THEN (range + 1) / {_WARM} WHEN range < {_STEPS - _REST // 2} THEN 1 ELSE 1 - 0.9 * (range - {_STEPS - _REST // 2}) / {_REST // 2 - 1} END, 9) AS multiplier FROM range({_STEPS})")
+def lr_schedule_wsd(spark, sf_dir):
+    m = numeric.lr_multiplier(F.col("step"), _STEPS, _WARM, "wsd", 0.1, 0.5)
+    return spark.range(_STEPS).withColumnRenamed("id", "step").select("step", F.round(m, 9).alias("multiplier"))
+
+
+_LSE = "list_max(v) + ln(list_sum(list_transform(v, lambda x: exp(x - list_max(v)))))"
+
+
+@query(f"WITH {_E} SELECT vec_id, round({_LSE} - v[label + 1], 6) AS loss FROM e")
+def cross_entropy(spark, sf_dir):
+    return _logits(spark, sf_dir).select("vec_id", F.round(numeric.cross_entropy(F.col("v"), F.col("label")), 6).alias("loss"))
+
+
+@query(f"WITH {_E}, l AS (SELECT {_LSE} AS z, {_LSE} - v[label + 1] AS ce FROM e) SELECT round(avg(z * z), 6) AS z_loss, round(avg(ce), 6) AS loss, round(avg(ce) + 1e-4 * avg(z * z), 6) AS objective FROM l")
+def z_loss(spark, sf_dir):
+    z, ce = F.avg(numeric.z_loss(F.col("v"))), F.avg(numeric.cross_entropy(F.col("v"), F.col("label")))
+    return _logits(spark, sf_dir).agg(F.round(z, 6).alias("z_loss"), F.round(ce, 6).alias("loss"), F.round(ce + 1e-4 * z, 6).alias("objective"))
+
+
+@query(f"WITH {_E}, b AS (SELECT vec_id, list_transform(v, lambda x, i: CASE WHEN i IN (1, 2, 4) THEN NULL ELSE x / 0.8 END) AS s FROM e), w AS (SELECT vec_id, list_transform(s, lambda x: coalesce(exp(x - list_max(s)), 0)) AS w FROM b) SELECT vec_id, round(list_max(w) / list_sum(w), 6) AS top, round(w[3] / list_sum(w), 6) AS third, w[1] = 0 AS blocked FROM w")
+def softmax_temperature(spark, sf_dir):
+    p = numeric.softmax(numeric.masked(F.col("v"), [0, 1, 3]), 0.8)
+    return _logits(spark, sf_dir).select("vec_id", p.alias("p")).select("vec_id", F.round(F.array_max("p"), 6).alias("top"), F.round(F.element_at("p", 3), 6).alias("third"), (F.element_at("p", 1) == 0).alias("blocked"))
+
+
+@query(f"WITH {_E} SELECT vec_id, len(list_filter(v, lambda x: x >= list_sort(v, 'DESC')[10])) AS kept, round(list_sort(v, 'DESC')[10], 6) AS cutoff FROM e")
+def topk_mask(spark, sf_dir):
+    kept = F.array_compact(numeric.top_k(F.col("v"), 10))
+    return _logits(spark, sf_dir).select("vec_id", kept.alias("k")).select("vec_id", F.size("k").cast("long").alias("kept"), F.round(F.array_min("k"), 6).alias("cutoff"))
+
+
+@query(f"WITH {_E}, r AS (SELECT vec_id, list_transform(v, lambda x, i: CASE WHEN i % 2 = 1 THEN x * cos(vec_id % 50 * pow(10000.0, -2.0 * ((i - 1) // 2) / 64)) - v[i + 1] * sin(vec_id % 50 * pow(10000.0, -2.0 * ((i - 1) // 2) / 64)) ELSE v[i - 1] * sin(vec_id % 50 * pow(10000.0, -2.0 * ((i - 1) // 2) / 64)) + x * cos(vec_id % 50 * pow(10000.0, -2.0 * ((i - 1) // 2) / 64)) END) AS r FROM e) SELECT vec_id, round(r[1], 5) AS first, round(r[2], 5) AS second, round(r[64], 5) AS last, round(list_sum(r), 5) AS total FROM r")
+def rope_rotate(spark, sf_dir):
+    rows = _logits(spark, sf_dir).select("vec_id", numeric.rope(F.col("v"), F.col("vec_id") % 50).alias("r"))
+    return rows.select("vec_id", *(F.round(F.element_at("r", i), 5).alias(n) for i, n in ((1, "first"), (2, "second"), (64, "last"))), F.round(F.aggregate("r", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
+
+
+@query(f"WITH {_E} SELECT vec_id, round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x)) / 64 + 1e-6), 6) AS first, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 5) AS norm, round(least(1, 1 / (sqrt(list_sum(list_transform(v, lambda x: x * x))) + 1e-6)), 6) AS clip FROM e")
+def rms_norm(spark, sf_dir):
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    return _logits(spark, sf_dir).select("vec_id", F.round(F.element_at(numeric.rms_norm(F.col("v")), 1), 6).alias("first"), F.round(norm, 5).alias("norm"), F.round(numeric.clip_factor(norm, 1.0), 6).alias("clip"))
+
+
+@query(f"WITH {_E}, c AS (SELECT vec_id, list_transform(v, lambda x, i: x + 0.1 * coalesce(CASE WHEN i > 3 THEN v[i - 3] END, 0) + 0.2 * coalesce(CASE WHEN i > 2 THEN v[i - 2] END, 0) + 0.3 * coalesce(CASE WHEN i > 1 THEN v[i - 1] END, 0) + 0.4 * x) AS c FROM e) SELECT vec_id, round(c[1], 6) AS first, round(c[4], 6) AS fourth, round(c[64], 6) AS last FROM c")
+def causal_conv(spark, sf_dir):
+    rows = _logits(spark, sf_dir).select("vec_id", numeric.causal_convolution(F.col("v"), [0.1, 0.2, 0.3, 0.4]).alias("c"))
+    return rows.select("vec_id", *(F.round(F.element_at("c", i), 6).alias(n) for i, n in ((1, "first"), (4, "fourth"), (64, "last"))))
+
+
+@query(f"WITH {_E} SELECT vec_id, round(v[1] / (1 + exp(-v[1])) * v[33], 6) AS first FROM e")
+def swiglu(spark, sf_dir):
+    return _logits(spark, sf_dir).select("vec_id", F.round(F.element_at(numeric.swiglu(F.slice("v", 1, 32), F.slice("v", 33, 32)), 1), 6).alias("first"))
+
+
+@query(f"SELECT doc_id, length({_TRIM}) AS n_chars, strlen({_TRIM}) AS n_ids, sha256({_TRIM}) AS digest FROM documents")
+def stripped_documents(spark, sf_dir):
+    rows = _docs(spark, sf_dir).select("doc_id", strip(F.col("text")).alias("t"))
+    return rows.select("doc_id", F.length("t").cast("long").alias("n_chars"), F.size(byte_ids(F.col("t"))).cast("long").alias("n_ids"), F.sha2(F.col("t").cast("binary"), 256).alias("digest"))
