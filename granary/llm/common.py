@@ -161,7 +161,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 
     Each round gives a node its least neighbour, if that is less, and puts it in the node's place in all edges; equal edges
     become one, and a star of any size is gone after a round. The parents of each round, written to the shared folder, are
-    then followed back. Only nodes are shuffled, and nothing but whether edges are left comes to the driver.
+    then followed back. Only nodes are shuffled, and nothing but whether edges are left comes to the driver. Names should be
+    hashes: in their random order a path of n nodes takes some log n rounds, in its own order n.
     """
     edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-edges")
     parents = []

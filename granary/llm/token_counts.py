@@ -23,6 +23,8 @@ from granary.llm.common import Spans, text_slabs
 SPACE = "▁"
 _SPACE_BYTE, _LINE_BYTE = 32, 10
 _FILTER_BITS = 21
+#: Bytes from which a pre-token is worked out by itself: a trie of its depth would hold it alone.
+_LONG = 256
 
 
 class UnigramTrie:
@@ -97,6 +99,38 @@ class UnigramTrie:
         back[order] = out
         return back
 
+    def _alone(self, data: np.ndarray, spans: Spans, start: int, end: int) -> int:
+        """Token count of one long pre-token, which shares little with others: all its pieces first, then one pass."""
+        size, own = end - start, data[start:end]
+        ends, lengths, gains, tokens = [], [], [], []
+
+        def add(at: np.ndarray, length: int, gain: np.ndarray, n: int) -> None:
+            ends.append(at + length)
+            lengths.append(np.full(len(at), length))
+            gains.append(gain)
+            tokens.append(np.full(len(at), n))
+
+        for length in self.lengths:
+            if length > size:
+                continue
+            at = np.arange(start, end - length + 1)
+            which, gain = self._scores(spans.hash(at, at + length))
+            add(which, length, gain, 1)
+            if length <= 4:
+                low, high = ((0, 0x80), (0xC0, 0xE0), (0xE0, 0xF0), (0xF0, 0x100))[length - 1]
+                lone = (own >= low) & (own < high)
+                lone[which] = False
+                lone[size - length + 1 :] = False
+                which = np.flatnonzero(lone)
+                add(which, length, np.full(len(which), self.unknown), length if self.tokens_of_unknown else 1)
+        ends, lengths, gains, tokens = map(np.concatenate, (ends, lengths, gains, tokens))
+        order = np.lexsort((-lengths, ends))
+        best, count = [0.0] + [-np.inf] * size, [0] * (size + 1)
+        for e, length, gain, n in zip(ends[order].tolist(), lengths[order].tolist(), gains[order].tolist(), tokens[order].tolist(), strict=True):
+            if (total := best[e - length] + gain) > best[e]:
+                best[e], count[e] = total, count[e - length] + n
+        return count[size]
+
     @staticmethod
     def _offer(which, gain, n, depth, first, nodes, best, count, score, tokens) -> None:
         """A piece that ends at the nodes `which`: taken where strictly better, so the earliest start wins among equals."""
@@ -116,7 +150,11 @@ class UnigramTrie:
         counts = np.zeros(len(hashes), np.int64)
         counts[have] = self.counts[at[have]]
         new = first[~have]
-        counts[~have] = self._trie(data, spans, starts[new], ends[new])
+        long = ends[new] - starts[new] > _LONG
+        found = np.zeros(len(new), np.int64)
+        found[~long] = self._trie(data, spans, starts[new[~long]], ends[new[~long]])
+        found[long] = [self._alone(data, spans, int(starts[i]), int(ends[i])) for i in new[long]]
+        counts[~have] = found
         if len(self.known) + len(new) > self.limit:
             self.known, self.counts = hashes, counts
         else:
