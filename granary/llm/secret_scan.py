@@ -50,7 +50,7 @@ def _spans(text: Column, pattern: str, rank: int, kind: str, keep_group: int | N
 def labelled_samples(spark: SparkSession, docs: DataFrame | None = None, *, text: str = "text", n_random: int = 4000, n_docs: int = 400) -> DataFrame:
     """(sample, random): strings made from digests in four alphabets, and identifiers from PARTS and from documents' words.
 
-    At most `n_docs` documents, those whose id has the least hash, lend their words of letters, for names in their languages.
+    `n_docs` documents, those of least hash (and rows that repeat them), lend their words of letters, for names in their languages.
     """
     digest = F.sha2(F.concat(F.lit("sample:"), F.col("id").cast("string")).cast("binary"), 256)
     raw = F.unhex(digest)
@@ -64,7 +64,9 @@ def labelled_samples(spark: SparkSession, docs: DataFrame | None = None, *, text
     names = pairs.select(F.explode(F.array(F.concat_ws("_", "a", "b"), F.concat("a", upper(F.col("b"))), F.concat_ws("-", "b", "a"), F.upper(F.concat_ws("_", "b", "a")), F.concat_ws("/", "a", "b"))).alias("sample"), F.lit(False).alias("random"))
     out = random.unionByName(names)
     if docs is not None:
-        some = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n_docs)
+        rows = docs.withColumn("h_", F.xxhash64("doc_id", text))
+        least = rows.select("h_").orderBy("h_").limit(n_docs).agg(F.max("h_")).first()[0]  # hashes alone are sorted, not texts
+        some = rows.filter(F.col("h_") <= least) if least is not None else rows.limit(0)
         found = some.select(F.explode(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"(?<![A-Za-z])[A-Za-z]{3,24}(?![A-Za-z])"), F.lit(0))).alias("sample"))
         out = out.unionByName(found.distinct().select("sample", F.lit(False).alias("random")))
     return out
