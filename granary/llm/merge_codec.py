@@ -27,7 +27,7 @@ _NORMAL, _BYTE = 1, 6
 class MergeCodec:
     """encode(text) and decode(ids) as the sentencepiece library gives them for the model in `proto`."""
 
-    def __init__(self, proto: bytes, cache: int = 250_000):
+    def __init__(self, proto: bytes, cache: int = 350_000):
         model = sentencepiece_model_pb2.ModelProto()
         model.ParseFromString(proto)
         norm, trained = model.normalizer_spec, model.trainer_spec
@@ -52,8 +52,11 @@ class MergeCodec:
         apart = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
         line = "\n" if apart and not any("\n" in p and len(p) > 1 for p in self.ids) else ""
         self.cut = re.compile(f"{line}|{SPACE}+[^{SPACE}{line}]*|[^{SPACE}{line}]+" if line else f"{SPACE}*[^{SPACE}]+|{SPACE}+" if apart else "(?s).+")
-        self.neighbours = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self.shown = frozenset(self.ids.values())
+        self.shown_as = [p.replace(SPACE, " ") for p in self.pieces]
+        self.neighbours = {(p[i], p[i + 1]) for p in self.ids for i in range(len(p) - 1)}
         self.limit, self.young, self.old = cache, {}, {}
+        self.parts: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
     def merge(self, text: str) -> list[str]:
@@ -81,32 +84,34 @@ class MergeCodec:
 
     def split(self, text: str) -> list[str]:
         """The pieces of a normalised text, by backtracking."""
-        starts: list[list[int]] = [[1] for _ in text]  # lengths from each place, ascending
+        n = len(text)
+        starts: list[list[int]] = [[i + 1] for i in range(n)]  # where the pieces from each place end, ascending
         for end, length in self.automaton.iter(text):
-            starts[end - length + 1].append(length)
-        n, pos, failed = len(text), 0, 0
-        path: list[str] = []
-        left: list[int] = []  # how many shorter pieces each place of the path still has
-        tries = len(starts[0])
-        while pos < n:
-            last, lengths = path[-1] if path else "", starts[pos]
+            starts[end - length + 1].append(end + 1)
+        pairs, last = self.pairs.get, ""
+        path: list[tuple[int, str, int]] = []  # start, piece, and how many shorter ones that place still has
+        pos, failed, ends = 0, 0, starts[0]
+        tries = len(ends)
+        while True:
             while tries:
                 tries -= 1
-                end = pos + lengths[tries]
-                if not failed >> end & 1 and self._follows(last, text[pos:end]):
+                end = ends[tries]
+                if failed >> end & 1:
+                    continue
+                piece = text[pos:end]
+                known = pairs((last, piece))
+                if known or (known is None and self._follows(last, piece)):
                     break
             else:
-                if not path:
-                    raise AssertionError(f"no sequence of pieces for {text!r}")
                 failed |= 1 << pos
-                pos -= len(path.pop())
-                tries = left.pop()
+                pos, _, tries = path.pop()
+                last, ends = path[-1][1] if path else "", starts[pos]
                 continue
-            path.append(text[pos:end])
-            left.append(tries)
-            pos = end
-            tries = len(starts[pos]) if pos < n else 0
-        return path
+            path.append((pos, piece, tries))
+            if end == n:
+                return [x[1] for x in path]
+            pos, last, ends = end, piece, starts[end]
+            tries = len(ends)
 
     def _ids(self, pieces: list[str]) -> list[int]:
         out: list[int] = []
@@ -133,12 +138,24 @@ class MergeCodec:
         return found
 
     def _chunk_ids(self, chunk: str) -> list[int]:
-        return self._ids([p for part in self._parts(chunk) for p in self.split(part)])
+        out: list[int] = []
+        for part in self._parts(chunk):
+            if (ids := self.parts.get(part)) is None:
+                ids = tuple(self._ids(self.split(part)))
+                if len(part) <= 64:
+                    if len(self.parts) >= self.limit:
+                        self.parts.clear()
+                    self.parts[part] = ids
+            out += ids
+        return out
 
     def _parts(self, chunk: str) -> list[str]:
         """The chunk, cut between characters that are neighbours in no piece."""
-        cuts = [i for i in range(1, len(chunk)) if chunk[i - 1 : i + 1] not in self.neighbours]
-        return [chunk[a:b] for a, b in zip([0, *cuts], [*cuts, len(chunk)], strict=True)] if cuts else [chunk]
+        near = self.neighbours
+        if all([x in near for x in zip(chunk, chunk[1:])]):  # noqa: B905
+            return [chunk]
+        cuts = [i for i in range(1, len(chunk)) if (chunk[i - 1], chunk[i]) not in near]
+        return [chunk[a:b] for a, b in zip([0, *cuts], [*cuts, len(chunk)], strict=True)]
 
     def chunks(self, text: str) -> list[str]:
         """The normalised text, cut where no piece can span."""
@@ -166,6 +183,8 @@ class MergeCodec:
         return self.prefix and surface.startswith(" ")
 
     def _surface(self, ids: list[int]) -> str:
+        if self.shown.issuperset(ids):
+            return "".join([self.shown_as[i] for i in ids])
         out: list[str] = []
         held = bytearray()
         for i in ids:
