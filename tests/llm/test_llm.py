@@ -215,6 +215,9 @@ def test_language_model_scores(spark, docs, empty):
         assert r["n_tokens"] == len(words) and r["n_known"] == sum(seen[w] > 0 for w in words) and r["train_tokens"] == total
         assert r["base_score"] == pytest.approx(sum(math.log10((seen[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in words))
         assert r["score"] < 0
+    small, _ = bloom_lm.train(rows.filter("not held_out"), segments=5, max_bits=2_000)
+    assert 64 * len(small.bits) <= 2_000 + 5 * 64 < 64 * len(model.bits) and small.train_tokens == total
+    assert bloom_lm.least_count({1: 5, 2: 3, 4: 1}, 10) == 2 and bloom_lm.least_count({1: 5}, 5) == 1 and bloom_lm.least_count({}, 0) == 1
     none, nothing = bloom_lm.train(empty.select("text"), segments=2)
     assert none.train_tokens == 0
     one = bloom_lm.score(rows.filter("doc_id = 3").limit(1), none, nothing).first()
@@ -225,7 +228,7 @@ def test_language_model_scores(spark, docs, empty):
 def test_filter_levels():
     keys = np.arange(1, 3001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     counts = np.arange(1, 3001)
-    bits = bloom_lm.build_segment(bloom_lm.member("w", keys), counts, 4, 10.0, 1 << 20)
+    bits = bloom_lm.build_segment(bloom_lm.member("w", keys), counts, 4, 10.0)
     model = bloom_lm.BloomLM(bits, np.zeros(1, np.int64), np.array([64 * len(bits)]), 4, 1, 1)
     q = model.levels("w", keys)
     assert (q >= bloom_lm.level(counts)).all() and (q == bloom_lm.level(counts)).mean() > 0.95
