@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from granary.functions import numeric
 from granary.functions.text import byte_ids, python_capitalize, strip, word_count
-from granary.operators import artifacts, batches, corpus, metrics
+from granary.functions.tokenizer import draw, encoded
+from granary.operators import artifacts, batches, corpus, metrics, progress
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -442,3 +443,36 @@ def swiglu(spark, sf_dir):
 def stripped_documents(spark, sf_dir):
     rows = _docs(spark, sf_dir).select("doc_id", strip(F.col("text")).alias("t"))
     return rows.select("doc_id", F.length("t").cast("long").alias("n_chars"), F.size(byte_ids(F.col("t"))).cast("long").alias("n_ids"), F.sha2(F.col("t").cast("binary"), 256).alias("digest"))
+
+
+@query("SELECT range AS step, range % 20 = 0 OR range = 503 AS validates, range % 50 = 0 AND range <> 503 AS saves, range = 1 OR range = 503 OR range % 100 = 0 AS diagnoses FROM range(1, 504)")
+def event_steps(spark, sf_dir):
+    return progress.event_steps(spark, 503, 20, 50, 100)
+
+
+@query("""WITH p AS (SELECT event_id, event_id // 40 AS epoch, event_id % 40 AS next_batch, event_id // 40 * 10 + event_id % 40 // 4 + CASE WHEN user_id % 5 = 0 THEN 1 ELSE 0 END AS global_step FROM events),
+q AS (SELECT *, global_step * 64 + CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END AS tokens_seen FROM p)
+SELECT event_id, CASE WHEN global_step < 0 OR global_step > 2000 THEN 'step' WHEN next_batch % 4 <> 0 OR next_batch >= 40 THEN 'cursor' WHEN global_step <> epoch * 10 + next_batch // 4 THEN 'position' WHEN tokens_seen <> global_step * 64 THEN 'tokens' END AS fault FROM q""")
+def progress_invariants(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.floor(F.col("event_id") / 40).alias("epoch"), (F.col("event_id") % 40).alias("next_batch"), "user_id")
+    rows = rows.withColumn("global_step", F.col("epoch") * 10 + F.floor(F.col("next_batch") / 4) + F.when(F.col("user_id") % 5 == 0, 1).otherwise(0))
+    rows = rows.withColumn("tokens_seen", F.col("global_step") * 64 + F.when(F.col("event_id") % 11 == 0, 1).otherwise(0)).withColumn("clipped_steps", F.lit(0))
+    return progress.progress_faults(rows, steps_per_epoch=10, accumulation=4, tokens_per_step=64, total=2000).select("event_id", "fault")
+
+
+@query(f"""WITH {_E}, b AS (SELECT vec_id, list_transform(v, lambda x: CASE WHEN x >= list_sort(v, 'DESC')[10] THEN exp((x - list_max(v)) / 0.8) ELSE 0 END) AS w FROM e),
+p AS (SELECT vec_id, list_transform(w, lambda x: x / list_sum(w)) AS p FROM b), c AS (SELECT vec_id, unnest(range(1, 65)) AS i, p FROM p)
+SELECT vec_id, min(i) - 1 AS token FROM c WHERE list_sum(p[1:i]) > (vec_id * 7919 % 1000 + 0.5) / 1000 GROUP BY vec_id""")
+def multinomial_draw(spark, sf_dir):
+    p = numeric.softmax(numeric.top_k(F.col("v"), 10), 0.8)
+    return _logits(spark, sf_dir).select("vec_id", p.alias("p")).select("vec_id", draw(F.col("p"), (F.col("vec_id") * 7919 % 1000 + 0.5) / 1000).cast("long").alias("token"))
+
+
+@query()
+def sentencepiece_tokens(spark, sf_dir):
+    """A test holds the ids against the library on the driver."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        ids = encoded(_docs(spark, sf_dir), file.read())
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.md5(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary")).alias("digest"))
