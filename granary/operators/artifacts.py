@@ -8,6 +8,7 @@ import os
 import re
 import shutil
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -111,44 +112,46 @@ def inventory_faults(declared: DataFrame, found: DataFrame) -> DataFrame:
     return d.join(f, "file", "full_outer").select("file", fault.alias("fault")).filter("fault is not null")
 
 
+def record_faults(record: dict, sizes: dict[str, int]) -> Iterator[str]:
+    """What is wrong with a record, given the names and sizes of the folder's files; nothing where it is sound."""
+    whole = lambda x: type(x) is int
+    count, listed = record.get("token_count"), record.get("shards")
+    if not whole(count) or count < 1:
+        yield f"token_count must be a positive integer: {count!r}"
+    if not isinstance(listed, list) or not listed or not all(isinstance(s, dict) for s in listed):
+        yield "no shards are listed"
+        return
+    names = [s.get("file") for s in listed]
+    yield from (f"not a plain file name: {n!r}" for n in names if not isinstance(n, str) or not n or os.path.basename(n) != n)
+    yield from (f"listed {k} times: {n!r}" for n, k in Counter(map(str, names)).items() if k > 1)
+    yield from (f"not a byte count for {s.get('file')!r}: {s.get('bytes')!r}" for s in listed if not whole(s.get("bytes")))
+    declared = {s.get("file"): s.get("bytes") for s in listed}
+    yield from (f"size of {n!r} is {sizes[n]}, declared {size}" for n, size in declared.items() if n in sizes and sizes[n] != size)
+    there = {n for n in sizes if n.startswith("tokens-") and n.endswith(".bin")}
+    if lost := [n for n in declared if n not in sizes]:
+        yield f"shard inventory: missing {lost}"
+    if extra := sorted(there - set(declared)):
+        yield f"shard inventory: not listed {extra}"
+    if whole(count) and (total := sum(b for b in declared.values() if whole(b))) != 2 * count:
+        yield f"{count} tokens need {2 * count} bytes; {total} are listed"
+
+
 def validate(directory: str, *, check_digests: bool = False, spark: SparkSession | None = None) -> tuple[int, int]:
-    """Tokens and bytes of a sound artifact; raises at the first fault. Digests are checked on the executors, where asked for."""
-    path = Path(directory, "metadata.json")
-    if not path.is_file():
-        raise FileNotFoundError(f"no artifact record: {path}")
+    """Tokens and bytes of a sound artifact; else raises with all faults. Digests are checked on the executors, where asked for."""
     try:
-        record = json.loads(path.read_text(encoding="utf-8"))
+        record = json.loads(Path(directory, "metadata.json").read_text(encoding="utf-8"))
     except json.JSONDecodeError as bad:
-        raise ValueError(f"{path} is not JSON: {bad}") from bad
-    number = lambda x: isinstance(x, int) and not isinstance(x, bool)
-    count, files = record.get("token_count"), record.get("shards")
-    if not number(count) or count <= 0:
-        raise ValueError(f"token_count must be a positive integer in {path}")
-    if not isinstance(files, list) or not files:
-        raise ValueError(f"no shards are listed in {path}")
-    names, total = set(), 0
-    for shard in files:
-        name, size = (shard.get("file"), shard.get("bytes")) if isinstance(shard, dict) else (None, None)
-        if not isinstance(name, str) or not name or Path(name).name != name or name in names:
-            raise ValueError(f"not a new plain file name: {name!r}")
-        if not number(size):
-            raise ValueError(f"not a byte count for {name!r}: {size!r}")
-        if not (own := Path(directory, name)).is_file():
-            raise FileNotFoundError(f"shard not found: {own}")
-        if own.stat().st_size != size:
-            raise ValueError(f"size of {own}: {own.stat().st_size}, declared {size}")
-        names.add(name)
-        total += size
-    if extra := {p.name for p in Path(directory).glob("tokens-*.bin")} ^ names:
-        raise ValueError(f"shard inventory mismatch: {sorted(extra)}")
-    if total != 2 * count:
-        raise ValueError(f"{count} tokens need {2 * count} bytes; {total} are listed")
+        raise ValueError(f"the record in {directory} is not JSON: {bad}") from bad
+    with os.scandir(directory) as files:
+        sizes = {f.name: f.stat().st_size for f in files if f.is_file()}
+    if found := list(record_faults(record, sizes)):
+        raise ValueError(f"{directory}: " + "; ".join(found))
     if check_digests:
-        found = spark.read.format("binaryFile").option("pathGlobFilter", "tokens-*.bin").load(directory).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"))
-        wanted = {s["file"]: s["sha256"] for s in files}
-        if wrong := [r["file"] for r in found.collect() if wanted[r["file"]] != r["sha256"]]:
-            raise ValueError(f"digests differ: {sorted(wrong)}")
-    return count, total
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "tokens-*.bin").load(directory)
+        own = {r["file"]: r["sha256"] for r in files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256")).collect()}
+        if wrong := [s["file"] for s in record["shards"] if own[s["file"]] != s["sha256"]]:
+            raise ValueError(f"{directory}: digests differ: {wrong}")
+    return record["token_count"], 2 * record["token_count"]
 
 
 def identity(record: dict) -> str:
