@@ -26,12 +26,13 @@ def framed_bytes(docs: DataFrame) -> DataFrame:
     return nonblank(docs).select("doc_id", framed(byte_ids(strip(F.col("text")))).alias("ids"))
 
 
-def running_total(rows: DataFrame, order: str, value: str, out: str, buckets: int = 64) -> DataFrame:
+def running_total(rows: DataFrame, order: str, value: str, out: str, buckets: int | None = None) -> DataFrame:
     """Adds `out`, the sum of `value` over all rows before in `order`, without a window over the whole table.
 
-    Rows fall into buckets by quantiles of `order`; sums run inside a bucket and start at the sum of the buckets before,
-    of which there are at most `buckets`.
+    Rows fall into buckets by quantiles of `order`, by default as many as shuffles have partitions and at most 1024; sums
+    run inside a bucket and start at the sum of the buckets before.
     """
+    buckets = buckets or min(1024, max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     cuts = rows.select(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
     cuts = sorted(set(cuts))
     bucket = F.size(F.filter(F.lit(cuts), lambda c: c < F.col(order))) if cuts else F.lit(0)
