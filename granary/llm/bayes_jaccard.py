@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import SOLID, Spans, components, join_groups, mix64, text_slabs, whole_groups, words, written
+from granary.llm.common import SOLID, Spans, components, join_groups, mix64, text_slabs, trimmed, whole_groups, words, written
 
 WORDS = 5
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -170,7 +170,7 @@ def jaccard_classes(docs: DataFrame, *, text: str = "text", threshold: float = 0
                 columns = [batch.column(i).slice(lo, hi - lo) for i in range(2)] + [pa.array(np.diff(first), pa.int64()), pa.array(a), pa.array(b), flat]
                 yield pa.RecordBatch.from_arrays(columns, ["rid", "doc_id", "n", "set_a", "set_b", "sketch"])
 
-    sketched = written(source.mapInArrow(sketch, _SKETCH.format(kind)), "sketch")
+    sketched = written(source.mapInArrow(trimmed(sketch), _SKETCH.format(kind)), "sketch")
     keys = ["set_a", "set_b"]
     nodes = sketched.filter("n > 0").groupBy(*keys).agg(
         F.min("rid").alias("node"), F.count("*").alias("copies"), F.min(F.struct("doc_id", "rid")).alias("least"), F.first("sketch").alias("sketch")
@@ -205,7 +205,7 @@ def jaccard_classes(docs: DataFrame, *, text: str = "text", threshold: float = 0
                 if len(moved):
                     yield pa.RecordBatch.from_arrays([pa.array(node[lo:hi][moved]), pa.array(node[lo:hi][label[moved]])], ["a", "b"])
 
-    edges = placed.select("block", "crossed", "part", "node", "sketch").mapInArrow(prune, "a long, b long").filter("a <> b")
+    edges = placed.select("block", "crossed", "part", "node", "sketch").mapInArrow(trimmed(prune), "a long, b long").filter("a <> b")
     clusters = components(edges, "clusters")
     count = clusters.groupBy("label").agg(F.count("*").alias("count"))
     clustered = nodes.select("node", *keys, "copies").join(clusters.join(count, "label"), "node")
@@ -233,7 +233,7 @@ def jaccard_classes(docs: DataFrame, *, text: str = "text", threshold: float = 0
             if kept.num_rows:
                 yield from sets(iter([kept]))
 
-    found = source.select("rid", "text_").mapInArrow(likely, "node long, set_a long, set_b long, members binary")
+    found = source.select("rid", "text_").mapInArrow(trimmed(likely), "node long, set_a long, set_b long, members binary")
     found = found.join(placed.select("node", *keys).distinct(), ["node", *keys], "left_semi").dropDuplicates(["node"])
     whole = placed.join(found.select("node", "members"), "node").select("block", "crossed", "part", "node", "copies", "members")
     whole = whole.repartition("block").sortWithinPartitions("block")
@@ -254,7 +254,7 @@ def jaccard_classes(docs: DataFrame, *, text: str = "text", threshold: float = 0
                 own = node[lo:hi]
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(own[label]), pa.array(links, pa.int64())], ["a", "b", "links"])
 
-    verified = written(whole.mapInArrow(verify, "a long, b long, links long"), "links")
+    verified = written(whole.mapInArrow(trimmed(verify), "a long, b long, links long"), "links")
     labels = components(verified.filter("a <> b").select("a", "b"), "classes")
     links = verified.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     named = nodes.join(labels, "node", "left").join(links, "node", "left")

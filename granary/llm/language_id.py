@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import LOWER, text_slabs
+from granary.llm.common import LOWER, text_slabs, trimmed
 
 UNDETERMINED = "und"
 
@@ -184,7 +184,7 @@ def predict(docs: DataFrame, model: ByteConv, *, text: str = "text", keep: tuple
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     has_letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("has_letter")
-    return docs.select(*keep, F.col(text).alias("text_"), has_letter).mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return docs.select(*keep, F.col(text).alias("text_"), has_letter).mapInArrow(trimmed(run), f"{fields}, lang_pred string, score double")
 
 
 def identified(docs: DataFrame, model: ByteConv, *, text: str = "text", least_score: float = 0.3) -> DataFrame:
@@ -200,4 +200,4 @@ def identified(docs: DataFrame, model: ByteConv, *, text: str = "text", least_sc
             rest = pa.RecordBatch.from_arrays(batch.columns[:-1], schema=pa.schema(list(batch.schema)[:-1]))
             yield rest.filter(pa.array(letters & (score >= least_score)))
 
-    return marked.mapInArrow(run, docs.schema)
+    return marked.mapInArrow(trimmed(run), docs.schema)

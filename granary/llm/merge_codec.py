@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
+from granary.llm.common import trimmed
+
 SPACE = "▁"
 _NORMAL, _BYTE = 1, 6
 
@@ -27,7 +29,7 @@ _NORMAL, _BYTE = 1, 6
 class MergeCodec:
     """encode(text) and decode(ids) as the sentencepiece library gives them for the model in `proto`."""
 
-    def __init__(self, proto: bytes, cache: int = 350_000):
+    def __init__(self, proto: bytes, cache: int = 250_000):
         model = sentencepiece_model_pb2.ModelProto()
         model.ParseFromString(proto)
         norm, trained = model.normalizer_spec, model.trainer_spec
@@ -59,6 +61,10 @@ class MergeCodec:
         self.parts: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
+    def forget(self) -> None:
+        """Empties the caches, which last for a task: the worker may do quite other work next."""
+        self.young, self.old, self.parts, self.pairs = {}, {}, {}, {}
+
     def merge(self, text: str) -> list[str]:
         """Plain merging: the neighbours whose union scores most, the leftmost of equals, again and again."""
         parts = list(text)
@@ -214,7 +220,7 @@ _codecs: dict[str, MergeCodec] = {}
 
 
 def codec(proto: bytes) -> MergeCodec:
-    """One codec a worker process and model, so that its caches last over tasks."""
+    """One codec a worker process and model."""
     key = hashlib.sha256(proto).hexdigest()
     if key not in _codecs:
         _codecs[key] = MergeCodec(proto)
@@ -230,6 +236,7 @@ def encode_documents(docs: DataFrame, proto: bytes, *, text: str = "text", with_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(proto)
+        own.forget()  # a task that broke off may have left its caches
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
@@ -249,7 +256,8 @@ def encode_documents(docs: DataFrame, proto: bytes, *, text: str = "text", with_
                     columns += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_decoded, pa.string())]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(columns, names)
+        own.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
-    return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(trimmed(run), schema)
