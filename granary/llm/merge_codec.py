@@ -9,6 +9,7 @@ merging gives: the first merge across a bound would also happen in the pair alon
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 from collections.abc import Iterator
@@ -258,6 +259,14 @@ def encode_documents(docs: DataFrame, proto: bytes, *, text: str = "text", with_
                 yield pa.RecordBatch.from_arrays(columns, names)
         own.forget()
 
+    def uncollected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """run, without searches for cycles among the caches' many tuples, which have none."""
+        gc.disable()
+        try:
+            yield from run(batches)
+        finally:
+            gc.enable()
+
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
-    return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(trimmed(run), schema)
+    return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(trimmed(uncollected), schema)
