@@ -1,8 +1,10 @@
 """Language-model scoring from a log-frequency Bloom filter.
 
 A quantised count of level q is held as q memberships of its n-gram, (n-gram, 1) to (n-gram, q); reading asks for level
-1, 2, ... until one is absent. The filter is cut by hash into segments; each is built by the task that has merged the
-counts of its part, and only the finished bits go to the driver and, broadcast, to the workers.
+1, 2, ... until one is absent. The filter is cut by hash into segments, as many as shuffles have partitions; each is built
+by the task that has merged the counts of its part and kept as a row in the shared folder, so the filter grows with the
+texts and is nowhere held whole. Scoring sends its questions, once for each chunk of texts, to the task that has the
+segment, and the answers back to the chunk.
 
 Counting: each task sums its own n-grams in numpy and sends, for each segment, one block of sorted hashes and counts, so
 a frequent n-gram is one entry a task.
@@ -23,10 +25,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import LOWER, SOLID, Spans, mix64, text_slabs, words, written
+from granary.llm.common import LOWER, SOLID, Spans, mix64, text_slabs, whole_groups, words, written
 
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 #: Words, pairs and contexts are different members of the filter.
@@ -48,7 +51,8 @@ def context_key(left: np.ndarray) -> np.ndarray:
 
 
 def member(kind: str, keys: np.ndarray) -> np.ndarray:
-    return mix64(keys ^ _KINDS[kind])
+    """48 bits of hash on top of 16 zeros, which pack() makes nothing of; of 2^31 others, one is equal with probability 1e-5."""
+    return mix64(keys ^ _KINDS[kind]) & np.uint64(2**64 - 2**16)
 
 
 def level(counts: np.ndarray) -> np.ndarray:
@@ -69,10 +73,11 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, begin
 
 
-def left_of(own: np.ndarray, begin: np.ndarray) -> np.ndarray:
+def left_of(own: np.ndarray, begin: np.ndarray, start: np.uint64 | int = START) -> np.ndarray:
+    """The token before each; `start` before those at `begin`."""
     left = np.empty_like(own)
     left[1:] = own[:-1]
-    left[begin[:-1]] = START
+    left[begin] = start
     return left
 
 
@@ -162,8 +167,10 @@ class BloomLM:
     mu: float = 1.0
 
     def levels(self, kind: str, keys: np.ndarray) -> np.ndarray:
-        """The level of each key, by one membership question after another."""
-        members = member(kind, keys)
+        return self.held(member(kind, keys))
+
+    def held(self, members: np.ndarray) -> np.ndarray:
+        """The level of each member, by one membership question after another."""
         out = np.zeros(len(members), np.int64)
         segment = segment_of(members, len(self.size)) if len(self.size) else out
         first, size = (self.first[segment], self.size[segment].astype(np.uint64)) if len(self.size) else (out, out)
@@ -177,25 +184,88 @@ class BloomLM:
             out[alive] = q
         return out
 
-    def token_probability(self, q: np.ndarray) -> np.ndarray:
-        count = np.where(q > 0, LEVELS[np.maximum(q, 1) - 1], 0)
-        return (count + 0.5) / (self.train_tokens + 0.5 * (self.distinct + 1))
-
-    def log10(self, left: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each token after the one before; each distinct pair is looked up once."""
-        keys, at, back = np.unique(pair_key(left, own), return_index=True, return_inverse=True)
-        names, of_name = np.unique(np.concatenate([left[at], own[at]]), return_inverse=True)
-        of_left, of_own = of_name[: len(at)], of_name[len(at) :]
-        times = self.levels("w", np.where(names == START, END, names))  # as many starts as ends
-        single = self.token_probability(np.where(names == START, 0, times))
-        often = self.levels("s", context_key(names))
+
+@dataclass
+class StoredLM:
+    """The segments as rows (segment, filter) of a table in the shared folder, and the model's constants."""
+
+    filters: DataFrame
+    segments: int
+    probes: int
+    train_tokens: int
+    distinct: int
+    mu: float = 1.0
+
+    @property
+    def bits(self) -> np.ndarray:
+        """The whole filter here; for small ones alone."""
+        return self.gathered().bits
+
+    def gathered(self) -> BloomLM:
+        bits, first, size, at = [np.zeros(0, np.uint64)], np.zeros(self.segments, np.int64), np.zeros(self.segments, np.int64), 0
+        for part in self.filters.orderBy("segment").collect():
+            own = np.frombuffer(part["filter"], np.uint64)
+            first[part["segment"]], size[part["segment"]] = at, 64 * len(own)
+            bits.append(own)
+            at += len(own)
+        return BloomLM(np.concatenate(bits), first, size, self.probes, self.train_tokens, self.distinct, self.mu)
+
+
+@dataclass
+class Chunk:
+    """Some whole texts: row ids, each one's first token, distinct hashes in order, and each token's place in these."""
+
+    rows: np.ndarray
+    begin: np.ndarray
+    names: np.ndarray
+    own: np.ndarray
+
+    @classmethod
+    def of(cls, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Chunk:
+        """parts: row ids, tokens and begins of slabs."""
+        names, own = np.unique(np.concatenate([[START], *(x[1] for x in parts)]), return_inverse=True)
+        count = np.concatenate([np.diff(x[2]) for x in parts])
+        return cls(np.concatenate([x[0] for x in parts]), np.concatenate([[0], np.cumsum(count)]), names, own[1:].astype(np.uint32))
+
+    def packed(self) -> bytes:
+        planes = np.ascontiguousarray(self.own.view(np.uint8).reshape(-1, 4).T)
+        raw = [x.tobytes() for x in (self.rows.astype(np.int64), self.begin.astype(np.int64), self.names, planes)]
+        head = np.array([len(self.rows), len(self.names), len(self.own), sum(map(len, raw))], np.int64).tobytes()
+        return head + pa.compress(b"".join(raw), codec="zstd", asbytes=True)
+
+    @classmethod
+    def unpacked(cls, blob: bytes) -> Chunk:
+        n, v, m, size = (int(x) for x in np.frombuffer(blob, np.int64, 4))
+        whole = pa.decompress(blob[32:], decompressed_size=size, codec="zstd", asbytes=True)
+        own = np.ascontiguousarray(np.frombuffer(whole, np.uint8, 4 * m, 8 * (2 * n + 1 + v)).reshape(4, m).T).view(np.uint32).reshape(-1)
+        return cls(np.frombuffer(whole, np.int64, n), np.frombuffer(whole, np.int64, n + 1, 8 * n), np.frombuffer(whole, np.uint64, v, 8 * (2 * n + 1)), own)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the left and the own token of each distinct pair, and each token's place among the pairs."""
+        left = left_of(self.own, self.begin[:-1], np.searchsorted(self.names, START))
+        both, back = np.unique(left.astype(np.uint64) << np.uint64(32) | self.own, return_inverse=True)
+        return (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(2**32 - 1)).astype(np.int64), back
+
+    def members(self, left: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """What the filter is asked: the distinct tokens as words, as contexts, and the distinct pairs."""
+        times = np.where(self.names == START, END, self.names)  # as many starts as ends
+        return np.concatenate([member("w", times), member("s", context_key(self.names)), member("p", pair_key(self.names[left], self.names[own]))])
+
+    def log10(self, levels: np.ndarray, left: np.ndarray, own: np.ndarray, train_tokens: int, distinct: int, mu: float) -> np.ndarray:
+        """log10 of the probability of each distinct pair's own token after the left one, from the levels of all members."""
+        times, often, pair = np.split(levels, [len(self.names), 2 * len(self.names)])
+        single = token_probability(np.where(self.names == START, 0, times), train_tokens, distinct)
         total = np.where(times > 0, LEVELS[times] - 1, 0)
         seen = np.minimum(np.where(often > 0, LEVELS[often] - 1, 0), total)
-        pair = self.levels("p", keys)
         count = np.where(pair > 0, LEVELS[np.maximum(pair, 1) - 1], 0)
-        count = np.minimum(count, seen[of_left])
-        left_over = (total - seen)[of_left] + self.mu
-        return np.log10((count + left_over * single[of_own]) / (total[of_left] + self.mu))[back]
+        count = np.minimum(count, seen[left])
+        left_over = (total - seen)[left] + mu
+        return np.log10((count + left_over * single[own]) / (total[left] + mu))
+
+
+def token_probability(q: np.ndarray, train_tokens: int, distinct: int) -> np.ndarray:
+    count = np.where(q > 0, LEVELS[np.maximum(q, 1) - 1], 0)
+    return (count + 0.5) / (train_tokens + 0.5 * (distinct + 1))
 
 
 def position(members: np.ndarray, q: int, probe: int) -> np.ndarray:
@@ -224,12 +294,12 @@ def build_segment(members: np.ndarray, counts: np.ndarray, probes: int, bits_eac
     return bits
 
 
-def train(texts: DataFrame, *, text: str = "text", segments: int | None = None, probes: int = 4, bits_each: float = 8.0, max_bits: int = 1 << 29, flush_tokens: int = 4_000_000) -> tuple[BloomLM, DataFrame]:
+def train(texts: DataFrame, *, text: str = "text", segments: int | None = None, probes: int = 4, bits_each: float = 8.0, max_bits: int | None = None, flush_tokens: int = 4_000_000) -> tuple[StoredLM, DataFrame]:
     """The model, and the exact counts (kind "w" blocks of token hashes) that it came from.
 
-    The filter has `bits_each` bits for each membership and at most some `max_bits` (64 MB), the bound on what is
-    broadcast. Counts cover all texts at any size; where the filter would be larger, the least levels of all kinds are
-    left out of it, as few as will do, so that false positives stay as rare, and such n-grams are smoothed as unseen.
+    The filter has `bits_each` bits for each membership and holds all of them, at any size of the input. Only a caller who
+    gives `max_bits` gets a smaller one, from which the least levels of all kinds are left out, as few as will do; such
+    n-grams are smoothed as unseen.
     """
     segments = segments or int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -246,7 +316,7 @@ def train(texts: DataFrame, *, text: str = "text", segments: int | None = None,
             for _, _, data, offsets in text_slabs(batch.column(0)):
                 own, begin = tokens(data, offsets)
                 held["w"].append(own)
-                held["p"].append(pair_key(left_of(own, begin), own))
+                held["p"].append(pair_key(left_of(own, begin[:-1]), own))
                 if sum(map(len, held["w"])) >= flush_tokens:
                     yield from flush()
         yield from flush()
@@ -258,8 +328,9 @@ def train(texts: DataFrame, *, text: str = "text", segments: int | None = None,
             keys, counts = found.get("p", _NONE)
             keys, counts = keys[counts >= 2], counts[counts >= 2]
             if len(keys):
-                yield from _rows([("p", segment, pack(keys, counts))])
-                yield from _rows(_blocks("s", *_sum(context_key(keys), LEVELS[level(counts) - 1]), segments))
+                counts = LEVELS[level(counts) - 1]
+                yield from _rows([("p", segment, pack(*_sum(member("p", keys), counts)))])  # keys are of no more use
+                yield from _rows(_blocks("s", *_sum(context_key(keys), counts), segments))
 
     def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, found in _by_segment(batches).items():
@@ -269,24 +340,21 @@ def train(texts: DataFrame, *, text: str = "text", segments: int | None = None,
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for segment, found in _by_segment(batches).items():
             w = found.get("w", _NONE)
-            members, counts = np.concatenate([member(kind, x[0]) for kind, x in found.items()]), np.concatenate([x[1] for x in found.values()])
+            members, counts = np.concatenate([x[0] if kind == "p" else member(kind, x[0]) for kind, x in found.items()]), np.concatenate([x[1] for x in found.values()])
             held = counts >= floor
             bits = build_segment(members[held], counts[held], probes, bits_each)
             columns = [pa.array([segment], pa.int32()), pa.array([int(w[1].sum())], pa.int64()), pa.array([len(w[0])], pa.int64()), pa.array([bits.tobytes()], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["segment", "n", "v", "bits"])
+            yield pa.RecordBatch.from_arrays(columns, ["segment", "n", "v", "filter"])
 
     counted = texts.select(F.col(text).alias("text")).mapInArrow(count, _BLOCKS)
     table = written(counted.repartitionById(segments, F.col("segment")).mapInArrow(merge, _BLOCKS), "ngrams")
-    of_level = table.repartitionById(segments, F.col("segment")).mapInArrow(levels, "q long, n long").groupBy("q").agg(F.sum("n").alias("n")).collect()
-    floor = least_count({r["q"]: r["n"] for r in of_level}, int(max_bits / bits_each))
-    parts = table.repartitionById(segments, F.col("segment")).mapInArrow(build, "segment int, n long, v long, bits binary").collect()
-    bits, first, size, at = [np.zeros(0, np.uint64)], np.zeros(segments, np.int64), np.zeros(segments, np.int64), 0
-    for part in sorted(parts, key=lambda r: r["segment"]):
-        own = np.frombuffer(part["bits"], np.uint64)
-        first[part["segment"]], size[part["segment"]] = at, 64 * len(own)
-        bits.append(own)
-        at += len(own)
-    model = BloomLM(np.concatenate(bits), first, size, probes, sum(r["n"] for r in parts), sum(r["v"] for r in parts))
+    floor = 0
+    if max_bits is not None:
+        of_level = table.repartitionById(segments, F.col("segment")).mapInArrow(levels, "q long, n long").groupBy("q").agg(F.sum("n").alias("n")).collect()
+        floor = least_count({r["q"]: r["n"] for r in of_level}, int(max_bits / bits_each))
+    parts = written(table.repartitionById(segments, F.col("segment")).mapInArrow(build, "segment int, n long, v long, filter binary"), "filter")
+    whole = parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
+    model = StoredLM(parts.select("segment", "filter"), segments, probes, whole["n"], whole["v"])
     return model, table.filter("kind = 'w'")
 
 
@@ -317,24 +385,103 @@ def frequent_tokens(counts: DataFrame, at_most: int) -> tuple[np.ndarray, np.nda
     return *_merged(parts), floor
 
 
-_SCORED = "rid long, doc_id {}, held_out boolean, n_tokens long, n_known long, base double, score double, token long, times long"
+_SCORED = "rid long, doc_id {}, held_out boolean, n_tokens long, n_known long, base double, token long, times long, chunk long, blob binary"
+_SENT = "chunk long, segment int, blob binary"
+#: In place of a segment: a chunk itself. In place of a chunk: a segment's filter. Both sort before what they are needed for.
+_ITSELF = -1
 
 
-def score(docs: DataFrame, model: BloomLM, counts: DataFrame, *, text: str = "text", frequent: int = 1 << 20) -> DataFrame:
+def _each_chunk(table: pa.Table) -> Iterator[list[bytes]]:
+    keys, blobs = table.column("chunk").to_numpy(), table.column("blob")
+    edges = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        yield blobs.slice(lo, hi - lo).to_pylist()
+
+
+def pair_scores(chunks: DataFrame, model: StoredLM) -> DataFrame:
+    """rid, score of all texts in chunks (chunk, blob).
+
+    Questions meet their segment's filter in one task, answers their chunk in another; neither passes the driver.
+    """
+    segments, probes, constants = model.segments, model.probes, (model.train_tokens, model.distinct, model.mu)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                chunk = Chunk.unpacked(row["blob"])
+                members = np.sort(chunk.members(*chunk.pairs()[:2]))
+                edges = np.searchsorted(segment_of(members, segments), np.arange(segments + 1))  # segments ascend with members
+                for i in np.flatnonzero(edges[1:] > edges[:-1]):
+                    own = members[edges[i] : edges[i + 1]]
+                    columns = [pa.array([row["chunk"]], pa.int64()), pa.array([i], pa.int32()), pa.array([pack(own, np.ones(len(own), np.int64))], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["chunk", "segment", "blob"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, lm = None, None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["segment"] != at:
+                    at, lm = row["segment"], None
+                if row["chunk"] == _ITSELF:
+                    bits = np.frombuffer(row["blob"], np.uint64)
+                    lm = BloomLM(bits, np.zeros(1, np.int64), np.array([64 * len(bits)]), probes, *constants)
+                    continue
+                members, _ = unpack(row["blob"])
+                found = lm.held(members) if lm else np.zeros(len(members), np.int64)
+                blob = pa.compress(found.astype(np.uint8).tobytes(), codec="zstd", asbytes=True)
+                columns = [pa.array([row["chunk"]], pa.int64()), pa.array([at], pa.int32()), pa.array([len(members).to_bytes(8, "little") + blob], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["chunk", "segment", "blob"])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for itself, *answers in (blobs for table in whole_groups(batches, "chunk") for blobs in _each_chunk(table)):
+            chunk = Chunk.unpacked(itself)
+            left, own, back = chunk.pairs()
+            order = np.argsort(chunk.members(left, own))
+            levels = np.zeros(len(order), np.int64)
+            levels[order] = np.concatenate([np.frombuffer(pa.decompress(x[8:], decompressed_size=int.from_bytes(x[:8], "little"), codec="zstd", asbytes=True), np.uint8) for x in answers])
+            row = np.repeat(np.arange(len(chunk.rows)), np.diff(chunk.begin))
+            score = np.bincount(row, chunk.log10(levels, left, own, *constants)[back], len(chunk.rows))
+            yield pa.RecordBatch.from_arrays([pa.array(chunk.rows), pa.array(score)], ["rid", "score"])
+
+    filters = model.filters.select(F.lit(_ITSELF).cast("long").alias("chunk"), "segment", F.col("filter").alias("blob"))
+    asked = chunks.mapInArrow(ask, _SENT).unionByName(filters).repartitionById(segments, F.col("segment"))
+    answers = asked.sortWithinPartitions("segment", "chunk").mapInArrow(answer, _SENT)
+    back = answers.unionByName(chunks.withColumn("segment", F.lit(_ITSELF))).repartition(segments, "chunk")
+    return back.sortWithinPartitions("chunk", "segment").mapInArrow(finish, "rid long, score double")
+
+
+def score(docs: DataFrame, model: StoredLM, counts: DataFrame, *, text: str = "text", frequent: int = 1 << 20, chunk_tokens: int = 2_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text.
 
     docs: doc_id, held_out and the text. Null counts as empty: its one token is the end. Repeated rows and ids are
     scored each on its own; an empty table gives no rows; other columns are not read. With no training tokens N and V
-    are 0. `frequent` bounds the broadcast of exact counts to 16 bytes each.
+    are 0. `frequent` bounds the broadcast of exact counts to 16 bytes each. Texts are put together into chunks of some
+    `chunk_tokens` tokens, each of which asks the filter once about each of its distinct tokens and pairs.
     """
     sc = docs.sparkSession.sparkContext
     keys, n, floor = frequent_tokens(counts, frequent)
-    shared, exact = sc.broadcast(model), sc.broadcast((keys, n))
+    exact = sc.broadcast((keys, n))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = [x.split()[0] for x in _SCORED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lm, (known, known_n) = shared.value, exact.value
+        known, known_n = exact.value
         logs = np.log10(known_n + 0.5)
+        waiting: list = []
+        made = TaskContext.get().partitionId() << 32
+        types: list[pa.DataType] = []
+
+        def rows(k: int, **found: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([found.get(name, pa.nulls(k, t)) for name, t in zip(names, types, strict=True)], names)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal made
+            yield rows(1, chunk=pa.array([made], pa.int64()), blob=pa.array([Chunk.of(waiting).packed()], pa.binary()))
+            waiting.clear()
+            made += 1
+
         for batch in batches:
+            types = [pa.int64(), batch.column(1).type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             for lo, hi, data, offsets in text_slabs(batch.column(3)):
                 own, begin = tokens(data, offsets)
                 row = np.repeat(np.arange(hi - lo), np.diff(begin))
@@ -342,26 +489,24 @@ def score(docs: DataFrame, model: BloomLM, counts: DataFrame, *, text: str = "te
                 hit = known[at] == own if len(known) else np.zeros(len(own), bool)
                 base = np.bincount(row[hit], logs[at[hit]], hi - lo).astype(float)  # counts, where nothing is known
                 n_known = np.bincount(row[hit], minlength=hi - lo)
-                lm_score = np.bincount(row, lm.log10(left_of(own, begin), own), hi - lo)
                 head = [batch.column(i).slice(lo, hi - lo) for i in range(3)]
-                none = lambda k, kind: pa.nulls(k, kind)
-                numbers = [pa.array(np.diff(begin), pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(lm_score)]
-                names = ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "token", "times"]
-                yield pa.RecordBatch.from_arrays([*head, *numbers, none(hi - lo, pa.int64()), none(hi - lo, pa.int64())], names)
+                yield rows(hi - lo, rid=head[0], doc_id=head[1], held_out=head[2], n_tokens=pa.array(np.diff(begin), pa.int64()), n_known=pa.array(n_known, pa.int64()), base=pa.array(base))
                 rare = np.stack([row[~hit].astype(np.uint64), own[~hit]], axis=1)
                 if len(rare):
                     order = np.lexsort((rare[:, 1], rare[:, 0]))
                     rare = rare[order]
                     first = np.flatnonzero(np.concatenate([[True], (rare[1:] != rare[:-1]).any(axis=1)]))
                     times, rare = np.diff(np.append(first, len(rare))), rare[first]
-                    k = len(rare)
                     of_row = head[0].take(pa.array(rare[:, 0].astype(np.int64)))
-                    tail = [pa.array(np.ascontiguousarray(rare[:, 1]).view(np.int64)), pa.array(times, pa.int64())]
-                    yield pa.RecordBatch.from_arrays([of_row, none(k, head[1].type), none(k, pa.bool_()), *(none(k, x.type) for x in numbers), *tail], names)
+                    yield rows(len(rare), rid=of_row, token=pa.array(np.ascontiguousarray(rare[:, 1]).view(np.int64)), times=pa.array(times, pa.int64()))
+                waiting.append((head[0].to_numpy(), own, begin))
+                if sum(len(x[1]) for x in waiting) >= chunk_tokens:
+                    yield from flush()
+        if waiting:
+            yield from flush()
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", F.col(text).alias("text_"))
-    scored = written(rows.mapInArrow(run, _SCORED.format(kind)), "scored")
+    texts = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", F.col(text).alias("text_"))
+    scored = written(texts.mapInArrow(run, _SCORED.format(kind)), "scored")
 
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -372,7 +517,9 @@ def score(docs: DataFrame, model: BloomLM, counts: DataFrame, *, text: str = "te
     rest = counts.select("blob").mapInArrow(small, "token long, c long")
     found = scored.filter("token is not null").select("rid", "token", "times").join(rest, "token", "left")
     c = F.coalesce("c", F.lit(0))
-    found = found.groupBy("rid").agg(F.sum(F.col("times") * F.log10(c + 0.5)).alias("more"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known"))
+    found = found.select("rid", (F.col("times") * F.log10(c + 0.5)).alias("more"), F.when(c > 0, F.col("times")).otherwise(0).alias("more_known"))
+    pairs = pair_scores(scored.filter("chunk is not null").select("chunk", "blob"), model)
+    found = found.unionByName(pairs, allowMissingColumns=True).groupBy("rid").agg(*(F.sum(x).alias(x) for x in ("more", "more_known", "score")))
     whole = float(np.log10(model.train_tokens + 0.5 * (model.distinct + 1)))
     base = F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(whole)
     return scored.filter("n_tokens is not null").join(found, "rid", "left").select(

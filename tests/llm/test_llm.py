@@ -2,7 +2,9 @@
 
 import collections
 import hashlib
+import inspect
 import math
+import pickle
 import random
 import re
 import zlib
@@ -225,6 +227,24 @@ def test_language_model_scores(spark, docs, empty):
     assert bloom_lm.score(empty.withColumn("held_out", F.lit(False)), model, counts).count() == 0
 
 
+def test_filter_is_neither_cut_nor_broadcast(spark, docs, monkeypatch):
+    rows = docs.withColumn("held_out", F.col("doc_id") % 3 == 1)
+    assert inspect.signature(bloom_lm.train).parameters["max_bits"].default is None
+    model, counts = bloom_lm.train(rows.filter("not held_out"), segments=5, bits_each=2_000.0)
+    sent, broadcast = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(len(pickle.dumps(value))) or broadcast(self, value))
+    got = bloom_lm.score(rows.repartition(12), model, counts, frequent=10, chunk_tokens=50).collect()
+    whole, texts = model.gathered(), dict(fixture_rows())
+    assert sum(sent) < whole.bits.nbytes / 10
+    for r in got:
+        text = (texts[r["doc_id"]] or "").encode()
+        own, begin = bloom_lm.tokens(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        chunk = bloom_lm.Chunk.of([(np.zeros(1, int), own, begin)])
+        left, right, back = chunk.pairs()
+        levels = whole.held(chunk.members(left, right))
+        assert r["score"] == pytest.approx(chunk.log10(levels, left, right, model.train_tokens, model.distinct, model.mu)[back].sum())
+
+
 def test_filter_levels():
     keys = np.arange(1, 3001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     counts = np.arange(1, 3001)
