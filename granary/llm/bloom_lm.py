@@ -11,8 +11,7 @@ a frequent n-gram is one entry a task.
 
 The model, for a word w after v: (c(v,w) + (c(v) - s(v) + mu) p(w)) / (c(v) + mu), p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)).
 Counts are read from the filter, rounded down where they raise the sum over w and up where they lower it; s(v) is the
-sum of c(v,.) over the pairs seen twice or more, which alone are held, at any size of the input. What once-seen pairs had
-is what is left for p(w). So the probabilities after v sum to 1 at most, but for false positives.
+sum of c(v,.) over all pairs, as rounded. So the probabilities after v sum to 1 at most, but for false positives.
 
 Base scores need each token's exact count. Counts of frequent tokens are broadcast, at most `frequent` of them; the
 others' are joined by hash, so that only rare tokens are shuffled.
@@ -29,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import LOWER, SOLID, Spans, mix64, text_slabs, whole_groups, words, written
+from granary.llm.common import LOWER, SOLID, Spans, mix64, text_slabs, trimmed, whole_groups, words, written
 
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 #: Words, pairs and contexts are different members of the filter.
@@ -213,7 +212,10 @@ class StoredLM:
 
 @dataclass
 class Chunk:
-    """Some whole texts: row ids, each one's first token, distinct hashes in order, and each token's place in these."""
+    """Some whole texts: row ids, each one's first token, distinct hashes, and each token's place in these.
+
+    START is the first hash; the others go by how often they come, which makes the places small.
+    """
 
     rows: np.ndarray
     begin: np.ndarray
@@ -223,13 +225,16 @@ class Chunk:
     @classmethod
     def of(cls, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Chunk:
         """parts: row ids, tokens and begins of slabs."""
-        names, own = np.unique(np.concatenate([[START], *(x[1] for x in parts)]), return_inverse=True)
+        names, own, times = np.unique(np.concatenate([x[1] for x in parts]), return_inverse=True, return_counts=True)
+        order = np.argsort(-times, kind="stable")
+        place = np.empty(len(order), np.uint32)
+        place[order] = np.arange(1, len(order) + 1)
         count = np.concatenate([np.diff(x[2]) for x in parts])
-        return cls(np.concatenate([x[0] for x in parts]), np.concatenate([[0], np.cumsum(count)]), names, own[1:].astype(np.uint32))
+        return cls(np.concatenate([x[0] for x in parts]), np.concatenate([[0], np.cumsum(count)]), np.append(START, names[order]), place[own])
 
     def packed(self) -> bytes:
-        planes = np.ascontiguousarray(self.own.view(np.uint8).reshape(-1, 4).T)
-        raw = [x.tobytes() for x in (self.rows.astype(np.int64), self.begin.astype(np.int64), self.names, planes)]
+        planes = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T) for x in (self.names, self.own)]
+        raw = [x.tobytes() for x in (self.rows.astype(np.int64), self.begin.astype(np.int64), *planes)]
         head = np.array([len(self.rows), len(self.names), len(self.own), sum(map(len, raw))], np.int64).tobytes()
         return head + pa.compress(b"".join(raw), codec="zstd", asbytes=True)
 
@@ -237,12 +242,13 @@ class Chunk:
     def unpacked(cls, blob: bytes) -> Chunk:
         n, v, m, size = (int(x) for x in np.frombuffer(blob, np.int64, 4))
         whole = pa.decompress(blob[32:], decompressed_size=size, codec="zstd", asbytes=True)
+        names = np.ascontiguousarray(np.frombuffer(whole, np.uint8, 8 * v, 8 * (2 * n + 1)).reshape(8, v).T).view(np.uint64).reshape(-1)
         own = np.ascontiguousarray(np.frombuffer(whole, np.uint8, 4 * m, 8 * (2 * n + 1 + v)).reshape(4, m).T).view(np.uint32).reshape(-1)
-        return cls(np.frombuffer(whole, np.int64, n), np.frombuffer(whole, np.int64, n + 1, 8 * n), np.frombuffer(whole, np.uint64, v, 8 * (2 * n + 1)), own)
+        return cls(np.frombuffer(whole, np.int64, n), np.frombuffer(whole, np.int64, n + 1, 8 * n), names, own)
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places of the left and the own token of each distinct pair, and each token's place among the pairs."""
-        left = left_of(self.own, self.begin[:-1], np.searchsorted(self.names, START))
+        left = left_of(self.own, self.begin[:-1], 0)
         both, back = np.unique(left.astype(np.uint64) << np.uint64(32) | self.own, return_inverse=True)
         return (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(2**32 - 1)).astype(np.int64), back
 
@@ -326,7 +332,6 @@ def train(texts: DataFrame, *, text: str = "text", segments: int | None = None,
             if "w" in found:
                 yield from _rows([("w", segment, pack(*found["w"]))])
             keys, counts = found.get("p", _NONE)
-            keys, counts = keys[counts >= 2], counts[counts >= 2]
             if len(keys):
                 counts = LEVELS[level(counts) - 1]
                 yield from _rows([("p", segment, pack(*_sum(member("p", keys), counts)))])  # keys are of no more use
@@ -346,13 +351,13 @@ def train(texts: DataFrame, *, text: str = "text", segments: int | None = None,
             columns = [pa.array([segment], pa.int32()), pa.array([int(w[1].sum())], pa.int64()), pa.array([len(w[0])], pa.int64()), pa.array([bits.tobytes()], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["segment", "n", "v", "filter"])
 
-    counted = texts.select(F.col(text).alias("text")).mapInArrow(count, _BLOCKS)
-    table = written(counted.repartitionById(segments, F.col("segment")).mapInArrow(merge, _BLOCKS), "ngrams")
+    counted = texts.select(F.col(text).alias("text")).mapInArrow(trimmed(count), _BLOCKS)
+    table = written(counted.repartitionById(segments, F.col("segment")).mapInArrow(trimmed(merge), _BLOCKS), "ngrams")
     floor = 0
     if max_bits is not None:
         of_level = table.repartitionById(segments, F.col("segment")).mapInArrow(levels, "q long, n long").groupBy("q").agg(F.sum("n").alias("n")).collect()
         floor = least_count({r["q"]: r["n"] for r in of_level}, int(max_bits / bits_each))
-    parts = written(table.repartitionById(segments, F.col("segment")).mapInArrow(build, "segment int, n long, v long, filter binary"), "filter")
+    parts = written(table.repartitionById(segments, F.col("segment")).mapInArrow(trimmed(build), "segment int, n long, v long, filter binary"), "filter")
     whole = parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     model = StoredLM(parts.select("segment", "filter"), segments, probes, whole["n"], whole["v"])
     return model, table.filter("kind = 'w'")
@@ -443,11 +448,12 @@ def pair_scores(chunks: DataFrame, model: StoredLM) -> DataFrame:
             score = np.bincount(row, chunk.log10(levels, left, own, *constants)[back], len(chunk.rows))
             yield pa.RecordBatch.from_arrays([pa.array(chunk.rows), pa.array(score)], ["rid", "score"])
 
+    deal = F.pmod(2 * F.shiftright("chunk", 32) + F.col("chunk").bitwiseAND(2**32 - 1), F.lit(segments)).cast("int")  # of few chunks, no two to a task
     filters = model.filters.select(F.lit(_ITSELF).cast("long").alias("chunk"), "segment", F.col("filter").alias("blob"))
-    asked = chunks.mapInArrow(ask, _SENT).unionByName(filters).repartitionById(segments, F.col("segment"))
-    answers = asked.sortWithinPartitions("segment", "chunk").mapInArrow(answer, _SENT)
-    back = answers.unionByName(chunks.withColumn("segment", F.lit(_ITSELF))).repartition(segments, "chunk")
-    return back.sortWithinPartitions("chunk", "segment").mapInArrow(finish, "rid long, score double")
+    asked = chunks.mapInArrow(trimmed(ask), _SENT).unionByName(filters).repartitionById(segments, F.col("segment"))
+    answers = asked.sortWithinPartitions("segment", "chunk").mapInArrow(trimmed(answer), _SENT)
+    back = answers.unionByName(chunks.withColumn("segment", F.lit(_ITSELF))).repartitionById(segments, deal)
+    return back.sortWithinPartitions("chunk", "segment").mapInArrow(trimmed(finish), "rid long, score double")
 
 
 def score(docs: DataFrame, model: StoredLM, counts: DataFrame, *, text: str = "text", frequent: int = 1 << 20, chunk_tokens: int = 2_000_000) -> DataFrame:
@@ -506,7 +512,7 @@ def score(docs: DataFrame, model: StoredLM, counts: DataFrame, *, text: str = "t
             yield from flush()
 
     texts = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", F.col(text).alias("text_"))
-    scored = written(texts.mapInArrow(run, _SCORED.format(kind)), "scored")
+    scored = written(texts.mapInArrow(trimmed(run), _SCORED.format(kind)), "scored")
 
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -245,6 +245,18 @@ def test_filter_is_neither_cut_nor_broadcast(spark, docs, monkeypatch):
         assert r["score"] == pytest.approx(chunk.log10(levels, left, right, model.train_tokens, model.distinct, model.mu)[back].sum())
 
 
+def test_pairs_seen_once_count(spark):
+    rows = spark.createDataFrame([(0, "a b c d", False), (1, "a b", True), (2, "c b", True), (3, "a q", True)], "doc_id long, text string, held_out boolean")
+    model, counts = bloom_lm.train(rows.filter("not held_out"), segments=3, bits_each=64.0)
+    got = {r["doc_id"]: r["score"] for r in bloom_lm.score(rows, model, counts).collect()}
+    p = lambda seen: (seen + 0.5) / (5 + 0.5 * 6)
+    after = lambda pair, context, seen: math.log10((pair + (context - min(context, 1) + 1) * p(seen)) / (context + 1))
+    assert got[0] == pytest.approx(5 * after(1, 1, 1))
+    assert got[1] == pytest.approx(2 * after(1, 1, 1) + after(0, 1, 1))
+    assert got[2] == pytest.approx(3 * after(0, 1, 1))
+    assert got[3] == pytest.approx(after(1, 1, 1) + after(0, 1, 0) + after(0, 0, 1))
+
+
 def test_filter_levels():
     keys = np.arange(1, 3001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     counts = np.arange(1, 3001)
