@@ -299,6 +299,10 @@ def metric_purge(spark, sf_dir):
 _THROUGHPUT = (3, 6, 4)  # interval, validation, checkpoint
 
 
+def _step_log(series):
+    return series.select("run", "step", (F.col("step") * 16).alias("tokens_seen"), (1 + F.col("step") % 3).cast("double").alias("seconds"))
+
+
 @query(f"""WITH RECURSIVE {_S}, z AS (SELECT run, max(step) AS last FROM s GROUP BY run), log AS (SELECT s.run, step, (step * 16)::BIGINT AS seen, (1 + step % 3)::DOUBLE AS seconds, last FROM s JOIN z ON s.run = z.run WHERE step <= 40),
 g AS (SELECT run, 0::BIGINT AS step, 0::BIGINT AS since, FALSE AS closed FROM z UNION ALL
 SELECT log.run, log.step, CASE WHEN log.step - CASE WHEN g.closed THEN g.step ELSE g.since END >= 3 OR log.step % 6 = 0 OR log.step = least(last, 40) OR (log.step % 4 = 0 AND log.step < least(last, 40)) THEN CASE WHEN g.closed THEN g.step ELSE g.since END ELSE CASE WHEN g.closed THEN g.step ELSE g.since END END,
@@ -306,8 +310,13 @@ log.step - CASE WHEN g.closed THEN g.step ELSE g.since END >= 3 OR log.step % 6
 SELECT g.run, g.step, (g.step - g.since) * 16 AS tokens, (SELECT sum(seconds) FROM log l WHERE l.run = g.run AND l.step > g.since AND l.step <= g.step) AS seconds,
 round((g.step - g.since) * 16 / (SELECT sum(seconds) FROM log l WHERE l.run = g.run AND l.step > g.since AND l.step <= g.step), 6) AS tokens_per_second FROM g WHERE closed""")
 def throughput_windows(spark, sf_dir):
-    log = _series(spark, sf_dir).filter("step <= 40").select("run", "step", (F.col("step") * 16).alias("tokens_seen"), (1 + F.col("step") % 3).cast("double").alias("seconds"))
-    return _rounded(metrics.throughput_windows(log, *_THROUGHPUT))
+    return _rounded(metrics.throughput_windows(_step_log(_series(spark, sf_dir).filter("step <= 40")), *_THROUGHPUT))
+
+
+@query()
+def throughput_windows_whole(spark, sf_dir):
+    """All steps of each run; throughput_windows gives the first 40, as its recursive SQL does."""
+    return _rounded(metrics.throughput_windows(_step_log(_series(spark, sf_dir)), *_THROUGHPUT))
 
 
 _PARAMETERS = "CASE event_id % 9 WHEN 0 THEN 'embeddings.weight' WHEN 1 THEN 'blocks.0.attn.c_attn.weight' WHEN 2 THEN 'blocks.0.attn.q_proj.weight' WHEN 3 THEN 'blocks.1.attn.k_proj.weight' WHEN 4 THEN 'blocks.0.attn.c_proj.weight' WHEN 5 THEN 'blocks.0.ffn.w1.weight' WHEN 6 THEN 'blocks.0.ffn.w2.weight' WHEN 7 THEN 'blocks.0.attn_norm.weight' ELSE 'head.bias' END"

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from granary.functions import numeric
 from granary.functions.text import byte_ids, is_blank, strip, word_count
 from granary.operators import artifacts, batches, corpus, metrics
+from granary.plans import catalog
 from granary.sources import config, logs
 from granary.sources.tokens import Artifact, evaluation_steps, read_blocks, training_blocks
 
@@ -185,6 +186,22 @@ def test_throughput_windows(spark):
     assert [r["step"] for r in metrics.throughput_windows(log.filter("step <= 5"), 3, 6, 4).orderBy("step").collect()] == [3, 4, 5]
 
 
+def test_throughput_windows_of_whole_runs(spark, tmp_path):
+    lengths = {"short": 5, "edge": 40, "long": 131}
+    events = [(i, run, 1.0) for i, run in enumerate(run for run, n in lengths.items() for _ in range(n))]
+    spark.createDataFrame(events, "event_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    expected = []
+    for run, last in lengths.items():
+        since, seconds = 0, 0.0
+        for step in range(1, last + 1):
+            seconds += 1 + step % 3
+            if step - since >= 3 or step % 6 == 0 or step == last or (step % 4 == 0 and step < last):
+                expected.append((run, step, (step - since) * 16, seconds, round((step - since) * 16 / seconds, 6)))
+                since, seconds = step, 0.0
+    got = catalog.QUERIES["throughput_windows_whole"](spark, str(tmp_path)).select("run", "step", "tokens", "seconds", "tokens_per_second").collect()
+    assert sorted(map(tuple, got)) == sorted(expected)
+
+
 def test_registry(spark, tmp_path):
     row = lambda model, conf: ("e", "v", metrics.format_loss(3.25), "3.5", "s", model, conf)
     table = lambda *rows: spark.createDataFrame(list(rows), metrics.REGISTRY)
