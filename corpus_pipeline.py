@@ -26,7 +26,7 @@ def _one_row_each(docs: DataFrame, key: Column, kept: DataFrame) -> DataFrame:
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told; those without a letter, or with a score under 0.3, go."""
+    """Documents whose language is told; those without a letter go, as op8 tells none for them."""
     model = language_id.train(docs.filter(fold(modulus=4) != 2).select("doc_id", "text", "lang"))
     return language_id.identified(docs, model)
 

@@ -187,17 +187,19 @@ def predict(docs: DataFrame, model: ByteConv, *, text: str = "text", keep: tuple
     return docs.select(*keep, F.col(text).alias("text_"), has_letter).mapInArrow(trimmed(run), f"{fields}, lang_pred string, score double")
 
 
-def identified(docs: DataFrame, model: ByteConv, *, text: str = "text", least_score: float = 0.3) -> DataFrame:
-    """The rows of docs, with all columns, whose language is told with at least this score; "und" rows go. Decided row by row, with no join."""
+def identified(docs: DataFrame, model: ByteConv, *, text: str = "text") -> DataFrame:
+    """The rows of docs, with all columns, that predict() gives a language, whatever its score; "und" rows go. Decided row by row, with no join."""
     at = docs.columns.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     marked = docs.select("*", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("has_letter_"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            letters = np.asarray(batch.column(batch.num_columns - 1)).astype(bool)
-            _, score = text_languages(shared.value, batch.column(at))
+            own = shared.value
+            letters = np.asarray(batch.column(batch.num_columns - 1)).astype(bool) if own.languages else np.zeros(batch.num_rows, bool)
+            best, _ = text_languages(own, batch.column(at))
+            told = np.where(letters, best, len(own.languages)) < len(own.languages)
             rest = pa.RecordBatch.from_arrays(batch.columns[:-1], schema=pa.schema(list(batch.schema)[:-1]))
-            yield rest.filter(pa.array(letters & (score >= least_score)))
+            yield rest.filter(pa.array(told))
 
     return marked.mapInArrow(trimmed(run), docs.schema)

@@ -449,6 +449,17 @@ def test_query_equals_sql(spark, tables, name):
     assert key(ours).equals(key(theirs))
 
 
+def test_language_stage_keeps_uncertain_documents(spark):
+    rnd = random.Random(8)
+    rows = [(i, prose(rnd, 40), "abcde"[i % 5]) for i in range(100)] + [(900, None, "a"), (901, "12 !", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs, max_docs=100)
+    told = {r["doc_id"]: r for r in language_id.predict(docs, model).collect() if r["lang_pred"] != "und"}
+    assert len(told) == 100 and min(r["score"] for r in told.values()) < 0.3
+    assert {r["doc_id"] for r in language_id.identified(docs, model).collect()} == set(told)
+    assert language_id.identified(docs, language_id.train(docs.limit(0))).count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
