@@ -113,33 +113,33 @@ def fit(windows: np.ndarray, labels: np.ndarray, languages: list[str], *, widths
 
 
 def train(rows: DataFrame, *, max_docs: int = 6000, windows_per_doc: int = 4, window: int = 256, **options) -> ByteConv:
-    """Trains on (doc_id, text, lang) rows with text and lang: on all, or on the `max_docs` of least hash where there are more.
+    """Trains on (doc_id, text, lang) rows with a lang: on all ids, or on the `max_docs` ids of least hash where there are more.
 
-    Of each such text at most `windows_per_doc` windows, spread evenly from its start to its end, go to the driver: at
-    most max_docs * windows_per_doc * window bytes (6 MB by default), whatever the table's size.
+    Of such a text at most `windows_per_doc` windows, spread evenly from its start to its end, go to the driver: at most
+    max_docs * windows_per_doc * window bytes (6 MB by default), whatever the table's size. Rows that repeat an id count
+    once, by the least of their languages and windows. Null and empty texts have no windows. Ids alone are read to choose.
     """
-    rows = rows.filter(F.col("lang").isNotNull() & (F.length("text") > 0))
-    rows = rows.withColumn("h", F.xxhash64("doc_id", "text"))
-    least = rows.select("h").orderBy("h").limit(max_docs).agg(F.max("h")).first()[0]
+    rows = rows.filter(F.col("lang").isNotNull()).withColumn("h", F.xxhash64("doc_id"))
+    least = rows.select("h").distinct().orderBy("h").limit(max_docs).agg(F.max("h")).first()[0]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, rows = [], []
-            for lo, _, data, offsets in text_slabs(batch.column(0)):
+            found = []
+            for _, _, data, offsets in text_slabs(batch.column(0)):
                 for i in range(len(offsets) - 1):
                     size = int(offsets[i + 1] - offsets[i])
                     n = min(windows_per_doc, -(-size // window))
-                    for start in np.linspace(0, max(0, size - window), n).astype(int):
-                        own = data[offsets[i] + start : min(offsets[i] + start + window, offsets[i + 1])]
-                        at.append(lo + i)
-                        rows.append(LOWER[own].tobytes().ljust(window, b"\0"))
-            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(at, pa.int64())), pa.array(rows, pa.binary())], ["lang", "bytes"])
+                    starts = np.linspace(0, max(0, size - window), n).astype(int)
+                    found.append([LOWER[data[offsets[i] + at : min(offsets[i] + at + window, offsets[i + 1])]].tobytes().ljust(window, b"\0") for at in starts])
+            columns = [batch.column(2), batch.column(1), pa.array(found, pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, ["h", "lang", "windows"])
 
     found = []
     if least is not None:
-        some = rows.filter(F.col("h") <= least).select("text", "lang").mapInArrow(cut, "lang string, bytes binary")
-        found = some.limit(max_docs * windows_per_doc).collect()
-    found = sorted((r["lang"], bytes(r["bytes"])) for r in found)  # so that the order in which tasks end decides nothing
+        some = rows.filter(F.col("h") <= least).select("text", "lang", "h").mapInArrow(cut, "h long, lang string, windows array<binary>")
+        one = some.filter(F.size("windows") > 0).groupBy("h").agg(F.min(F.struct("lang", "windows")).alias("one")).select("one.*")
+        found = [(r["lang"], w) for r in one.collect() for w in r["windows"]]
+    found = sorted((lang, bytes(w)) for lang, w in found)  # so that the order in which tasks end decides nothing
     languages = sorted({x[0] for x in found})
     data = np.frombuffer(b"".join(x[1] for x in found), np.uint8).reshape(-1, window)
     labels = np.searchsorted(languages, [x[0] for x in found]) if found else np.zeros(0, int)
@@ -191,15 +191,14 @@ def identified(docs: DataFrame, model: ByteConv, *, text: str = "text") -> DataF
     """The rows of docs, with all columns, that predict() gives a language, whatever its score; "und" rows go. Decided row by row, with no join."""
     at = docs.columns.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    marked = docs.select("*", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("has_letter_"))
+    marked = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letters"))  # names cannot clash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
         for batch in batches:
-            own = shared.value
-            letters = np.asarray(batch.column(batch.num_columns - 1)).astype(bool) if own.languages else np.zeros(batch.num_rows, bool)
-            best, _ = text_languages(own, batch.column(at))
-            told = np.where(letters, best, len(own.languages)) < len(own.languages)
-            rest = pa.RecordBatch.from_arrays(batch.columns[:-1], schema=pa.schema(list(batch.schema)[:-1]))
-            yield rest.filter(pa.array(told))
+            rows = pa.RecordBatch.from_struct_array(batch.column(0))
+            letters = np.asarray(batch.column(1)).astype(bool) if own.languages else np.zeros(batch.num_rows, bool)
+            best, _ = text_languages(own, rows.column(at))
+            yield rows.filter(pa.array(np.where(letters, best, len(own.languages)) < len(own.languages)))
 
     return marked.mapInArrow(trimmed(run), docs.schema)
