@@ -13,15 +13,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.common import written
 
 WHITE = r"[\x20\x09-\x0D]"
-#: Stands for a null id while runs are merged.
-_LAST = (1 << 63) - 1
-_RUN = "digest binary, check long, best_len long, best_id long, n long, owner int, at int"
+_RUN = "digest binary, check long, best_len long, best_id {}, n long, owner int, at int"
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,7 +47,8 @@ def _best(rows: pa.Table) -> pa.Table:
     if len(digest) and not (np.diff(offsets) == 32).all():
         raise ValueError("a digest has 32 bytes")
     bits = width[offsets[0] : offsets[-1]].reshape(-1, 32)
-    check, length, ident, n = (rows.column(c).to_numpy() for c in ("check", "best_len", "best_id", "n"))
+    check, length, n = (rows.column(c).to_numpy() for c in ("check", "best_len", "n"))
+    ident = pc.rank(rows.column("best_id").combine_chunks(), null_placement="at_end", tiebreaker="dense").to_numpy()
     new = np.ones(len(check), bool)
     new[1:] = (check[1:] != check[:-1]) | (bits[1:] != bits[:-1]).any(axis=1)
     group, first = np.cumsum(new) - 1, np.flatnonzero(new)
@@ -73,12 +73,13 @@ def digest_groups(docs: DataFrame, partitions: int | None = None, fan_in_bits: i
         F.shiftright(high, 32 - bits).cast("int").alias("owner") if bits else F.lit(0).alias("owner"),
         F.pmod(F.spark_partition_id(), F.lit(size)).cast("int").alias("at"),
     )
-    runs = runs.sortWithinPartitions("digest", "check").mapInArrow(_merge, _RUN)
+    run = _RUN.format(docs.schema["doc_id"].dataType.simpleString())
+    runs = runs.sortWithinPartitions("digest", "check").mapInArrow(_merge, run)
     for low in range(0, bits, fan_in_bits):
         mask = ((1 << min(fan_in_bits, bits - low)) - 1) << low
         there = F.col("at").bitwiseAND(~mask & (size - 1)).bitwiseOR(F.col("owner").bitwiseAND(mask))
-        runs = runs.withColumn("at", there).repartitionById(size, F.col("at")).sortWithinPartitions("digest", "check").mapInArrow(_merge, _RUN)
-    return (runs if bits else runs.coalesce(1).sortWithinPartitions("digest", "check").mapInArrow(_merge, _RUN)).select("digest", "check", "best_id", "n")
+        runs = runs.withColumn("at", there).repartitionById(size, F.col("at")).sortWithinPartitions("digest", "check").mapInArrow(_merge, run)
+    return (runs if bits else runs.coalesce(1).sortWithinPartitions("digest", "check").mapInArrow(_merge, run)).select("digest", "check", "best_id", "n")
 
 
 def text_digest(text: str = "text") -> Column:
@@ -90,12 +91,12 @@ def exact_dedup(docs: DataFrame, *, text: str = "text", partitions: int | None =
     """One row for each document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they are so without ASCII white space; null counts as empty, and empty texts are one group.
-    The row with the most code points in the original stays, then the smallest doc_id, a null id last. Rows that repeat
+    The row with the most code points in the original stays, then the smallest doc_id (of any type that sorts), a null id last. Rows that repeat
     an id are all counted, and all are kept where that id stays. An empty table gives no rows; other columns are not read.
     """
     raw = F.coalesce(F.col(text), F.lit(""))
     marked = (
-        docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.length(raw).cast("long").alias("best_len"), F.regexp_replace(raw, WHITE, "").alias("bare"))
+        docs.select("doc_id", F.length(raw).cast("long").alias("best_len"), F.regexp_replace(raw, WHITE, "").alias("bare"))
         .select("doc_id", "best_len", F.unhex(F.sha2("bare", 256)).alias("digest"), F.xxhash64("bare").alias("check"))
     )
     marked = written(marked, "digests")
@@ -108,7 +109,4 @@ def exact_dedup(docs: DataFrame, *, text: str = "text", partitions: int | None =
     rows = marked.join(F.broadcast(hot), keys, "left")
     found = rows.filter(F.col("hot_n").isNotNull()).select("doc_id", *keys, F.col("hot_id").alias("keep_id"), F.col("hot_n").alias("group_size"))
     rest = rows.filter(F.col("hot_n").isNull()).select("doc_id", *keys).join(groups.select(*keys, F.col("best_id").alias("keep_id"), F.col("n").alias("group_size")), keys)
-    shown = lambda c: F.nullif(F.col(c), F.lit(_LAST)).alias(c)
-    return found.unionByName(rest).select(
-        shown("doc_id"), shown("keep_id"), "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
-    )
+    return found.unionByName(rest).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
