@@ -40,25 +40,32 @@ def rendezvous_shards(docs: DataFrame, weights: Sequence[float], grown: float |
     Null text counts as empty; a null key is one key of its own, "null"; rows of one key share a shard; repeated rows
     keep a slot each; an empty table gives none. Other columns are not read, whatever their names.
 
-    Slots need no total order over a shard: rows fall by a second hash into buckets of about `bucket_rows`, are numbered
-    in their bucket, and start at the sum of the buckets before. Only ids, sizes and hashes are shuffled, never texts.
+    Slots need no total order over a shard: rows fall by a second hash, of all that is returned, into buckets of about
+    `bucket_rows`, are numbered in their bucket, and start at the sum of the buckets before. Rows that are alike share that
+    hash; where they are over `bucket_rows` and over a 1,000th of all rows, row numbers deal them over buckets of their own.
+    Only ids, sizes and hashes are shuffled, never texts.
     """
     name = F.coalesce(F.col(key).cast("string"), F.lit("null"))
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    bits = max(0, math.ceil(math.log2(max(1, docs.count() / (bucket_rows * len(weights))))))
-    slim = docs.select(F.col(key), name.alias("name"), (F.octet_length(raw).cast("long") + 1).alias("size"), F.crc32(raw).alias("text_crc32"))
+    slim = docs.select(F.col(key).alias("id"), name.alias("name"), (F.octet_length(raw).cast("long") + 1).alias("size"), F.crc32(raw).alias("text_crc32"))
     placed = slim.select(
-        key, "size", "text_crc32", winner(F.col("name"), weights).alias("shard"),
+        "id", "size", "text_crc32", winner(F.col("name"), weights).alias("shard"),
         (winner(F.col("name"), [*weights, grown]) if grown else F.lit(None).cast("int")).alias("grown_shard"),
-        hash60(F.concat_ws("#", F.col("name"), F.col("text_crc32"), F.col("size"))).alias("place"),
-    ).withColumn("bucket", F.shiftright("place", 60 - bits).cast("int"))
+        hash60(F.concat_ws("#", F.col("name"), F.col("text_crc32"), F.col("size"))).alias("place"), F.monotonically_increasing_id().alias("row"),
+    )
     placed = written(placed, "sharding")
-    before = F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    starts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n")).select("shard", "bucket", F.coalesce(before, F.lit(0)).alias("start"))
-    rank = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("place", key, "text_crc32", "size"))
+    total = placed.count()
+    bits = max(0, math.ceil(math.log2(max(1, total / (bucket_rows * len(weights))))))
+    hot = placed.groupBy("place").agg(F.count("*").alias("alike")).filter(F.col("alike") > max(bucket_rows, total / 1000))  # under 1,000 places
+    placed = placed.join(F.broadcast(hot), "place", "left").withColumn("bucket", F.shiftright("place", 60 - bits).cast("int"))
+    part = F.pmod(F.xxhash64("row"), F.ceil(F.col("alike") / bucket_rows)).cast("int") + 1
+    placed = placed.withColumn("own", F.when(F.col("alike").isNull(), F.lit(-1)).otherwise(F.col("place"))).withColumn("part", F.coalesce(part, F.lit(0)))
+    cell = ["bucket", "own", "part"]
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy(*cell).rowsBetween(Window.unboundedPreceding, -1))
+    starts = placed.groupBy("shard", *cell).agg(F.count("*").alias("n")).select("shard", *cell, F.coalesce(before, F.lit(0)).alias("start"))
+    rank = F.row_number().over(Window.partitionBy("shard", *cell).orderBy("place", "id", "text_crc32", "size"))
     return (
         placed.withColumn("rank", rank)
-        .join(starts, ["shard", "bucket"])
-        .select(key, "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("rank") - 1).alias("slot"), "grown_shard")
+        .join(starts, ["shard", *cell])
+        .select(F.col("id").alias(key), "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("rank") - 1).alias("slot"), "grown_shard")
     )
-
