@@ -2,8 +2,11 @@
 
 The distinct pre-tokens of a batch of texts are put in a trie, one level a byte, held as arrays. The best unigram score
 and its number of tokens are worked out once for each node, from the ancestors at the lengths that pieces have; what a
-node ends is the count of the pre-token, and a text's count is the sum over its pre-tokens. Vocabulary and scores are a
-public model's pieces, read as unigram scores.
+node ends is the count of the pre-token, and a text's count is the sum over its pre-tokens. A branch on which a single
+pre-token is left shares nothing more: its rest is worked out from the state at its last node, byte by byte.
+
+The vocabulary is a public model's pieces. That model has ranks, no probabilities, and no tokenizer is trained here, so
+the unigram model is an estimate: P(piece) = 1 / (rank + 2.7), normalised, the Zipf-Mandelbrot law of word frequencies.
 """
 
 from __future__ import annotations
@@ -23,8 +26,17 @@ from granary.llm.common import Spans, text_slabs
 SPACE = "▁"
 _SPACE_BYTE, _LINE_BYTE = 32, 10
 _FILTER_BITS = 21
-#: Bytes from which a pre-token is worked out by itself: a trie of its depth would hold it alone.
-_LONG = 256
+#: Fixed value: the shift of the rank in the law of frequencies.
+_SHIFT = 2.7
+#: Branches of one pre-token each that are left when the rest is worked out byte by byte; a level in numpy costs as much as some of these.
+_BRANCHES = 24
+
+
+def unigram_scores(model) -> dict[str, float]:
+    """Natural-log probabilities of a sentencepiece model's ordinary pieces, from their rank by the model's own score."""
+    pieces = sorted((p for p in model.pieces if p.type == 1), key=lambda p: (-p.score, p.piece))
+    mass = np.array([1 / (rank + _SHIFT) for rank in range(1, len(pieces) + 1)])
+    return {p.piece.replace(SPACE, " "): score for p, score in zip(pieces, np.log(mass / mass.sum()).tolist(), strict=True)}
 
 
 class UnigramTrie:
@@ -33,7 +45,7 @@ class UnigramTrie:
     def __init__(self, proto: bytes, cache: int = 2_000_000):
         model = sentencepiece_model_pb2.ModelProto()
         model.ParseFromString(proto)
-        pieces = {p.piece.replace(SPACE, " "): p.score for p in model.pieces if p.type == 1}
+        pieces = unigram_scores(model)
         if any(" " in p.lstrip(" ") or "\n" in p.strip("\n") for p in pieces):
             raise ValueError("pieces must not span a space or a line end between other characters")
         self.unknown = min(pieces.values()) - 10.0
@@ -95,25 +107,34 @@ class UnigramTrie:
                 nodes[depth - self.lengths[0] - 1] = best[depth - self.lengths[0] - 1] = count[depth - self.lengths[0] - 1] = None
             over = np.flatnonzero(size[:alive] == depth)
             out[over] = tokens[node[over]]
+            if depth >= self.lengths[0] and len(first) == alive <= _BRANCHES:
+                for i in np.flatnonzero(size[:alive] > depth).tolist():
+                    steps = range(depth - self.lengths[0], depth + 1)
+                    before = [(float(best[k][nodes[k][i]]), int(count[k][nodes[k][i]])) for k in steps]
+                    out[i] = self._rest(data, spans, int(starts[i]), int(starts[i] + size[i]), depth, before)
+                break
         back = np.empty(len(out), np.int64)
         back[order] = out
         return back
 
-    def _alone(self, data: np.ndarray, spans: Spans, start: int, end: int) -> int:
-        """Token count of one long pre-token, which shares little with others: all its pieces first, then one pass."""
-        size, own = end - start, data[start:end]
+    def _rest(self, data: np.ndarray, spans: Spans, start: int, end: int, depth: int, before: list[tuple[float, int]]) -> int:
+        """Token count of the pre-token, from the (score, tokens) of its last lengths up to `depth`, the longest piece's many."""
+        reach = len(before) - 1
+        begin = start + depth - reach  # no piece that ends past `depth` starts before
+        size, own, known = end - begin, data[begin:end], reach
         ends, lengths, gains, tokens = [], [], [], []
 
         def add(at: np.ndarray, length: int, gain: np.ndarray, n: int) -> None:
-            ends.append(at + length)
-            lengths.append(np.full(len(at), length))
-            gains.append(gain)
-            tokens.append(np.full(len(at), n))
+            later = at + length > known
+            ends.append((at + length)[later])
+            lengths.append(np.full(int(later.sum()), length))
+            gains.append(gain[later])
+            tokens.append(np.full(int(later.sum()), n))
 
         for length in self.lengths:
             if length > size:
                 continue
-            at = np.arange(start, end - length + 1)
+            at = np.arange(begin, end - length + 1)
             which, gain = self._scores(spans.hash(at, at + length))
             add(which, length, gain, 1)
             if length <= 4:
@@ -125,7 +146,8 @@ class UnigramTrie:
                 add(which, length, np.full(len(which), self.unknown), length if self.tokens_of_unknown else 1)
         ends, lengths, gains, tokens = map(np.concatenate, (ends, lengths, gains, tokens))
         order = np.lexsort((-lengths, ends))
-        best, count = [0.0] + [-np.inf] * size, [0] * (size + 1)
+        best = [x for x, _ in before] + [-np.inf] * (size - known)
+        count = [x for _, x in before] + [0] * (size - known)
         for e, length, gain, n in zip(ends[order].tolist(), lengths[order].tolist(), gains[order].tolist(), tokens[order].tolist(), strict=True):
             if (total := best[e - length] + gain) > best[e]:
                 best[e], count[e] = total, count[e - length] + n
@@ -150,11 +172,7 @@ class UnigramTrie:
         counts = np.zeros(len(hashes), np.int64)
         counts[have] = self.counts[at[have]]
         new = first[~have]
-        long = ends[new] - starts[new] > _LONG
-        found = np.zeros(len(new), np.int64)
-        found[~long] = self._trie(data, spans, starts[new[~long]], ends[new[~long]])
-        found[long] = [self._alone(data, spans, int(starts[i]), int(ends[i])) for i in new[long]]
-        counts[~have] = found
+        counts[~have] = self._trie(data, spans, starts[new], ends[new])
         if len(self.known) + len(new) > self.limit:
             self.known, self.counts = hashes, counts
         else:

@@ -21,7 +21,7 @@ from granary.llm.merge_codec import MergeCodec, encode_documents
 from granary.llm.queries import QUERIES, SQL, piece_model
 from granary.llm.secret_scan import labelled_samples, secret_scan, train
 from granary.llm.sharding import rendezvous_shards
-from granary.llm.token_counts import token_counts
+from granary.llm.token_counts import token_counts, unigram_scores
 
 from ..conftest import SF
 
@@ -185,17 +185,22 @@ def test_token_counts(spark, docs, empty):
     proto = piece_model()
     model = sentencepiece_model_pb2.ModelProto()
     model.ParseFromString(proto)
-    pieces = {p.piece.replace("▁", " "): p.score for p in model.pieces if p.type == 1}
+    ranked = [p.piece.replace("▁", " ") for p in sorted((p for p in model.pieces if p.type == 1), key=lambda p: (-p.score, p.piece))]
+    mass = sum(1 / (rank + 2.7) for rank in range(1, len(ranked) + 1))
+    pieces = {piece: math.log(1 / (rank + 2.7) / mass) for rank, piece in enumerate(ranked, 1)}
+    assert math.isclose(sum(math.exp(x) for x in pieces.values()), 1) and unigram_scores(model) == pytest.approx(pieces)
+    pieces = unigram_scores(model)  # the same floating numbers, so that ties are ties
     rnd = random.Random(2)
     parts = ["a", "the", " ", "  ", "\n", "é", "ing", "日", "😀", ".", "▁", "12", "ñ"]
     rows = [(i, "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 30)))) for i in range(300)] + [(1000, None)]
+    rows += [(1002 + i, "x" * 300 + "ab" * n + "é the") for i, n in enumerate((0, 1, 50, 400))] + [(1010, "の" * 200), (1011, "ab" * 3000)]
     rows.append((1001, "the " + "".join(rnd.choice(["a", "the", "é", "日", "😀", "12"]) for _ in range(400)) + " ing"))
     more = spark.createDataFrame(rows, "doc_id long, text string")
     texts = dict(rows)
     for r in token_counts(more, proto).collect():
         assert r["n_tokens"] == naive_count(texts[r["doc_id"]] or "", pieces, min(pieces.values()) - 10)
     own = dict(fixture_rows())
-    for r in token_counts(docs.filter("length(text) < 10000 or text is null"), proto).collect():
+    for r in token_counts(docs, proto).collect():
         assert r["n_tokens"] == naive_count(own[r["doc_id"]] or "", pieces, min(pieces.values()) - 10)
     assert token_counts(docs, proto).count() == docs.count() and token_counts(empty, proto).count() == 0
 
