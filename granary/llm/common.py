@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -32,10 +33,16 @@ def fold(column: str = "doc_id", modulus: int = 4) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of the machine's own only where none is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else the session's checkpoint folder.
+
+    Where neither is set, one of the machine's own serves a local master, and any other is an error: executors would
+    write to disks of their own.
+    """
     if not (path := spark.conf.get("spark.checkpoint.dir", None)):
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="granary-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
