@@ -18,11 +18,15 @@ from granary.llm.merge_codec import encode_documents
 from granary.llm.queries import piece_model
 
 
-def _one_row_each(docs: DataFrame, key: Column, kept: DataFrame) -> DataFrame:
-    """One row of docs for each key that `kept` has in its only column. Texts move once, by the key."""
-    keyed = docs.withColumn("kept_key_", key)
-    kept = kept.toDF("kept_key_")
-    return keyed.join(kept, "kept_key_", "left_semi").dropDuplicates(["kept_key_"]).select(*docs.columns)
+def _one_row_each(docs: DataFrame, key: Column, size: Column, kept: DataFrame) -> DataFrame:
+    """One row of docs, that of the greatest `size`, for each key that `kept` has in its only column.
+
+    Each task keeps one row a key before texts move, so a key of any number of rows is one row a task from there on; texts
+    move once, by the key. docs' columns are one struct here, so no name of theirs can clash.
+    """
+    own = docs.select(F.struct("*").alias("row"), key.alias("key"), size.alias("size"))
+    best = own.groupBy("key").agg(F.max_by("row", F.struct("size", F.xxhash64("row"))).alias("row"))
+    return best.join(kept.toDF("key"), "key", "left_semi").select("row.*")
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,15 +36,15 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row that stays of each group of equal texts."""
+    """The row that stays of each group of equal texts; of rows that repeat its id, the longest."""
     found = exact_dedup(docs.select("doc_id", "text")).filter("kept")
     key = lambda digest: F.xxhash64("doc_id", digest)
-    return _one_row_each(docs, key(text_digest("text")), found.select(key(F.col("text_sha256"))))
+    return _one_row_each(docs, key(text_digest("text")), F.coalesce(F.length("text"), F.lit(0)), found.select(key(F.col("text_sha256"))))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each class of texts with a Jaccard similarity of 0.8 or more on five-word shingles."""
-    return _one_row_each(docs, row_id(), jaccard_classes(docs.select("doc_id", "text")).filter("stays").select("rid"))
+    return _one_row_each(docs, row_id(), F.lit(0), jaccard_classes(docs.select("doc_id", "text")).filter("stays").select("rid"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
