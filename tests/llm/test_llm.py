@@ -10,6 +10,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +78,32 @@ def test_secret_spans(spark, empty):
     assert secret_scan(empty, model).count() == 0
 
 
+def test_the_ratio_tells_secrets_from_ordinary_runs(spark):
+    rnd = random.Random(6)
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    of = lambda letters, low, high: "".join(rnd.choice(letters) for _ in range(rnd.randint(low, high)))
+    word = lambda: rnd.choice(WORDS) + rnd.choice(WORDS)
+    secret = [lambda: of(lower + lower.upper() + digits, 20, 40), lambda: of(lower + lower.upper(), 20, 40), lambda: of(digits + "abcdef", 24, 31), lambda: of(digits + "ABCDEF", 40, 40), lambda: of(lower + lower.upper() + digits + "+/", 24, 44)]
+    plain = [
+        lambda: "_".join(word() for _ in range(4)), lambda: "".join(word().title() for _ in range(3)), lambda: of(digits, 16, 24), lambda: f"20{rnd.randint(10, 40)}-10-{rnd.randint(10, 28)}T{of(digits, 6, 6)}",
+        lambda: "/".join(word() for _ in range(3)) + "/" + of(digits + "abcdef", 8, 8), lambda: rnd.choice("-=_/aX0") * rnd.randint(16, 90), lambda: "_".join(word().upper() for _ in range(3)),
+    ]
+    rows = [(i, f"a {make()} b", i < 500) for i, make in enumerate([secret[i % len(secret)] for i in range(500)] + [plain[i % len(plain)] for i in range(700)])]
+    lend = spark.createDataFrame([(i, prose(rnd, 200)) for i in range(40)], "doc_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, random boolean")
+    found = {r["doc_id"]: r["n_markov"] for r in secret_scan(docs, train(labelled_samples(spark, lend))).collect()}
+    assert sum(found[i] == 1 for i in range(500)) >= 495 and sum(found[i] for i in range(500, 1200)) <= 3
+
+
+def test_secret_spans_of_many_matches(spark):
+    text = "x token=abcdefgh1 secret:short " * 3000 + "é" + "0123456789abcdef" * 3
+    want = [(m.start(), m.end()) for m in re.finditer("token=abcdefgh1", text)]
+    model = train(labelled_samples(spark))
+    row = secret_scan(spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string"), model).collect()
+    assert len(row) == 2 and row[0] == row[1] and row[0]["n_assign"] == 3000
+    assert row[0]["spans"] == ",".join([*(f"assign:{a}:{b}" for a, b in want), f"hex:{len(text) - 48}:{len(text)}"])
+
+
 # 2
 
 
@@ -117,8 +144,9 @@ def test_decontamination_finds_every_edited_item(spark, empty):
     rnd = random.Random(3)
     vocabulary = [f"{a}{b}" for a in "ka le mi no pu ra se ti".split() for b in "ban cel dor fin gam".split()] + WORDS
     items = [(i, " ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(5, 50)))) for i in range(30)]
-    bench = spark.createDataFrame([*items, (30, None), (31, ""), (32, "too short")], "item_id long, text string")
-    rows, want = [(900, None), (901, ""), (902, "too short"), (903, prose(rnd, 3000))], {}
+    extra = [(30, None), (31, ""), (32, "!? -"), (33, "quite Short"), (34, "quite, short"), (35, "zeppelin")]
+    bench = spark.createDataFrame([*items, *extra], "item_id long, text string")
+    rows, want = [(900, None), (901, ""), (902, "short quite"), (903, prose(rnd, 3000)), (904, "It was QUITE short."), (905, "a zeppelin"), (905, "a zeppelin")], {}
     for d in range(300):
         item, text = rnd.choice(items)
         words = text.split()
@@ -134,6 +162,11 @@ def test_decontamination_finds_every_edited_item(spark, empty):
         got[r["doc_id"]][r["item_id"]] = r["edits"]
 
     dirty = set(got)
+    assert got[904] == {33: 0, 34: 0} and got[905] == {35: 0}
+    named = decontaminate.benchmark(bench.withColumn("item_id", F.concat(F.lit("i"), "item_id")), block_chars=1000)
+    assert len(named) > 4
+    again = {(r["doc_id"], r["item_id"], r["edits"]) for r in decontaminate.contamination(docs, named).collect()}
+    assert len(again ^ {(d, f"i{i}", e) for d, found in got.items() for i, e in found.items()}) <= 0.02 * len(again)
 
     def edits(item, text):
         """The least edits from item to a stretch of text, word by word."""
@@ -147,7 +180,7 @@ def test_decontamination_finds_every_edited_item(spark, empty):
 
     tokens = lambda t: re.findall(r"[a-z0-9]+", t.lower())
     wanted = found = 0
-    for d, text in rows[:104]:
+    for d, text in rows[:107]:
         for i, item in items:
             least = edits(tokens(item), tokens(text or ""))
             if least <= math.floor(0.2 * len(item.split()) + 1e-9):
@@ -158,10 +191,27 @@ def test_decontamination_finds_every_edited_item(spark, empty):
     assert wanted >= 90 and found >= 0.98 * wanted
     clean = {r["doc_id"] for r in decontaminate.decontaminated(docs, blocks).collect()}
     assert clean == {i for i, _ in rows} - dirty and {900, 901, 902} <= clean
+    assert {r["doc_id"] for r in decontaminate.decontaminated(docs, named).collect()} <= clean | {i for i, _ in rows[7:]}
     assert decontaminate.contamination(empty, blocks).count() == 0
     assert decontaminate.contamination(docs, decontaminate.benchmark(bench.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("n", [3, 5, 12, 40, 120])
+def test_tables_alone_reach_the_target_recall(n):
+    rng = np.random.default_rng(n + 1)
+    items = rng.integers(2, 1 << 63, (200, n)).astype(np.uint64)
+    bench = decontaminate.Benchmark(pa.array(range(200)), np.ones(200, int), list(items))
+    copies = decontaminate.edited(items, n // 5, rng)
+    met = np.zeros(200, bool)
+    others = 0
+    for key, ok in bench._keys(copies, n):
+        k, count = decontaminate._runs(np.searchsorted(bench.keys, key[ok], "left"), np.searchsorted(bench.keys, key[ok], "right"))
+        window = np.repeat(np.flatnonzero(ok), count)
+        met[window[bench.at[k] == window]] = True
+        others += (bench.at[k] != window).sum()
+    assert met.mean() >= 0.95 and others == 0
+
+
 # 4
 
 
