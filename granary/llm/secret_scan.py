@@ -75,7 +75,7 @@ def _spans(rows: Column, rank: int, kind: str, least: int = 0) -> Column:
 
 
 def labelled_samples(spark: SparkSession, docs: DataFrame | None = None, *, text: str = "text", n_random: int = 4000, n_docs: int = 400) -> DataFrame:
-    """(sample, random): strings made from digests, and ordinary ones: identifiers, numbers, dates, paths with short hashes.
+    """(sample, random): strings made from digests, and ordinary ones: identifiers, numbers, dates, paths with short hashes, rulers.
 
     `n_docs` documents' ids, those of least hash, and all rows that have them, lend their words of letters and runs of
     three such words, joined as identifiers are, for names in their languages. Only their ids are read to choose them.
@@ -101,7 +101,8 @@ def labelled_samples(spark: SparkSession, docs: DataFrame | None = None, *, text
         F.concat_ws("_", day, cut(1, 2), cut(3, 2), cut(5, 2)), F.concat(F.translate(day, "-", "/"), F.lit("/"), cut(1, 8)), F.concat(F.lit("/data/part-"), cut(1, 5), F.lit("-of-"), cut(6, 5)),
         F.concat(F.lit("/static/js/main-"), F.substring(digest, 1, 8)), F.concat(F.lit("/cache/"), F.substring(digest, 1, 2), F.lit("/"), F.substring(digest, 3, 7), F.lit("/index")),
     )
-    out = random.unionByName(names).unionByName(numbers)
+    rulers = ordinary(spark.range(1).select(F.explode(F.split(F.lit(ALPHABET), "")).alias("a")).filter("a <> ''"), *(F.repeat(a, F.lit(n)) for n in range(16, 32, 2)))
+    out = random.unionByName(names).unionByName(numbers).unionByName(rulers)
     if docs is not None:
         ids = docs.select(F.xxhash64("doc_id").alias("h"))
         least = ids.distinct().orderBy("h").limit(n_docs).agg(F.max("h")).first()[0]
