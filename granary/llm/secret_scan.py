@@ -125,7 +125,10 @@ def _codes(sample: Column) -> Column:
 
 @dataclass
 class Markov:
-    """log P(next | random) - log P(next | ordinary) by previous code * len(ALPHABET) + next code, code 0 before the first; and the threshold."""
+    """log P(next | random) - log P(next | ordinary) by previous code * len(ALPHABET) + next code; and the threshold.
+
+    Likelihoods are given the first character, which alone tells nothing.
+    """
 
     ratios: list[float]
     threshold: float
@@ -134,7 +137,7 @@ class Markov:
         """Log-likelihood ratio of a string of ALPHABET's characters, in nats."""
         table = F.split(F.lit(",".join(map(repr, self.ratios))), ",").cast("array<double>")
         start = F.struct(F.lit(0).alias("code"), F.lit(0.0).alias("sum"))
-        step = lambda s, c: F.struct(c.alias("code"), (s["sum"] + F.element_at(table, s["code"] * len(ALPHABET) + c)).alias("sum"))
+        step = lambda s, c: F.struct(c.alias("code"), (s["sum"] + F.when(s["code"] > 0, F.element_at(table, s["code"] * len(ALPHABET) + c)).otherwise(0.0)).alias("sum"))
         return F.aggregate(_codes(sample), start, step, lambda s: s["sum"])
 
 
@@ -142,13 +145,13 @@ def train(samples: DataFrame, *, false_positives: float = 0.001, least_threshold
     """Both models from four fifths of the samples; the threshold from the ordinary rest of 16 characters or more.
 
     Of these, at most a share of `false_positives` has a ratio over the threshold, which is `least_threshold` at least.
-    The counts brought to the driver are at most two by (len(ALPHABET) + 1) squared, whatever the samples' number. Half a count is added to each.
+    The counts brought to the driver are at most two by len(ALPHABET) squared, whatever the samples' number. Half a count is added to each.
     """
     samples = written(samples.filter("sample is not null and random is not null"), "samples")
     held_out = F.pmod(F.xxhash64("sample"), F.lit(5)) == 0
     codes = _codes(F.col("sample"))
     steps = F.arrays_zip(F.concat(F.array(F.lit(0)), codes).alias("a"), codes.alias("b"))
-    counted = samples.filter(~held_out).select("random", F.explode(steps).alias("s")).filter("s.b > 0").groupBy("random", "s.a", "s.b").count()
+    counted = samples.filter(~held_out).select("random", F.explode(steps).alias("s")).filter("s.a > 0 and s.b > 0").groupBy("random", "s.a", "s.b").count()
     k = len(ALPHABET)
     counts = {True: [0.5] * (k * (k + 1)), False: [0.5] * (k * (k + 1))}
     for row in counted.collect():
