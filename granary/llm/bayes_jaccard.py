@@ -8,8 +8,9 @@
    number of links of each node and again a spanning forest, never the pairs.
 4. Classes are the components of these forests.
 
-A bucket or cluster larger than a block is cut by hash into parts, and each two parts meet in a task, so no task holds
-more than two parts and no link is lost.
+A bucket or cluster larger than a block, in rows or in bytes of its sets, is cut by hash into parts, and each two parts
+meet in a task, so no task holds more than two parts and no link is lost. n_links is exact, so the n different texts of
+one cluster of near copies are all compared: n squared pairs in blocks, and n / `block` copies of each set in the shuffle.
 """
 
 from __future__ import annotations
@@ -132,9 +133,9 @@ def _pieces(group: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         lo, done = hi, int(total[hi - 1])
 
 
-def _parts(rows: DataFrame, key: Column, node: Column, count: Column, block: int) -> DataFrame:
+def _parts(rows: DataFrame, key: Column, node: Column, parts: Column) -> DataFrame:
     """Each row once for each block that it meets others in: its own part with itself and with every other part of its group."""
-    parts = F.greatest(F.lit(1), F.ceil(count / block)).cast("int")
+    parts = F.greatest(F.lit(1), F.ceil(parts)).cast("int")
     own = F.pmod(F.xxhash64(node, F.lit("part")), parts).cast("int")
     rows = rows.withColumn("parts", parts).withColumn("part", own)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -144,7 +145,7 @@ def _parts(rows: DataFrame, key: Column, node: Column, count: Column, block: int
 _SKETCH = "rid long, doc_id {}, n long, set_a long, set_b long, sketch binary"
 
 
-def jaccard_classes(docs: DataFrame, *, text: str = "text", threshold: float = 0.8, tolerance: float = 1e-6, bands: int = 24, rows: int = 4, step: int = 16, block: int = 512, filter_bits: int = 1 << 24) -> DataFrame:
+def jaccard_classes(docs: DataFrame, *, text: str = "text", threshold: float = 0.8, tolerance: float = 1e-6, bands: int = 24, rows: int = 4, step: int = 16, block: int = 512, block_bytes: int = 16 << 20, filter_bits: int = 1 << 24) -> DataFrame:
     """One row for each document: doc_id, class_id, n_links, n_shingles, stays, rid.
 
     n_links counts the other rows whose shingle sets have a Jaccard similarity of `threshold` or more, copies included;
@@ -173,7 +174,7 @@ def jaccard_classes(docs: DataFrame, *, text: str = "text", threshold: float = 0
     sketched = written(source.mapInArrow(trimmed(sketch), _SKETCH.format(kind)), "sketch")
     keys = ["set_a", "set_b"]
     nodes = sketched.filter("n > 0").groupBy(*keys).agg(
-        F.min("rid").alias("node"), F.count("*").alias("copies"), F.min(F.struct("doc_id", "rid")).alias("least"), F.first("sketch").alias("sketch")
+        F.min("rid").alias("node"), F.count("*").alias("copies"), F.min(F.struct("doc_id", "rid")).alias("least"), F.first("sketch").alias("sketch"), F.first("n").alias("n")
     )
     nodes = written(nodes, "nodes")
 
@@ -182,7 +183,7 @@ def jaccard_classes(docs: DataFrame, *, text: str = "text", threshold: float = 0
     in_band = nodes.select("node", cut.alias("band", "bucket"))
     shared = in_band.groupBy("bucket").agg(F.count("*").alias("count")).filter("count > 1")
     members = in_band.join(shared, "bucket").select("node", "bucket", "count")
-    placed = _parts(members, F.col("bucket"), F.col("node"), F.col("count"), block).select("block", "crossed", "part", "node")
+    placed = _parts(members, F.col("bucket"), F.col("node"), F.col("count") / block).select("block", "crossed", "part", "node")
     placed = placed.join(nodes.select("node", "sketch"), "node").repartition("block").sortWithinPartitions("block")
     fewest = least_matches(threshold, tolerance, size, step)
 
@@ -207,9 +208,9 @@ def jaccard_classes(docs: DataFrame, *, text: str = "text", threshold: float = 0
 
     edges = placed.select("block", "crossed", "part", "node", "sketch").mapInArrow(trimmed(prune), "a long, b long").filter("a <> b")
     clusters = components(edges, "clusters")
-    count = clusters.groupBy("label").agg(F.count("*").alias("count"))
-    clustered = nodes.select("node", *keys, "copies").join(clusters.join(count, "label"), "node")
-    placed = written(_parts(clustered, F.col("label"), F.col("node"), F.col("count"), block).select("node", *keys, "copies", "block", "crossed", "part"), "placed")
+    clustered = nodes.select("node", *keys, "copies", "n").join(clusters, "node")
+    parts = clustered.groupBy("label").agg(F.greatest(F.count("*") / block, 8 * F.sum("n") / block_bytes).alias("wanted"))
+    placed = written(_parts(clustered.join(parts, "label"), F.col("label"), F.col("node"), F.col("wanted")).select("node", *keys, "copies", "block", "crossed", "part"), "placed")
 
     # The sets of the clustered nodes: a filter of fixed size lets through few other texts, which the join then drops.
     wanted = _filter(placed.select("node").distinct(), filter_bits)
