@@ -9,7 +9,7 @@ import re
 import shutil
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from pathlib import Path
 
 import numpy as np
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.operators.corpus import prefix, shards, token_stream
+from granary.operators.corpus import prefix, shard_pieces, token_offsets, token_stream
 
 #: The storage header of every artifact.
 STORAGE = {"dtype": "uint16", "endianness": "little", "layout": "flat_token_stream"}
@@ -38,23 +38,39 @@ def shard_file(number: int) -> str:
 def shard_manifest(stream: DataFrame, size: int, directory: str | None = None) -> DataFrame:
     """shard, file, tokens, bytes, sha256 of each shard; with a directory, the files are written there.
 
+    Pieces come to a task in order and go to digest and file one by one, so a shard of any size takes a batch's memory.
     A task that is tried again writes the same bytes to a name of its own and renames it, so attempts can't mix.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own, out, digest, n = None, None, None, None, 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if at is None:
+                return
+            if out:
+                out.close()
+                os.replace(own, Path(directory, shard_file(at)))
+            columns = [pa.array([at], pa.int64()), pa.array([shard_file(at)]), pa.array([n // 2], pa.int64()), pa.array([n], pa.int64()), pa.array([digest.hexdigest()])]
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "file", "tokens", "bytes", "sha256"])
+
         for batch in batches:
-            rows = []
-            for number, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = uint16_bytes(ids.values.to_numpy())
-                if directory:
-                    own = Path(directory, f".{shard_file(number)}.{uuid.uuid4().hex}")
-                    own.write_bytes(raw)
-                    os.replace(own, Path(directory, shard_file(number)))
-                rows.append((number, shard_file(number), len(raw) // 2, len(raw), hashlib.sha256(raw).hexdigest()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["shard", "file", "tokens", "bytes", "sha256"])
+            for number, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if number != at:
+                    yield from done()
+                    at, digest, n = number, hashlib.sha256(), 0
+                    if directory:
+                        own = Path(directory, f".{shard_file(number)}.{uuid.uuid4().hex}")
+                        out = own.open("wb")
+                piece = raw.as_buffer()
+                digest.update(piece)
+                n += piece.size
+                if out:
+                    out.write(piece)
+        yield from done()
 
-    return shards(stream, size).select("shard", "ids").mapInArrow(write, "shard long, file string, tokens long, bytes long, sha256 string")
+    pieces = shard_pieces(stream, size).repartition("shard").sortWithinPartitions("shard", "from_pos")
+    return pieces.select("shard", "raw").mapInArrow(write, "shard long, file string, tokens long, bytes long, sha256 string")
 
 
 def metadata(manifest: list, size: int, **extras) -> dict:
@@ -80,28 +96,35 @@ def publish(stream: DataFrame, root: str, name: str, size: int, *, overwrite: bo
         shutil.rmtree(temporary)
         raise ValueError("the stream has no tokens")
     (temporary / "metadata.json").write_text(json.dumps(record, indent=2, sort_keys=True) + "\n", encoding="utf-8")
+    old = Path(root, f".{name}.old")  # stands until the new one is in place
     if final.exists():
-        shutil.rmtree(final)
+        shutil.rmtree(old, ignore_errors=True)
+        os.replace(final, old)
     os.replace(temporary, final)
+    shutil.rmtree(old, ignore_errors=True)
     return record
 
 
-def build_artifacts(docs: DataFrame, root: str, targets: dict[str, int], size: int, *, overwrite: bool = False) -> dict[str, dict]:
-    """One artifact for each named target, all prefixes of one stream; fails before it writes any if the stream is shorter than the largest."""
+def build_artifacts(docs: DataFrame, root: str, targets: dict[str, int], size: int, *, overwrite: bool = False, proto: bytes | None = None, **extras) -> dict[str, dict]:
+    """One artifact for each named target, all prefixes of one stream; fails before it writes any if the stream is shorter than the largest.
+
+    proto: a sentencepiece model; without one, an id a byte. What each prefix holds comes from sizes alone.
+    """
     for name in targets:
         if Path(root, name).exists() and not overwrite:
             raise FileExistsError(f"{Path(root, name)} exists")
-    stream = token_stream(docs)
-    total = stream.agg(F.sum("n_tokens")).first()[0] or 0
-    if total < max(targets.values()):
-        raise ValueError(f"the documents have {total} tokens; {max(targets.values())} are wanted")
-    ordered = sorted(targets, key=targets.get)
-    out = {}
-    for i, name in enumerate(ordered):
-        larger = ordered[i + 1] if i + 1 < len(ordered) else None
-        cut = prefix(stream, targets[name])
-        last = cut.agg(F.max(F.col("start_pos") + F.col("n_tokens"))).first()[0]
-        out[name] = publish(cut, root, name, size, overwrite=overwrite, target_token_count=targets[name], ends_at_document_boundary=last == targets[name], is_prefix_of=larger)
+    offsets = token_offsets(docs, proto).cache()
+    try:
+        total = offsets.agg(F.sum("n_tokens")).first()[0] or 0
+        if total < max(targets.values()):
+            raise ValueError(f"the documents have {total} tokens; {max(targets.values())} are wanted")
+        ends = {n: prefix(offsets, t).agg(F.max(F.col("start_pos") + F.col("n_tokens"))).first()[0] for n, t in targets.items()}
+    finally:
+        offsets.unpersist()
+    ordered, out, stream = sorted(targets, key=targets.get), {}, token_stream(docs, proto)
+    for name, larger in zip(ordered, [*ordered[1:], None], strict=True):
+        about = {"target_token_count": targets[name], "ends_at_document_boundary": ends[name] == targets[name], "is_prefix_of": larger}
+        out[name] = publish(prefix(stream, targets[name]), root, name, size, overwrite=overwrite, **about, **extras)
     return out
 
 
@@ -112,48 +135,93 @@ def inventory_faults(declared: DataFrame, found: DataFrame) -> DataFrame:
     return d.join(f, "file", "full_outer").select("file", fault.alias("fault")).filter("fault is not null")
 
 
-def record_faults(record: dict, sizes: dict[str, int]) -> Iterator[str]:
-    """What is wrong with a record, given the names and sizes of the folder's files; nothing where it is sound."""
-    whole = lambda x: type(x) is int
+def _whole(value) -> bool:
+    return type(value) is int
+
+
+def record_checks(record: dict, sizes: dict[str, int]) -> list[tuple[str, bool, str]]:
+    """(check, ok, detail) of a record, given the names and sizes of the folder's files."""
     count, listed = record.get("token_count"), record.get("shards")
-    if not whole(count) or count < 1:
-        yield f"token_count must be a positive integer: {count!r}"
-    if not isinstance(listed, list) or not listed or not all(isinstance(s, dict) for s in listed):
-        yield "no shards are listed"
-        return
-    names = [s.get("file") for s in listed]
-    yield from (f"not a plain file name: {n!r}" for n in names if not isinstance(n, str) or not n or os.path.basename(n) != n)
-    yield from (f"listed {k} times: {n!r}" for n, k in Counter(map(str, names)).items() if k > 1)
-    yield from (f"not a byte count for {s.get('file')!r}: {s.get('bytes')!r}" for s in listed if not whole(s.get("bytes")))
-    declared = {s.get("file"): s.get("bytes") for s in listed}
-    yield from (f"size of {n!r} is {sizes[n]}, declared {size}" for n, size in declared.items() if n in sizes and sizes[n] != size)
-    there = {n for n in sizes if n.startswith("tokens-") and n.endswith(".bin")}
-    if lost := [n for n in declared if n not in sizes]:
-        yield f"shard inventory: missing {lost}"
-    if extra := sorted(there - set(declared)):
-        yield f"shard inventory: not listed {extra}"
-    if whole(count) and (total := sum(b for b in declared.values() if whole(b))) != 2 * count:
-        yield f"{count} tokens need {2 * count} bytes; {total} are listed"
+    shards = [s for s in listed if isinstance(s, dict)] if isinstance(listed, list) else []
+    names = [s.get("file") for s in shards]
+    declared = {s.get("file"): s.get("bytes") for s in shards}
+    plain = lambda n: isinstance(n, str) and n != "" and os.path.basename(n) == n
+    wrong = [f"size of {n!r} is {sizes[n]}, declared {size}" for n, size in declared.items() if n in sizes and sizes[n] != size]
+    lost = [n for n in declared if n not in sizes]
+    extra = sorted({n for n in sizes if n.startswith("tokens-") and n.endswith(".bin")} - set(declared))
+    total = sum(b for b in declared.values() if _whole(b))
+    return [
+        ("token_count", _whole(count) and count > 0, f"token_count must be a positive integer: {count!r}"),
+        ("shards", bool(shards) and len(shards) == len(listed), f"{len(shards)} shards are listed"),
+        ("names", all(map(plain, names)), f"not plain file names: {[n for n in names if not plain(n)]}"),
+        ("unique", len(set(map(str, names))) == len(names), f"listed again: {[n for n, k in Counter(map(str, names)).items() if k > 1]}"),
+        ("byte_counts", all(_whole(b) for b in declared.values()), f"not byte counts: {[b for b in declared.values() if not _whole(b)]}"),
+        ("sizes", not wrong, "; ".join(wrong)),
+        ("inventory", not lost and not extra, f"shard inventory: missing {lost}, not listed {extra}"),
+        ("total", not _whole(count) or total == 2 * count, f"{count} tokens need {2 * count if _whole(count) else None} bytes; {total} are listed"),
+    ]
 
 
-def validate(directory: str, *, check_digests: bool = False, spark: SparkSession | None = None) -> tuple[int, int]:
-    """Tokens and bytes of a sound artifact; else raises with all faults. Digests are checked on the executors, where asked for."""
+def reader_checks(record: dict, sizes: dict[str, int], length: int) -> list[tuple[str, bool, str]]:
+    """(check, ok, detail) of what reading blocks of `length` needs: storage, files of the right size, tokens enough, a sound sample."""
+    storage, shards = record.get("storage") or {}, record.get("shards") or []
+    files = [(s.get("file"), s.get("tokens")) for s in shards]
+    total = sum(n for _, n in files if _whole(n))
+    sample = record.get("fixed_evaluation_sample")
+    blocks = (sample or {}).get("blocks") or []
+    starts = [b.get("start_token") for b in blocks]
+    inside = all(_whole(x) and 0 <= x and x + length < total for x in starts)
+    return [
+        ("storage", {k: storage.get(k) for k in STORAGE} == STORAGE, f"storage must be {STORAGE}, not {storage}"),
+        ("length", length > 0 and bool(shards), "a block length over 0 and a shard are needed"),
+        ("files", all(n in sizes for n, _ in files), f"shards not found: {[n for n, _ in files if n not in sizes]}"),
+        ("sizes", all(sizes.get(n, 2 * (k or 0)) == 2 * (k or 0) for n, k in files), f"shards must have 2 bytes a token: {[(n, sizes.get(n), k) for n, k in files if n in sizes and sizes[n] != 2 * (k or 0)]}"),
+        ("total", total == record.get("token_count"), f"the shards have {total} tokens; the record says {record.get('token_count')}"),
+        ("blocks", total > length, "the artifact is too small for one block"),
+        ("sample_length", sample is None or sample.get("sequence_length") == length, "the evaluation sample has another sequence length"),
+        ("sample_starts", sample is None or bool(starts) and sample.get("block_count") == len(set(starts)) == len(starts) and inside, "the evaluation sample's starts must be new, whole and inside the stream"),
+    ]
+
+
+def opened(directory: str) -> tuple[dict, dict[str, int]]:
+    """An artifact's record, and its folder's files with their sizes."""
     try:
         record = json.loads(Path(directory, "metadata.json").read_text(encoding="utf-8"))
     except json.JSONDecodeError as bad:
         raise ValueError(f"the record in {directory} is not JSON: {bad}") from bad
     with os.scandir(directory) as files:
-        sizes = {f.name: f.stat().st_size for f in files if f.is_file()}
-    if found := list(record_faults(record, sizes)):
+        return record, {f.name: f.stat().st_size for f in files if f.is_file()}
+
+
+def artifact_checks(spark: SparkSession, root: str, names: Sequence[str]) -> DataFrame:
+    """artifact, check, ok, detail (empty where ok) for each wanted artifact under root; one that can't be opened has the check "record" alone."""
+    rows = []
+    for name in names:
+        try:
+            rows += [(name, check, ok, "" if ok else detail) for check, ok, detail in [("record", True, ""), *record_checks(*opened(str(Path(root, name))))]]
+        except (OSError, ValueError) as bad:
+            rows.append((name, "record", False, str(bad)))
+    return spark.createDataFrame(rows, "artifact string, check string, ok boolean, detail string")
+
+
+def validate(directory: str, *, check_digests: bool = False, spark: SparkSession | None = None) -> tuple[int, int]:
+    """Tokens and bytes of a sound artifact; else raises with all faults. Digests are checked on the executors, where asked for."""
+    record, sizes = opened(directory)
+    if found := [detail for _, ok, detail in record_checks(record, sizes) if not ok]:
         raise ValueError(f"{directory}: " + "; ".join(found))
     if check_digests:
-        files = spark.read.format("binaryFile").option("pathGlobFilter", "tokens-*.bin").load(directory)
-        own = {r["file"]: r["sha256"] for r in files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256")).collect()}
+        own = {r["file"]: r["sha256"] for r in file_digests(spark, directory, "tokens-*.bin").collect()}
         if wrong := [s["file"] for s in record["shards"] if own[s["file"]] != s["sha256"]]:
             raise ValueError(f"{directory}: digests differ: {wrong}")
     return record["token_count"], 2 * record["token_count"]
 
 
+def file_digests(spark: SparkSession, directory: str, pattern: str = "*") -> DataFrame:
+    """file, bytes, sha256 of the files of a folder; a file is a row."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(directory)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
 def identity(record: dict) -> str:
     """SHA-256 of what makes an artifact the same data wherever it lies: canonical JSON of storage, tokenizer, counts and shard digests."""
     tokenizer = record.get("tokenizer") or {}
@@ -166,6 +234,33 @@ def identity(record: dict) -> str:
     return hashlib.sha256(json.dumps(own, sort_keys=True).encode()).hexdigest()
 
 
+def identities(shards: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """artifact, identity: as identity(), over (artifact, shard, tokens, sha256) and (artifact, tokenizer_sha256, vocab_size) rows, no sample.
+
+    The JSON is written by column functions; a shard's part is of fixed size, and an artifact has some thousand shards.
+    """
+    part = F.format_string('{"sha256": "%s", "tokens": %d}', "sha256", "tokens")
+    listed = shards.groupBy("artifact").agg(F.array_sort(F.collect_list(F.struct("shard", part.alias("part")))).alias("parts"), F.sum("tokens").alias("count"))
+    storage = json.dumps(STORAGE, sort_keys=True).replace("%", "%%")
+    text = F.format_string(
+        '{"fixed_evaluation_sample": null, "shards": [%s], "storage": ' + storage + ', "token_count": %d, "tokenizer_sha256": "%s", "vocab_size": %d}',
+        F.array_join(F.transform("parts", lambda p: p["part"]), ", "), "count", "tokenizer_sha256", "vocab_size",
+    )
+    return listed.join(artifacts, "artifact").select("artifact", F.sha2(text.cast("binary"), 256).alias("identity"))
+
+
+def compatibility(train: DataFrame, validation: DataFrame, vocab_size: int) -> DataFrame:
+    """artifact, ok, detail for each train artifact (artifact, tokenizer_sha256, vocab_size) against the validation data of its name."""
+    held = validation.select("artifact", F.col("tokenizer_sha256").alias("other_sha"), F.col("vocab_size").alias("other_size"))
+    detail = (
+        F.when(F.col("other_sha").isNull() & F.col("other_size").isNull(), "no validation data")
+        .when(~F.coalesce(F.col("tokenizer_sha256") == F.col("other_sha"), F.lit(False)), "tokenizers differ")
+        .when(~F.coalesce((F.col("vocab_size") == vocab_size) & (F.col("other_size") == vocab_size), F.lit(False)), "vocabulary size differs from the model's")
+        .otherwise("")
+    )
+    return train.join(held, "artifact", "left").select("artifact", (detail == "").alias("ok"), detail.alias("detail"))
+
+
 def compatible(train: dict, validation: dict, vocab_size: int) -> None:
     a, b = train.get("tokenizer") or {}, validation.get("tokenizer") or {}
     if not a.get("sha256") or a.get("sha256") != b.get("sha256"):

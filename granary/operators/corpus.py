@@ -1,15 +1,24 @@
 """From documents to framed tokens, global offsets, prefixes, shards and blocks.
 
-Order is a column: documents are in order of doc_id, tokens of their position. A document's ids stay one array, cut by
-slices; tokens are never exploded to rows.
+Order is a column: documents are in order of doc_id, tokens of their position. A document's ids stay one binary value of
+16-bit ids, cut by slices; tokens are never exploded to rows. Offsets come from sizes alone; ids are shuffled once, to
+the run of the stream that they are part of, where whole blocks are cut; only what lies at a run's ends moves again.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.functions.text import byte_ids, framed, is_blank, strip, word_count
+from granary.functions.text import is_blank, strip, word_count
+from granary.functions.tokenizer import framed_tokens, raw_array, raw_ids, token_measures, with_ids
+
+#: Rows of (order, size) that a run of the stream should have, and the most runs: their cuts and sums go through the driver.
+RUN_ROWS, MOST_RUNS = 1_000_000, 16_384
 
 
 def nonblank(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -23,44 +32,88 @@ def document_counts(docs: DataFrame) -> DataFrame:
 
 def framed_bytes(docs: DataFrame) -> DataFrame:
     """doc_id, ids: stripped text by the byte tokenizer, with a begin and an end id; blank documents go."""
-    return nonblank(docs).select("doc_id", framed(byte_ids(strip(F.col("text")))).alias("ids"))
+    return with_ids(framed_tokens(docs))
+
+
+def run_of(order: Column, cuts: list) -> Column:
+    """How many cuts are less than `order`: a search of every k-th cut, then of the k cuts from there on."""
+    if not cuts:
+        return F.lit(0)
+    k = max(1, int(len(cuts) ** 0.5))
+    less = lambda found: F.size(F.filter(found, lambda c: c < order))
+    coarse = less(F.lit(cuts[::k]))
+    return F.when(coarse == 0, 0).otherwise((coarse - 1) * k + less(F.slice(F.lit(cuts), (coarse - 1) * k + 1, F.lit(k))))
 
 
-def running_total(rows: DataFrame, order: str, value: str, out: str, buckets: int | None = None) -> DataFrame:
-    """Adds `out`, the sum of `value` over all rows before in `order`, without a window over the whole table.
+def _runs(rows: DataFrame, order: str, value: str, runs: int | None) -> tuple[Column, list[int]]:
+    """Each row's run, by quantiles of `order`, and the sum of `value` before each run.
 
-    Rows fall into buckets by quantiles of `order`, by default as many as shuffles have partitions and at most 1024; sums
-    run inside a bucket and start at the sum of the buckets before.
+    There are as many runs as shuffles have partitions, or rows over RUN_ROWS if more, MOST_RUNS at most.
     """
-    buckets = buckets or min(1024, max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    cuts = rows.select(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    bucket = F.size(F.filter(F.lit(cuts), lambda c: c < F.col(order))) if cuts else F.lit(0)
-    rows = rows.withColumn("bucket_", bucket)
-    before = Window.orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("bucket_").agg(F.sum(value).alias("sum_"))
-    starts = starts.select("bucket_", F.coalesce(F.sum("sum_").over(before), F.lit(0)).alias("start_"))
-    inside = Window.partitionBy("bucket_").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("inside_", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return rows.join(F.broadcast(starts), "bucket_").withColumn(out, (F.col("start_") + F.col("inside_")).cast("long")).drop("bucket_", "start_", "inside_")
-
-
-def token_offsets(docs: DataFrame) -> DataFrame:
+    wanted = runs or min(MOST_RUNS, max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // RUN_ROWS)))
+    cuts = rows.select(F.percentile_approx(order, [i / wanted for i in range(1, wanted)], max(10_000, 10 * wanted))).first()[0] if wanted > 1 else []
+    run = run_of(F.col(order), sorted(set(cuts or [])))
+    sums = {r["run"]: r["sum"] for r in rows.groupBy(run.alias("run")).agg(F.sum(value).alias("sum")).collect()}
+    starts, total = [], 0
+    for i in range(max(sums, default=0) + 1):
+        starts.append(total)
+        total += sums.get(i) or 0
+    return run, starts
+
+
+def running_total(rows: DataFrame, order: str, value: str, out: str, runs: int | None = None) -> DataFrame:
+    """Adds `out`, the sum of `value` over all rows before in `order` (then in `value`), without a window over the whole table.
+
+    Sums run inside a run of `order` and start at the sum of the runs before.
+    """
+    run, starts = _runs(rows, order, value, runs)
+    inside = Window.partitionBy("run_").orderBy(order, value).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.element_at(F.lit(starts), F.col("run_") + 1)
+    rows = rows.withColumn("run_", run)
+    return rows.withColumn(out, (start + F.coalesce(F.sum(value).over(inside), F.lit(0))).cast("long")).drop("run_")
+
+
+def token_sizes(docs: DataFrame, proto: bytes | None = None) -> DataFrame:
+    """doc_id, n_tokens (framed) of documents with text."""
+    if proto:
+        return framed_tokens(docs, proto).select("doc_id", (F.octet_length("raw") / 2).cast("long").alias("n_tokens"))
+    return nonblank(docs).select("doc_id", (F.octet_length(strip(F.col("text"))) + 2).cast("long").alias("n_tokens"))
+
+
+def token_offsets(docs: DataFrame, proto: bytes | None = None) -> DataFrame:
     """doc_id, n_tokens (framed), start_pos; sizes alone are ordered, not texts."""
-    sizes = nonblank(docs).select("doc_id", (F.octet_length(strip(F.col("text"))) + 2).cast("long").alias("n_tokens"))
-    return running_total(sizes, "doc_id", "n_tokens", "start_pos")
+    return running_total(token_sizes(docs, proto), "doc_id", "n_tokens", "start_pos")
+
 
+def token_stream(docs: DataFrame, proto: bytes | None = None, runs: int | None = None) -> DataFrame:
+    """doc_id, start_pos, n_tokens, raw; each partition is a run of the stream, in order. Of repeated ids the shorter come first."""
+    run, starts = _runs(token_sizes(docs, proto), "doc_id", "n_tokens", runs)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = framed_tokens(docs, proto).withColumn("run", run.cast("int")).withColumn("n_tokens", (F.octet_length("raw") / 2).cast("long"))
 
-def token_stream(docs: DataFrame) -> DataFrame:
-    """doc_id, start_pos, ids."""
-    return running_total(framed_bytes(docs).withColumn("n_tokens", F.size("ids").cast("long")), "doc_id", "n_tokens", "start_pos")
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, position = -1, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if (own := batch.column(1)[0].as_py()) != at:
+                at, position = own, starts[own]
+            n = batch.column(2).to_numpy()
+            begin = position + np.cumsum(n) - n
+            position += int(n.sum())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(begin), batch.column(2), batch.column(3)], ["doc_id", "start_pos", "n_tokens", "raw"])
+
+    ordered = rows.select("doc_id", "run", "n_tokens", "raw").repartitionById(max(1, len(starts)), F.col("run")).sortWithinPartitions("run", "doc_id", "n_tokens", "raw")
+    return ordered.mapInArrow(place, f"doc_id {kind}, start_pos long, n_tokens long, raw binary")
 
 
 def prefix(stream: DataFrame, target: int) -> DataFrame:
     """The first `target` tokens: documents that start before the target, the last one cut."""
     take = F.least(F.col("n_tokens"), F.lit(target) - F.col("start_pos"))
     rows = stream.filter(F.col("start_pos") < target).withColumn("take", take.cast("long"))
-    return rows.withColumn("ids", F.slice("ids", F.lit(1), F.col("take").cast("int"))) if "ids" in stream.columns else rows
+    if "raw" not in stream.columns:
+        return rows
+    return rows.withColumn("raw", F.substring("raw", F.lit(1), (2 * F.col("take")).cast("int"))).withColumn("n_tokens", F.col("take")).drop("take")
 
 
 def prefix_report(docs: DataFrame, target: int) -> DataFrame:
@@ -73,56 +126,125 @@ def prefix_report(docs: DataFrame, target: int) -> DataFrame:
     return last.crossJoin(seen).select(F.lit(target).cast("long").alias("target"), "token_count", "documents_seen", "nonempty_documents_seen", (F.col("end") == target).alias("ends_at_document_boundary"), whole.alias("complete"))
 
 
-def pieces(stream: DataFrame, first: Column, last: Column, name: str, begin: Column, length: Column) -> DataFrame:
-    """Each document cut to the spans, numbered first to last, that it reaches into: name, from_pos, ids."""
-    rows = stream.withColumn(name, F.explode(F.sequence(first, last)))
-    lo = F.greatest(F.col("start_pos"), begin)
-    hi = F.least(F.col("start_pos") + F.size("ids"), begin + length)
-    rows = rows.filter(hi > lo)
-    return rows.select(name, lo.alias("from_pos"), F.slice("ids", (lo - F.col("start_pos") + 1).cast("int"), (hi - lo).cast("int")).alias("ids"))
+def _slice(raw: str, first: Column, count: Column) -> Column:
+    return F.substring(raw, (2 * first + 1).cast("int"), (2 * count).cast("int"))
 
 
 def joined(rows: DataFrame, *keys: str) -> DataFrame:
-    """The pieces of each key in order of position, as one array; a key's pieces are of fixed size altogether."""
-    return rows.groupBy(*keys).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("from_pos", "ids"))), lambda p: p["ids"])).alias("ids"))
+    """The pieces (from_pos, raw) of each key in order of position, as one value; a key's pieces are of fixed size altogether."""
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("from_pos", "raw"))), lambda p: p["raw"])
+    return rows.groupBy(*keys).agg(whole.alias("parts")).select(*keys, F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x)).alias("raw"))
+
+
+def _cut(length: int):
+    """From a stream in order: whole blocks, and the pieces of blocks that lie at the ends of a run without gaps."""
+
+    def out(number: list[int], at: list[int], pieces: list[np.ndarray], whole: bool) -> pa.RecordBatch:
+        begin = np.concatenate([[0], np.cumsum([len(x) for x in pieces])])
+        columns = [pa.array(number, pa.int64()), pa.array(at, pa.int64()), raw_array(np.concatenate(pieces), begin), pa.array([whole] * len(number))]
+        return pa.RecordBatch.from_arrays(columns, ["block_id", "from_pos", "raw", "whole"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at, fresh = np.zeros(0, np.uint16), 0, True  # ids from `at` on; fresh: the block that ends at or after `at` is not written
+
+        def cut(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, at, fresh
+            end = at + len(held)
+            first = -(-at // length)
+            if fresh and len(held):
+                if not last and end < first * length + 1:
+                    return
+                if first:
+                    yield out([first - 1], [at], [held[: first * length + 1 - at]], False)
+                fresh = False
+            many = max(0, (end - 1 - first * length) // length) if end > first * length else 0
+            if many:
+                begin = first * length - at
+                rows = np.lib.stride_tricks.sliding_window_view(held[begin : begin + many * length + 1], length + 1)[::length]
+                number = list(range(first, first + many))
+                yield out(number, [b * length for b in number], list(rows), True)
+            rest = min((first + many) * length, end)
+            if last and rest < end:
+                yield out([first + many], [rest], [held[rest - at :]], False)
+            held, at = held[rest - at :], rest
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            start, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            ids, begin = raw_ids(batch.column(2))
+            breaks = np.flatnonzero(start[1:] != start[:-1] + n[:-1]) + 1
+            for lo, hi in zip([0, *breaks], [*breaks, len(n)], strict=True):
+                if start[lo] != at + len(held) or not len(held) and not fresh and start[lo] != at:
+                    yield from cut(True)
+                    held, at, fresh = np.zeros(0, np.uint16), int(start[lo]), True
+                held = np.concatenate([held, ids[begin[lo] : begin[hi]]])
+                yield from cut(False)
+        yield from cut(True)
+
+    return run
 
 
 def blocks(stream: DataFrame, length: int) -> DataFrame:
-    """block_id, ids (length + 1 of them): neighbouring blocks share a token; an incomplete last block goes."""
-    at = F.col("start_pos")
-    first = F.greatest(F.lit(0), F.ceil(at / length).cast("long") - 1)
-    last = F.floor((at + F.size("ids") - 1) / length).cast("long")
-    found = pieces(stream, first, last, "block_id", F.col("block_id") * length, F.lit(length + 1))
-    return joined(found, "block_id").filter(F.size("ids") == length + 1)
+    """block_id, raw (length + 1 ids): neighbouring blocks share a token; an incomplete last block goes."""
+    found = stream.select("start_pos", "n_tokens", "raw").mapInArrow(_cut(length), "block_id long, from_pos long, raw binary, whole boolean")
+    edges = joined(found.filter(~F.col("whole")), "block_id").filter(F.octet_length("raw") == 2 * (length + 1))
+    return found.filter("whole").select("block_id", "raw").unionByName(edges)
 
 
 def block_targets(block_rows: DataFrame, length: int) -> DataFrame:
-    return block_rows.select("block_id", F.slice("ids", 1, length).alias("inputs"), F.slice("ids", 2, length).alias("targets"))
+    """block_id, inputs, targets as 16-bit ids."""
+    return block_rows.select("block_id", F.substring("raw", F.lit(1), F.lit(2 * length)).alias("inputs"), F.substring("raw", F.lit(3), F.lit(2 * length)).alias("targets"))
 
 
-def shards(stream: DataFrame, size: int) -> DataFrame:
-    """shard, ids: fixed runs of the stream; documents are cut where a shard ends."""
+def shard_pieces(stream: DataFrame, size: int) -> DataFrame:
+    """shard, from_pos, raw: documents, cut where a shard ends. No shard is ever put together in memory."""
     at = F.col("start_pos")
-    found = pieces(stream, F.floor(at / size).cast("long"), F.floor((at + F.size("ids") - 1) / size).cast("long"), "shard", F.col("shard") * size, F.lit(size))
-    return joined(found, "shard")
+    rows = stream.withColumn("shard", F.explode(F.sequence(F.floor(at / size).cast("long"), F.floor((at + F.col("n_tokens") - 1) / size).cast("long"))))
+    lo, hi = F.greatest(at, F.col("shard") * size), F.least(at + F.col("n_tokens"), (F.col("shard") + 1) * size)
+    return rows.select("shard", lo.alias("from_pos"), _slice("raw", lo - at, hi - lo).alias("raw"))
+
+
+def shard_ends(shards: DataFrame) -> DataFrame:
+    """Adds first_pos and end_pos to (shard, tokens): where each of an artifact's some thousand shards lies in the stream."""
+    end = F.sum("tokens").over(Window.orderBy("shard")).cast("long")
+    return shards.withColumn("end_pos", end).withColumn("first_pos", F.col("end_pos") - F.col("tokens"))
+
+
+def located(positions: DataFrame, shards: DataFrame, position: str = "start_pos") -> DataFrame:
+    """positions with shard and offset_in_shard, for shards of any sizes; positions past the last shard have null in both.
 
+    The shards' record, some thousand rows, is broadcast as one sorted array, in which each task searches.
+    """
+    ends = [r["end_pos"] for r in shard_ends(shards).select("shard", "end_pos").orderBy("shard").collect()]
+    names = [r["shard"] for r in shards.select("shard").orderBy("shard").collect()]
+    at = run_of(F.col(position) + 1, ends)
+    inside = F.col(position) < (ends[-1] if ends else 0)
+    begin = F.element_at(F.lit([0, *ends]), at + 1)
+    return positions.withColumn("shard", F.when(inside, F.get(F.lit(names or [None]), at))).withColumn("offset_in_shard", F.when(inside, F.col(position) - begin))
+
+
+def evaluation_blocks(docs: DataFrame, starts: DataFrame, length: int, proto: bytes | None = None) -> DataFrame:
+    """start_token, raw of the length + 1 tokens from each start; starts may overlap. doc_id names a document.
 
-def evaluation_blocks(stream: DataFrame, starts: DataFrame, length: int) -> DataFrame:
-    """start_token, ids of the length + 1 tokens from each start; starts may overlap. `starts` is a fixed sample and is broadcast."""
-    ends = F.col("start_pos") + F.size("ids")
-    found = stream.join(F.broadcast(starts), (F.col("start_token") < ends) & (F.col("start_token") + length >= F.col("start_pos")))
+    `starts` is a fixed sample and is broadcast, as are the documents that it reaches into, at most length + 1 of each
+    start; only these are tokenized.
+    """
+    ends = F.col("start_pos") + F.col("n_tokens")
+    reached = token_offsets(docs, proto).join(F.broadcast(starts), (F.col("start_token") < ends) & (F.col("start_token") + length >= F.col("start_pos")))
+    wanted = docs.select("doc_id", "text").join(F.broadcast(reached.select("doc_id").distinct()), "doc_id", "left_semi")
+    found = framed_tokens(wanted, proto).join(F.broadcast(reached), "doc_id")
     lo, hi = F.greatest("start_pos", "start_token"), F.least(ends, F.col("start_token") + length + 1)
-    found = found.select("start_token", lo.alias("from_pos"), F.slice("ids", (lo - F.col("start_pos") + 1).cast("int"), (hi - lo).cast("int")).alias("ids"))
-    return joined(found, "start_token").filter(F.size("ids") == length + 1)
+    found = found.select("start_token", lo.alias("from_pos"), _slice("raw", lo - F.col("start_pos"), hi - lo).alias("raw"))
+    return joined(found, "start_token").filter(F.octet_length("raw") == 2 * (length + 1))
 
 
-def corpus_stats(docs: DataFrame) -> DataFrame:
-    """Totals over unstripped texts, blank ones too: documents, characters, words and byte tokens."""
+def corpus_stats(docs: DataFrame, proto: bytes | None = None) -> DataFrame:
+    """Totals over unstripped texts, blank ones too: documents, characters, words and tokens, a byte each without a sentencepiece model."""
     text = F.coalesce("text", F.lit(""))
-    return docs.agg(
-        F.count("*").alias("docs"), F.coalesce(F.sum(F.length(text)), F.lit(0)).cast("long").alias("chars"), F.coalesce(F.sum(word_count(text)), F.lit(0)).cast("long").alias("words"),
-        F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).cast("long").alias("tokens"),
-    )
+    rows = token_measures(docs, proto) if proto else docs.select(F.length(text).alias("n_chars"), word_count(text).alias("n_words"), F.octet_length(text).alias("n_tokens"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return rows.agg(F.count("*").alias("docs"), total("n_chars").alias("chars"), total("n_words").alias("words"), total("n_tokens").alias("tokens"))
 
 
 def token_ratios(stats: DataFrame) -> DataFrame:
@@ -136,10 +258,15 @@ def extrapolated(stats: DataFrame, splits: list[tuple[str, int, int]]) -> DataFr
     return rows.crossJoin(F.broadcast(token_ratios(stats))).select("split", "docs", "words", F.bround(F.col("words") * F.col("tokens_per_word")).cast("long").alias("tokens"))
 
 
-def byte_budget_sample(docs: DataFrame, budget: int) -> DataFrame:
-    """doc_id, n_bytes of the documents that begin before `budget` bytes of stripped text; the one that crosses it is whole."""
+def byte_budget_sample(docs: DataFrame, budget: int, *, with_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, before of the documents that begin before `budget` bytes of stripped text; the one that crosses it is whole.
+
+    with_text adds the stripped text, which is what a tokenizer would be trained on. Texts are joined to the sample by id,
+    after it is cut; ids name documents.
+    """
     sizes = nonblank(docs).select("doc_id", F.octet_length(strip(F.col("text"))).cast("long").alias("n_bytes"))
-    return running_total(sizes, "doc_id", "n_bytes", "before").filter(F.col("before") < budget).select("doc_id", "n_bytes", "before")
+    sample = running_total(sizes, "doc_id", "n_bytes", "before").filter(F.col("before") < budget).select("doc_id", "n_bytes", "before")
+    return sample.join(nonblank(docs).select("doc_id", strip(F.col("text")).alias("text")), "doc_id") if with_text else sample
 
 
 def first_documents(docs: DataFrame, n: int) -> DataFrame:

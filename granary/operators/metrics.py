@@ -5,10 +5,17 @@ A run is one partition of a window, as its steps are an ordered series; runs are
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from granary.functions.text import python_capitalize
+from granary.sources import config
 
 #: Substrings of parameter names, in order, and the group of each.
 GRADIENT_GROUPS = (
@@ -137,11 +144,24 @@ def group_norms(gradients: DataFrame) -> DataFrame:
     return gradients.select(F.explode(both).alias("group"), "value").groupBy("group").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"), F.count("*").alias("n"))
 
 
+@F.pandas_udf(StringType())
+def canonical_config(text: pd.Series) -> pd.Series:
+    """A configuration's canonical JSON, whichever form it is written in; what is no TOML stays as it is."""
+
+    def one(value):
+        try:
+            return json.dumps(config.parse(value or ""), sort_keys=True, default=str)
+        except ValueError:
+            return value
+
+    return text.map(one)
+
+
 def new_registry_rows(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows of new whose (model_path, config) is not there yet, each once; white space in a config doesn't count."""
-    key = F.regexp_replace(F.coalesce("config", F.lit("")), r"\s+", "")
-    rows = new.withColumn("key_", key).dropDuplicates(["model_path", "key_"])
-    return rows.join(existing.select("model_path", key.alias("key_")).distinct(), ["model_path", "key_"], "left_anti").select(*new.columns)
+    """Rows of new whose (model_path, configuration) is not there yet, each once; a configuration is the same in any form and order."""
+    key = canonical_config(F.coalesce("config", F.lit("")))
+    rows = new.select(F.struct("*").alias("row"), "model_path", key.alias("key")).dropDuplicates(["model_path", "key"])
+    return rows.join(existing.select("model_path", key.alias("key")).distinct(), ["model_path", "key"], "left_anti").select("row.*")
 
 
 def format_loss(value: float) -> str:
@@ -149,12 +169,11 @@ def format_loss(value: float) -> str:
 
 
 def retained(files: DataFrame, keep_last: int, just_written: str | None = None) -> DataFrame:
-    """path, keep of managed checkpoint files (path, mtime_ns): the one just written, and the latest others by time, then name."""
+    """path, mtime_ns, keep of managed checkpoint files (path, mtime_ns): in each folder the latest by time, then name; one just written first."""
     managed = files.filter(F.element_at(F.split("path", "/"), -1).rlike(r"^step_[0-9]+\.pt$"))
     own = F.col("path") == F.lit(just_written) if just_written else F.lit(False)
-    rank = F.row_number().over(Window.partitionBy(own).orderBy(F.desc("mtime_ns"), F.desc("path")))
-    room = keep_last - (1 if just_written else 0)
-    return managed.select("path", "mtime_ns", (own | (rank <= room)).alias("keep"))
+    rank = F.row_number().over(Window.partitionBy(F.regexp_replace("path", "[^/]*$", "")).orderBy(F.desc(own), F.desc("mtime_ns"), F.desc("path")))
+    return managed.select("path", "mtime_ns", (rank <= keep_last).alias("keep"))
 
 
 def selected_results(registry: DataFrame, names: list[str]) -> DataFrame:
@@ -170,3 +189,138 @@ def selected_results(registry: DataFrame, names: list[str]) -> DataFrame:
 def variant_millions(name: Column) -> Column:
     """The size that a variant's suffix names: _1b is 1000, _300m is 300."""
     return F.when(name.endswith("1b"), 1000).otherwise(F.regexp_extract(name, r"_(\d+)m$", 1).try_cast("int"))
+
+
+# What a training step logs.
+
+#: The tags of a run's metric log; those that end in a slash begin a family.
+TAGS = (
+    "train/loss", "train/objective", "train/z_loss", "train/z_loss_contribution", "train/gradient_norm", "train/clip_fraction", "train/gradient_clipped", "train/tokens_seen", "train/learning_rate",
+    "train/norm_learning_rate", "train/muon_learning_rate", "train/tokens_per_second", "validation/loss", "diagnostics/parameter_norm", "diagnostics/parameter_rms", "diagnostics/embedding_norm",
+    "runtime/cuda_peak_allocated_bytes", "model/parameter_count", "learning_rates/", "gradient_groups/",
+)
+
+
+def known_tag(tag: Column) -> Column:
+    families = [t for t in TAGS if t.endswith("/")]
+    named = tag.isin([t for t in TAGS if not t.endswith("/")])
+    return F.coalesce(named | F.exists(F.lit(families), lambda f: tag.startswith(f) & (F.length(tag) > F.length(f))), F.lit(False))
+
+
+def step_losses(micro: DataFrame, accumulation: int) -> DataFrame:
+    """run, step, loss, batches over (run, micro_batch from 0, loss): the plain mean of each group of `accumulation`; an incomplete last group goes."""
+    rows = micro.groupBy("run", (F.floor(F.col("micro_batch") / accumulation) + 1).alias("step")).agg(F.avg("loss").alias("loss"), F.count("*").alias("batches"))
+    return rows.filter(F.col("batches") == accumulation)
+
+
+def parameter_norms(parameters: DataFrame, *by: str) -> DataFrame:
+    """norm, rms and numel over (name, value) rows, in all or by the columns named."""
+    return parameters.groupBy(*by).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"), F.sqrt(F.sum(F.col("value") * F.col("value")) / F.count("value")).alias("rms"), F.count("value").alias("numel"))
+
+
+def parameter_totals(parameters: DataFrame) -> DataFrame:
+    """total and trainable over (name, numel, trainable)."""
+    return parameters.agg(F.coalesce(F.sum("numel"), F.lit(0)).alias("total"), F.coalesce(F.sum(F.when(F.col("trainable"), F.col("numel"))), F.lit(0)).alias("trainable"))
+
+
+def partition_check(parameters: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row: parameters, assigned, ungrouped, repeated, unexpected and ok: whether each name of `parameters` is in exactly one row of (name, group)."""
+    seen = groups.groupBy("name").agg(F.count("*").alias("times"))
+    rows = parameters.select("name", F.lit(True).alias("own")).distinct().join(seen, "name", "full_outer")
+    out = rows.agg(
+        F.count_if("own").alias("parameters"), F.count("times").alias("assigned"), F.count_if(F.col("times").isNull()).alias("ungrouped"),
+        F.count_if(F.col("times") > 1).alias("repeated"), F.count_if(F.col("own").isNull()).alias("unexpected"),
+    )
+    return out.withColumn("ok", (F.col("ungrouped") == 0) & (F.col("repeated") == 0) & (F.col("unexpected") == 0))
+
+
+def optimizer_names(parameters: DataFrame, groups: DataFrame) -> DataFrame:
+    """optimizer, group, names in the group's order: (parameter_id, name) joined to (optimizer, group, position, parameter_id); a parameter's least name counts."""
+    named = parameters.groupBy("parameter_id").agg(F.min("name").alias("name"))
+    rows = groups.join(named, "parameter_id").groupBy("optimizer", "group")
+    return rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "name"))), lambda x: x["name"]).alias("names"))
+
+
+def group_rates(multiplier: Column, rate: float, norm: float, muon: float) -> dict[str, Column]:
+    """The rate of each kind of parameter group at a step."""
+    return {"rate": multiplier * rate, "norm_rate": multiplier * rate * norm, "muon_rate": multiplier * rate * muon}
+
+
+def key_faults(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """part, name, fault (missing or unexpected) over (part, name) of two states; none where they have the same keys."""
+    mark = lambda df, fault: df.select("part", "name").distinct().withColumn("fault", F.lit(fault))
+    return mark(expected, "missing").join(found, ["part", "name"], "left_anti").unionByName(mark(found, "unexpected").join(expected, ["part", "name"], "left_anti"))
+
+
+#: The sections that a resumed run must share, and the one old setting that does not count.
+SIGNED, UNSIGNED = ("model", "optimizer", "training", "evaluation"), ("optimizer.schedule.total_steps",)
+
+
+def signatures(settings: DataFrame, known: Sequence[str]) -> DataFrame:
+    """run, n, signature over (run, path, value): the digest of the known settings that a resumed run must share, in order of their path."""
+    signed = [p for p in known if p.split(".")[0] in SIGNED and p not in UNSIGNED]
+    line = F.concat_ws("=", "path", "value")
+    return settings.filter(F.col("path").isin(signed)).groupBy("run").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n").cast("binary"), 256).alias("signature"))
+
+
+def distinct_check(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """group, n, n_distinct, ok: whether no value of a group comes twice."""
+    out = rows.groupBy(group).agg(F.count(value).alias("n"), F.count_distinct(value).alias("n_distinct"))
+    return out.withColumn("ok", F.col("n") == F.col("n_distinct"))
+
+
+def start_faults(starts: DataFrame, samples: DataFrame, total: int, length: int) -> DataFrame:
+    """sample, fault (null where sound) of evaluation samples (sample, sequence_length, block_count) and their (sample, start_token) rows."""
+    own = starts.groupBy("sample").agg(F.count("*").alias("n"), F.count_distinct("start_token").alias("n_distinct"), F.min("start_token").alias("low"), F.max("start_token").alias("high"))
+    fault = (
+        F.when(F.col("sequence_length") != length, "length")
+        .when(F.col("n").isNull(), "empty")
+        .when(F.col("n") != F.col("block_count"), "count")
+        .when(F.col("n") != F.col("n_distinct"), "repeated")
+        .when((F.col("low") < 0) | (F.col("high") + length >= total), "outside")
+    )
+    return samples.join(own, "sample", "left").select("sample", fault.alias("fault"))
+
+
+def name_checks(name: Column) -> dict[str, Column]:
+    """safe: a run's name that may be a file's; plain: a file name without a folder."""
+    plain = (F.length(name) > 0) & ~name.contains("/") & ~name.isin(".", "..")
+    return {"safe": F.coalesce(name.rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]*\z"), F.lit(False)), "plain": F.coalesce(plain, F.lit(False))}
+
+
+# Reports.
+
+
+def run_label(name: Column, prefix: str = "35m_", cut: str = "_muon_") -> Column:
+    """A run's name without its prefix, up to `cut`, in words, with a capital."""
+    rest = F.when(name.startswith(prefix), F.substring(name, len(prefix) + 1, 1 << 30)).otherwise(name)
+    return python_capitalize(F.replace(F.substring_index(rest, cut, 1), F.lit("_"), F.lit(" ")))
+
+
+def run_order(runs: DataFrame) -> DataFrame:
+    """Adds mix, millions and place: the runs' order by size, then by name, inside a mix (the variant up to its first underscore)."""
+    rows = runs.withColumn("mix", F.substring_index("variant", "_", 1)).withColumn("millions", variant_millions(F.col("variant")))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("mix").orderBy("millions", "variant", "run")))
+
+
+def plotted_series(log: DataFrame, tags: Sequence[str]) -> DataFrame:
+    """label, tag, step, value of the tags that a figure shows: what a plot would be drawn from."""
+    return log.filter(F.col("tag").isin(list(tags))).select(run_label(F.col("run")).alias("label"), "tag", "step", "value")
+
+
+def as_json(rows: DataFrame) -> DataFrame:
+    """json: each row as one JSON object, null fields left out; `write.text` makes the dump."""
+    return rows.select(F.to_json(F.struct("*")).alias("json"))
+
+
+def reduced(rows: DataFrame, loss: Callable[[pd.DataFrame], float], *by: str) -> DataFrame:
+    """by, loss: a caller's function of each group's rows; a group must fit a task, and anything but one number is an error."""
+    fields = [(f.name, f.dataType.simpleString()) for f in rows.schema.fields if f.name in by]
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        value = loss(group)
+        if np.ndim(value) or isinstance(value, str | bool) or not np.isreal(value):
+            raise ValueError(f"a loss is one number, not {value!r}")
+        return pd.DataFrame({**{name: group[name].iloc[:1].to_numpy() for name, _ in fields}, "loss": [float(value)]})
+
+    return rows.groupBy(*by).applyInPandas(one, ", ".join(f"`{n}` {k}" for n, k in [*fields, ("loss", "double")]))

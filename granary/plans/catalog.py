@@ -6,15 +6,18 @@ stands in for logits, label for the target. Figures with fractions are rounded o
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.functions import numeric
 from granary.functions.text import byte_ids, python_capitalize, strip, word_count
-from granary.functions.tokenizer import draw, encoded
+from granary.functions.tokenizer import draw, encoded, framed_tokens, raw_ids, with_ids
 from granary.operators import artifacts, batches, corpus, metrics, progress
+from granary.sources import settings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -56,6 +59,26 @@ def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*(F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
 
 
+_DECIMAL = [str(i) for i in range(1 << 16)]
+
+
+def _digests(rows: DataFrame, *columns: str) -> DataFrame:
+    """Each named column of 16-bit ids as the MD5 of its ids in decimal, joined by commas."""
+    fields = [(c, "string" if c in columns else kind) for c, kind in rows.dtypes]
+    names = [c for c, _ in fields]
+
+    def digest(raw: pa.Array) -> pa.Array:
+        ids, at = raw_ids(raw)
+        shown, at = list(map(_DECIMAL.__getitem__, ids.tolist())), at.tolist()
+        return pa.array([hashlib.md5(",".join(shown[lo:hi]).encode()).hexdigest() for lo, hi in zip(at[:-1], at[1:], strict=True)], pa.string())
+
+    def run(found):
+        for batch in found:
+            yield pa.RecordBatch.from_arrays([digest(x) if c in columns else x for c, x in zip(names, batch.columns, strict=True)], names)
+
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {kind}" for c, kind in fields))
+
+
 _TRIM = "trim(text, chr(32) || chr(9) || chr(10) || chr(13))"
 _N = f"""d AS (SELECT doc_id, {_TRIM} AS t FROM documents WHERE length({_TRIM}) > 0),
 n AS (SELECT doc_id, t, (strlen(t) + 2)::BIGINT AS n_tokens, coalesce(sum(strlen(t) + 2) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_pos FROM d)"""
@@ -116,7 +139,8 @@ def document_limit_stats(spark, sf_dir):
 
 @query(f"WITH {_TOKENS} SELECT doc_id, count(*) AS n_tokens, md5(string_agg(tok::VARCHAR, ',' ORDER BY pos)) AS digest FROM f GROUP BY doc_id")
 def framed_byte_tokens(spark, sf_dir):
-    return corpus.framed_bytes(_docs(spark, sf_dir)).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.md5(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary")).alias("digest"))
+    rows = framed_tokens(_docs(spark, sf_dir))
+    return _digests(rows.select("doc_id", (F.octet_length("raw") / 2).cast("long").alias("n_tokens"), F.col("raw").alias("digest")), "digest")
 
 
 @query(f"WITH {_N} SELECT doc_id, n_tokens, start_pos FROM n")
@@ -139,26 +163,23 @@ for _name, _target in PREFIXES.items():
 
 @query(f"WITH {_N}, t AS (SELECT sum(n_tokens)::BIGINT AS total FROM n), k AS (SELECT unnest(range((total + {SHARD - 1}) // {SHARD})) AS shard, total FROM t) SELECT shard, printf('tokens-%05d.bin', shard) AS file, least({SHARD}, total - shard * {SHARD}) AS tokens, 2 * least({SHARD}, total - shard * {SHARD}) AS bytes FROM k")
 def shard_manifest(spark, sf_dir):
-    """The digests are of the files' bytes; a test holds them against a plain writer."""
     return artifacts.shard_manifest(corpus.token_stream(_docs(spark, sf_dir)), SHARD).select("shard", "file", "tokens", "bytes")
 
 
-@query()
+@query(f"WITH {_TOKENS}, k AS (SELECT pos // {SHARD} AS shard, count(*) AS tokens, sha256(unhex(string_agg(printf('%02X%02X', tok & 255, tok >> 8), '' ORDER BY pos))) AS sha256 FROM f GROUP BY 1) SELECT shard, printf('tokens-%05d.bin', shard) AS file, tokens, 2 * tokens AS bytes, sha256 FROM k")
 def shard_digests(spark, sf_dir):
     return artifacts.shard_manifest(corpus.token_stream(_docs(spark, sf_dir)), SHARD)
 
 
 @query(f"WITH {_BLOCKS} SELECT block_id, len(ids) AS n, ids[1] AS first_token, ids[-1] AS last_token, list_sum(ids)::BIGINT AS total FROM b")
 def token_blocks(spark, sf_dir):
-    found = corpus.blocks(corpus.token_stream(_docs(spark, sf_dir)), LENGTH)
+    found = with_ids(corpus.blocks(corpus.token_stream(_docs(spark, sf_dir)), LENGTH))
     return found.select("block_id", F.size("ids").cast("long").alias("n"), F.element_at("ids", 1).alias("first_token"), F.element_at("ids", -1).alias("last_token"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
 @query(f"WITH {_BLOCKS} SELECT block_id, md5(array_to_string(ids[1:{LENGTH}], ',')) AS inputs, md5(array_to_string(ids[2:{LENGTH + 1}], ',')) AS targets FROM b")
 def block_targets(spark, sf_dir):
-    found = corpus.block_targets(corpus.blocks(corpus.token_stream(_docs(spark, sf_dir)), LENGTH), LENGTH)
-    digest = lambda c: F.md5(F.array_join(F.col(c).cast("array<string>"), ",").cast("binary")).alias(c)
-    return found.select("block_id", digest("inputs"), digest("targets"))
+    return _digests(corpus.block_targets(corpus.blocks(corpus.token_stream(_docs(spark, sf_dir)), LENGTH), LENGTH), "inputs", "targets")
 
 
 _STARTS = [0, 1_011, 25_000, 25_500, 100_050]
@@ -167,8 +188,8 @@ _STARTS = [0, 1_011, 25_000, 25_500, 100_050]
 @query(f"WITH {_TOKENS}, st(start_token) AS (VALUES {', '.join(f'({s})' for s in _STARTS)}) SELECT start_token::BIGINT AS start_token, count(*) AS n, md5(string_agg(tok::VARCHAR, ',' ORDER BY pos)) AS digest FROM f JOIN st ON pos BETWEEN start_token AND start_token + {LENGTH} GROUP BY start_token HAVING count(*) = {LENGTH + 1}")
 def fixed_eval_blocks(spark, sf_dir):
     starts = spark.createDataFrame([(s,) for s in _STARTS], "start_token long")
-    found = corpus.evaluation_blocks(corpus.token_stream(_docs(spark, sf_dir)), starts, LENGTH)
-    return found.select("start_token", F.size("ids").cast("long").alias("n"), F.md5(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary")).alias("digest"))
+    found = corpus.evaluation_blocks(_docs(spark, sf_dir), starts, LENGTH)
+    return _digests(found.select("start_token", (F.octet_length("raw") / 2).cast("long").alias("n"), F.col("raw").alias("digest")), "digest")
 
 
 @query(f"WITH {_N} SELECT doc_id, start_pos, start_pos // {SHARD} AS shard, start_pos % {SHARD} AS offset_in_shard FROM n")
@@ -183,12 +204,16 @@ def artifact_totals(spark, sf_dir):
     return t.select("tokens", (F.col("tokens") * 2).alias("bytes"), (F.ceil(F.col("tokens") / SHARD) + 1).alias("files"), "documents", F.round(F.col("tokens") * 2 / 1073741824, 6).alias("gib"))
 
 
-@query("WITH d AS (SELECT 'f' || (doc_id % 50) AS file, sum(n_chars)::BIGINT AS bytes FROM documents WHERE doc_id % 7 <> 3 GROUP BY 1), a AS (SELECT 'f' || (doc_id % 50) AS file, sum(n_chars)::BIGINT AS bytes FROM documents WHERE doc_id % 50 < 47 GROUP BY 1) SELECT coalesce(d.file, a.file) AS file, CASE WHEN a.file IS NULL THEN 'missing' WHEN d.file IS NULL THEN 'extra' ELSE 'size' END AS fault FROM d FULL JOIN a ON d.file = a.file WHERE a.file IS NULL OR d.file IS NULL OR a.bytes <> d.bytes")
+@query("""WITH d AS (SELECT 'f' || (doc_id % 50) AS file, sum(n_chars)::BIGINT AS bytes FROM documents GROUP BY 1),
+a AS (SELECT CASE WHEN doc_id % 50 IN (7, 30) THEN 'other' || (doc_id % 50) ELSE 'f' || (doc_id % 50) END AS file, (sum(n_chars) + max(CASE WHEN doc_id % 50 IN (11, 12) THEN 1 ELSE 0 END))::BIGINT AS bytes FROM documents GROUP BY 1)
+SELECT coalesce(d.file, a.file) AS file, CASE WHEN a.file IS NULL THEN 'missing' WHEN d.file IS NULL THEN 'extra' ELSE 'size' END AS fault FROM d FULL JOIN a ON d.file = a.file WHERE a.file IS NULL OR d.file IS NULL OR a.bytes <> d.bytes""")
 def artifact_inventory_check(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars")
-    file = F.concat(F.lit("f"), (F.col("doc_id") % 50).cast("string")).alias("file")
-    side = lambda rows: rows.groupBy(file).agg(F.sum("n_chars").alias("bytes"))
-    return artifacts.inventory_faults(side(docs.filter("doc_id % 7 <> 3")), side(docs.filter("doc_id % 50 < 47")))
+    """All documents on both sides; two files are found under other names, and two are found a byte too long."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select((F.col("doc_id") % 50).alias("k"), "n_chars")
+    named = lambda prefix: F.concat(F.lit(prefix), F.col("k").cast("string"))
+    declared = docs.groupBy(named("f").alias("file")).agg(F.sum("n_chars").alias("bytes"))
+    found = docs.groupBy(F.when(F.col("k").isin(7, 30), named("other")).otherwise(named("f")).alias("file")).agg((F.sum("n_chars") + F.max(F.col("k").isin(11, 12).cast("long"))).alias("bytes"))
+    return artifacts.inventory_faults(declared, found)
 
 
 # Epochs and batches.
@@ -248,16 +273,24 @@ def rolling_median_residual(spark, sf_dir):
     return _rounded(metrics.rolling_median(_series(spark, sf_dir)).select("run", "step", "median", "residual"))
 
 
-@query(f"""WITH {_PADDED}, c AS (SELECT *, CASE WHEN count(*) OVER w = 20 THEN avg(residual) OVER w END AS ahead FROM k WINDOW w AS (PARTITION BY run ORDER BY step ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING)),
-i AS (SELECT run, value - lag(value) OVER (PARTITION BY run ORDER BY step) AS change FROM s), j AS (SELECT run, max(change) AS largest_increase, count(*) FILTER (WHERE change > 0) AS increases FROM i GROUP BY run)
-SELECT c.run, count(*) AS steps, round(quantile_cont(value, 0.5) FILTER (WHERE step > 50), 6) AS median_grad, round(quantile_cont(value, 0.99) FILTER (WHERE step > 50), 6) AS p99_grad, round(max(value) FILTER (WHERE step > 50), 6) AS max_grad,
-count(*) FILTER (WHERE step > 50 AND value > 90) AS clipped_steps, round(100 * count(*) FILTER (WHERE step > 50 AND value > 90) / count(*) FILTER (WHERE step > 50), 6) AS clipped_percent,
+@query(f"""WITH {_PADDED.replace("s AS (SELECT", "s0 AS (SELECT", 1)
+    .replace("FROM events)", "FROM events), s AS (SELECT run, step, value * 0.7 + step % 13 AS value FROM s0)", 1)},
+a AS (SELECT *, CASE WHEN count(*) OVER w = 20 THEN avg(residual) OVER w END AS ahead FROM k WINDOW w AS (PARTITION BY run ORDER BY step ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING)),
+g AS (SELECT run, CASE WHEN step % 97 = 0 THEN -step ELSE step END AS step, value AS grad FROM s0),
+c AS (SELECT coalesce(g.run, a.run) AS run, coalesce(g.step, a.step) AS step, grad, residual, ahead FROM g FULL JOIN a ON g.run = a.run AND g.step = a.step),
+i AS (SELECT run, value + step % 7 - lag(value + step % 7) OVER (PARTITION BY run ORDER BY step) AS change FROM s0), j AS (SELECT run, max(change) AS largest_increase, count(*) FILTER (WHERE change > 0) AS increases FROM i GROUP BY run)
+SELECT c.run, count(grad) AS steps, round(quantile_cont(grad, 0.5) FILTER (WHERE step > 50), 6) AS median_grad, round(quantile_cont(grad, 0.99) FILTER (WHERE step > 50), 6) AS p99_grad, round(max(grad) FILTER (WHERE step > 50), 6) AS max_grad,
+count(*) FILTER (WHERE step > 50 AND grad > 90) AS clipped_steps, round(100 * count(*) FILTER (WHERE step > 50 AND grad > 90) / count(*) FILTER (WHERE step > 50), 6) AS clipped_percent,
 round(quantile_cont(residual, 0.95) FILTER (WHERE step > 50), 6) AS loss_residual_p95, round(quantile_cont(residual, 0.99) FILTER (WHERE step > 50), 6) AS loss_residual_p99,
-round(quantile_cont(residual, 0.5) FILTER (WHERE step > 50 AND value > 90), 6) AS loss_residual_at_clipped_median, round(avg(ahead) FILTER (WHERE step > 50 AND value > 90), 6) AS next_loss_residual_mean,
-0::BIGINT AS unaligned, round(any_value(largest_increase), 6) AS largest_increase, any_value(increases) AS increases FROM c JOIN j ON c.run = j.run GROUP BY c.run""")
+round(quantile_cont(residual, 0.5) FILTER (WHERE step > 50 AND grad > 90), 6) AS loss_residual_at_clipped_median, round(avg(ahead) FILTER (WHERE step > 50 AND grad > 90), 6) AS next_loss_residual_mean,
+count(*) FILTER (WHERE grad IS NULL OR residual IS NULL) AS unaligned, round(any_value(largest_increase), 6) AS largest_increase, any_value(increases) AS increases FROM c JOIN j ON c.run = j.run GROUP BY c.run""")
 def spike_summary(spark, sf_dir):
-    series = _series(spark, sf_dir)
-    return _rounded(metrics.spike_summary(series, series, series, after_step=50, limit=90.0))
+    """Three series: gradient norms, of which each 97th has a wrong step; losses; validation losses."""
+    grad = _series(spark, sf_dir)
+    loss = grad.withColumn("value", F.col("value") * 0.7 + F.col("step") % 13)
+    validation = grad.withColumn("value", F.col("value") + F.col("step") % 7)
+    grad = grad.withColumn("step", F.when(F.col("step") % 97 == 0, -F.col("step")).otherwise(F.col("step")))
+    return _rounded(metrics.spike_summary(grad, loss, validation, after_step=50, limit=90.0))
 
 
 @query(f"WITH {_S}, i AS (SELECT run, value - lag(value) OVER (PARTITION BY run ORDER BY step) AS change FROM s) SELECT run, round(max(change), 6) AS largest_increase, count(*) FILTER (WHERE change > 0) AS increases FROM i GROUP BY run")
@@ -303,19 +336,12 @@ def _step_log(series):
     return series.select("run", "step", (F.col("step") * 16).alias("tokens_seen"), (1 + F.col("step") % 3).cast("double").alias("seconds"))
 
 
-@query(f"""WITH RECURSIVE {_S}, z AS (SELECT run, max(step) AS last FROM s GROUP BY run), log AS (SELECT s.run, step, (step * 16)::BIGINT AS seen, (1 + step % 3)::DOUBLE AS seconds, last FROM s JOIN z ON s.run = z.run WHERE step <= 40),
-g AS (SELECT run, 0::BIGINT AS step, 0::BIGINT AS since, FALSE AS closed FROM z UNION ALL
-SELECT log.run, log.step, CASE WHEN log.step - CASE WHEN g.closed THEN g.step ELSE g.since END >= 3 OR log.step % 6 = 0 OR log.step = least(last, 40) OR (log.step % 4 = 0 AND log.step < least(last, 40)) THEN CASE WHEN g.closed THEN g.step ELSE g.since END ELSE CASE WHEN g.closed THEN g.step ELSE g.since END END,
-log.step - CASE WHEN g.closed THEN g.step ELSE g.since END >= 3 OR log.step % 6 = 0 OR log.step = least(last, 40) OR (log.step % 4 = 0 AND log.step < least(last, 40)) FROM g JOIN log ON log.run = g.run AND log.step = g.step + 1)
-SELECT g.run, g.step, (g.step - g.since) * 16 AS tokens, (SELECT sum(seconds) FROM log l WHERE l.run = g.run AND l.step > g.since AND l.step <= g.step) AS seconds,
-round((g.step - g.since) * 16 / (SELECT sum(seconds) FROM log l WHERE l.run = g.run AND l.step > g.since AND l.step <= g.step), 6) AS tokens_per_second FROM g WHERE closed""")
+@query(f"""WITH RECURSIVE {_S}, z AS (SELECT run, max(step) AS last FROM s GROUP BY run), t AS (SELECT run, step, sum((1 + step % 3)::DOUBLE) OVER (PARTITION BY run ORDER BY step) AS spent FROM s),
+g AS (SELECT run, last, 0::BIGINT AS since, least(3, CASE WHEN 4 < last THEN 4 ELSE last END, last) AS step FROM z
+UNION ALL SELECT run, last, step, least(step + 3, (step // 6 + 1) * 6, CASE WHEN (step // 4 + 1) * 4 < last THEN (step // 4 + 1) * 4 ELSE last END, last) FROM g WHERE step < last)
+SELECT g.run, g.step, (g.step - g.since) * 16 AS tokens, b.spent - coalesce(a.spent, 0) AS seconds, round((g.step - g.since) * 16 / (b.spent - coalesce(a.spent, 0)), 6) AS tokens_per_second
+FROM g JOIN t b ON b.run = g.run AND b.step = g.step LEFT JOIN t a ON a.run = g.run AND a.step = g.since""")
 def throughput_windows(spark, sf_dir):
-    return _rounded(metrics.throughput_windows(_step_log(_series(spark, sf_dir).filter("step <= 40")), *_THROUGHPUT))
-
-
-@query()
-def throughput_windows_whole(spark, sf_dir):
-    """All steps of each run; throughput_windows gives the first 40, as its recursive SQL does."""
     return _rounded(metrics.throughput_windows(_step_log(_series(spark, sf_dir)), *_THROUGHPUT))
 
 
@@ -337,13 +363,17 @@ def parameter_partition(spark, sf_dir):
     return rows.withColumn("optimizer_group", metrics.optimizer_group(F.col("name"), F.col("dims"), muon=True))
 
 
-@query("WITH n AS (SELECT DISTINCT 'run' || (user_id % 40) AS model_path, event_type AS config FROM events), e AS (SELECT DISTINCT 'run' || (user_id % 40) AS model_path, event_type AS config FROM events WHERE event_id % 90 < 3) SELECT n.model_path, n.config FROM n WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.model_path = n.model_path AND e.config = n.config)")
+@query("""WITH n AS (SELECT DISTINCT 'run' || (user_id % 40) AS model_path, event_type FROM events), e AS (SELECT DISTINCT 'run' || (user_id % 40 + 7) AS model_path, event_type FROM events)
+SELECT n.model_path, 'config = {name = "' || n.event_type || '", training = {epochs = 3}}' AS config FROM n WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.model_path = n.model_path AND e.event_type = n.event_type)""")
 def registry_append_dedup(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.concat(F.lit("run"), (F.col("user_id") % 40).cast("string")).alias("model_path"), F.col("event_type").alias("config"))
-    return metrics.new_registry_rows(rows.filter("event_id % 90 < 3"), rows.select("model_path", "config"))
+    """The registry has its configurations on several lines, the new rows on one."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type").distinct()
+    path = lambda n: F.concat(F.lit("run"), (F.col("user_id") % 40 + n).cast("string")).alias("model_path")
+    there = rows.select(path(7), F.format_string('name = "%s"\n\n[training]\nepochs = 3\n', "event_type").alias("config"))
+    return metrics.new_registry_rows(there, rows.select(path(0), F.format_string('config = {name = "%s", training = {epochs = 3}}', "event_type").alias("config")))
 
 
-@query("WITH f AS (SELECT 'r' || (user_id % 5) || '/' || CASE WHEN event_id % 3 = 0 THEN 'notes.txt' ELSE printf('step_%08d.pt', event_id) END AS path, (event_id * 7919 % 100003)::BIGINT AS mtime_ns FROM events), m AS (SELECT * FROM f WHERE contains(path, 'step_')) SELECT path, mtime_ns, row_number() OVER (ORDER BY mtime_ns DESC, path DESC) <= 25 AS keep FROM m")
+@query("WITH f AS (SELECT 'r' || (user_id % 5) || '/' || CASE WHEN event_id % 3 = 0 THEN 'notes.txt' ELSE printf('step_%08d.pt', event_id) END AS path, (event_id * 7919 % 100003)::BIGINT AS mtime_ns FROM events), m AS (SELECT * FROM f WHERE contains(path, 'step_')) SELECT path, mtime_ns, row_number() OVER (PARTITION BY split_part(path, '/', 1) ORDER BY mtime_ns DESC, path DESC) <= 25 AS keep FROM m")
 def checkpoint_retention(spark, sf_dir):
     name = F.when(F.col("event_id") % 3 == 0, F.lit("notes.txt")).otherwise(F.format_string("step_%08d.pt", F.col("event_id")))
     files = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.concat(F.lit("r"), (F.col("user_id") % 5).cast("string"), F.lit("/"), name).alias("path"), (F.col("event_id") * 7919 % 100003).cast("long").alias("mtime_ns"))
@@ -381,16 +411,185 @@ def log_grid(spark, sf_dir):
     return grid.join(counts, "mix", "left").select("mix", "size", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n").isNotNull(), "log").otherwise("No log supplied").alias("state"))
 
 
+# What a step logs, states and records. events stands in: parameter names from event ids, runs from event types.
+
+
+@query(f"WITH {_S} SELECT run, (step - 1) // 4 + 1 AS step, round(avg(value), 6) AS loss, count(*) AS batches FROM s GROUP BY 1, 2 HAVING count(*) = 4")
+def step_losses(spark, sf_dir):
+    rows = _series(spark, sf_dir).select("run", (F.col("step") - 1).alias("micro_batch"), F.col("value").alias("loss"))
+    return _rounded(metrics.step_losses(rows, 4))
+
+
+@query(f"WITH p AS (SELECT {_PARAMETERS} AS name, value FROM events) SELECT name, round(sqrt(sum(value * value)), 4) AS norm, round(sqrt(sum(value * value) / count(*)), 6) AS rms, count(*) AS numel FROM p GROUP BY name UNION ALL SELECT '', round(sqrt(sum(value * value)), 4), round(sqrt(sum(value * value) / count(*)), 6), count(*) FROM p")
+def parameter_norms(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.expr(_PARAMETERS).alias("name"), "value")
+    found = metrics.parameter_norms(rows, "name").unionByName(metrics.parameter_norms(rows).withColumn("name", F.lit("")))
+    return found.select("name", F.round("norm", 4).alias("norm"), F.round("rms", 6).alias("rms"), "numel")
+
+
+@query(f"WITH p AS (SELECT {_PARAMETERS} AS name, count(*) AS numel FROM events GROUP BY 1) SELECT sum(numel)::BIGINT AS total, (sum(numel) FILTER (WHERE name <> 'head.bias'))::BIGINT AS trainable FROM p")
+def parameter_totals(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.expr(_PARAMETERS).alias("name")).agg(F.count("*").alias("numel"))
+    return metrics.parameter_totals(rows.withColumn("trainable", F.col("name") != "head.bias"))
+
+
+@query("WITH p AS (SELECT DISTINCT user_id AS u FROM events), g AS (SELECT 'p' || u AS name, 'decay' AS grp FROM p WHERE u % 3 < 2 UNION ALL SELECT 'p' || u, 'norm' FROM p WHERE u % 3 > 0 UNION ALL SELECT 'q' || u, 'norm' FROM p WHERE u % 3 = 0), c AS (SELECT name, count(*) AS n FROM g GROUP BY name), r AS (SELECT 'p' || u AS own, n, c.name FROM p FULL JOIN c ON c.name = 'p' || u) SELECT count(own) AS parameters, count(n) AS assigned, count(*) FILTER (WHERE n IS NULL) AS ungrouped, count(*) FILTER (WHERE n > 1) AS repeated, count(*) FILTER (WHERE own IS NULL) AS unexpected, count(*) FILTER (WHERE n IS NULL OR n > 1 OR own IS NULL) = 0 AS ok FROM r")
+def parameter_partition_check(spark, sf_dir):
+    """Each user is a parameter; by its number it is in one group, in two, or in one beside a stranger."""
+    users = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("u")).distinct()
+    named = lambda prefix, group: F.struct(F.concat(F.lit(prefix), F.col("u").cast("string")).alias("name"), F.lit(group).alias("group"))
+    both = F.when(F.col("u") % 3 == 0, F.array(named("p", "decay"), named("q", "norm"))).when(F.col("u") % 3 == 1, F.array(named("p", "decay"), named("p", "norm"))).otherwise(F.array(named("p", "norm")))
+    return metrics.partition_check(users.select(named("p", "")["name"].alias("name")), users.select(F.explode(both).alias("g")).select("g.*"))
+
+
+@query("WITH p AS (SELECT user_id AS id, min(event_type || '.' || user_id) AS name FROM events GROUP BY 1) SELECT 'opt' || id % 2 AS optimizer, id % 5 AS \"group\", array_to_string(list(name ORDER BY id), ',') AS names FROM p GROUP BY ALL")
+def optimizer_parameter_names(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("parameter_id"), F.concat_ws(".", "event_type", F.col("user_id").cast("string")).alias("name")).distinct()
+    groups = rows.select("parameter_id").distinct().select(F.concat(F.lit("opt"), (F.col("parameter_id") % 2).cast("string")).alias("optimizer"), (F.col("parameter_id") % 5).alias("group"), F.col("parameter_id").alias("position"), "parameter_id")
+    return metrics.optimizer_names(rows, groups).select("optimizer", "group", F.array_join("names", ",").alias("names"))
+
+
+@query("WITH a AS (SELECT DISTINCT event_type AS part, user_id % 50 AS k FROM events), b AS (SELECT DISTINCT event_type AS part, user_id % 50 + 3 AS k FROM events) SELECT part, 'w' || k AS name, 'missing' AS fault FROM a ANTI JOIN b USING (part, k) UNION ALL SELECT part, 'w' || k, 'unexpected' FROM b ANTI JOIN a USING (part, k)")
+def state_key_faults(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("part"), (F.col("user_id") % 50).alias("k")).distinct()
+    keys = lambda n: rows.select("part", F.concat(F.lit("w"), (F.col("k") + n).cast("string")).alias("name"))
+    return metrics.key_faults(keys(0), keys(3))
+
+
+_PATHS = ("model.embed_dim", "optimizer.lr", "optimizer.schedule.total_steps", "training.epochs", "evaluation.steps", "logging.level", "model.unheard_of")
+
+
+@query(f"WITH p(i, path) AS (VALUES {', '.join(f"({i}, '{p}')" for i, p in enumerate(_PATHS))}), r AS (SELECT DISTINCT user_id AS run FROM events), l AS (SELECT run, path || '=' || (run * (i + 1) % 3) AS line FROM r, p WHERE path IN ('model.embed_dim', 'optimizer.lr', 'training.epochs', 'evaluation.steps')) SELECT run, count(*) AS n, sha256(string_agg(line, chr(10) ORDER BY line)) AS signature FROM l GROUP BY run")
+def training_signatures(spark, sf_dir):
+    runs = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("run")).distinct()
+    rows = runs.select("run", F.posexplode(F.lit(list(_PATHS))).alias("i", "path"))
+    return metrics.signatures(rows.select("run", "path", (F.col("run") * (F.col("i") + 1) % 3).cast("string").alias("value")), list(settings.SETTINGS))
+
+
+@query("WITH s AS (SELECT source, lang, sum(n_chars)::BIGINT AS tokens FROM documents GROUP BY 1, 2), n AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY lang) AS shard, tokens, sha256(lang) AS sha FROM s), j AS (SELECT source, string_agg('{\"sha256\": \"' || sha || '\", \"tokens\": ' || tokens || '}', ', ' ORDER BY shard) AS parts, sum(tokens)::BIGINT AS total FROM n GROUP BY 1) SELECT source AS artifact, sha256('{\"fixed_evaluation_sample\": null, \"shards\": [' || parts || '], \"storage\": {\"dtype\": \"uint16\", \"endianness\": \"little\", \"layout\": \"flat_token_stream\"}, \"token_count\": ' || total || ', \"tokenizer_sha256\": \"' || sha256(source) || '\", \"vocab_size\": 16384}') AS identity FROM j")
+def dataset_identities(spark, sf_dir):
+    """Each source is an artifact, its languages are its shards."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy(F.col("source").alias("artifact"), "lang").agg(F.sum("n_chars").alias("tokens"))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    shards = rows.select("artifact", F.col("lang").alias("shard"), "tokens", digest("lang").alias("sha256"))
+    return artifacts.identities(shards, rows.select("artifact").distinct().select("artifact", digest("artifact").alias("tokenizer_sha256"), F.lit(16384).alias("vocab_size")))
+
+
+@query("WITH s AS (SELECT source, count(*) AS n FROM documents GROUP BY 1) SELECT source AS artifact, n % 3 = 0 AND n % 4 <> 1 AS ok, CASE WHEN n % 3 <> 0 THEN 'tokenizers differ' WHEN n % 4 = 1 THEN 'vocabulary size differs from the model''s' ELSE '' END AS detail FROM s")
+def tokenizer_compatibility(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy(F.col("source").alias("artifact")).agg(F.count("*").alias("n"))
+    train = rows.select("artifact", F.lit("0").alias("tokenizer_sha256"), F.lit(16384).alias("vocab_size"))
+    held = rows.select("artifact", (F.col("n") % 3).cast("string").alias("tokenizer_sha256"), F.when(F.col("n") % 4 == 1, 8192).otherwise(16384).alias("vocab_size"))
+    return artifacts.compatibility(train, held, 16384)
+
+
+_SHARDS_OF = f"{_N}, w AS (SELECT source, sum(n_tokens)::BIGINT AS tokens FROM n JOIN documents USING (doc_id) GROUP BY source), e AS (SELECT source AS shard, tokens, (sum(tokens) OVER (ORDER BY source))::BIGINT AS end_pos FROM w)"
+
+
+@query(f"WITH {_SHARDS_OF} SELECT shard, tokens, end_pos - tokens AS first_pos, end_pos FROM e")
+def shard_ends(spark, sf_dir):
+    return corpus.shard_ends(_source_shards(spark, sf_dir))
+
+
+def _source_shards(spark, sf_dir):
+    """Shards of uneven sizes: a source's tokens each."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return corpus.token_sizes(docs).join(docs.select("doc_id", F.col("source").alias("shard")), "doc_id").groupBy("shard").agg(F.sum("n_tokens").alias("tokens"))
+
+
+@query(f"WITH {_SHARDS_OF} SELECT doc_id, start_pos, shard, start_pos - (end_pos - tokens) AS offset_in_shard FROM n JOIN e ON start_pos >= end_pos - tokens AND start_pos < end_pos")
+def position_to_uneven_shard(spark, sf_dir):
+    return corpus.located(corpus.token_offsets(_docs(spark, sf_dir)), _source_shards(spark, sf_dir)).select("doc_id", "start_pos", "shard", "offset_in_shard")
+
+
+@query("SELECT source AS sample, count(n_chars) AS n, count(DISTINCT n_chars) AS n_distinct, count(n_chars) = count(DISTINCT n_chars) AS ok FROM documents GROUP BY 1")
+def distinct_starts(spark, sf_dir):
+    return metrics.distinct_check(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("sample"), "n_chars"), "sample", "n_chars")
+
+
+@query("WITH s AS (SELECT source || '/' || lang AS sample, count(*) AS n, count(DISTINCT n_chars) AS u, min(n_chars) AS lo, max(n_chars) AS hi FROM documents GROUP BY 1) SELECT sample, CASE WHEN length(sample) % 5 = 0 THEN 'length' WHEN n % 7 = 0 THEN 'count' WHEN n <> u THEN 'repeated' WHEN hi + 64 >= 20000 THEN 'outside' END AS fault FROM s")
+def evaluation_start_faults(spark, sf_dir):
+    """Each source and language is a sample, a document's length a start."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat_ws("/", "source", "lang").alias("sample"), F.col("n_chars").alias("start_token"))
+    samples = rows.groupBy("sample").agg((F.count("*") + F.when(F.count("*") % 7 == 0, 1).otherwise(0)).alias("block_count"))
+    samples = samples.withColumn("sequence_length", F.when(F.length("sample") % 5 == 0, 32).otherwise(64))
+    return metrics.start_faults(rows, samples, 20_000, 64)
+
+
+_ODD_NAMES = "CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN 'run-' || page_id || '.v1' WHEN 2 THEN '_run' || page_id WHEN 3 THEN '..' WHEN 4 THEN '' ELSE 'run ' || page_id END"
+
+
+@query(f"WITH n AS (SELECT page_id, {_ODD_NAMES} AS name FROM pages) SELECT page_id, regexp_full_match(name, '[A-Za-z0-9][A-Za-z0-9._-]*') AS safe, name <> '' AND NOT contains(name, '/') AND name NOT IN ('.', '..') AS plain FROM n")
+def name_checks(spark, sf_dir):
+    name = F.expr(_ODD_NAMES)
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", *(c.alias(k) for k, c in metrics.name_checks(name).items()))
+
+
+_RUN_NAMES = "CASE WHEN event_id % 3 = 0 THEN '35m_' ELSE '' END || event_type || '_mix_' || CASE event_id % 4 WHEN 0 THEN '100m' WHEN 1 THEN '300m' ELSE '1b' END || CASE WHEN event_id % 5 = 0 THEN '_muon_lr_2' ELSE '' END"
+
+
+@query(f"WITH n AS (SELECT DISTINCT {_RUN_NAMES} AS run FROM events), c AS (SELECT run, replace(split_part(CASE WHEN starts_with(run, '35m_') THEN run[5:] ELSE run END, '_muon_', 1), '_', ' ') AS t FROM n) SELECT run, upper(t[1]) || lower(t[2:]) AS label FROM c")
+def run_name_labels(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.expr(_RUN_NAMES).alias("run")).distinct().select("run", metrics.run_label(F.col("run")).alias("label"))
+
+
+_VARIANTS = "event_type || '_' || CASE user_id % 4 WHEN 0 THEN '100m' WHEN 1 THEN '300m' WHEN 2 THEN '42m' ELSE '1b' END"
+
+
+@query(f"WITH v AS (SELECT DISTINCT 'run' || user_id % 8 AS run, {_VARIANTS} AS variant FROM events), m AS (SELECT *, split_part(variant, '_', 1) AS mix, CASE WHEN ends_with(variant, '1b') THEN 1000 ELSE regexp_extract(variant, '_(\\d+)m$', 1)::INT END AS millions FROM v) SELECT *, row_number() OVER (PARTITION BY mix ORDER BY millions, variant, run) AS place FROM m")
+def runs_by_size(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.concat(F.lit("run"), (F.col("user_id") % 8).cast("string")).alias("run"), F.expr(_VARIANTS).alias("variant")).distinct()
+    return metrics.run_order(rows)
+
+
+_TAGGED = "CASE event_id % 5 WHEN 0 THEN 'train/loss' WHEN 1 THEN 'validation/loss' WHEN 2 THEN 'gradient_groups/norms' WHEN 3 THEN 'gradient_groups/' ELSE 'train/other' END"
+
+
+@query(f"SELECT {_TAGGED} AS tag, {_TAGGED} IN ('train/loss', 'validation/loss', 'gradient_groups/norms') AS known, count(*) AS n FROM events GROUP BY ALL")
+def metric_tags(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.expr(_TAGGED).alias("tag"))
+    return rows.groupBy("tag", metrics.known_tag(F.col("tag")).alias("known")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH n AS (SELECT {_RUN_NAMES} AS run, {_TAGGED} AS tag, event_id AS step, value FROM events), c AS (SELECT *, replace(split_part(CASE WHEN starts_with(run, '35m_') THEN run[5:] ELSE run END, '_muon_', 1), '_', ' ') AS t FROM n WHERE tag IN ('train/loss', 'validation/loss')) SELECT upper(t[1]) || lower(t[2:]) AS label, tag, step, value FROM c")
+def plotted_series(spark, sf_dir):
+    """The filter is the feature: a figure shows two tags."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.expr(_RUN_NAMES).alias("run"), F.expr(_TAGGED).alias("tag"), F.col("event_id").alias("step"), "value")
+    return metrics.plotted_series(rows, ["train/loss", "validation/loss"])
+
+
+@query("SELECT '{\"run\":\"' || event_type || '\",\"steps\":' || count(*) || ',\"users\":' || count(DISTINCT user_id) || '}' AS json FROM events GROUP BY event_type")
+def results_json(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.col("event_type").alias("run")).agg(F.count("*").alias("steps"), F.count_distinct("user_id").alias("users"))
+    return metrics.as_json(rows.withColumn("error", F.lit(None).cast("string")))
+
+
+@query(f"WITH {_S} SELECT run, round(sum(value * step) / sum(step), 6) AS loss FROM s GROUP BY run")
+def caller_loss(spark, sf_dir):
+    """A caller's own loss, over whole runs."""
+    return _rounded(metrics.reduced(_series(spark, sf_dir), lambda rows: (rows["value"] * rows["step"]).sum() / rows["step"].sum(), "run"))
+
+
+@query(f"WITH e AS (SELECT doc_id, ['', chr(8195), chr(160), chr(28) || chr(32), chr(133) || chr(12288)][doc_id % 5 + 1] AS pad, {_TRIM} AS t FROM documents) SELECT doc_id, length(pad || t || pad) AS padded, length(t) AS n_chars, sha256(t) AS digest FROM e")
+def unicode_strip(spark, sf_dir):
+    """Texts between white space of five kinds, four of them not ASCII's usual."""
+    pads = F.lit(["", "\u2003", "\u00a0", "\x1c ", "\x85\u3000"])
+    rows = _docs(spark, sf_dir).select("doc_id", F.get(pads, (F.col("doc_id") % 5).cast("int")).alias("pad"), F.trim(F.col("text"), F.lit(" \t\n\r")).alias("t"))
+    rows = rows.select("doc_id", F.concat("pad", "t", "pad").alias("text")).select("doc_id", F.length("text").alias("padded"), strip(F.col("text")).alias("t"))
+    return rows.select("doc_id", F.col("padded").cast("long").alias("padded"), F.length("t").cast("long").alias("n_chars"), F.sha2(F.col("t").cast("binary"), 256).alias("digest"))
+
+
 # Schedules, losses and array kernels.
 
 _STEPS, _WARM = 2_000, 100
 _REST = _STEPS - _WARM
 
 
-@query(f"SELECT range AS step, round(CASE WHEN range < {_WARM} THEN (range + 1) / {_WARM} ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(1, (range - {_WARM}) / {_REST - 1}))) END, 9) AS multiplier, round(0.0024 * 0.25 * CASE WHEN range < {_WARM} THEN (range + 1) / {_WARM} ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(1, (range - {_WARM}) / {_REST - 1}))) END, 9) AS norm_rate FROM range({_STEPS})")
+@query(f"SELECT range AS step, round(CASE WHEN range < {_WARM} THEN (range + 1) / {_WARM} ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(1, (range - {_WARM}) / {_REST - 1}))) END, 9) AS multiplier, round(0.0024 * 0.25 * CASE WHEN range < {_WARM} THEN (range + 1) / {_WARM} ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(1, (range - {_WARM}) / {_REST - 1}))) END, 9) AS norm_rate, round(0.0024 * 0.4 * CASE WHEN range < {_WARM} THEN (range + 1) / {_WARM} ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(1, (range - {_WARM}) / {_REST - 1}))) END, 9) AS muon_rate FROM range({_STEPS})")
 def lr_schedule_cosine(spark, sf_dir):
     m = numeric.lr_multiplier(F.col("step"), _STEPS, _WARM, "cosine", 0.1)
-    return spark.range(_STEPS).withColumnRenamed("id", "step").select("step", F.round(m, 9).alias("multiplier"), F.round(0.0024 * 0.25 * m, 9).alias("norm_rate"))
+    rates = metrics.group_rates(m, 0.0024, 0.25, 0.4)
+    return spark.range(_STEPS).withColumnRenamed("id", "step").select("step", F.round(m, 9).alias("multiplier"), *(F.round(rates[k], 9).alias(k) for k in ("norm_rate", "muon_rate")))
 
 
 @query(f"SELECT range AS step, round(CASE WHEN range < {_WARM} THEN (range + 1) / {_WARM} WHEN range < {_STEPS - _REST // 2} THEN 1 ELSE 1 - 0.9 * (range - {_STEPS - _REST // 2}) / {_REST // 2 - 1} END, 9) AS multiplier FROM range({_STEPS})")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import numeric
 from granary.functions.text import byte_ids, is_blank, strip, word_count
+from granary.functions.tokenizer import with_ids
 from granary.operators import artifacts, batches, corpus, metrics
 from granary.plans import catalog
 from granary.sources import config, logs
@@ -41,11 +42,12 @@ def test_blocks_shards_and_prefixes_are_the_plain_ones(spark, length):
     texts = [*ODD, "abcdefghijklmnop" * 3, "z"]
     ids = plain_stream(texts)
     stream = stream_of(spark, texts).cache()
-    got = {r["block_id"]: r["ids"] for r in corpus.blocks(stream, length).collect()}
+    got = {r["block_id"]: r["ids"] for r in with_ids(corpus.blocks(stream, length)).collect()}
     assert got == {b: ids[b * length : b * length + length + 1] for b in range((len(ids) - 1) // length)}
-    assert {r["shard"]: r["ids"] for r in corpus.shards(stream, 7).collect()} == {s: ids[s * 7 : s * 7 + 7] for s in range(-(-len(ids) // 7))}
+    assert {r["block_id"]: r["ids"] for r in with_ids(corpus.blocks(stream.repartition(5), length)).collect()} == got
+    assert {r["shard"]: r["ids"] for r in with_ids(corpus.joined(corpus.shard_pieces(stream, 7), "shard")).collect()} == {s: ids[s * 7 : s * 7 + 7] for s in range(-(-len(ids) // 7))}
     for target in (1, 5, 21, len(ids)):
-        assert [x for r in corpus.prefix(stream, target).orderBy("doc_id").collect() for x in r["ids"]] == ids[:target]
+        assert [x for r in with_ids(corpus.prefix(stream, target)).orderBy("start_pos").collect() for x in r["ids"]] == ids[:target]
     stream.unpersist()
 
 
@@ -60,7 +62,8 @@ def test_empty_corpus(spark):
 @pytest.fixture
 def artifact(spark, tmp_path):
     """Ids 0 to 80 in shards of 7."""
-    stream = spark.createDataFrame([(0, list(range(40))), (40, list(range(40, 81)))], "start_pos long, ids array<int>").withColumn("n_tokens", F.size("ids").cast("long"))
+    raw = lambda lo, hi: bytearray(np.arange(lo, hi).astype("<u2").tobytes())
+    stream = spark.createDataFrame([(0, 40, raw(0, 40)), (40, 41, raw(40, 81))], "start_pos long, n_tokens long, raw binary")
     artifacts.publish(stream, str(tmp_path), "a", 7, tokenizer={"sha256": "t", "vocab_size": 100})
     return tmp_path / "a"
 
@@ -198,7 +201,7 @@ def test_throughput_windows_of_whole_runs(spark, tmp_path):
             if step - since >= 3 or step % 6 == 0 or step == last or (step % 4 == 0 and step < last):
                 expected.append((run, step, (step - since) * 16, seconds, round((step - since) * 16 / seconds, 6)))
                 since, seconds = step, 0.0
-    got = catalog.QUERIES["throughput_windows_whole"](spark, str(tmp_path)).select("run", "step", "tokens", "seconds", "tokens_per_second").collect()
+    got = catalog.QUERIES["throughput_windows"](spark, str(tmp_path)).select("run", "step", "tokens", "seconds", "tokens_per_second").collect()
     assert sorted(map(tuple, got)) == sorted(expected)
 
 
