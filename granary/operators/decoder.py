@@ -1,0 +1,180 @@
+"""The decoder that model settings describe, forwards only, in numpy: losses of token blocks, and generation.
+
+Weights are arrays by name, as a checkpoint has them: embeddings.weight, layers.<i>.attn.c_attn.weight and so on. Batches of
+blocks are scored on the executors; the model is broadcast, after its size has been checked.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Collection, Iterator, Mapping, Sequence
+from typing import Any
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from granary.functions.tokenizer import raw_ids
+
+Weights = Mapping[str, np.ndarray]
+#: Fixed value: the least that a mean square counts as in a norm, float32's spacing at 1.
+NORM_EPS = float(np.finfo(np.float32).eps)
+
+
+def shapes(model: Mapping[str, Any]) -> dict[str, tuple[int, ...]]:
+    """Every weight's name and shape; the output layer is the embedding."""
+    d, f, k = model["embed_dim"], model["ffn_dim"], model["canon_kernel_size"]
+    projections = {"q_proj": d, "k_proj": d, "v_proj": d} if model["split_qkv_projections"] else {"c_attn": 3 * d}
+    block: dict[str, tuple[int, ...]] = {"attn_norm.weight": (d,), "ffn_norm.weight": (d,)}
+    for name, rows in {**projections, "c_proj": d}.items():
+        block[f"attn.{name}.weight"] = (rows, d)
+        if model["attn_bias"]:
+            block[f"attn.{name}.bias"] = (rows,)
+    if model["qk_norm"]:
+        block |= {f"attn.{x}_norm.weight": (d // model["attn_heads"],) for x in "qk"}
+    for name, (rows, columns) in {"w1": (f, d), "w3": (f, d), "w2": (d, f)}.items():
+        block |= {f"ffn.{name}.weight": (rows, columns), f"ffn.{name}.bias": (rows,)}
+    if model["canon_layers"]:
+        block |= {"ca.weight": (d, 1, k), "attn.cb.weight": (3 * d, 1, k), "cc.weight": (d, 1, k), "ffn.cd.weight": (2 * f, 1, k)}
+    layers = {f"layers.{i}.{name}": shape for i in range(model["n_blocks"]) for name, shape in block.items()}
+    return {"embeddings.weight": (model["vocab_size"], d), **layers, "norm.weight": (d,)}
+
+
+def initial_scale(name: str, shape: Sequence[int], model: Mapping[str, Any]) -> tuple[str, float]:
+    """("one" | "zero", 0), ("normal", its deviation) or ("uniform", its bound): how a weight starts under the model's recipe."""
+    if "norm" in name.rsplit(".", 2)[-2]:
+        return "one", 0.0
+    if len(shape) == 3:  # a convolution keeps its own start under every recipe
+        return "uniform", shape[-1] ** -0.5
+    recipe, std = model["initialization"], model["initialization_std"]
+    if recipe == "pytorch_default":
+        fan_in = model["ffn_dim"] if ".w2." in name else model["embed_dim"]
+        return ("normal", 1.0) if name.startswith("embeddings") else ("uniform", fan_in**-0.5)
+    if name.endswith(".bias"):
+        return "zero", 0.0
+    residual = recipe == "gpt_scaled" and name.endswith((".c_proj.weight", ".w2.weight"))
+    return "normal", std / (2 * model["n_blocks"]) ** 0.5 if residual else std
+
+
+def initial_weights(model: Mapping[str, Any], seed: int) -> dict[str, np.ndarray]:
+    rng, out = np.random.default_rng(seed), {}
+    for name, shape in shapes(model).items():
+        kind, size = initial_scale(name, shape, model)
+        draws = {"one": np.ones, "zero": np.zeros, "normal": lambda s: rng.normal(0, size, s), "uniform": lambda s: rng.uniform(-size, size, s)}
+        out[name] = draws[kind](shape).astype(np.float32)
+    return out
+
+
+def checked(weights: Weights, model: Mapping[str, Any]) -> Weights:
+    """weights, if their names and shapes are the model's."""
+    wanted = shapes(model)
+    if odd := sorted(set(wanted) ^ set(weights)):
+        raise ValueError(f"weights missing or unexpected: {odd}")
+    if odd := [n for n, s in wanted.items() if tuple(weights[n].shape) != s]:
+        raise ValueError(f"weights of another shape: {odd}")
+    return weights
+
+
+def _norm(x: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return x / np.sqrt((x * x).mean(axis=-1, keepdims=True) + NORM_EPS) * scale
+
+
+def _mixed(x: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    """x plus, in each channel, the kernel over the step and those before it."""
+    width = kernel.shape[-1]
+    padded = np.concatenate([np.zeros_like(x[:, : width - 1]), x], axis=1)
+    return x + sum(padded[:, j : j + x.shape[1]] * kernel[:, 0, j] for j in range(width))
+
+
+def _turned(x: np.ndarray, base: float) -> np.ndarray:
+    """Neighbouring pairs of the last axis turned by their position times their frequency, as complex numbers."""
+    d = x.shape[-1]
+    angle = np.arange(x.shape[-2])[:, None] * base ** (-np.arange(0, d, 2) / d)
+    pairs = (x[..., ::2] + 1j * x[..., 1::2]) * np.exp(1j * angle)
+    return np.stack([pairs.real, pairs.imag], axis=-1).reshape(x.shape).astype(x.dtype)
+
+
+def _attention(x: np.ndarray, own: Callable[[str], np.ndarray | None], model: Mapping[str, Any]) -> np.ndarray:
+    batch, steps, d = x.shape
+    heads = model["attn_heads"]
+    names = ("q_proj", "k_proj", "v_proj") if model["split_qkv_projections"] else ("c_attn",)
+    qkv = np.concatenate([x @ own(f"attn.{n}.weight").T + (own(f"attn.{n}.bias") if model["attn_bias"] else 0) for n in names], axis=-1)
+    if model["qk_norm"]:
+        split = qkv.reshape(batch, steps, 3, heads, d // heads)
+        q, k = (_norm(split[:, :, i], own(f"attn.{n}_norm.weight")).reshape(batch, steps, d) for i, n in enumerate("qk"))
+        qkv = np.concatenate([q, k, qkv[..., 2 * d :]], axis=-1)
+    if model["canon_layers"]:
+        qkv = _mixed(qkv, own("attn.cb.weight"))
+    q, k, v = qkv.reshape(batch, steps, 3, heads, d // heads).transpose(2, 0, 3, 1, 4)
+    q, k = _turned(q, model["rope_base"]), _turned(k, model["rope_base"])
+    z = q @ k.swapaxes(-1, -2) / (d // heads) ** 0.5
+    z = np.where(np.tri(steps, dtype=bool), z, -np.inf)
+    p = np.exp(z - z.max(axis=-1, keepdims=True))
+    out = (p / p.sum(axis=-1, keepdims=True)) @ v
+    return out.transpose(0, 2, 1, 3).reshape(batch, steps, d) @ own("attn.c_proj.weight").T + (own("attn.c_proj.bias") if model["attn_bias"] else 0)
+
+
+def _feed_forward(x: np.ndarray, own: Callable[[str], np.ndarray | None], model: Mapping[str, Any]) -> np.ndarray:
+    both = np.concatenate([x @ own(f"ffn.{n}.weight").T + own(f"ffn.{n}.bias") for n in ("w1", "w3")], axis=-1)
+    gate, up = np.split(_mixed(both, own("ffn.cd.weight")) if model["canon_layers"] else both, 2, axis=-1)
+    return gate / (1 + np.exp(-gate)) * up @ own("ffn.w2.weight").T + own("ffn.w2.bias")
+
+
+def logits(ids: np.ndarray, weights: Weights, model: Mapping[str, Any]) -> np.ndarray:
+    """(batch, steps, vocabulary) of (batch, steps) ids."""
+    if ids.shape[1] > model["seq_len"]:
+        raise ValueError(f"{ids.shape[1]} steps exceed the model's {model['seq_len']}")
+    x = weights["embeddings.weight"][ids]
+    for i in range(model["n_blocks"]):
+        own = lambda name, i=i: weights[f"layers.{i}.{name}"]
+        for part, norm, mix in ((_attention, "attn_norm", "ca"), (_feed_forward, "ffn_norm", "cc")):
+            h = _norm(x, own(f"{norm}.weight"))
+            x = x + part(_mixed(h, own(f"{mix}.weight")) if model["canon_layers"] else h, own, model)
+    return _norm(x, weights["norm.weight"]) @ weights["embeddings.weight"].T
+
+
+def losses(ids: np.ndarray, weights: Weights, model: Mapping[str, Any]) -> np.ndarray:
+    """(batch,) sums of the cross entropy of each next id, of (batch, steps + 1) ids."""
+    z = logits(ids[:, :-1], weights, model).astype(np.float64)
+    top = z.max(axis=-1)
+    whole = top + np.log(np.exp(z - top[..., None]).sum(axis=-1))
+    return (whole - np.take_along_axis(z, ids[:, 1:, None], axis=-1)[..., 0]).sum(axis=1)
+
+
+def block_losses(blocks: DataFrame, weights: Weights, model: Mapping[str, Any], *, at_once: int = 16, most_bytes: int = 1 << 30) -> DataFrame:
+    """block_id, tokens, loss_sum of blocks (block_id, raw) of one length; batches.weighted_loss() makes the mean of them."""
+    size = sum(w.nbytes for w in checked(weights, model).values())
+    if size > most_bytes:
+        raise ValueError(f"a model of {size} bytes is not broadcast")
+    shared, settings = blocks.sparkSession.sparkContext.broadcast(dict(weights)), dict(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, at_once):
+                part = batch.slice(lo, at_once)
+                ids = raw_ids(part.column(1))[0].astype(np.int64).reshape(part.num_rows, -1)
+                columns = [part.column(0), pa.array(np.full(part.num_rows, ids.shape[1] - 1)), pa.array(losses(ids, shared.value, settings))]
+                yield pa.RecordBatch.from_arrays(columns, ["block_id", "tokens", "loss_sum"])
+
+    return blocks.select("block_id", "raw").mapInArrow(run, "block_id long, tokens long, loss_sum double")
+
+
+def next_id(row: np.ndarray, blocked: Collection[int], uniform: float, temperature: float = 0.8, top: int = 50) -> int:
+    """One draw, by a number from 0 to 1, from the `top` greatest logits (and ties with the last) that are not blocked."""
+    z = row.astype(np.float64) / temperature
+    z[list(blocked)] = -np.inf
+    z[z < np.sort(z)[-min(top, len(z))]] = -np.inf
+    p = np.cumsum(np.exp(z - z.max()))
+    return int(np.searchsorted(p, uniform * p[-1], "right").clip(0, len(p) - 1))
+
+
+def generated(prompt: Sequence[int], weights: Weights, model: Mapping[str, Any], uniforms: Iterator[float], *, begin: int = 1, end: int = 2, blocked: Collection[int] = (0, 1), most: int = 1024, **options) -> list[int]:
+    """New ids after a begin id and the prompt, until the end id, `most` of them or a full context. The prompt must leave room."""
+    ids = [begin, *prompt]
+    if len(ids) >= model["seq_len"]:
+        raise ValueError(f"the prompt has {len(ids)} ids; the context has {model['seq_len']}")
+    for _ in range(min(most, model["seq_len"] - len(ids))):
+        new = next_id(logits(np.array([ids]), weights, model)[0, -1], blocked, next(uniforms), **options)
+        if new == end:
+            break
+        ids.append(new)
+    return ids[1 + len(prompt) :]

@@ -119,9 +119,9 @@ def load(path: str, overrides: Sequence[str] = (), extends: Sequence[str] = ())
 
 
 def parameter_count(model: Mapping[str, Any]) -> int:
-    """Trainable parameters of the decoder that model settings describe: tied embeddings, attention, gated feed-forward, norms."""
+    """Trainable parameters of the decoder that model settings describe: tied embeddings, attention, gated feed-forward with biases, norms."""
     d, f, heads = model["embed_dim"], model["ffn_dim"], model["attn_heads"]
-    block = 4 * d * d + 3 * d * f + 2 * d
+    block = 4 * d * d + 3 * d * f + 2 * f + d + 2 * d
     block += 4 * d * model["attn_bias"] + 2 * (d // heads) * model["qk_norm"]
     block += model["canon_kernel_size"] * (2 * d + 3 * d + 2 * f) * model["canon_layers"]
     return model["vocab_size"] * d + model["n_blocks"] * block + d

@@ -1,0 +1,122 @@
+"""Epoch-ordered batches as a stream: a cursor of (epoch, batch), whole accumulation groups, and a stop between two of them."""
+
+from __future__ import annotations
+
+import hashlib
+import json
+import os
+import threading
+from collections.abc import Callable, Iterator
+from pathlib import Path
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+
+
+class TrainingBatchReader(SimpleDataSourceStreamReader):
+    """One accumulation group a read. Its rows, batch * accumulation of them, and an epoch's order of block numbers are held by the driver."""
+
+    def __init__(self, options):
+        self.blocks, self.batch, self.seed = (int(options[k]) for k in ("blocks", "batch", "seed"))
+        self.group, self.epochs = int(options.get("accumulation", 1)), int(options.get("epochs", 1))
+        self.each = self.blocks // self.batch // self.group  # groups an epoch; what is left of it goes
+        if self.each < 1:
+            raise ValueError("the data is too small for one optimizer step")
+        self.held: tuple[int, np.ndarray] = (-1, np.zeros(0, np.int64))
+
+    def initialOffset(self) -> dict:
+        return {"epoch": 0, "batch": 0}
+
+    def order(self, epoch: int) -> np.ndarray:
+        """Block numbers in the order that batches.epoch_order() has."""
+        if self.held[0] != epoch:
+            digests = np.array([hashlib.md5(f"{self.seed + epoch}:{i}".encode()).hexdigest() for i in range(self.blocks)])
+            self.held = epoch, np.argsort(digests, kind="stable")
+        return self.held[1]
+
+    def _rows(self, epoch: int, first: int, last: int) -> list[tuple]:
+        blocks = self.order(epoch)[first * self.batch : last * self.batch].tolist()
+        return [(epoch, first + i // self.batch, i % self.batch, block) for i, block in enumerate(blocks)]
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        epoch, number = start["epoch"], start["batch"]
+        if epoch >= self.epochs:
+            return iter(()), start
+        after = number + self.group
+        end = {"epoch": epoch, "batch": after} if after < self.each * self.group else {"epoch": epoch + 1, "batch": 0}
+        return iter(self._rows(epoch, number, after)), end
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        at = start
+        while (at["epoch"], at["batch"]) < (end["epoch"], end["batch"]):
+            rows, at = self.read(at)
+            yield from rows
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
+class TrainingBatches(DataSource):
+    """format("training_batches"): options blocks, batch, seed, accumulation, epochs."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "training_batches"
+
+    def schema(self) -> str:
+        return "epoch int, batch_id long, slot int, block_id long"
+
+    def simpleStreamReader(self, schema) -> TrainingBatchReader:
+        return TrainingBatchReader(self.options)
+
+
+def batch_stream(spark: SparkSession, blocks: int, batch: int, seed: int, accumulation: int = 1, epochs: int = 1) -> DataFrame:
+    spark.dataSource.register(TrainingBatches)
+    return spark.readStream.format("training_batches").options(blocks=blocks, batch=batch, seed=seed, accumulation=accumulation, epochs=epochs).load()
+
+
+def consume(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, *, stop: Callable[[], bool] = lambda: False, after: Callable[[int], None] | None = None, idle: float = 5.0) -> int:
+    """Applies one micro-batch, an accumulation group, after another, each once, and says how many this call applied.
+
+    `stop` is asked after each; once it says so, no further group is begun, and the next call goes on with it. A group whose
+    `apply` ended is marked in the checkpoint folder, so one that is tried again after a failure is not applied twice.
+    `after` is called with each group's number. The call also ends when the source has had nothing new for `idle` seconds.
+    """
+    mark, over, done = Path(checkpoint, "applied.json"), threading.Event(), []
+    failed: list[BaseException] = []
+
+    def one(rows: DataFrame, number: int) -> None:
+        last = json.loads(mark.read_text())["batch"] if mark.exists() else -1
+        if over.is_set():
+            threading.Event().wait()  # until the query is stopped: this group was not begun
+        if number <= last or rows.isEmpty():
+            return
+        try:
+            apply(rows, number)
+        except BaseException as bad:
+            failed.append(bad)
+            raise
+        own = mark.with_suffix(f".{os.getpid()}")
+        own.write_text(json.dumps({"batch": number}))
+        os.replace(own, mark)
+        done.append(number)
+        if after:
+            after(number)
+        if stop():
+            over.set()
+
+    Path(checkpoint).mkdir(parents=True, exist_ok=True)
+    query = stream.writeStream.foreachBatch(one).option("checkpointLocation", f"{checkpoint}/offsets").start()
+    try:
+        waited = 0.0
+        while not over.is_set() and query.isActive and waited < idle:
+            over.wait(0.2)
+            quiet = query.lastProgress is not None and not query.status["isDataAvailable"] and not query.status["isTriggerActive"]
+            waited = waited + 0.2 if quiet else 0.0
+        broken = query.exception()
+    finally:
+        query.stop()
+    if failed or broken:
+        raise failed[0] if failed else broken
+    return len(done)

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from granary.functions import numeric
 from granary.functions.text import byte_ids, is_blank, strip, word_count
 from granary.functions.tokenizer import with_ids
-from granary.operators import artifacts, batches, corpus, metrics
+from granary.operators import artifacts, batches, corpus, decoder, metrics
 from granary.plans import catalog
-from granary.sources import config, logs
+from granary.sources import config, logs, settings
 from granary.sources.tokens import Artifact, evaluation_steps, read_blocks, training_blocks
+from granary.streaming import training
 
 ODD = ["", "  ", None, " x ", "\x1cx\x85", "​x", "a b c", "\n\t", "é ñ", " 　 ", "x"]
 
@@ -272,3 +273,163 @@ def test_optimizer_groups(spark):
     rows = spark.createDataFrame([("embeddings.weight", 2), ("b.attn.c_attn.weight", 2), ("norm.weight", 1), ("b.conv.weight", 3), ("b.bias", 1)], "name string, dims int")
     muon = {r["name"]: r["g"] for r in rows.select("name", metrics.optimizer_group(F.col("name"), F.col("dims"), True).alias("g")).collect()}
     assert muon == {"embeddings.weight": "no_decay", "b.attn.c_attn.weight": "muon", "norm.weight": "norm", "b.conv.weight": "decay", "b.bias": "no_decay"}
+
+
+def _plain_logits(ids, w, m):
+    """The decoder step by step, with loops."""
+    d, heads, steps = m["embed_dim"], m["attn_heads"], len(ids)
+    rms = lambda v, scale: v / np.sqrt((v * v).mean() + decoder.NORM_EPS) * scale
+    conv = lambda rows, k: [rows[t] + sum(rows[t - j] * k[:, 0, -1 - j] for j in range(k.shape[-1]) if t >= j) for t in range(steps)]
+    x = [w["embeddings.weight"][i] for i in ids]
+    for layer in range(m["n_blocks"]):
+        p = lambda n, layer=layer: w[f"layers.{layer}.{n}"]
+        h = [rms(v, p("attn_norm.weight")) for v in x]
+        h = conv(h, p("ca.weight")) if m["canon_layers"] else h
+        names = ["q_proj", "k_proj", "v_proj"] if m["split_qkv_projections"] else ["c_attn"]
+        qkv = [np.concatenate([p(f"attn.{n}.weight") @ v + (p(f"attn.{n}.bias") if m["attn_bias"] else 0) for n in names]) for v in h]
+        if m["qk_norm"]:
+            for v in qkv:
+                for part, n in enumerate("qk"):
+                    for a in range(heads):
+                        at = slice(part * d + a * d // heads, part * d + (a + 1) * d // heads)
+                        v[at] = rms(v[at], p(f"attn.{n}_norm.weight"))
+        qkv = conv(qkv, p("attn.cb.weight")) if m["canon_layers"] else qkv
+        size, out = d // heads, [np.zeros(d) for _ in ids]
+
+        def turn(v, t):
+            r = v.copy()
+            for i in range(0, size, 2):
+                angle = t * m["rope_base"] ** (-i / size)
+                r[i], r[i + 1] = v[i] * math.cos(angle) - v[i + 1] * math.sin(angle), v[i] * math.sin(angle) + v[i + 1] * math.cos(angle)
+            return r
+
+        for a in range(heads):
+            q, k, v = ([row[part * d + a * size : part * d + (a + 1) * size] for row in qkv] for part in range(3))
+            for t in range(steps):
+                z = np.exp([turn(q[t], t) @ turn(k[s], s) / math.sqrt(size) for s in range(t + 1)])
+                out[t][a * size : (a + 1) * size] = sum(z[s] / z.sum() * v[s] for s in range(t + 1))
+        x = [x[t] + p("attn.c_proj.weight") @ out[t] + (p("attn.c_proj.bias") if m["attn_bias"] else 0) for t in range(steps)]
+        h = [rms(v, p("ffn_norm.weight")) for v in x]
+        h = conv(h, p("cc.weight")) if m["canon_layers"] else h
+        both = [np.concatenate([p(f"ffn.{n}.weight") @ v + p(f"ffn.{n}.bias") for n in ("w1", "w3")]) for v in h]
+        both = conv(both, p("ffn.cd.weight")) if m["canon_layers"] else both
+        f = m["ffn_dim"]
+        x = [x[t] + p("ffn.w2.weight") @ (both[t][:f] / (1 + np.exp(-both[t][:f])) * both[t][f:]) + p("ffn.w2.bias") for t in range(steps)]
+    return np.array([w["embeddings.weight"] @ rms(v, w["norm.weight"]) for v in x])
+
+
+@pytest.mark.parametrize("flags", [{}, {"qk_norm": True, "split_qkv_projections": True, "attn_bias": True}, {"canon_layers": True, "qk_norm": True, "attn_bias": True}])
+def test_decoder_is_the_plain_one(spark, flags):
+    model = settings.defaults()["model"] | {"vocab_size": 11, "embed_dim": 8, "ffn_dim": 6, "n_blocks": 2, "attn_heads": 2, "seq_len": 9, "canon_kernel_size": 3} | flags
+    weights = {n: w.astype(np.float64) + 0.1 for n, w in decoder.initial_weights(model, 3).items()}
+    ids = np.random.default_rng(1).integers(0, 11, (5, 9))
+    got = decoder.logits(ids, weights, model)
+    for row, own in zip(ids, got, strict=True):
+        np.testing.assert_allclose(own, _plain_logits(row.tolist(), weights, model), rtol=1e-6, atol=1e-9)
+    blocks = spark.createDataFrame([(i, bytearray(r.astype("<u2").tobytes())) for i, r in enumerate(ids)], "block_id long, raw binary")
+    rows = {r["block_id"]: r for r in decoder.block_losses(blocks, weights, model, at_once=2).collect()}
+    for i, row in enumerate(ids):
+        z = _plain_logits(row[:-1].tolist(), weights, model)
+        assert rows[i]["tokens"] == 8 and rows[i]["loss_sum"] == pytest.approx(sum(math.log(np.exp(z[t]).sum()) - z[t][row[t + 1]] for t in range(8)))
+    with pytest.raises(ValueError):
+        decoder.logits(np.zeros((1, 10), int), weights, model)
+    with pytest.raises(ValueError):
+        decoder.block_losses(blocks, {**weights, "norm.weight": np.ones(3)}, model)
+
+
+def test_generation_stops_and_blocks():
+    model = settings.defaults()["model"] | {"vocab_size": 11, "embed_dim": 8, "ffn_dim": 6, "n_blocks": 1, "attn_heads": 2, "seq_len": 12}
+    weights = decoder.initial_weights(model, 3)
+    rng = np.random.default_rng(2)
+    draws = iter(lambda: float(rng.random()), None)
+    new = decoder.generated([5, 6], weights, model, draws, end=99)
+    assert len(new) == 9 and not {0, 1} & set(new)
+    assert len(decoder.generated([5, 6], weights, model, draws, end=99, most=3)) == 3
+    with pytest.raises(ValueError):
+        decoder.generated(list(range(11)), weights, model, draws)
+    row = np.array([0.0, 5.0, 1.0, 1.0, -3.0])
+    assert {decoder.next_id(row, [1], u, top=1) for u in (0.0, 0.4, 0.6, 0.999)} == {2, 3}
+
+
+def test_initial_scales():
+    model = settings.defaults()["model"] | {"n_blocks": 8, "embed_dim": 16, "ffn_dim": 64, "canon_layers": True}
+    scale = lambda name, shape, recipe: decoder.initial_scale(name, shape, model | {"initialization": recipe})
+    assert scale("layers.0.attn.c_proj.weight", (16, 16), "gpt_scaled") == ("normal", 0.02 / 4) and scale("layers.0.attn.c_proj.weight", (16, 16), "olmo") == ("normal", 0.02)
+    assert scale("embeddings.weight", (9, 16), "pytorch_default") == ("normal", 1.0) and scale("layers.0.ffn.w2.weight", (16, 64), "pytorch_default") == ("uniform", 0.125)
+    assert scale("layers.0.ffn.w1.bias", (64,), "olmo") == ("zero", 0.0) and scale("layers.0.ca.weight", (16, 1, 4), "olmo") == ("uniform", 0.5)
+    assert all((w == 1).all() for n, w in decoder.initial_weights(model | {"vocab_size": 9, "attn_heads": 2, "qk_norm": True}, 0).items() if "norm" in n)
+
+
+def test_training_stream_is_the_batches(spark, tmp_path):
+    blocks = spark.range(25).withColumnRenamed("id", "block_id")
+    want = [tuple(r) for e in (0, 1) for r in batches.train_batches(blocks, 2, 42, e).filter("batch_id < 12").orderBy("batch_id", "slot").collect()]
+    got, called = [], []
+    take = lambda rows, number: got.append(sorted(tuple(r) for r in rows.collect()))
+    stream = lambda: training.batch_stream(spark, 25, 2, 42, accumulation=3, epochs=2)
+    assert training.consume(stream(), take, str(tmp_path / "c"), stop=lambda: len(got) == 3, after=called.append) == 3 and len(got) == 3
+    assert training.consume(stream(), take, str(tmp_path / "c"), after=called.append) == 5
+    assert [x for g in got for x in g] == want and len(called) == len(set(called)) == 8
+    assert training.consume(stream(), take, str(tmp_path / "c"), idle=2) == 0
+
+    def fail(rows, number):
+        raise RuntimeError("broken")
+
+    with pytest.raises(RuntimeError, match="broken"):
+        training.consume(stream(), fail, str(tmp_path / "d"))
+
+
+def test_artifacts_as_checked_rows(spark, artifact, tmp_path):
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "metadata.json").write_text("{")
+    record = json.loads((artifact / "metadata.json").read_text())
+    (tmp_path / "c").mkdir()
+    record["shards"][0] |= {"file": "../x", "bytes": "no"}
+    (tmp_path / "c" / "metadata.json").write_text(json.dumps(record))
+    rows = artifacts.artifact_checks(spark, str(tmp_path), ["a", "b", "c", "none"]).collect()
+    bad = {(r["artifact"], r["check"]) for r in rows if not r["ok"]}
+    assert bad == {("b", "record"), ("none", "record"), ("c", "names"), ("c", "byte_counts"), ("c", "inventory"), ("c", "total")}
+    assert all(r["ok"] == (r["detail"] == "") for r in rows)
+    digests = {r["file"]: r["sha256"] for r in artifacts.file_digests(spark, str(artifact), "tokens-*.bin").collect()}
+    assert digests["tokens-00001.bin"] == hashlib.sha256(np.arange(7, 14).astype("<u2").tobytes()).hexdigest() and len(digests) == 12
+    plain = json.loads((artifact / "metadata.json").read_text())
+    shards = spark.createDataFrame([("a", i, s["tokens"], s["sha256"]) for i, s in enumerate(plain["shards"])], "artifact string, shard long, tokens long, sha256 string")
+    about = spark.createDataFrame([("a", "t", 100)], "artifact string, tokenizer_sha256 string, vocab_size int")
+    stored = {k: v for k, v in plain["storage"].items() if k != "shard_token_limit"}
+    assert artifacts.identities(shards, about).first()["identity"] == artifacts.identity({**plain, "storage": stored})
+
+
+def test_registry_knows_a_configuration_in_any_form(spark):
+    row = lambda conf: ("e", "v", "1", "2", "s", "m", conf)
+    table = lambda *rows: spark.createDataFrame(list(rows), metrics.REGISTRY)
+    new = lambda there, *confs: metrics.new_registry_rows(table(row(there)), table(*map(row, confs))).count()
+    assert new('name = "a b"', 'name = "ab"') == 1
+    assert new('name = "x"\n\n[training]\nepochs = 3\n', 'config = {name = "x", training = {epochs = 3}}') == 0
+    assert new("a = 1", "config = {a = 2}", "a = 2", "not toml", "not toml") == 2
+
+
+def test_retention_is_per_folder(spark):
+    files = spark.createDataFrame([(f"{run}/step_{i:08d}.pt", i) for run in "ab" for i in range(5)] + [("a/other.pt", 9)], "path string, mtime_ns long")
+    kept = lambda **o: sorted(r["path"] for r in metrics.retained(files, 2, **o).filter("keep").collect())
+    assert kept() == ["a/step_00000003.pt", "a/step_00000004.pt", "b/step_00000003.pt", "b/step_00000004.pt"]
+    assert kept(just_written="a/step_00000001.pt") == ["a/step_00000001.pt", "a/step_00000004.pt", "b/step_00000003.pt", "b/step_00000004.pt"]
+
+
+def test_a_loss_is_one_number(spark):
+    rows = spark.createDataFrame([("r", 1.0), ("r", 3.0)], "run string, value double")
+    assert metrics.reduced(rows, lambda g: g["value"].mean(), "run").first()["loss"] == 2.0
+    with pytest.raises(Exception, match="one number"):
+        metrics.reduced(rows, lambda g: [1.0], "run").collect()
+
+
+@pytest.mark.parametrize("runs", [1, 2, 7, 40])
+def test_offsets_are_alike_over_any_number_of_runs(spark, runs):
+    rows = spark.createDataFrame([(i * 7 % 101, i % 5 + 1) for i in range(101)], "doc_id long, n long")
+    got = {r["doc_id"]: r["before"] for r in corpus.running_total(rows, "doc_id", "n", "before", runs).collect()}
+    sizes, total = {i * 7 % 101: i % 5 + 1 for i in range(101)}, 0
+    for i in range(101):
+        assert got[i] == total
+        total += sizes[i]
+    stream = corpus.token_stream(spark.createDataFrame([(i, "ab" * (i % 4)) for i in range(60)], "doc_id long, text string"), runs=runs)
+    blocks = {r["block_id"]: r["ids"] for r in with_ids(corpus.blocks(stream, 5)).collect()}
+    ids = plain_stream(["ab" * (i % 4) for i in range(60)])
+    assert blocks == {b: ids[b * 5 : b * 5 + 6] for b in range((len(ids) - 1) // 5)}

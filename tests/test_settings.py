@@ -1,12 +1,15 @@
 """Settings, checkpoints on disk and the library tokenizer."""
 
+import logging
+import math
 import os
 import warnings
 
 import pytest
 
-from granary.functions.tokenizer import check, encoded
-from granary.sources import settings
+from granary.functions.tokenizer import check, decoded, encoded, framed_tokens, token_measures, with_ids
+from granary.operators import corpus, decoder
+from granary.sources import config, settings
 
 from .conftest import SF
 
@@ -45,7 +48,9 @@ def test_load_with_overrides(tmp_path):
 
 def test_parameter_count():
     model = settings.defaults()["model"] | {"vocab_size": 10, "embed_dim": 4, "ffn_dim": 6, "n_blocks": 2, "attn_heads": 1}
-    assert settings.parameter_count(model) == 40 + 2 * (64 + 72 + 8) + 4
+    assert settings.parameter_count(model) == 40 + 2 * (64 + 72 + 16 + 8) + 4
+    for flags in ({}, {"attn_bias": True, "qk_norm": True}, {"canon_layers": True, "split_qkv_projections": True, "attn_bias": True}):
+        assert settings.parameter_count(model | flags) == sum(math.prod(s) for s in decoder.shapes(model | flags).values())
 
 
 def test_find_checkpoint(tmp_path):
@@ -77,3 +82,77 @@ def test_library_tokenizer(spark):
     assert framed == {i: [1, *own.encode(t.strip()), 2] for i, t in texts.items() if t and t.strip()}
     plain = {r["doc_id"]: r["ids"] for r in encoded(docs, proto, framed=False).collect()}
     assert plain == {i: own.encode(t or "") for i, t in texts.items()}
+    assert {r["doc_id"]: r["ids"] for r in with_ids(framed_tokens(docs, proto)).collect()} == framed
+    back = {r["doc_id"]: r["text"] for r in decoded(encoded(docs, proto), proto).collect()}
+    assert back == {i: own.decode(x) for i, x in framed.items()}
+    measured = {r["doc_id"]: tuple(r)[1:] for r in token_measures(docs, proto).collect()}
+    assert measured == {i: (len(t or ""), len((t or "").split()), len(plain[i])) for i, t in texts.items()}
+    stats = corpus.corpus_stats(docs, proto).first()
+    assert (stats["docs"], stats["tokens"]) == (len(texts), sum(map(len, plain.values())))
+    ids = [x for i in sorted(framed) for x in framed[i]]
+    blocks = {r["block_id"]: r["ids"] for r in with_ids(corpus.blocks(corpus.token_stream(docs, proto), 64)).collect()}
+    assert blocks == {b: ids[b * 64 : b * 64 + 65] for b in range((len(ids) - 1) // 64)}
+    starts = spark.createDataFrame([(0,), (100,), (len(ids) - 10,)], "start_token long")
+    assert {r["start_token"]: r["ids"] for r in with_ids(corpus.evaluation_blocks(docs, starts, 64, proto)).collect()} == {s: ids[s : s + 65] for s in (0, 100)}
+    sample = corpus.byte_budget_sample(docs, 3000, with_text=True).collect()
+    assert sample and all(r["text"] == texts[r["doc_id"]].strip() and r["n_bytes"] == len(r["text"].encode()) for r in sample)
+
+
+def test_settings_round_trips(tmp_path):
+    own = settings.Settings.from_dict({"name": "run", "optimizer": {"lr": 0.5}})
+    assert settings.Settings.from_string(own.to_string()) == own == settings.Settings.from_string(own.to_toml())
+    own.save(tmp_path / "run.toml")
+    assert settings.Settings.load(tmp_path / "run.toml") == own and own.with_overrides("optimizer.lr=0.25")["optimizer"]["lr"] == 0.25
+    own["optimizer"]["lr"] = -1.0
+    with pytest.raises(ValueError):
+        own.save(tmp_path / "run.toml")
+    assert settings.Settings.load(tmp_path / "run.toml")["optimizer"]["lr"] == 0.5
+
+
+def test_presets_and_their_places(tmp_path, monkeypatch):
+    tuned = settings.preset("35m_tuned")
+    assert tuned["model"]["n_blocks"] == 11 and tuned["optimizer"]["muon"] == {"lr_multiplier": 1.0, "weight_decay": 0.0375} and tuned["optimizer"]["schedule"]["kind"] == "wsd"
+    settings.validated(config.merge(tuned, {"name": "x", "training": {"max_steps": 0}}))
+    for bad in ("100m_tuned", "7m", "35m_other"):
+        with pytest.raises(ValueError):
+            settings.preset(bad)
+    (tmp_path / "presets").mkdir()
+    (tmp_path / "here").mkdir()
+    monkeypatch.chdir(tmp_path / "here")
+    (tmp_path / "presets" / "small.toml").write_text("")
+    assert config.locate("small", presets=tmp_path / "presets").parent.name == "presets"
+    (tmp_path / "here" / "small.toml").write_text("")
+    assert config.locate("small", presets=tmp_path / "presets").parent.name == "here"
+    (tmp_path / "small.toml").write_text("")
+    assert config.locate("small.toml", beside=tmp_path).parent == tmp_path
+    with pytest.raises(FileNotFoundError):
+        config.locate("none", presets=tmp_path / "presets")
+
+
+def test_layers_fold(tmp_path):
+    assert config.merge({"a": {"b": 1, "c": 2}, "d": 3}, {"a": {"b": 4}, "d": {"e": 5}}) == {"a": {"b": 4, "c": 2}, "d": {"e": 5}}
+    assert config.merge({"a": {"b": 1}}, {"a": 2}) == {"a": 2} and config.merge({"a": {"b": 1}}, {"a": {}}) == {"a": {"b": 1}} and config.merge({"a": 1}, {"a": {}}) == {"a": {}}
+    for name, text in {"a": "x = 1\ny = 1\nz = 1", "b": 'extends = ["a.toml"]\ny = 2', "c": "y = 3\nz = 3", "top": 'extends = ["b.toml", "c.toml"]\nw = 4'}.items():
+        (tmp_path / f"{name}.toml").write_text(text + "\n")
+    assert config.load(tmp_path / "top.toml") == {"x": 1, "y": 3, "z": 3, "w": 4}
+    assert config.load(tmp_path / "top.toml", ["a.toml"]) == {"x": 1, "y": 1, "z": 1, "w": 4}
+    assert config.unknown({"l": [{"p": 1}, {"q": 2}], "m": {"x": {"y": 1}}}, {"l": [{"p": 0}], "m": {"x": 1}}) == ["l[1].q"]
+
+
+def test_logging_sinks(tmp_path):
+    own = settings.validated({"name": "a", "logging": {"file": str(tmp_path / "logs" / "run.log"), "console": False, "level": "WARNING"}})
+    logger = settings.start_logging(own)
+    assert len(logger.handlers) == 1 and len(settings.start_logging(own).handlers) == 1
+    logger.info("quiet")
+    logger.warning("loud")
+    assert "loud" in (text := (tmp_path / "logs" / "run.log").read_text()) and "quiet" not in text and logger.level == logging.WARNING
+    assert settings.run_result("a", 5, 5, 1.0, None, "x")["completed"] and not settings.run_result("a", 4, 5, 1.0, None, "x")["completed"]
+
+
+def test_legacy_model_settings():
+    old = {"VOCAB_SIZE": "10", "N_BLOCKS": 2, "EMBED_DIM": "8", "ATTN_HEADS": 2, "FFN_DIM": 6, "SEQ_LEN": 16, "ROPE_BASE": "10000", "QK_NORM": " Yes ", "OTHER": 1}
+    got = settings.legacy_model(old, {"layers.0.attn.q_proj.weight": (8, 8), "layers.0.ca.weight": (8, 1, 3)})
+    assert got["vocab_size"] == 10 and got["rope_base"] == 10000.0 and got["qk_norm"] is True and got["split_qkv_projections"] is True and got["canon_layers"] is True and got["canon_kernel_size"] == 3 and got["attn_bias"] is False
+    for bad, shapes in (({**old, "QK_NORM": "maybe"}, {}), ({k: v for k, v in old.items() if k != "SEQ_LEN"}, {}), (old, {"a.ca.weight": (8, 1, 3), "a.cc.weight": (8, 1, 4)})):
+        with pytest.raises(ValueError):
+            settings.legacy_model(bad, shapes)
