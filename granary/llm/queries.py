@@ -90,7 +90,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
 }
 
+
+def _sharding_sql(shards: int = 16) -> str:
+    """crc32 by the bytes' fold over its table, which is built from the polynomial; a shard is the place of its least score."""
+    score = lambda i: f"-ln((('0x' || substr(md5(name || ':{i}'), 1, 15))::BIGINT::DOUBLE + 0.5::DOUBLE) / {1 << 60}::DOUBLE)"
+    return rf"""
+        WITH RECURSIVE steps(n, k, c) AS (
+          SELECT range::BIGINT, 0, range::BIGINT FROM range(256)
+          UNION ALL SELECT n, k + 1, CASE WHEN (c & 1) = 1 THEN xor(c >> 1, {0xEDB88320}) ELSE c >> 1 END FROM steps WHERE k < 8),
+        crc AS (SELECT list(c ORDER BY n) AS t FROM steps WHERE k = 8),
+        d AS (
+          SELECT doc_id, coalesce(doc_id::VARCHAR, 'null') AS name, strlen(coalesce(text, ''))::BIGINT + 1 AS size,
+                 list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes
+          FROM documents),
+        c AS (
+          SELECT doc_id, name, size, CASE WHEN len(bytes) = 0 THEN 0 ELSE
+                 xor(list_reduce(bytes, lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]), {0xFFFFFFFF}::BIGINT), {0xFFFFFFFF}) END AS text_crc32
+          FROM d, crc),
+        s AS (
+          SELECT doc_id, size, text_crc32, [{', '.join(map(score, range(shards + 1)))}] AS s,
+                 ('0x' || substr(md5(concat_ws('#', name, text_crc32, size)), 1, 15))::BIGINT AS place
+          FROM c),
+        p AS (
+          SELECT doc_id, size, text_crc32, place, list_position(s[1:{shards}], list_min(s[1:{shards}]))::INT - 1 AS shard,
+                 list_position(s, list_min(s))::INT - 1 AS grown_shard
+          FROM s)
+        SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+               row_number() OVER (PARTITION BY shard ORDER BY place, doc_id, text_crc32, size) - 1 AS slot, grown_shard
+        FROM p"""
+
+
 SQL: dict[str, str] = {
+    "op10_sharding": _sharding_sql(),
     "op6_exact_dedup": r"""
         WITH t AS (
           SELECT doc_id, length(coalesce(text, '')) AS n_cp,

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from granary.llm import bloom_lm, decontaminate, language_id, toxicity
 from granary.llm.bayes_jaccard import expected_recall, forest, jaccard_classes, least_matches
-from granary.llm.common import components, join_groups
+from granary.llm.common import components, join_groups, shared_dir
 from granary.llm.exact_dedup import digest_groups, exact_dedup
 from granary.llm.merge_codec import MergeCodec, encode_documents
 from granary.llm.queries import QUERIES, SQL, piece_model
@@ -543,7 +543,89 @@ def test_pipeline(spark, tmp_path):
 def test_stages_keep_columns(spark):
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 30").withColumn("score", F.lit("x"))
+    names = "score row key size letters has_letter_ kept_key_ kept h rid node digest check best_len keep_id group_size text_ block label lang_pred item_id windows".split()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 30").withColumns({n: F.lit(n) for n in names})
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns and stage(spark, docs.limit(0), SF).count() == 0
+        assert all(r[n] == n for r in out.collect() for n in names)
+
+
+def test_the_longest_of_repeated_rows_stays(spark):
+    import corpus_pipeline
+
+    rows = [(1, "a b", 0), (1, "a  b ", 1), (1, "a b", 2), (2, "ab", 3), (3, None, 4), (None, "", 5), (None, None, 6)]
+    for shift in range(len(rows)):
+        docs = spark.createDataFrame(rows[shift:] + rows[:shift], "doc_id long, text string, mark int").repartition(3)
+        got = sorted((r["doc_id"], r["text"] or "", r["mark"]) for r in corpus_pipeline.drop_copies(spark, docs, SF).collect())
+        assert [x[:2] for x in got] == [(1, "a  b "), (3, "")]
+
+
+def test_a_third_of_all_rows_alike(spark):
+    """One row a thousand times over: every stage and operator that regroups rows stays whole."""
+    import corpus_pipeline
+
+    rnd = random.Random(9)
+    rows = [(7, "the hot row " * 8)] * 1000 + [(100 + i, prose(rnd, 12)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    for stage in (corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies):
+        assert sorted(r["doc_id"] for r in stage(spark, docs, SF).collect()) == [7, *range(100, 500)]
+    placed = rendezvous_shards(docs, [1.0] * 4, bucket_rows=64)
+    of_shard = collections.defaultdict(list)
+    for r in placed.collect():
+        of_shard[r["shard"]].append(r["slot"])
+    assert sum(map(len, of_shard.values())) == 1400 and all(sorted(s) == list(range(len(s))) for s in of_shard.values())
+
+
+def test_ids_may_be_strings(spark):
+    docs = spark.createDataFrame([("b", "x y"), ("a", "xy"), (None, "x  y"), ("c", None)], "doc_id string, text string")
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup(docs).collect()}
+    assert got == {"b": (None, 3, False), "a": (None, 3, False), None: (None, 3, True), "c": ("c", 1, True)}
+    assert {r["doc_id"]: r["class_id"] for r in jaccard_classes(docs).collect()}.keys() == {"a", "b", "c", None}
+    assert {r["doc_id"] for r in rendezvous_shards(docs, [1.0, 1.0]).collect()} == {"a", "b", "c", None}
+
+
+def test_language_training_counts_repeated_rows_once(spark):
+    rnd = random.Random(2)
+    rows = [(i, " ".join(rnd.choice(["la le lu", "krax zwik"][i % 2].split()) for _ in range(60)), "ab"[i % 2]) for i in range(40)]
+    once = spark.createDataFrame([*rows, (50, "krax " * 30_000, "b")], "doc_id long, text string, lang string")
+    model = language_id.train(once, max_docs=30)
+    again = language_id.train(once.union(once.filter("doc_id < 9")).union(once.filter("doc_id < 3")).repartition(5), max_docs=30)
+    docs = once.select("doc_id", "text")
+    of = lambda m: sorted((r["doc_id"], r["lang_pred"], r["score"]) for r in language_id.predict(docs, m).collect())
+    assert of(model) == of(again)
+
+
+def test_toxicity_of_long_texts_ties_and_repeats(spark):
+    rows = [("the idiot walks", 1), ("the river walks", 0)] * 20 + [("idiot " + "paper " * 30_000, 1), (None, 0)]
+    model = toxicity.train(spark.createDataFrame(rows, "text string, toxic int"))
+    same = toxicity.train(spark.createDataFrame(rows[::-1], "text string, toxic int").repartition(4))
+    docs = spark.createDataFrame([(1, "an idiot", "x"), (1, "an idiot", "x"), (2, "golden " * 60_000 + "idiot", "y"), (3, "golden " * 60_000, "z")], "doc_id long, text string, score string")
+    got = sorted((r["doc_id"], r["score"], r["predicted"]) for r in toxicity.score(docs, model).collect())
+    assert got == sorted((r["doc_id"], r["score"], r["predicted"]) for r in toxicity.score(docs, same).collect())
+    assert got[0] == got[1] and [x[2] for x in got] == [1, 1, 1, 0]
+
+
+def test_a_cluster_in_many_blocks_is_whole(spark):
+    rnd = random.Random(4)
+    base = prose(rnd, 80).split()
+    rows = [(i, " ".join(base[:i % 3] + [f"w{i}"] + base[i % 3 + 1 :])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_classes(rows)
+    for options in ({"block": 7}, {"block_bytes": 4000}):
+        assert sorted((r["doc_id"], r["class_id"], r["n_links"], r["n_shingles"]) for r in jaccard_classes(docs, **options).collect()) == want
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Far:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Far()
+        conf = type("Conf", (), {"get": staticmethod(lambda name, default=None: default)})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
