@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from granary.functions import numeric
 from granary.functions.text import byte_ids, python_capitalize, strip, word_count
-from granary.functions.tokenizer import draw, encoded, framed_tokens, raw_ids, with_ids
-from granary.operators import artifacts, batches, corpus, metrics, progress
+from granary.functions.tokenizer import decoded, draw, encoded, framed_tokens, raw_ids, token_measures, with_ids
+from granary.operators import artifacts, batches, corpus, decoder, metrics, progress
 from granary.sources import settings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -676,11 +676,62 @@ def multinomial_draw(spark, sf_dir):
     return _logits(spark, sf_dir).select("vec_id", p.alias("p")).select("vec_id", draw(F.col("p"), (F.col("vec_id") * 7919 % 1000 + 0.5) / 1000).cast("long").alias("token"))
 
 
+_SMALL = {"vocab_size": 263, "n_blocks": 1, "embed_dim": 8, "attn_heads": 2, "ffn_dim": 8, "seq_len": 64, "qk_norm": True}
+
+
 @query()
-def sentencepiece_tokens(spark, sf_dir):
-    """A test holds the ids against the library on the driver."""
+def decoder_losses(spark, sf_dir):
+    """Each block's loss under a small decoder with its first weights; a test holds the decoder against one with loops."""
+    model = settings.defaults()["model"] | _SMALL
+    blocks = corpus.blocks(corpus.token_stream(_docs(spark, sf_dir)), _SMALL["seq_len"])
+    return _rounded(decoder.block_losses(blocks, decoder.initial_weights(model, SEED), model, at_once=64), 4)
+
+
+_WEIGHTS = [
+    ("embeddings.weight", (263, 8)), ("layers.0.attn.c_attn.weight", (24, 8)), ("layers.0.attn.c_proj.weight", (8, 8)), ("layers.0.attn_norm.weight", (8,)),
+    ("layers.0.ffn.w1.weight", (32, 8)), ("layers.0.ffn.w2.weight", (8, 32)), ("layers.0.ffn.w2.bias", (8,)), ("layers.0.ca.weight", (8, 1, 4)), ("norm.weight", (8,)),
+]
+_RECIPES = ("pytorch_default", "olmo", "gpt_scaled")
+
+
+@query(f"""WITH w(name, dims, fan) AS (VALUES {', '.join(f"('{n}', {len(s)}, {s[-1]})" for n, s in _WEIGHTS)}), r AS (SELECT unnest({list(_RECIPES)}) AS recipe)
+SELECT recipe, name, CASE WHEN contains(name, 'norm') THEN 'one' WHEN dims = 3 THEN 'uniform' WHEN recipe = 'pytorch_default' THEN CASE WHEN name = 'embeddings.weight' THEN 'normal' ELSE 'uniform' END WHEN ends_with(name, 'bias') THEN 'zero' ELSE 'normal' END AS kind,
+round(CASE WHEN contains(name, 'norm') THEN 0 WHEN dims = 3 THEN 1 / sqrt(fan) WHEN recipe = 'pytorch_default' THEN CASE WHEN name = 'embeddings.weight' THEN 1 WHEN contains(name, 'w2') THEN 1 / sqrt(32) ELSE 1 / sqrt(8) END WHEN ends_with(name, 'bias') THEN 0
+WHEN recipe = 'gpt_scaled' AND (contains(name, 'c_proj') OR contains(name, 'w2')) THEN 0.02 / sqrt(2 * 6) ELSE 0.02 END, 9) AS size FROM w, r""")
+def initial_scales(spark, sf_dir):
+    own = {"embed_dim": 8, "ffn_dim": 32, "n_blocks": 6, "initialization_std": 0.02}
+    rows = [(recipe, name, *decoder.initial_scale(name, shape, {**own, "initialization": recipe})) for recipe in _RECIPES for name, shape in _WEIGHTS]
+    return _rounded(spark.createDataFrame(rows, "recipe string, name string, kind string, size double"), 9)
+
+
+@query(f"WITH {_STATS.replace('SELECT count(*)', 's AS (SELECT count(*)', 1)}) SELECT docs, chars, words FROM s")
+def subword_corpus_stats(spark, sf_dir):
+    """Tokens are a library's, which SQL has not; a test holds their number against it."""
+    return corpus.corpus_stats(_docs(spark, sf_dir), _piece_model()).select("docs", "chars", "words")
+
+
+@query()
+def subword_measures(spark, sf_dir):
+    return token_measures(_docs(spark, sf_dir), _piece_model())
+
+
+@query(f"SELECT doc_id, length({_TRIM}) AS n_chars, sha256({_TRIM}) AS digest FROM documents WHERE length({_TRIM}) > 0")
+def subword_round_trip(spark, sf_dir):
+    """Texts that were encoded and decoded again: the same, but that this model's decoder drops one space at the start."""
+    docs = _docs(spark, sf_dir)
+    back = decoded(encoded(docs, _piece_model()), _piece_model())
+    return back.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+
+
+def _piece_model() -> bytes:
     import public_tokenizers
 
     with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
-        ids = encoded(_docs(spark, sf_dir), file.read())
-    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.md5(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary")).alias("digest"))
+        return file.read()
+
+
+@query()
+def sentencepiece_tokens(spark, sf_dir):
+    """A test holds the ids against the library on the driver."""
+    rows = framed_tokens(_docs(spark, sf_dir), _piece_model())
+    return _digests(rows.select("doc_id", (F.octet_length("raw") / 2).cast("long").alias("n_tokens"), F.col("raw").alias("digest")), "digest")

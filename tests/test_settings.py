@@ -1,5 +1,6 @@
 """Settings, checkpoints on disk and the library tokenizer."""
 
+import json
 import logging
 import math
 import os
@@ -156,3 +157,23 @@ def test_legacy_model_settings():
     for bad, shapes in (({**old, "QK_NORM": "maybe"}, {}), ({k: v for k, v in old.items() if k != "SEQ_LEN"}, {}), (old, {"a.ca.weight": (8, 1, 3), "a.cc.weight": (8, 1, 4)})):
         with pytest.raises(ValueError):
             settings.legacy_model(bad, shapes)
+
+
+def test_commands(spark, tmp_path, capsys):
+    import granary
+    from granary.__main__ import main, smoke
+
+    assert granary.corpus_stats is corpus.corpus_stats and all(hasattr(granary, name) for name in granary.__all__)
+    assert all(r["ok"] for r in smoke(spark).collect())
+    spark.createDataFrame([(i, "word " * (i + 1)) for i in range(12)], "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    docs = str(tmp_path / "docs")
+    assert main(["build", docs, str(tmp_path / "out"), "--target", "s=20", "--target", "l=100", "--shard-tokens", "32", "--dataset-revision", "r1"]) == 0
+    assert json.loads(capsys.readouterr().out.splitlines()[-1]) == {"s": {"tokens": 20, "shards": 1}, "l": {"tokens": 100, "shards": 4}}
+    assert main(["validate", str(tmp_path / "out"), "s", "l"]) == 0 and main(["validate", str(tmp_path / "out"), "none"]) == 1
+    capsys.readouterr()
+    assert main(["count", docs, "--sample-docs", "2"]) == 0
+    assert json.loads(capsys.readouterr().out.splitlines()[-1])["words"] == 3
+    assert main(["sample", docs, str(tmp_path / "sample"), "--byte-budget", "10"]) == 0
+    assert [r["text"] for r in spark.read.parquet(str(tmp_path / "sample")).orderBy("doc_id").collect()] == ["word", "word word"]
+    (tmp_path / "run.toml").write_text('name = "run"\n')
+    assert main(["check", str(tmp_path / "run.toml"), "--override", "training.epochs=7"]) == 0 and "epochs = 7" in capsys.readouterr().out
