@@ -278,15 +278,6 @@ def position(members: np.ndarray, q: int, probe: int) -> np.ndarray:
     return mix64(members ^ np.uint64(((q << 8) | probe) * 0x9E3779B97F4A7C15 & (2**64 - 1)))
 
 
-def least_count(of_level: dict[int, int], memberships: int) -> int:
-    """The least count from which all n-grams together need no more than so many memberships; of_level: n-grams by level."""
-    held, q = 0, max(of_level, default=0)
-    while q > 0 and held + q * of_level.get(q, 0) <= memberships:
-        held += q * of_level.get(q, 0)
-        q -= 1
-    return int(LEVELS[q])
-
-
 def build_segment(members: np.ndarray, counts: np.ndarray, probes: int, bits_each: float) -> np.ndarray:
     """64-bit words of one segment that holds these counts, `bits_each` bits a membership."""
     q = level(counts)
@@ -300,13 +291,13 @@ def build_segment(members: np.ndarray, counts: np.ndarray, probes: int, bits_eac
     return bits
 
 
-def train(texts: DataFrame, *, text: str = "text", segments: int | None = None, probes: int = 4, bits_each: float = 8.0, max_bits: int | None = None, flush_tokens: int = 4_000_000) -> tuple[StoredLM, DataFrame]:
+def train(texts: DataFrame, *, text: str = "text", segments: int | None = None, probes: int = 4, bits_each: float = 8.0, flush_tokens: int = 4_000_000) -> tuple[StoredLM, DataFrame]:
     """The model, and the exact counts (kind "w" blocks of token hashes) that it came from.
 
-    The filter has `bits_each` bits for each membership and holds all of them, at any size of the input. Only a caller who
-    gives `max_bits` gets a smaller one, from which the least levels of all kinds are left out, as few as will do; such
-    n-grams are smoothed as unseen.
+    The filter has `bits_each` bits, 4 at least, for each membership and holds all of them, at any size of the input.
     """
+    if bits_each < 4 or probes < 1:
+        raise ValueError("a membership needs 4 bits and a probe at least: with less, false ones outweigh the true")
     segments = segments or int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,26 +328,16 @@ def train(texts: DataFrame, *, text: str = "text", segments: int | None = None,
                 yield from _rows([("p", segment, pack(*_sum(member("p", keys), counts)))])  # keys are of no more use
                 yield from _rows(_blocks("s", *_sum(context_key(keys), counts), segments))
 
-    def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, found in _by_segment(batches).items():
-            q, n = np.unique(np.concatenate([level(x[1]) for x in found.values()]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(n, pa.int64())], ["q", "n"])
-
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for segment, found in _by_segment(batches).items():
             w = found.get("w", _NONE)
             members, counts = np.concatenate([x[0] if kind == "p" else member(kind, x[0]) for kind, x in found.items()]), np.concatenate([x[1] for x in found.values()])
-            held = counts >= floor
-            bits = build_segment(members[held], counts[held], probes, bits_each)
+            bits = build_segment(members, counts, probes, bits_each)
             columns = [pa.array([segment], pa.int32()), pa.array([int(w[1].sum())], pa.int64()), pa.array([len(w[0])], pa.int64()), pa.array([bits.tobytes()], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["segment", "n", "v", "filter"])
 
     counted = texts.select(F.col(text).alias("text")).mapInArrow(trimmed(count), _BLOCKS)
     table = written(counted.repartitionById(segments, F.col("segment")).mapInArrow(trimmed(merge), _BLOCKS), "ngrams")
-    floor = 0
-    if max_bits is not None:
-        of_level = table.repartitionById(segments, F.col("segment")).mapInArrow(levels, "q long, n long").groupBy("q").agg(F.sum("n").alias("n")).collect()
-        floor = least_count({r["q"]: r["n"] for r in of_level}, int(max_bits / bits_each))
     parts = written(table.repartitionById(segments, F.col("segment")).mapInArrow(trimmed(build), "segment int, n long, v long, filter binary"), "filter")
     whole = parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     model = StoredLM(parts.select("segment", "filter"), segments, probes, whole["n"], whole["v"])

@@ -2,7 +2,6 @@
 
 import collections
 import hashlib
-import inspect
 import math
 import pickle
 import random
@@ -272,9 +271,9 @@ def test_language_model_scores(spark, docs, empty):
         assert r["n_tokens"] == len(words) and r["n_known"] == sum(seen[w] > 0 for w in words) and r["train_tokens"] == total
         assert r["base_score"] == pytest.approx(sum(math.log10((seen[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in words))
         assert r["score"] < 0
-    small, _ = bloom_lm.train(rows.filter("not held_out"), segments=5, max_bits=2_000)
-    assert 64 * len(small.bits) <= 2_000 + 5 * 64 < 64 * len(model.bits) and small.train_tokens == total
-    assert bloom_lm.least_count({1: 5, 2: 3, 4: 1}, 10) == 2 and bloom_lm.least_count({1: 5}, 5) == 1 and bloom_lm.least_count({}, 0) == 1
+    for setting in ({"bits_each": 3.0}, {"probes": 0}):
+        with pytest.raises(ValueError):
+            bloom_lm.train(rows, **setting)
     none, nothing = bloom_lm.train(empty.select("text"), segments=2)
     assert none.train_tokens == 0
     one = bloom_lm.score(rows.filter("doc_id = 3").limit(1), none, nothing).first()
@@ -284,7 +283,6 @@ def test_language_model_scores(spark, docs, empty):
 
 def test_filter_is_neither_cut_nor_broadcast(spark, docs, monkeypatch):
     rows = docs.withColumn("held_out", F.col("doc_id") % 3 == 1)
-    assert inspect.signature(bloom_lm.train).parameters["max_bits"].default is None
     model, counts = bloom_lm.train(rows.filter("not held_out"), segments=5, bits_each=2_000.0)
     sent, broadcast = [], type(spark.sparkContext).broadcast
     monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(len(pickle.dumps(value))) or broadcast(self, value))
@@ -312,6 +310,14 @@ def test_pairs_seen_once_count(spark):
     assert got[3] == pytest.approx(after(1, 1, 1) + after(0, 1, 0) + after(0, 0, 1))
 
 
+def test_scores_beat_the_base_under_any_setting(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").withColumn("held_out", F.col("doc_id") % 5 == 1)
+    for setting in ({}, {"bits_each": 4.0, "probes": 3}, {"segments": 1}):
+        model, counts = bloom_lm.train(docs.filter("not held_out"), **setting)
+        held = bloom_lm.score(docs, model, counts).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+        assert held[0] > held[1]
+
+
 def test_filter_levels():
     keys = np.arange(1, 3001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     counts = np.arange(1, 3001)
