@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import ALNUM, Spans, text_slabs, words
+from granary.llm.common import ALNUM, Spans, text_slabs, words, written
 
 #: Identity terms by group; each may stand for another of its group.
 IDENTITY = (
@@ -128,7 +128,7 @@ def train(labelled: DataFrame, *, max_features: int = 4000, identity: Sequence[S
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(count)]).astype(np.int32), pa.array(pair[:, 1].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), lists], ["toxic", "features"])
 
-    sets = rows.mapInArrow(found, "toxic int, features array<long>")
+    sets = written(rows.mapInArrow(found, "toxic int, features array<long>"), "labelled")  # texts are read once
     n, pos = (int(x or 0) for x in sets.agg(F.count("*"), F.sum("toxic")).first())
     a, b = F.col("a"), F.col("b")  # toxic and other texts that have the feature
     chi = (a * (n - pos) - b * pos) * (a * (n - pos) - b * pos) / ((a + b) * (n - a - b) + 1)
