@@ -45,13 +45,15 @@ def run_of(order: Column, cuts: list) -> Column:
     return F.when(coarse == 0, 0).otherwise((coarse - 1) * k + less(F.slice(F.lit(cuts), (coarse - 1) * k + 1, F.lit(k))))
 
 
-def _runs(rows: DataFrame, order: str, value: str, runs: int | None) -> tuple[Column, list[int]]:
+def _runs(rows: DataFrame, order: str, value: str, runs: int | None, over: DataFrame | None = None) -> tuple[Column, list[int]]:
     """Each row's run, by quantiles of `order`, and the sum of `value` before each run.
 
-    There are as many runs as shuffles have partitions, or rows over RUN_ROWS if more, MOST_RUNS at most.
+    There are as many runs as shuffles have partitions, or rows over RUN_ROWS if more, MOST_RUNS at most. over: rows that
+    are cheaper to read and have as good an `order`, for the quantiles.
     """
-    wanted = runs or min(MOST_RUNS, max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // RUN_ROWS)))
-    cuts = rows.select(F.percentile_approx(order, [i / wanted for i in range(1, wanted)], max(10_000, 10 * wanted))).first()[0] if wanted > 1 else []
+    over = rows if over is None else over
+    wanted = runs or min(MOST_RUNS, max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-over.count() // RUN_ROWS)))
+    cuts = over.select(F.percentile_approx(order, [i / wanted for i in range(1, wanted)], max(10_000, 10 * wanted))).first()[0] if wanted > 1 else []
     run = run_of(F.col(order), sorted(set(cuts or [])))
     sums = {r["run"]: r["sum"] for r in rows.groupBy(run.alias("run")).agg(F.sum(value).alias("sum")).collect()}
     starts, total = [], 0
@@ -61,12 +63,12 @@ def _runs(rows: DataFrame, order: str, value: str, runs: int | None) -> tuple[Co
     return run, starts
 
 
-def running_total(rows: DataFrame, order: str, value: str, out: str, runs: int | None = None) -> DataFrame:
+def running_total(rows: DataFrame, order: str, value: str, out: str, runs: int | None = None, over: DataFrame | None = None) -> DataFrame:
     """Adds `out`, the sum of `value` over all rows before in `order` (then in `value`), without a window over the whole table.
 
     Sums run inside a run of `order` and start at the sum of the runs before.
     """
-    run, starts = _runs(rows, order, value, runs)
+    run, starts = _runs(rows, order, value, runs, over)
     inside = Window.partitionBy("run_").orderBy(order, value).rowsBetween(Window.unboundedPreceding, -1)
     start = F.element_at(F.lit(starts), F.col("run_") + 1)
     rows = rows.withColumn("run_", run)
@@ -82,12 +84,12 @@ def token_sizes(docs: DataFrame, proto: bytes | None = None) -> DataFrame:
 
 def token_offsets(docs: DataFrame, proto: bytes | None = None) -> DataFrame:
     """doc_id, n_tokens (framed), start_pos; sizes alone are ordered, not texts."""
-    return running_total(token_sizes(docs, proto), "doc_id", "n_tokens", "start_pos")
+    return running_total(token_sizes(docs, proto), "doc_id", "n_tokens", "start_pos", over=docs.select("doc_id"))
 
 
 def token_stream(docs: DataFrame, proto: bytes | None = None, runs: int | None = None) -> DataFrame:
     """doc_id, start_pos, n_tokens, raw; each partition is a run of the stream, in order. Of repeated ids the shorter come first."""
-    run, starts = _runs(token_sizes(docs, proto), "doc_id", "n_tokens", runs)
+    run, starts = _runs(token_sizes(docs, proto), "doc_id", "n_tokens", runs, docs.select("doc_id"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = framed_tokens(docs, proto).withColumn("run", run.cast("int")).withColumn("n_tokens", (F.octet_length("raw") / 2).cast("long"))
 
@@ -265,7 +267,7 @@ def byte_budget_sample(docs: DataFrame, budget: int, *, with_text: bool = False)
     after it is cut; ids name documents.
     """
     sizes = nonblank(docs).select("doc_id", F.octet_length(strip(F.col("text"))).cast("long").alias("n_bytes"))
-    sample = running_total(sizes, "doc_id", "n_bytes", "before").filter(F.col("before") < budget).select("doc_id", "n_bytes", "before")
+    sample = running_total(sizes, "doc_id", "n_bytes", "before", over=docs.select("doc_id")).filter(F.col("before") < budget).select("doc_id", "n_bytes", "before")
     return sample.join(nonblank(docs).select("doc_id", strip(F.col("text")).alias("text")), "doc_id") if with_text else sample
 
 
