@@ -177,7 +177,7 @@ def _cut(length: int):
             ids, begin = raw_ids(batch.column(2))
             breaks = np.flatnonzero(start[1:] != start[:-1] + n[:-1]) + 1
             for lo, hi in zip([0, *breaks], [*breaks, len(n)], strict=True):
-                if start[lo] != at + len(held) or not len(held) and not fresh and start[lo] != at:
+                if start[lo] != at + len(held):
                     yield from cut(True)
                     held, at, fresh = np.zeros(0, np.uint16), int(start[lo]), True
                 held = np.concatenate([held, ids[begin[lo] : begin[hi]]])

@@ -127,7 +127,7 @@ def parameter_count(model: Mapping[str, Any]) -> int:
     return model["vocab_size"] * d + model["n_blocks"] * block + d
 
 
-def find_checkpoint(folder: str | Path, chosen: str | None = None) -> Path:
+def find_checkpoint(folder: str | Path, chosen: str | None = None, suffix: str = "pt") -> Path:
     """The file that is named, or the latest managed one, or the only other one."""
     folder = Path(folder)
     if not folder.is_dir():
@@ -137,9 +137,9 @@ def find_checkpoint(folder: str | Path, chosen: str | None = None) -> Path:
         if not path.is_file():
             raise FileNotFoundError(str(path))
         return path
-    rank = lambda p: (re.fullmatch(r"step_[0-9]+\.pt", p.name) is not None, p.stat().st_mtime_ns, p.name)
+    rank = lambda p: (re.fullmatch(rf"step_[0-9]+\.{suffix}", p.name) is not None, p.stat().st_mtime_ns, p.name)
     at = next(f for f in (folder / "checkpoints", folder) if f.is_dir())
-    ranked = sorted((rank(p), p) for p in at.glob("*.pt") if p.is_file())
+    ranked = sorted((rank(p), p) for p in at.glob(f"*.{suffix}") if p.is_file())
     if not ranked:
         raise FileNotFoundError(f"no checkpoints in {at}")
     (managed, *_), best = ranked[-1]
