@@ -187,6 +187,15 @@ def jaccard_classes(docs: DataFrame, *, text: str = "text", threshold: float = 0
     placed = placed.join(nodes.select("node", "sketch"), "node").repartition("block").sortWithinPartitions("block")
     fewest = least_matches(threshold, tolerance, size, step)
 
+    def close(values: np.ndarray, lo: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs that are left once all values are compared, `step` at a time."""
+        matches = np.zeros(len(i), np.int64)
+        for at, least in zip(range(0, size, step), fewest, strict=True):
+            matches += (values[lo + i, at : at + step] == values[lo + j, at : at + step]).sum(axis=1)
+            ok = matches >= least
+            i, j, matches = i[ok], j[ok], matches[ok]
+        return i, j
+
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches):
             group, node, part = (table.column(c).to_numpy() for c in ("block", "node", "part"))
@@ -196,12 +205,8 @@ def jaccard_classes(docs: DataFrame, *, text: str = "text", threshold: float = 0
                 i, j = pairs_within(group[lo:hi])
                 ok = ~crossed[lo + i] | (part[lo + i] != part[lo + j])
                 i, j = i[ok], j[ok]
-                matches = np.zeros(len(i), np.int64)
-                for at, least in zip(range(0, size, step), fewest, strict=True):
-                    matches += (values[lo + i, at : at + step] == values[lo + j, at : at + step]).sum(axis=1)
-                    ok = matches >= least
-                    i, j, matches = i[ok], j[ok], matches[ok]
-                label = forest(hi - lo, i, j)
+                kept = [close(values, lo, i[at : at + 50_000], j[at : at + 50_000]) for at in range(0, len(i), 50_000)]
+                label = forest(hi - lo, *(np.concatenate([np.zeros(0, np.int64), *(x[side] for x in kept)]) for side in (0, 1)))
                 moved = np.flatnonzero(label != np.arange(hi - lo))
                 if len(moved):
                     yield pa.RecordBatch.from_arrays([pa.array(node[lo:hi][moved]), pa.array(node[lo:hi][label[moved]])], ["a", "b"])

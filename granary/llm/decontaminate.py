@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type, to_arrow_type
 
-from granary.llm.common import ALNUM, Spans, mix64, text_slabs, words, written
+from granary.llm.common import ALNUM, Spans, mix64, text_slabs, trimmed, words, written
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -325,7 +325,7 @@ def contamination(docs: DataFrame, blocks: list[Benchmark], *, text: str = "text
                             ids = batch.column(0).take(pa.array(lo + np.repeat(row, count)))
                             yield pa.RecordBatch.from_arrays([ids, block.ids.take(pa.array(which)), *(pa.array(np.repeat(x, count)) for x in found)], names)
 
-        part = docs.select("doc_id", F.col(text).alias("text_")).mapInArrow(run, "doc_id {}, item_id {}, edits long, similarity double, first_word long, end_word long".format(*kinds))
+        part = docs.select("doc_id", F.col(text).alias("text_")).mapInArrow(trimmed(run), "doc_id {}, item_id {}, edits long, similarity double, first_word long, end_word long".format(*kinds))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -349,5 +349,5 @@ def decontaminated(docs: DataFrame, blocks: list[Benchmark], *, text: str = "tex
                         clean[lo + block.find(hashes, first)[0]] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(trimmed(run), docs.schema)
     return docs

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import written
+from granary.llm.common import trimmed, written
 
 WHITE = r"[\x20\x09-\x0D]"
 _RUN = "digest binary, check long, best_len long, best_id {}, n long, owner int, at int"
@@ -74,12 +74,12 @@ def digest_groups(docs: DataFrame, partitions: int | None = None, fan_in_bits: i
         F.pmod(F.spark_partition_id(), F.lit(size)).cast("int").alias("at"),
     )
     run = _RUN.format(docs.schema["doc_id"].dataType.simpleString())
-    runs = runs.sortWithinPartitions("digest", "check").mapInArrow(_merge, run)
+    runs = runs.sortWithinPartitions("digest", "check").mapInArrow(trimmed(_merge), run)
     for low in range(0, bits, fan_in_bits):
         mask = ((1 << min(fan_in_bits, bits - low)) - 1) << low
         there = F.col("at").bitwiseAND(~mask & (size - 1)).bitwiseOR(F.col("owner").bitwiseAND(mask))
-        runs = runs.withColumn("at", there).repartitionById(size, F.col("at")).sortWithinPartitions("digest", "check").mapInArrow(_merge, run)
-    return (runs if bits else runs.coalesce(1).sortWithinPartitions("digest", "check").mapInArrow(_merge, run)).select("digest", "check", "best_id", "n")
+        runs = runs.withColumn("at", there).repartitionById(size, F.col("at")).sortWithinPartitions("digest", "check").mapInArrow(trimmed(_merge), run)
+    return (runs if bits else runs.coalesce(1).sortWithinPartitions("digest", "check").mapInArrow(trimmed(_merge), run)).select("digest", "check", "best_id", "n")
 
 
 def text_digest(text: str = "text") -> Column:
