@@ -163,7 +163,7 @@ class BloomLM:
     probes: int
     train_tokens: int
     distinct: int
-    mu: float = 1.0
+    mu: float = 64.0
 
     def levels(self, kind: str, keys: np.ndarray) -> np.ndarray:
         return self.held(member(kind, keys))
@@ -193,7 +193,7 @@ class StoredLM:
     probes: int
     train_tokens: int
     distinct: int
-    mu: float = 1.0
+    mu: float = 64.0
 
     @property
     def bits(self) -> np.ndarray:
@@ -291,10 +291,11 @@ def build_segment(members: np.ndarray, counts: np.ndarray, probes: int, bits_eac
     return bits
 
 
-def train(texts: DataFrame, *, text: str = "text", segments: int | None = None, probes: int = 4, bits_each: float = 8.0, flush_tokens: int = 4_000_000) -> tuple[StoredLM, DataFrame]:
+def train(texts: DataFrame, *, text: str = "text", segments: int | None = None, probes: int = 4, bits_each: float = 8.0, mu: float = 64.0, flush_tokens: int = 4_000_000) -> tuple[StoredLM, DataFrame]:
     """The model, and the exact counts (kind "w" blocks of token hashes) that it came from.
 
     The filter has `bits_each` bits, 4 at least, for each membership and holds all of them, at any size of the input.
+    `mu` is the weight of p(w) after any word, in occurrences.
     """
     if bits_each < 4 or probes < 1:
         raise ValueError("a membership needs 4 bits and a probe at least: with less, false ones outweigh the true")
@@ -340,7 +341,7 @@ def train(texts: DataFrame, *, text: str = "text", segments: int | None = None,
     table = written(counted.repartitionById(segments, F.col("segment")).mapInArrow(trimmed(merge), _BLOCKS), "ngrams")
     parts = written(table.repartitionById(segments, F.col("segment")).mapInArrow(trimmed(build), "segment int, n long, v long, filter binary"), "filter")
     whole = parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
-    model = StoredLM(parts.select("segment", "filter"), segments, probes, whole["n"], whole["v"])
+    model = StoredLM(parts.select("segment", "filter"), segments, probes, whole["n"], whole["v"], mu)
     return model, table.filter("kind = 'w'")
 
 

@@ -300,7 +300,7 @@ def test_filter_is_neither_cut_nor_broadcast(spark, docs, monkeypatch):
 
 def test_pairs_seen_once_count(spark):
     rows = spark.createDataFrame([(0, "a b c d", False), (1, "a b", True), (2, "c b", True), (3, "a q", True)], "doc_id long, text string, held_out boolean")
-    model, counts = bloom_lm.train(rows.filter("not held_out"), segments=3, bits_each=64.0)
+    model, counts = bloom_lm.train(rows.filter("not held_out"), segments=3, bits_each=64.0, mu=1.0)
     got = {r["doc_id"]: r["score"] for r in bloom_lm.score(rows, model, counts).collect()}
     p = lambda seen: (seen + 0.5) / (5 + 0.5 * 6)
     after = lambda pair, context, seen: math.log10((pair + (context - min(context, 1) + 1) * p(seen)) / (context + 1))
@@ -312,7 +312,7 @@ def test_pairs_seen_once_count(spark):
 
 def test_scores_beat_the_base_under_any_setting(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").withColumn("held_out", F.col("doc_id") % 5 == 1)
-    for setting in ({}, {"bits_each": 4.0, "probes": 3}, {"segments": 1}):
+    for setting in ({}, {"bits_each": 4.0, "probes": 3}, {"bits_each": 32.0, "segments": 1}, {"mu": 8.0}):
         model, counts = bloom_lm.train(docs.filter("not held_out"), **setting)
         held = bloom_lm.score(docs, model, counts).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
         assert held[0] > held[1]
