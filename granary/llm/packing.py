@@ -178,17 +178,19 @@ def _packed(capacity: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_groups(batches, "group"):
-            lengths = rows.column("length").to_numpy()
-            window = windows_for(lengths, capacity)
-            order = np.lexsort((np.arange(len(window)), window))
-            ends = np.cumsum(lengths[order])
-            before = ends - lengths[order]
-            first = np.concatenate([[True], window[order][1:] != window[order][:-1]])
-            offset = np.empty(len(window), np.int64)
-            offset[order] = before - np.maximum.accumulate(np.where(first, before, 0))
-            group = rows.column("group").to_numpy()
-            arrays = [*(rows.column(c).combine_chunks() for c in ("row", "start")), pa.array((group << _WINDOW_BITS) + window), pa.array(offset)]
-            yield pa.RecordBatch.from_arrays(arrays, ["row", "start", "sequence_id", "offset"])
+            groups = rows.column("group").to_numpy()
+            edges = np.concatenate([[0], np.flatnonzero(groups[1:] != groups[:-1]) + 1, [len(groups)]])
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                own = rows.slice(lo, hi - lo)
+                lengths = own.column("length").to_numpy()
+                window = windows_for(lengths, capacity)
+                order = np.argsort(window, kind="stable")
+                before = np.cumsum(lengths[order]) - lengths[order]
+                first = np.concatenate([[True], window[order][1:] != window[order][:-1]])
+                offset = np.empty(len(window), np.int64)
+                offset[order] = before - np.maximum.accumulate(np.where(first, before, 0))
+                arrays = [*(own.column(c).combine_chunks() for c in ("row", "start")), pa.array((groups[lo] << _WINDOW_BITS) + window), pa.array(offset)]
+                yield pa.RecordBatch.from_arrays(arrays, ["row", "start", "sequence_id", "offset"])
 
     return trimmed(run)
 
