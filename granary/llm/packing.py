@@ -11,6 +11,7 @@ Texts are read once and never shuffled; ids wait in the shared folder, and only
 from __future__ import annotations
 
 import heapq
+import json
 import os
 import re
 import zlib
@@ -27,18 +28,28 @@ from granary.llm.common import trimmed, whole_groups, written
 CACHED_WORDS = 1 << 19
 #: Python's white space that the tokenizer's pattern does not take for white space.
 _NO_BREAK = re.compile("[\x1c-\x1f]")
+#: Letters that every rule of Unicode takes alike, and a mark that is a token of its own.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)").fullmatch
 #: Bits of a sequence id for the window in its group.
 _WINDOW_BITS = 20
 #: Bytes of ids in a batch that a task gives back.
 _OUT_BYTES = 16 << 20
 
 
+def _kinds(rules: dict, step: str) -> list[str]:
+    """The kinds of a tokenizer's rules of one step, where they are a sequence."""
+    own = rules.get(step) or {}
+    return [rule["type"] for rule in own.get("normalizers" if step == "normalizer" else "pretokenizers", [])]
+
+
 class Words:
     """Ids of a text, as bytes of little-endian 32-bit ids, by way of its words.
 
     The tokenizer's rules never reach over white space, so a text's ids are its words' ids in a row; each word is given
     to the tokenizer once and then kept, in two generations, so memory is bounded. A text that holds one of the four
-    separators that only Python takes for white space goes to the tokenizer whole.
+    separators that only Python takes for white space goes to the tokenizer whole. Where the tokenizer's rules are NFC,
+    white space, lower case, runs of letters and bytes, as in the public one, a plain word is its letters in lower case and
+    maybe a mark of its own: the letters, which more words share, then go to the same merges without those rules.
     """
 
     def __init__(self, spec: str):
@@ -46,27 +57,49 @@ class Words:
         from tokenizers import Tokenizer
 
         self.spec = spec
-        self.tokenizer = Tokenizer.from_str(spec)
+        self.tokenizer, self.bare = Tokenizer.from_str(spec), None
+        rules = json.loads(spec)
+        if [_kinds(rules, "normalizer"), _kinds(rules, "pre_tokenizer")] == [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]]:
+            last = rules["pre_tokenizer"]["pretokenizers"][-1]
+            self.bare = Tokenizer.from_str(json.dumps(rules | {"normalizer": None, "pre_tokenizer": last, "added_tokens": []}))
+        self.marks = dict(zip(["", ".", ","], [b"", *self._encoded(self.tokenizer, [".", ","])]))
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _encoded(self, texts: list[str]) -> list[bytes]:
+    @staticmethod
+    def _encoded(tokenizer, texts: list[str]) -> list[bytes]:
         found = []
         for lo in range(0, len(texts), 4096):
-            found += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts[lo : lo + 4096], add_special_tokens=False)]
+            found += [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts[lo : lo + 4096], add_special_tokens=False)]
         return found
 
+    def _learn(self, words: set[str]) -> None:
+        odd, plain, cores = [], [], set()
+        for word in words:
+            if (kept := self.old.get(word)) is not None:
+                self.young[word] = kept
+            elif self.bare and (found := _PLAIN(word)):
+                plain.append((word, core := found[1].lower(), found[2]))
+                if core not in self.young:
+                    if (kept := self.old.get(core)) is not None:
+                        self.young[core] = kept
+                    else:
+                        cores.add(core)
+            else:
+                odd.append(word)
+        for tokenizer, new in ((self.tokenizer, odd), (self.bare, list(cores))):
+            self.young.update(zip(new, self._encoded(tokenizer, new)))
+        self.young.update((word, self.young[core] + self.marks[mark]) for word, core, mark in plain)
+
     def ids(self, text: str) -> bytes:
         if _NO_BREAK.search(text):
-            return self._encoded([text])[0]
+            return self._encoded(self.tokenizer, [text])[0]
         words = text.split()
         if new := set(words).difference(self.young):
-            if len(self.young) + len(new) > CACHED_WORDS:
+            if len(self.young) + 2 * len(new) > CACHED_WORDS:
                 self.old, self.young = self.young, {}
                 new = set(words)
-            unseen = list(new.difference(self.old))
-            self.young.update((word, self.old[word]) for word in new.difference(unseen))
-            self.young.update(zip(unseen, self._encoded(unseen)))
+            self._learn(new)
         return b"".join(map(self.young.__getitem__, words))
 
 

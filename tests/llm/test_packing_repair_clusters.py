@@ -118,7 +118,39 @@ def test_word_cache_is_bounded_and_exact(monkeypatch):
     for i in range(60):
         text = " ".join(f"w{random.Random(i * 31 + j).randint(0, 50)}é." for j in range(random.Random(i).randint(0, 30)))
         assert np.frombuffer(words.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
-        assert len(words.young) <= 50
+        assert len(words.young) <= 80
+
+
+def test_plain_words_take_the_short_way():
+    from tokenizers import Tokenizer
+
+    spec = word_tokenizer()
+    words, tokenizer = packing.Words(spec), Tokenizer.from_str(spec)
+    assert words.bare is not None
+    texts = ["Grüße, ÉCOLE. straße Ñandú,, e\u0301t\u00e9. a. A, ß. ÿÿ", "it's IT'S don't.x x.y ª º µ, ÷ × İi ſs ﬁ.", "\u0130. \u1e9e, ǅ. Σ. ΑΣ, <|startoftext|> <|endoftext|>. \ufeff. \u200b,"]
+    for text in texts:
+        assert np.frombuffer(words.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    rules = __import__("json").loads(spec)
+    rules["normalizer"] = None
+    other = __import__("json").dumps(rules)
+    assert packing.Words(other).bare is None
+    assert np.frombuffer(packing.Words(other).ids(texts[0]), "<u4").tolist() == Tokenizer.from_str(other).encode(texts[0], add_special_tokens=False).ids
+
+
+def test_words_equal_the_library_on_any_text():
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+    from tokenizers import Tokenizer
+
+    words, tokenizer = packing.Words(word_tokenizer()), Tokenizer.from_str(word_tokenizer())
+    alphabet = st.one_of(st.sampled_from(" .,'ABCabcéÉßÿ\n\t\u0301\u0308\xa0\x85\x1c\u2003\u3000I\u0130<|>"), st.characters(exclude_categories=["Cs"]))
+
+    @settings(max_examples=600, deadline=None)
+    @given(st.text(alphabet, max_size=40))
+    def same(text):
+        assert np.frombuffer(words.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+    same()
 
 
 # Conversation repair.
