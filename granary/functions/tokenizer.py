@@ -98,6 +98,13 @@ def raw_ids(raw: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data.view("<u2"), (offsets - offsets[0]) // 2
 
 
+def framed_steps(texts: pa.Array, proto: bytes | None = None) -> Iterator[tuple[int, int, pa.Array]]:
+    """(first row, row after the last, ids between a begin and an end id) of stripped texts, some at a time; without a sentencepiece model, an id a byte."""
+    for lo, hi in _steps(texts):
+        ids, at = _framed_pieces(processor(proto), texts.slice(lo, hi - lo)) if proto else _framed_bytes(texts.slice(lo, hi - lo))
+        yield lo, hi, raw_array(ids, at)
+
+
 def framed_tokens(docs: DataFrame, proto: bytes | None = None) -> DataFrame:
     """doc_id, raw: each stripped text's ids between a begin and an end id, as 16-bit bytes; blank texts go.
 
@@ -109,10 +116,8 @@ def framed_tokens(docs: DataFrame, proto: bytes | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in _steps(batch.column(1)):
-                texts = batch.column(1).slice(lo, hi - lo)
-                ids, at = _framed_pieces(processor(proto), texts) if proto else _framed_bytes(texts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), raw_array(ids, at)], ["doc_id", "raw"])
+            for lo, hi, raw in framed_steps(batch.column(1), proto):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), raw], ["doc_id", "raw"])
 
     return docs.filter(~is_blank(F.col("text"))).select("doc_id", strip(F.col("text")).alias("text")).mapInArrow(run, f"doc_id {kind}, raw binary")
 

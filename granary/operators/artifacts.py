@@ -6,11 +6,8 @@ import hashlib
 import json
 import os
 import re
-import shutil
-import uuid
 from collections import Counter
 from collections.abc import Iterator, Sequence
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.operators.corpus import prefix, shard_pieces, token_offsets, token_stream
+from granary.sources.files import exists, read_json, sizes
+from granary.sources.shards import STORAGE, file_digests, shard_file, write_shards
 
-#: The storage header of every artifact.
-STORAGE = {"dtype": "uint16", "endianness": "little", "layout": "flat_token_stream"}
 _NAME = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]*\Z")
 
 
@@ -31,78 +28,45 @@ def uint16_bytes(ids) -> bytes:
     return values.astype("<u2").tobytes()
 
 
-def shard_file(number: int) -> str:
-    return f"tokens-{number:05d}.bin"
+def shard_manifest(stream: DataFrame, size: int) -> DataFrame:
+    """shard, file, tokens, bytes, sha256 of each shard; pieces come to a task in order and go to the digest one by one."""
 
-
-def shard_manifest(stream: DataFrame, size: int, directory: str | None = None) -> DataFrame:
-    """shard, file, tokens, bytes, sha256 of each shard; with a directory, the files are written there.
-
-    Pieces come to a task in order and go to digest and file one by one, so a shard of any size takes a batch's memory.
-    A task that is tried again writes the same bytes to a name of its own and renames it, so attempts can't mix.
-    """
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own, out, digest, n = None, None, None, None, 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, digest, n = None, None, 0
 
         def done() -> Iterator[pa.RecordBatch]:
-            if at is None:
-                return
-            if out:
-                out.close()
-                os.replace(own, Path(directory, shard_file(at)))
-            columns = [pa.array([at], pa.int64()), pa.array([shard_file(at)]), pa.array([n // 2], pa.int64()), pa.array([n], pa.int64()), pa.array([digest.hexdigest()])]
-            yield pa.RecordBatch.from_arrays(columns, ["shard", "file", "tokens", "bytes", "sha256"])
+            if at is not None:
+                columns = [pa.array([at], pa.int64()), pa.array([shard_file(at)]), pa.array([n // 2], pa.int64()), pa.array([n], pa.int64()), pa.array([digest.hexdigest()])]
+                yield pa.RecordBatch.from_arrays(columns, ["shard", "file", "tokens", "bytes", "sha256"])
 
         for batch in batches:
             for number, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if number != at:
                     yield from done()
                     at, digest, n = number, hashlib.sha256(), 0
-                    if directory:
-                        own = Path(directory, f".{shard_file(number)}.{uuid.uuid4().hex}")
-                        out = own.open("wb")
                 piece = raw.as_buffer()
                 digest.update(piece)
                 n += piece.size
-                if out:
-                    out.write(piece)
         yield from done()
 
     pieces = shard_pieces(stream, size).repartition("shard").sortWithinPartitions("shard", "from_pos")
-    return pieces.select("shard", "raw").mapInArrow(write, "shard long, file string, tokens long, bytes long, sha256 string")
-
-
-def metadata(manifest: list, size: int, **extras) -> dict:
-    """The record of an artifact; extras come last and may replace its fields."""
-    files = [{"file": r["file"], "tokens": r["tokens"], "bytes": r["bytes"], "sha256": r["sha256"]} for r in sorted(manifest, key=lambda r: r["shard"])]
-    return {"format_version": 1, "storage": {**STORAGE, "shard_token_limit": size}, "token_count": sum(f["tokens"] for f in files), "shards": files, "document_encoding": ["BOS", "content", "EOS"], **extras}
+    return pieces.select("shard", "raw").mapInArrow(run, "shard long, file string, tokens long, bytes long, sha256 string")
 
 
 def publish(stream: DataFrame, root: str, name: str, size: int, *, overwrite: bool = False, **extras) -> dict:
-    """Writes an artifact under root/name: shards to a hidden folder, then the record, then one rename.
+    """Writes an artifact under root, a path or URI that driver and executors reach, and gives back its record.
 
-    root is a folder that driver and executors share. The manifest, a row a shard, is all that comes to the driver.
+    An old artifact of the name stands until the new one is whole; see ShardWriter.
     """
     if not _NAME.match(name) or size < 1:
         raise ValueError(f"not a name of an artifact and a shard size over 0: {name!r}, {size}")
-    final, temporary = Path(root, name), Path(root, f".{name}.tmp")
-    if final.exists() and not overwrite:
+    final = f"{root.rstrip('/')}/{name}"
+    if exists(final) and not overwrite:
         raise FileExistsError(f"{final} exists; overwrite=True replaces it")
-    shutil.rmtree(temporary, ignore_errors=True)
-    temporary.mkdir(parents=True)
-    record = metadata(shard_manifest(stream, size, str(temporary)).collect(), size, **extras)
-    if not record["token_count"]:
-        shutil.rmtree(temporary)
+    if stream.isEmpty():
         raise ValueError("the stream has no tokens")
-    (temporary / "metadata.json").write_text(json.dumps(record, indent=2, sort_keys=True) + "\n", encoding="utf-8")
-    old = Path(root, f".{name}.old")  # stands until the new one is in place
-    if final.exists():
-        shutil.rmtree(old, ignore_errors=True)
-        os.replace(final, old)
-    os.replace(temporary, final)
-    shutil.rmtree(old, ignore_errors=True)
-    return record
+    write_shards(shard_pieces(stream, size), final, size, overwrite=overwrite, **extras)
+    return read_json(f"{final}/metadata.json")
 
 
 def build_artifacts(docs: DataFrame, root: str, targets: dict[str, int], size: int, *, overwrite: bool = False, proto: bytes | None = None, **extras) -> dict[str, dict]:
@@ -111,16 +75,13 @@ def build_artifacts(docs: DataFrame, root: str, targets: dict[str, int], size: i
     proto: a sentencepiece model; without one, an id a byte. What each prefix holds comes from sizes alone.
     """
     for name in targets:
-        if Path(root, name).exists() and not overwrite:
-            raise FileExistsError(f"{Path(root, name)} exists")
-    offsets = token_offsets(docs, proto).cache()
-    try:
-        total = offsets.agg(F.sum("n_tokens")).first()[0] or 0
-        if total < max(targets.values()):
-            raise ValueError(f"the documents have {total} tokens; {max(targets.values())} are wanted")
-        ends = {n: prefix(offsets, t).agg(F.max(F.col("start_pos") + F.col("n_tokens"))).first()[0] for n, t in targets.items()}
-    finally:
-        offsets.unpersist()
+        if exists(final := f"{root.rstrip('/')}/{name}") and not overwrite:
+            raise FileExistsError(f"{final} exists")
+    offsets = token_offsets(docs, proto)
+    total = offsets.agg(F.sum("n_tokens")).first()[0] or 0
+    if total < max(targets.values()):
+        raise ValueError(f"the documents have {total} tokens; {max(targets.values())} are wanted")
+    ends = {n: prefix(offsets, t).agg(F.max(F.col("start_pos") + F.col("n_tokens"))).first()[0] for n, t in targets.items()}
     ordered, out, stream = sorted(targets, key=targets.get), {}, token_stream(docs, proto)
     for name, larger in zip(ordered, [*ordered[1:], None], strict=True):
         about = {"target_token_count": targets[name], "ends_at_document_boundary": ends[name] == targets[name], "is_prefix_of": larger}
@@ -186,11 +147,9 @@ def reader_checks(record: dict, sizes: dict[str, int], length: int) -> list[tupl
 def opened(directory: str) -> tuple[dict, dict[str, int]]:
     """An artifact's record, and its folder's files with their sizes."""
     try:
-        record = json.loads(Path(directory, "metadata.json").read_text(encoding="utf-8"))
+        return read_json(f"{directory.rstrip('/')}/metadata.json"), sizes(directory)
     except json.JSONDecodeError as bad:
         raise ValueError(f"the record in {directory} is not JSON: {bad}") from bad
-    with os.scandir(directory) as files:
-        return record, {f.name: f.stat().st_size for f in files if f.is_file()}
 
 
 def artifact_checks(spark: SparkSession, root: str, names: Sequence[str]) -> DataFrame:
@@ -198,7 +157,7 @@ def artifact_checks(spark: SparkSession, root: str, names: Sequence[str]) -> Dat
     rows = []
     for name in names:
         try:
-            rows += [(name, check, ok, "" if ok else detail) for check, ok, detail in [("record", True, ""), *record_checks(*opened(str(Path(root, name))))]]
+            rows += [(name, check, ok, "" if ok else detail) for check, ok, detail in [("record", True, ""), *record_checks(*opened(f"{root.rstrip('/')}/{name}"))]]
         except (OSError, ValueError) as bad:
             rows.append((name, "record", False, str(bad)))
     return spark.createDataFrame(rows, "artifact string, check string, ok boolean, detail string")
@@ -216,12 +175,6 @@ def validate(directory: str, *, check_digests: bool = False, spark: SparkSession
     return record["token_count"], 2 * record["token_count"]
 
 
-def file_digests(spark: SparkSession, directory: str, pattern: str = "*") -> DataFrame:
-    """file, bytes, sha256 of the files of a folder; a file is a row."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(directory)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-
-
 def identity(record: dict) -> str:
     """SHA-256 of what makes an artifact the same data wherever it lies: canonical JSON of storage, tokenizer, counts and shard digests."""
     tokenizer = record.get("tokenizer") or {}

@@ -1,8 +1,9 @@
 """From documents to framed tokens, global offsets, prefixes, shards and blocks.
 
 Order is a column: documents are in order of doc_id, tokens of their position. A document's ids stay one binary value of
-16-bit ids, cut by slices; tokens are never exploded to rows. Offsets come from sizes alone; ids are shuffled once, to
-the run of the stream that they are part of, where whole blocks are cut; only what lies at a run's ends moves again.
+16-bit ids, cut by slices; tokens are never exploded to rows. Offsets come from sizes alone; texts are shuffled once, to
+the run of the stream that they are part of, whose ids are written in order; whole blocks are cut from them as they are
+read, and only what lies at a run's ends moves again.
 """
 
 from __future__ import annotations
@@ -11,14 +12,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.text import is_blank, strip, word_count
-from granary.functions.tokenizer import framed_tokens, raw_array, raw_ids, token_measures, with_ids
+from granary.functions.tokenizer import check, framed_steps, framed_tokens, raw_array, raw_ids, token_measures, with_ids
+from granary.operators.ordered import at_starts, binned, last_mark, overlaps, running_total
+from granary.sources.files import written
 
-#: Rows of (order, size) that a run of the stream should have, and the most runs: their cuts and sums go through the driver.
-RUN_ROWS, MOST_RUNS = 1_000_000, 16_384
+#: Bytes of text that a run of the stream should have.
+RUN_BYTES = 64 << 20
 
 
 def nonblank(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -35,78 +38,55 @@ def framed_bytes(docs: DataFrame) -> DataFrame:
     return with_ids(framed_tokens(docs))
 
 
-def run_of(order: Column, cuts: list) -> Column:
-    """How many cuts are less than `order`: a search of every k-th cut, then of the k cuts from there on."""
-    if not cuts:
-        return F.lit(0)
-    k = max(1, int(len(cuts) ** 0.5))
-    less = lambda found: F.size(F.filter(found, lambda c: c < order))
-    coarse = less(F.lit(cuts[::k]))
-    return F.when(coarse == 0, 0).otherwise((coarse - 1) * k + less(F.slice(F.lit(cuts), (coarse - 1) * k + 1, F.lit(k))))
-
-
-def _runs(rows: DataFrame, order: str, value: str, runs: int | None, over: DataFrame | None = None) -> tuple[Column, list[int]]:
-    """Each row's run, by quantiles of `order`, and the sum of `value` before each run.
-
-    There are as many runs as shuffles have partitions, or rows over RUN_ROWS if more, MOST_RUNS at most. over: rows that
-    are cheaper to read and have as good an `order`, for the quantiles.
-    """
-    over = rows if over is None else over
-    wanted = runs or min(MOST_RUNS, max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-over.count() // RUN_ROWS)))
-    cuts = over.select(F.percentile_approx(order, [i / wanted for i in range(1, wanted)], max(10_000, 10 * wanted))).first()[0] if wanted > 1 else []
-    run = run_of(F.col(order), sorted(set(cuts or [])))
-    sums = {r["run"]: r["sum"] for r in rows.groupBy(run.alias("run")).agg(F.sum(value).alias("sum")).collect()}
-    starts, total = [], 0
-    for i in range(max(sums, default=0) + 1):
-        starts.append(total)
-        total += sums.get(i) or 0
-    return run, starts
-
-
-def running_total(rows: DataFrame, order: str, value: str, out: str, runs: int | None = None, over: DataFrame | None = None) -> DataFrame:
-    """Adds `out`, the sum of `value` over all rows before in `order` (then in `value`), without a window over the whole table.
-
-    Sums run inside a run of `order` and start at the sum of the runs before.
-    """
-    run, starts = _runs(rows, order, value, runs, over)
-    inside = Window.partitionBy("run_").orderBy(order, value).rowsBetween(Window.unboundedPreceding, -1)
-    start = F.element_at(F.lit(starts), F.col("run_") + 1)
-    rows = rows.withColumn("run_", run)
-    return rows.withColumn(out, (start + F.coalesce(F.sum(value).over(inside), F.lit(0))).cast("long")).drop("run_")
+def token_sizes(docs: DataFrame, proto: bytes | None = None) -> DataFrame:
+    """doc_id, n_bytes (of the stripped text), n_tokens (framed) of documents with text."""
+    n_bytes = F.octet_length(strip(F.col("text"))).cast("long")
+    if not proto:
+        return nonblank(docs).select("doc_id", n_bytes.alias("n_bytes"), (n_bytes + 2).alias("n_tokens"))
+    check(proto)
+    rows = nonblank(docs).select("doc_id", n_bytes.alias("n_bytes"), strip(F.col("text")).alias("text"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, raw in framed_steps(batch.column(2), proto):
+                n = pa.array(np.diff(raw_ids(raw)[1]).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), n], ["doc_id", "n_bytes", "n_tokens"])
 
-def token_sizes(docs: DataFrame, proto: bytes | None = None) -> DataFrame:
-    """doc_id, n_tokens (framed) of documents with text."""
-    if proto:
-        return framed_tokens(docs, proto).select("doc_id", (F.octet_length("raw") / 2).cast("long").alias("n_tokens"))
-    return nonblank(docs).select("doc_id", (F.octet_length(strip(F.col("text"))) + 2).cast("long").alias("n_tokens"))
+    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long")
 
 
-def token_offsets(docs: DataFrame, proto: bytes | None = None) -> DataFrame:
-    """doc_id, n_tokens (framed), start_pos; sizes alone are ordered, not texts."""
-    return running_total(token_sizes(docs, proto), "doc_id", "n_tokens", "start_pos", over=docs.select("doc_id"))
+def token_offsets(docs: DataFrame, proto: bytes | None = None, runs: int | None = None) -> DataFrame:
+    """doc_id, n_tokens (framed), start_pos; texts are read once for their sizes, and sizes alone are ordered."""
+    return running_total(token_sizes(docs, proto), ["doc_id", "n_bytes"], "n_tokens", "start_pos", runs).select("doc_id", "n_tokens", "start_pos")
 
 
 def token_stream(docs: DataFrame, proto: bytes | None = None, runs: int | None = None) -> DataFrame:
-    """doc_id, start_pos, n_tokens, raw; each partition is a run of the stream, in order. Of repeated ids the shorter come first."""
-    run, starts = _runs(token_sizes(docs, proto), "doc_id", "n_tokens", runs, docs.select("doc_id"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = framed_tokens(docs, proto).withColumn("run", run.cast("int")).withColumn("n_tokens", (F.octet_length("raw") / 2).cast("long"))
+    """doc_id, start_pos, n_tokens, raw, in order of doc_id, of any type that sorts; of repeated ids the shorter text comes first.
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, position = -1, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if (own := batch.column(1)[0].as_py()) != at:
-                at, position = own, starts[own]
-            n = batch.column(2).to_numpy()
-            begin = position + np.cumsum(n) - n
-            position += int(n.sum())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(begin), batch.column(2), batch.column(3)], ["doc_id", "start_pos", "n_tokens", "raw"])
+    Texts are range-partitioned once, into runs of about RUN_BYTES, and tokenized in order; the stream lies in the shared
+    folder, a file a run, so what is built on it reads ids and never texts again.
+    """
+    if proto:
+        check(proto)
+    rows = nonblank(docs).select("doc_id", strip(F.col("text")).alias("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
+    if runs is None:
+        total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        runs = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RUN_BYTES))
 
-    ordered = rows.select("doc_id", "run", "n_tokens", "raw").repartitionById(max(1, len(starts)), F.col("run")).sortWithinPartitions("run", "doc_id", "n_tokens", "raw")
-    return ordered.mapInArrow(place, f"doc_id {kind}, start_pos long, n_tokens long, raw binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for batch in batches:
+            for lo, hi, raw in framed_steps(batch.column("text"), proto):
+                n = np.diff(raw_ids(raw)[1]).astype(np.int64)
+                ends = total + np.cumsum(n)
+                total = int(ends[-1])
+                own = (batch.column(c).slice(lo, hi - lo) for c in ("run", "doc_id"))
+                yield pa.RecordBatch.from_arrays([*own, pa.array(ends - n), pa.array(n), raw], ["run", "doc_id", "start_pos", "n_tokens", "raw"])
+
+    ordered = rows.repartitionByRange(runs, "doc_id", "n_bytes").sortWithinPartitions("doc_id", "n_bytes", "text").withColumn("run", F.spark_partition_id())
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    stream = written(ordered.select("run", "doc_id", "text").mapInArrow(run, f"run int, doc_id {kind}, start_pos long, n_tokens long, raw binary"), "stream")
+    return at_starts(stream, "run", "start_pos", "n_tokens").select("doc_id", "start_pos", "n_tokens", "raw")
 
 
 def prefix(stream: DataFrame, target: int) -> DataFrame:
@@ -208,37 +188,40 @@ def shard_pieces(stream: DataFrame, size: int) -> DataFrame:
 
 
 def shard_ends(shards: DataFrame) -> DataFrame:
-    """Adds first_pos and end_pos to (shard, tokens): where each of an artifact's some thousand shards lies in the stream."""
-    end = F.sum("tokens").over(Window.orderBy("shard")).cast("long")
-    return shards.withColumn("end_pos", end).withColumn("first_pos", F.col("end_pos") - F.col("tokens"))
+    """Adds first_pos and end_pos to (shard, tokens): where each shard lies in the stream."""
+    return running_total(shards, "shard", "tokens", "first_pos").withColumn("end_pos", (F.col("first_pos") + F.col("tokens")).cast("long"))
 
 
-def located(positions: DataFrame, shards: DataFrame, position: str = "start_pos") -> DataFrame:
-    """positions with shard and offset_in_shard, for shards of any sizes; positions past the last shard have null in both.
+def located(positions: DataFrame, shards: DataFrame, position: str = "start_pos", runs: int | None = None) -> DataFrame:
+    """positions with shard and offset_in_shard, for any number of shards of any sizes; positions past the last shard have null in both.
 
-    The shards' record, some thousand rows, is broadcast as one sorted array, in which each task searches.
+    Positions and shards' starts are put in one order, and each position takes the last start before it.
     """
-    ends = [r["end_pos"] for r in shard_ends(shards).select("shard", "end_pos").orderBy("shard").collect()]
-    names = [r["shard"] for r in shards.select("shard").orderBy("shard").collect()]
-    at = run_of(F.col(position) + 1, ends)
-    inside = F.col(position) < (ends[-1] if ends else 0)
-    begin = F.element_at(F.lit([0, *ends]), at + 1)
-    return positions.withColumn("shard", F.when(inside, F.get(F.lit(names or [None]), at))).withColumn("offset_in_shard", F.when(inside, F.col(position) - begin))
+    ends = shard_ends(shards).filter("tokens > 0").select("shard", "first_pos", "end_pos")
+    found = last_mark(positions, position, ends, "first_pos", runs)
+    at = F.col("row")[position]
+    inside = at < F.col("mark")["end_pos"]
+    return found.select("row.*", F.when(inside, F.col("mark")["shard"]).alias("shard"), F.when(inside, at - F.col("mark")["first_pos"]).alias("offset_in_shard"))
 
 
 def evaluation_blocks(docs: DataFrame, starts: DataFrame, length: int, proto: bytes | None = None) -> DataFrame:
-    """start_token, raw of the length + 1 tokens from each start; starts may overlap. doc_id names a document.
+    """start_token, raw of the length + 1 tokens from each start; starts may overlap and repeat. doc_id names a document.
 
-    `starts` is a fixed sample and is broadcast, as are the documents that it reaches into, at most length + 1 of each
-    start; only these are tokenized.
+    Documents and blocks meet by bins of positions, length + 1 wide, so any number of starts is found in proportion to them
+    and to the tokens; only documents that a block reaches into are tokenized, and their ids are cut at the bins, so
+    that no document, however long, is copied for each of its blocks.
     """
-    ends = F.col("start_pos") + F.col("n_tokens")
-    reached = token_offsets(docs, proto).join(F.broadcast(starts), (F.col("start_token") < ends) & (F.col("start_token") + length >= F.col("start_pos")))
-    wanted = docs.select("doc_id", "text").join(F.broadcast(reached.select("doc_id").distinct()), "doc_id", "left_semi")
-    found = framed_tokens(wanted, proto).join(F.broadcast(reached), "doc_id")
-    lo, hi = F.greatest("start_pos", "start_token"), F.least(ends, F.col("start_token") + length + 1)
-    found = found.select("start_token", lo.alias("from_pos"), _slice("raw", lo - F.col("start_pos"), hi - lo).alias("raw"))
-    return joined(found, "start_token").filter(F.octet_length("raw") == 2 * (length + 1))
+    width = length + 1
+    wanted = starts.select(F.col("start_token").cast("long").alias("start_token")).distinct().withColumn("end_token", F.col("start_token") + width)
+    offsets = token_offsets(docs, proto).withColumn("end_pos", F.col("start_pos") + F.col("n_tokens"))
+    reached = overlaps(offsets, wanted, ("start_pos", "end_pos"), ("start_token", "end_token"), width).select("doc_id", "start_pos", "n_tokens").distinct()
+    texts = docs.select("doc_id", "text").join(reached.select("doc_id").distinct(), "doc_id", "left_semi")
+    raw = framed_tokens(texts, proto).withColumn("n_tokens", (F.octet_length("raw") / 2).cast("long")).join(reached, ["doc_id", "n_tokens"])
+    pieces = shard_pieces(raw, width).withColumnRenamed("shard", "bin")
+    begin, end = F.greatest("from_pos", "start_token"), F.least(F.col("from_pos") + F.octet_length("raw") / 2, F.col("end_token")).cast("long")
+    found = binned(wanted, "start_token", "end_token", width, "bin").join(pieces, "bin").filter(begin < end)
+    found = found.select("start_token", begin.alias("from_pos"), _slice("raw", begin - F.col("from_pos"), end - begin).alias("raw"))
+    return joined(found, "start_token").filter(F.octet_length("raw") == 2 * width)
 
 
 def corpus_stats(docs: DataFrame, proto: bytes | None = None) -> DataFrame:
@@ -267,7 +250,7 @@ def byte_budget_sample(docs: DataFrame, budget: int, *, with_text: bool = False)
     after it is cut; ids name documents.
     """
     sizes = nonblank(docs).select("doc_id", F.octet_length(strip(F.col("text"))).cast("long").alias("n_bytes"))
-    sample = running_total(sizes, "doc_id", "n_bytes", "before", over=docs.select("doc_id")).filter(F.col("before") < budget).select("doc_id", "n_bytes", "before")
+    sample = running_total(sizes, "doc_id", "n_bytes", "before").filter(F.col("before") < budget).select("doc_id", "n_bytes", "before")
     return sample.join(nonblank(docs).select("doc_id", strip(F.col("text")).alias("text")), "doc_id") if with_text else sample
 
 
