@@ -1,6 +1,7 @@
 """Metric logs (run, step, value): rolling medians, spike statistics, running figures, registries and retention.
 
-A run is one partition of a window, as its steps are an ordered series; runs are spread over tasks.
+Rolling medians, quantiles, tenths and throughput windows cut a run over tasks. For the other running figures a run is one
+partition of a window, which Spark sorts and spills; runs are spread over tasks.
 """
 
 from __future__ import annotations
@@ -15,7 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from granary.functions.text import python_capitalize
+from granary.operators.ordered import fresh, running_total
+from granary.operators.quantiles import exact_quantiles
+from granary.operators.windows import throughput_windows  # noqa: F401
 from granary.sources import config
+from granary.sources.files import written
 
 #: Substrings of parameter names, in order, and the group of each.
 GRADIENT_GROUPS = (
@@ -29,39 +34,75 @@ def by_step() -> Window:
     return Window.partitionBy("run").orderBy("step")
 
 
-def rolling_median(series: DataFrame, half: int = 100) -> DataFrame:
+def indexed(series: DataFrame, runs: int | None = None) -> DataFrame:
+    """series with i, a row's place in its run from 0, and n, the run's rows; no task has to hold a run."""
+    one = fresh(series, "one")
+    rows = running_total(series.withColumn(one, F.lit(1)), ["run", "step"], one, "i", runs).drop(one)
+    return rows.join(rows.groupBy("run").agg(F.min("i").alias("first_"), F.count("*").alias("n")), "run").withColumn("i", F.col("i") - F.col("first_")).drop("first_")
+
+
+def chunked(rows: DataFrame, size: int, before: int, after: int, fold: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """fold over chunks of `size` rows of a run with up to `before` and `after` rows on either side; it gets `own`, which are the chunk's."""
+    first = F.greatest(F.lit(0), F.floor((F.col("i") - after) / size))
+    last = F.least(F.floor((F.col("n") - 1) / size), F.floor((F.col("i") + before) / size))
+    spread = rows.withColumn("chunk", F.explode(F.sequence(first.cast("long"), last.cast("long")))).withColumn("own", F.floor(F.col("i") / size) == F.col("chunk"))
+    return spread.groupBy("run", "chunk").applyInPandas(lambda part: fold(part.sort_values("i")), schema)
+
+
+def rolling_median(series: DataFrame, half: int = 100, *, chunk: int = 100_000, runs: int | None = None) -> DataFrame:
     """Adds median and residual: over `half` steps on either side, as if the first and last value went on.
 
-    A run is folded in order by one task: a sliding heap over its values, where a framed percentile would sort each frame anew.
+    A run is cut into chunks with a halo of `half` steps, each folded by a sliding heap, where a framed percentile would sort
+    each frame anew.
     """
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("step")
-        padded = pd.Series(np.pad(rows["value"].to_numpy(), half, mode="edge"))
-        median = padded.rolling(2 * half + 1).median().to_numpy()[2 * half :]
-        return rows.assign(median=median, residual=rows["value"].to_numpy() - median)
+        own = np.flatnonzero(rows["own"].to_numpy())
+        lead, tail = half - own[0], half - (len(rows) - 1 - own[-1])  # short only where the run begins or ends
+        values = pd.Series(np.pad(rows["value"].to_numpy(), (lead, tail), mode="edge"))
+        median = values.rolling(2 * half + 1).median().to_numpy()[2 * half :]
+        rows = rows[rows["own"]]
+        return rows.assign(median=median, residual=rows["value"].to_numpy() - median)[["run", "step", "value", "median", "residual", "i", "n"]]
+
+    schema = "run string, step long, value double, median double, residual double, i long, n long"
+    return chunked(indexed(series.select("run", "step", "value"), runs), chunk, half, half, fold, schema)
 
-    return series.select("run", "step", "value").groupBy("run").applyInPandas(fold, "run string, step long, value double, median double, residual double")
+
+def following_means(rows: DataFrame, column: str, following: int, out: str, *, chunk: int = 100_000) -> DataFrame:
+    """run, step, column, out: the mean of the next `following` rows of the run, null where there are fewer or one is null. rows have i and n."""
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        ahead = part[column][::-1].rolling(following).mean()[::-1].shift(-1)
+        return part.assign(**{out: ahead})[part["own"].to_numpy()][["run", "step", column, out]]
+
+    return chunked(rows.select("run", "step", column, "i", "n"), chunk, 0, following, fold, f"run string, step long, {column} double, {out} double")
 
 
 def spike_summary(grad: DataFrame, loss: DataFrame, validation: DataFrame, after_step: int = 1000, limit: float = 1.0, following: int = 20, half: int = 100) -> DataFrame:
-    """One row a run. grad, loss and validation are (run, step, value); grad and loss must have the same steps."""
-    resid = rolling_median(loss, half)
-    ahead = by_step().rowsBetween(1, following)
-    resid = resid.withColumn("next_mean", F.when(F.count("residual").over(ahead) == following, F.avg("residual").over(ahead)))
-    rows = grad.select("run", "step", F.col("value").alias("grad")).join(resid.select("run", "step", "residual", "next_mean"), ["run", "step"], "full_outer")
-    rows = rows.withColumn("late", F.col("step") > after_step).withColumn("clipped", (F.col("step") > after_step) & (F.col("grad") > limit))
-    late = lambda c: F.when(F.col("late"), F.col(c))
+    """One row a run. grad, loss and validation are (run, step, value); grad and loss must have the same steps.
+
+    Percentiles are selected exactly over all runs at once; no task holds a run's values.
+    """
+    resid = following_means(rolling_median(loss, half), "residual", following, "next_mean")
+    rows = grad.select("run", "step", F.col("value").alias("grad")).join(resid, ["run", "step"], "full_outer")
+    rows = written(rows.withColumn("late", F.col("step") > after_step).withColumn("clipped", (F.col("step") > after_step) & (F.col("grad") > limit)), "spikes")
     spike = lambda c: F.when(F.col("clipped"), F.col(c))
     out = rows.groupBy("run").agg(
-        F.count("grad").alias("steps"), F.percentile(late("grad"), 0.5).alias("median_grad"), F.percentile(late("grad"), 0.99).alias("p99_grad"), F.max(late("grad")).alias("max_grad"),
+        F.count("grad").alias("steps"), F.max(F.when(F.col("late"), F.col("grad"))).alias("max_grad"),
         F.count_if("clipped").alias("clipped_steps"), (100 * F.count_if("clipped") / F.nullif(F.count_if("late"), F.lit(0))).alias("clipped_percent"),
-        F.percentile(late("residual"), 0.95).alias("loss_residual_p95"), F.percentile(late("residual"), 0.99).alias("loss_residual_p99"),
-        F.percentile(spike("residual"), 0.5).alias("loss_residual_at_clipped_median"), F.avg(spike("next_mean")).alias("next_loss_residual_mean"),
+        F.avg(spike("next_mean")).alias("next_loss_residual_mean"),
         F.count_if(F.col("grad").isNull() | F.col("residual").isNull()).alias("unaligned"),
     )
-    rises = increases(validation)
-    return out.join(rises, "run", "left")
+    series = [("late_grad", "late", "grad"), ("late_residual", "late", "residual"), ("clipped_residual", "clipped", "residual")]
+    values = rows.select("run", F.explode(F.array(*[F.struct(F.lit(name).alias("of"), F.when(F.col(when), F.col(c)).alias("v")) for name, when, c in series])).alias("x")).select("run", "x.of", "x.v")
+    found = exact_quantiles(values, ["run", "of"], "v", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    of = lambda name, q: F.max(F.when(F.col("of") == name, F.col(q)))
+    found = found.groupBy("run").agg(
+        of("late_grad", "p50").alias("median_grad"), of("late_grad", "p99").alias("p99_grad"), of("late_residual", "p95").alias("loss_residual_p95"),
+        of("late_residual", "p99").alias("loss_residual_p99"), of("clipped_residual", "p50").alias("loss_residual_at_clipped_median"),
+    )
+    names = ["run", "steps", "median_grad", "p99_grad", "max_grad", "clipped_steps", "clipped_percent", "loss_residual_p95", "loss_residual_p99", "loss_residual_at_clipped_median", "next_loss_residual_mean", "unaligned"]
+    return out.join(found, "run", "left").select(*names).join(increases(validation), "run", "left")
 
 
 def increases(series: DataFrame) -> DataFrame:
@@ -79,10 +120,14 @@ def running(series: DataFrame, kind: str, out: str) -> DataFrame:
     return series.withColumn(out, {"sum": F.sum, "min": F.min}[kind]("value").over(by_step().rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def deciles(series: DataFrame) -> DataFrame:
-    """run, decile, n, median and p99 over tenths of a run's steps."""
-    rows = series.withColumn("decile", F.ntile(10).over(by_step()))
-    return rows.groupBy("run", "decile").agg(F.count("*").alias("n"), F.percentile("value", 0.5).alias("median"), F.percentile("value", 0.99).alias("p99"))
+def deciles(series: DataFrame, tiles: int = 10) -> DataFrame:
+    """run, decile, n, median and p99 over tenths of a run's steps, the first ones a step longer where it does not divide."""
+    each, rest = F.floor(F.col("n") / tiles), F.col("n") % tiles
+    long = rest * (each + 1)
+    tile = F.when(F.col("i") < long, F.floor(F.col("i") / (each + 1))).otherwise(rest + F.floor((F.col("i") - long) / F.greatest(each, F.lit(1))))
+    rows = written(indexed(series.select("run", "step", "value")).select("run", (tile + 1).cast("int").alias("decile"), "value"), "deciles")
+    found = exact_quantiles(rows, ["run", "decile"], "value", {"median": 0.5, "p99": 0.99})
+    return rows.groupBy("run", "decile").agg(F.count("*").alias("n")).join(found, ["run", "decile"], "left")
 
 
 def spike_score(series: DataFrame, sigmas: float = 7.0, steps: int = 1000) -> DataFrame:
@@ -93,27 +138,6 @@ def spike_score(series: DataFrame, sigmas: float = 7.0, steps: int = 1000) -> Da
     return rows.groupBy("run").agg((100 * F.count_if("far") / F.count("*")).alias("spike_percent"))
 
 
-def throughput_windows(log: DataFrame, interval: int, validate_every: int, checkpoint_every: int | None = None) -> DataFrame:
-    """run, step, tokens, seconds, tokens_per_second: a window closes after `interval` steps, or at a validation, a checkpoint or the end.
-
-    log: run, step, tokens_seen, seconds (of that step's work, pauses left out). Where a window ends depends on where the
-    one before did, so each run is folded in order.
-    """
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("step")
-        last, out, since, tokens, seconds = int(rows["step"].iloc[-1]), [], 0, 0, 0.0
-        for step, seen, spent in zip(rows["step"], rows["tokens_seen"], rows["seconds"], strict=True):
-            seconds += spent
-            saved = bool(checkpoint_every) and step % checkpoint_every == 0 and step < last
-            if step - since >= interval or step % validate_every == 0 or step == last or saved:
-                out.append((rows["run"].iloc[0], step, seen - tokens, seconds, (seen - tokens) / seconds))
-                since, tokens, seconds = step, seen, 0.0
-        return pd.DataFrame(out, columns=["run", "step", "tokens", "seconds", "tokens_per_second"])
-
-    return log.groupBy("run").applyInPandas(fold, "run string, step long, tokens long, seconds double, tokens_per_second double")
-
-
 def purge_after(metrics: DataFrame, step: int) -> DataFrame:
     """What a resumed run keeps of its log."""
     return metrics.filter(F.col("step") <= step)
