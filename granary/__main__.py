@@ -1,4 +1,4 @@
-"""python -m granary build | count | sample | validate | check | generate | migrate | smoke; documents are Parquet tables (doc_id, text)."""
+"""python -m granary build | count | sample | validate | check | smoke; documents are Parquet tables (doc_id, text)."""
 
 from __future__ import annotations
 
@@ -9,9 +9,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.functions.tokenizer import processor
 from granary.operators import artifacts, corpus
-from granary.sources import checkpoints, settings
+from granary.sources import settings
 
 
 def parser() -> argparse.ArgumentParser:
@@ -39,11 +38,6 @@ def parser() -> argparse.ArgumentParser:
     check = add("check", "a run's settings, with all defaults", "config")
     check.add_argument("--override", action="append", default=[])
     check.add_argument("--extends", action="append", default=[])
-    generate = add("generate", "go on with a prompt", "folder", "tokenizer", "prompt")
-    generate.add_argument("--checkpoint")
-    generate.add_argument("--seed", type=int, default=0)
-    generate.add_argument("--most", type=int, default=1024)
-    add("migrate", "write the settings of an old checkpoint beside it", "checkpoint").add_argument("--force", action="store_true")
     add("smoke", "whether Spark and its Python workers run here")
     return own
 
@@ -62,12 +56,6 @@ def main(args: Sequence[str] | None = None) -> int:
     if given.command == "check":
         print(settings.Settings.load(given.config, given.override, given.extends).to_toml())
         return 0
-    if given.command == "migrate":
-        print(checkpoints.migrate(given.checkpoint, force=given.force))
-        return 0
-    if given.command == "generate":
-        print(checkpoints.written_by(given.folder, processor(Path(given.tokenizer).read_bytes()), given.prompt, seed=given.seed, chosen=given.checkpoint, most=given.most))
-        return 0
     spark = SparkSession.builder.appName(f"granary-{given.command}").getOrCreate()
     if given.command in ("smoke", "validate"):
         rows = (smoke(spark) if given.command == "smoke" else artifacts.artifact_checks(spark, given.root, given.artifact)).collect()

@@ -6,17 +6,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def epoch_order(blocks: DataFrame, seed: int, epoch: int, buckets: int = 256) -> DataFrame:
+#: Blocks that one task ranks.
+BUCKET_ROWS = 1 << 18
+
+
+def epoch_order(blocks: DataFrame, seed: int, epoch: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """block_id and its rank in an order that seed + epoch alone decide.
 
-    The order is that of a digest; its first byte makes the buckets in which ranks are counted, so no task sorts all blocks.
+    The order is that of a digest; as many of its first digits as make about `bucket_rows` blocks a bucket part the blocks,
+    and ranks are counted in each bucket from the sum of the buckets before, so no task sorts all blocks.
     """
+    total, digits = blocks.count(), 0
+    while digits < 15 and total > bucket_rows * 16**digits:
+        digits += 1
     keyed = blocks.select("block_id", F.md5(F.concat(F.lit(f"{seed + epoch}:"), F.col("block_id").cast("string")).cast("binary")).alias("digest"))
-    keyed = keyed.withColumn("bucket", F.substring("digest", 1, 2))
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    keyed = keyed.withColumn("bucket", F.substring("digest", 1, digits))
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # over buckets, not blocks
     starts = keyed.groupBy("bucket").count().select("bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
     inside = F.row_number().over(Window.partitionBy("bucket").orderBy("digest", "block_id"))
-    return keyed.withColumn("inside", inside).join(F.broadcast(starts), "bucket").select("block_id", (F.col("start") + F.col("inside") - 1).cast("long").alias("rank"))
+    return keyed.withColumn("inside", inside).join(starts, "bucket").select("block_id", (F.col("start") + F.col("inside") - 1).cast("long").alias("rank"))
 
 
 def train_batches(blocks: DataFrame, batch: int, seed: int, epoch: int, start_batch: int = 0) -> DataFrame:

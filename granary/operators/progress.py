@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def event_steps(spark: SparkSession, total: int, evaluation: int, checkpoint: int, diagnostics: int) -> DataFrame:
-    """step, validates, saves, diagnoses for steps 1 to total; the last step always validates and never saves in between."""
-    step, last = F.col("step"), F.col("step") == total
+def event_steps(log: DataFrame, evaluation: int, checkpoint: int, diagnostics: int) -> DataFrame:
+    """run, step, validates, saves, diagnoses for every step of (run, step); a run's last step always validates and never saves in between."""
+    step, last = F.col("step"), F.col("step") == F.col("last_step")
+    rows = log.select("run", "step").join(log.groupBy("run").agg(F.max("step").alias("last_step")), "run")
     saves = (step % checkpoint == 0) & ~last if checkpoint else F.lit(False)
-    rows = spark.range(1, total + 1).withColumnRenamed("id", "step")
-    return rows.select("step", ((step % evaluation == 0) | last).alias("validates"), saves.alias("saves"), ((step == 1) | last | (step % diagnostics == 0)).alias("diagnoses"))
+    return rows.select("run", "step", ((step % evaluation == 0) | last).alias("validates"), saves.alias("saves"), ((step == 1) | last | (step % diagnostics == 0)).alias("diagnoses"))
 
 
 def progress_faults(progress: DataFrame, *, steps_per_epoch: int, accumulation: int, tokens_per_step: int, total: int) -> DataFrame:

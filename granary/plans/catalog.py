@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from granary.functions import numeric
 from granary.functions.text import byte_ids, python_capitalize, strip, word_count
 from granary.functions.tokenizer import decoded, draw, encoded, framed_tokens, raw_ids, token_measures, with_ids
-from granary.operators import artifacts, batches, corpus, decoder, metrics, progress
+from granary.operators import artifacts, batches, corpus, legacy, metrics, progress
 from granary.sources import settings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -380,12 +380,38 @@ def checkpoint_retention(spark, sf_dir):
     return metrics.retained(files, 25)
 
 
-@query("SELECT event_id, lower(trim(event_type)) IN ('click', 'view', 'true', 'yes', 'on', '1') AS flag, try_cast(event_id % 10 || CASE WHEN event_id % 4 = 0 THEN 'x' ELSE '' END AS BIGINT) AS number, event_type AS kind FROM events")
+_OLD_KEYS = ["VOCAB_SIZE", "N_BLOCKS", "EMBED_DIM", "ATTN_HEADS", "FFN_DIM", "SEQ_LEN", "ROPE_BASE", "QK_NORM", "attn_bias", "ATTN_BIAS", "OTHER"]
+_OLD_VALUES = ["12", " 8 ", "Yes", "off", "1", "1e4", "two", "0"]
+_OLD_WEIGHTS = ["layers.0.attn.q_proj.weight", "layers.0.ca.weight", "layers.1.ffn.cd.weight", "layers.0.attn.c_proj.bias", "norm.weight", "layers.2.attn.q_norm.weight", "head.ca.weight.old"]
+_KINDS = legacy.kinds()
+_listed = lambda names: ", ".join(f"'{n}'" for n in names)
+
+
+@query(f"""WITH e AS (SELECT event_id, user_id AS run FROM events),
+s AS (SELECT run, [{_listed(_OLD_KEYS)}][event_id % {len(_OLD_KEYS)} + 1] AS key, arg_max([{_listed(_OLD_VALUES)}][(event_id // {len(_OLD_KEYS)} + run) % {len(_OLD_VALUES)} + 1], event_id) AS value FROM e GROUP BY 1, 2),
+w AS (SELECT run, [{_listed(_OLD_WEIGHTS)}][(event_id + run) % {len(_OLD_WEIGHTS)} + 1] AS name, CASE WHEN run % 3 = 0 AND event_id % 2 = 0 THEN 4 ELSE 3 END AS last_size FROM e WHERE event_id % 4 < 2),
+k(name, kind) AS (VALUES {', '.join(f"('{n}', '{k}')" for n, k in _KINDS.items())}),
+r AS (SELECT run, k.name, CASE kind WHEN 'bool' THEN CASE WHEN lower(trim(value)) IN ('true', 'yes', 'on', '1') THEN 'true' WHEN lower(trim(value)) IN ('false', 'no', 'off', '0') THEN 'false' END
+      WHEN 'int' THEN CASE WHEN regexp_full_match(trim(value), '[0-9]+') THEN trim(value) END WHEN 'float' THEN try_cast(trim(value) AS DOUBLE)::VARCHAR ELSE trim(value) END AS value FROM s JOIN k ON s.key = upper(k.name)),
+f AS (SELECT run, bool_or(contains(name, '.attn.q_proj.weight')) AS a, bool_or(contains(name, '.attn.q_norm.weight')) AS b, bool_or(contains(name, '.ca.weight')) AS c,
+      bool_or(ends_with(name, '.attn.c_proj.bias')) AS d, list(DISTINCT last_size) FILTER (ends_with(name, '.ca.weight') OR ends_with(name, '.ffn.cd.weight')) AS sizes FROM w GROUP BY run),
+u AS (SELECT DISTINCT run FROM s),
+i AS (SELECT run, unnest(['split_qkv_projections', 'qk_norm', 'canon_layers', 'attn_bias', 'canon_kernel_size']) AS name,
+      unnest([coalesce(a, FALSE)::VARCHAR, coalesce(b, FALSE)::VARCHAR, coalesce(c, FALSE)::VARCHAR, coalesce(d, FALSE)::VARCHAR, CASE WHEN len(sizes) = 1 THEN sizes[1]::VARCHAR END]) AS value,
+      unnest([NULL, NULL, NULL, NULL, CASE WHEN len(sizes) > 1 THEN 'kernels' END]) AS fault FROM u LEFT JOIN f USING (run)),
+m AS (SELECT run, unnest([{_listed(legacy.REQUIRED)}]) AS name FROM u)
+SELECT run, name, value, FALSE AS inferred, CASE WHEN value IS NULL THEN 'value' END AS fault FROM r
+UNION ALL SELECT run, name, value, TRUE, fault FROM i WHERE (value IS NOT NULL OR fault IS NOT NULL) AND NOT EXISTS (SELECT 1 FROM r WHERE r.run = i.run AND r.name = i.name)
+UNION ALL SELECT run, name, NULL, FALSE, 'missing' FROM m WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.run = m.run AND r.name = m.name)""")
 def legacy_config_parse(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
-    raw = F.concat((F.col("event_id") % 10).cast("string"), F.when(F.col("event_id") % 4 == 0, "x").otherwise(""))
-    settings = F.str_to_map(F.concat(F.lit("number="), raw, F.lit(";kind="), F.col("event_type")), F.lit(";"), F.lit("="))
-    return rows.select("event_id", F.lower(F.trim("event_type")).isin("click", "view", "true", "yes", "on", "1").alias("flag"), settings["number"].try_cast("long").alias("number"), settings["kind"].alias("kind"))
+    """Each user is an old run; its events are what it recorded, good and bad, and the names of its weights."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("user_id").alias("run"))
+    pick = lambda names, at: F.get(F.lit(names), (at % len(names)).cast("int"))
+    at = F.floor(F.col("event_id") / len(_OLD_KEYS)) + F.col("run")
+    recorded = rows.groupBy("run", pick(_OLD_KEYS, F.col("event_id")).alias("key")).agg(F.max_by(pick(_OLD_VALUES, at), "event_id").alias("value"))
+    size = F.when((F.col("run") % 3 == 0) & (F.col("event_id") % 2 == 0), 4).otherwise(3)
+    weights = rows.filter("event_id % 4 < 2").select("run", pick(_OLD_WEIGHTS, F.col("event_id") + F.col("run")).alias("name"), size.alias("last_size"))
+    return legacy.legacy_settings(recorded, weights)
 
 
 @query("SELECT source, upper(substr(replace(source || '_Run_X', '_', ' '), 1, 1)) || lower(substr(replace(source || '_Run_X', '_', ' '), 2)) AS label, CASE WHEN doc_id % 2 = 0 THEN 1000 ELSE 300 END AS millions, count(*) AS n FROM documents GROUP BY ALL")
@@ -402,11 +428,12 @@ def perplexity(spark, sf_dir):
     return _rounded(rows.withColumn("perplexity", F.exp("loss")))
 
 
-@query(f"WITH {_S}, r AS (SELECT DISTINCT run FROM s WHERE run <> 'click'), m AS (SELECT DISTINCT run AS mix FROM s), z AS (SELECT unnest([100, 300, 1000]) AS size), c AS (SELECT run, count(*) AS n FROM s WHERE run <> 'click' GROUP BY run) SELECT mix, size, coalesce(n, 0) AS n, coalesce(CASE WHEN n IS NOT NULL THEN 'log' END, 'No log supplied') AS state FROM m CROSS JOIN z LEFT JOIN c ON c.run = m.mix")
+@query(f"WITH {_S}, m AS (SELECT DISTINCT run AS mix FROM s), z AS (SELECT unnest([100, 300, 1000]) AS size), c AS (SELECT CASE WHEN run = 'click' THEN 'unlisted' ELSE run END AS run, count(*) AS n FROM s GROUP BY 1) SELECT mix, size, coalesce(n, 0) AS n, coalesce(CASE WHEN n IS NOT NULL THEN 'log' END, 'No log supplied') AS state FROM m CROSS JOIN z LEFT JOIN c ON c.run = m.mix")
 def log_grid(spark, sf_dir):
     series = _series(spark, sf_dir)
     sizes = spark.createDataFrame([(100,), (300,), (1000,)], "size int")
-    counts = series.filter("run <> 'click'").groupBy(F.col("run").alias("mix")).agg(F.count("*").alias("n"))
+    named = F.when(F.col("run") == "click", "unlisted").otherwise(F.col("run"))  # the log of one mix lies under another name
+    counts = series.groupBy(named.alias("mix")).agg(F.count("*").alias("n"))
     grid = series.select(F.col("run").alias("mix")).distinct().crossJoin(F.broadcast(sizes))
     return grid.join(counts, "mix", "left").select("mix", "size", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n").isNotNull(), "log").otherwise("No log supplied").alias("state"))
 
@@ -585,17 +612,21 @@ _STEPS, _WARM = 2_000, 100
 _REST = _STEPS - _WARM
 
 
-@query(f"SELECT range AS step, round(CASE WHEN range < {_WARM} THEN (range + 1) / {_WARM} ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(1, (range - {_WARM}) / {_REST - 1}))) END, 9) AS multiplier, round(0.0024 * 0.25 * CASE WHEN range < {_WARM} THEN (range + 1) / {_WARM} ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(1, (range - {_WARM}) / {_REST - 1}))) END, 9) AS norm_rate, round(0.0024 * 0.4 * CASE WHEN range < {_WARM} THEN (range + 1) / {_WARM} ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(1, (range - {_WARM}) / {_REST - 1}))) END, 9) AS muon_rate FROM range({_STEPS})")
+_COSINE = f"CASE WHEN step <= {_WARM} THEN step / {_WARM} ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(1, (step - 1 - {_WARM}) / {_REST - 1}))) END"
+
+
+@query(f"WITH {_S} SELECT run, step, round({_COSINE}, 9) AS multiplier, round(0.0024 * 0.25 * {_COSINE}, 9) AS norm_rate, round(0.0024 * 0.4 * {_COSINE}, 9) AS muon_rate FROM s")
 def lr_schedule_cosine(spark, sf_dir):
-    m = numeric.lr_multiplier(F.col("step"), _STEPS, _WARM, "cosine", 0.1)
+    """The rates at every logged step; after the schedule's end they stay at the least."""
+    m = numeric.lr_multiplier(F.col("step") - 1, _STEPS, _WARM, "cosine", 0.1)
     rates = metrics.group_rates(m, 0.0024, 0.25, 0.4)
-    return spark.range(_STEPS).withColumnRenamed("id", "step").select("step", F.round(m, 9).alias("multiplier"), *(F.round(rates[k], 9).alias(k) for k in ("norm_rate", "muon_rate")))
+    return _series(spark, sf_dir).select("run", "step", F.round(m, 9).alias("multiplier"), *(F.round(rates[k], 9).alias(k) for k in ("norm_rate", "muon_rate")))
 
 
-@query(f"SELECT range AS step, round(CASE WHEN range < {_WARM} THEN (range + 1) / {_WARM} WHEN range < {_STEPS - _REST // 2} THEN 1 ELSE 1 - 0.9 * (range - {_STEPS - _REST // 2}) / {_REST // 2 - 1} END, 9) AS multiplier FROM range({_STEPS})")
+@query(f"WITH {_S} SELECT run, step, round(CASE WHEN step <= {_WARM} THEN step / {_WARM} WHEN step - 1 < {_STEPS - _REST // 2} THEN 1 ELSE 1 - 0.9 * least(1, (step - 1 - {_STEPS - _REST // 2}) / {_REST // 2 - 1}) END, 9) AS multiplier FROM s")
 def lr_schedule_wsd(spark, sf_dir):
-    m = numeric.lr_multiplier(F.col("step"), _STEPS, _WARM, "wsd", 0.1, 0.5)
-    return spark.range(_STEPS).withColumnRenamed("id", "step").select("step", F.round(m, 9).alias("multiplier"))
+    m = numeric.lr_multiplier(F.col("step") - 1, _STEPS, _WARM, "wsd", 0.1, 0.5)
+    return _series(spark, sf_dir).select("run", "step", F.round(m, 9).alias("multiplier"))
 
 
 _LSE = "list_max(v) + ln(list_sum(list_transform(v, lambda x: exp(x - list_max(v)))))"
@@ -653,9 +684,9 @@ def stripped_documents(spark, sf_dir):
     return rows.select("doc_id", F.length("t").cast("long").alias("n_chars"), F.size(byte_ids(F.col("t"))).cast("long").alias("n_ids"), F.sha2(F.col("t").cast("binary"), 256).alias("digest"))
 
 
-@query("SELECT range AS step, range % 20 = 0 OR range = 503 AS validates, range % 50 = 0 AND range <> 503 AS saves, range = 1 OR range = 503 OR range % 100 = 0 AS diagnoses FROM range(1, 504)")
+@query(f"WITH {_S}, l AS (SELECT run, max(step) AS last FROM s GROUP BY run) SELECT run, step, step % 20 = 0 OR step = last AS validates, step % 50 = 0 AND step <> last AS saves, step = 1 OR step = last OR step % 100 = 0 AS diagnoses FROM s JOIN l USING (run)")
 def event_steps(spark, sf_dir):
-    return progress.event_steps(spark, 503, 20, 50, 100)
+    return progress.event_steps(_series(spark, sf_dir), 20, 50, 100)
 
 
 @query("""WITH p AS (SELECT event_id, event_id // 40 AS epoch, event_id % 40 AS next_batch, event_id // 40 * 10 + event_id % 40 // 4 + CASE WHEN user_id % 5 = 0 THEN 1 ELSE 0 END AS global_step FROM events),
@@ -676,38 +707,10 @@ def multinomial_draw(spark, sf_dir):
     return _logits(spark, sf_dir).select("vec_id", p.alias("p")).select("vec_id", draw(F.col("p"), (F.col("vec_id") * 7919 % 1000 + 0.5) / 1000).cast("long").alias("token"))
 
 
-_SMALL = {"vocab_size": 263, "n_blocks": 1, "embed_dim": 8, "attn_heads": 2, "ffn_dim": 8, "seq_len": 64, "qk_norm": True}
-
-
 @query()
-def decoder_losses(spark, sf_dir):
-    """Each block's loss under a small decoder with its first weights; a test holds the decoder against one with loops."""
-    model = settings.defaults()["model"] | _SMALL
-    blocks = corpus.blocks(corpus.token_stream(_docs(spark, sf_dir)), _SMALL["seq_len"])
-    return _rounded(decoder.block_losses(blocks, decoder.initial_weights(model, SEED), model, at_once=64), 4)
-
-
-_WEIGHTS = [
-    ("embeddings.weight", (263, 8)), ("layers.0.attn.c_attn.weight", (24, 8)), ("layers.0.attn.c_proj.weight", (8, 8)), ("layers.0.attn_norm.weight", (8,)),
-    ("layers.0.ffn.w1.weight", (32, 8)), ("layers.0.ffn.w2.weight", (8, 32)), ("layers.0.ffn.w2.bias", (8,)), ("layers.0.ca.weight", (8, 1, 4)), ("norm.weight", (8,)),
-]
-_RECIPES = ("pytorch_default", "olmo", "gpt_scaled")
-
-
-@query(f"""WITH w(name, dims, fan) AS (VALUES {', '.join(f"('{n}', {len(s)}, {s[-1]})" for n, s in _WEIGHTS)}), r AS (SELECT unnest({list(_RECIPES)}) AS recipe)
-SELECT recipe, name, CASE WHEN contains(name, 'norm') THEN 'one' WHEN dims = 3 THEN 'uniform' WHEN recipe = 'pytorch_default' THEN CASE WHEN name = 'embeddings.weight' THEN 'normal' ELSE 'uniform' END WHEN ends_with(name, 'bias') THEN 'zero' ELSE 'normal' END AS kind,
-round(CASE WHEN contains(name, 'norm') THEN 0 WHEN dims = 3 THEN 1 / sqrt(fan) WHEN recipe = 'pytorch_default' THEN CASE WHEN name = 'embeddings.weight' THEN 1 WHEN contains(name, 'w2') THEN 1 / sqrt(32) ELSE 1 / sqrt(8) END WHEN ends_with(name, 'bias') THEN 0
-WHEN recipe = 'gpt_scaled' AND (contains(name, 'c_proj') OR contains(name, 'w2')) THEN 0.02 / sqrt(2 * 6) ELSE 0.02 END, 9) AS size FROM w, r""")
-def initial_scales(spark, sf_dir):
-    own = {"embed_dim": 8, "ffn_dim": 32, "n_blocks": 6, "initialization_std": 0.02}
-    rows = [(recipe, name, *decoder.initial_scale(name, shape, {**own, "initialization": recipe})) for recipe in _RECIPES for name, shape in _WEIGHTS]
-    return _rounded(spark.createDataFrame(rows, "recipe string, name string, kind string, size double"), 9)
-
-
-@query(f"WITH {_STATS.replace('SELECT count(*)', 's AS (SELECT count(*)', 1)}) SELECT docs, chars, words FROM s")
 def subword_corpus_stats(spark, sf_dir):
     """Tokens are a library's, which SQL has not; a test holds their number against it."""
-    return corpus.corpus_stats(_docs(spark, sf_dir), _piece_model()).select("docs", "chars", "words")
+    return corpus.corpus_stats(_docs(spark, sf_dir), _piece_model())
 
 
 @query()

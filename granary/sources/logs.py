@@ -37,6 +37,6 @@ def append_registry(spark: SparkSession, path: str, rows: DataFrame) -> int:
 
 
 def list_checkpoints(spark: SparkSession, path: str) -> DataFrame:
-    """path, mtime_ns, bytes of files under a folder; contents aren't read."""
+    """path, mtime_ns, bytes of files under a folder, sorted by path; contents aren't read."""
     files = spark.read.format("binaryFile").load(path).select("path", "modificationTime", "length")
-    return files.select("path", (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.col("length").alias("bytes"))
+    return files.select("path", (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.col("length").alias("bytes")).orderBy("path")

@@ -145,3 +145,59 @@ def test_ingest_stops_at_the_target_and_goes_on(spark, tmp_path):
     assert rows(ingest.ingested(spark, str(tmp_path / "out"))) == rows(whole)
     with pytest.raises(ValueError):
         call(0)
+
+
+def _event(step, wall, *values):
+    """An event's bytes: (tag, value, form), form 0 for a plain value, 1 and 2 for a float or double tensor."""
+    import struct
+
+    def varint(n):
+        out = bytearray()
+        n &= (1 << 64) - 1
+        while n > 127:
+            out.append(n & 127 | 128)
+            n >>= 7
+        return bytes([*out, n])
+
+    def part(number, raw):
+        return varint(8 * number + 2) + varint(len(raw)) + raw
+
+    summary = b""
+    for tag, value, form in values:
+        number = struct.pack("<f", value) if form < 2 else struct.pack("<d", value)
+        tensor = b"\x08" + bytes([form]) + part(4 if form == 1 else 6, number)
+        summary += part(1, part(1, tag.encode()) + (b"\x15" + number if form == 0 else part(8, tensor)))
+    return b"\x09" + struct.pack("<d", wall) + b"\x10" + varint(step) + part(5, summary)
+
+
+def _framed(data, broken=""):
+    import struct
+
+    from granary.sources.eventlogs import masked_crc
+
+    head = struct.pack("<Q", len(data))
+    return head + struct.pack("<I", masked_crc(head) ^ (broken == "length")) + data + struct.pack("<I", masked_crc(data) ^ (broken == "data"))
+
+
+def test_event_files(spark, tmp_path):
+    from granary.sources.eventlogs import fields, masked_crc, read_events
+
+    assert masked_crc(b"123456789") == ((0xE3069283 >> 15 | 0xE3069283 << 17) + 0xA282EAD8) & 0xFFFFFFFF  # the checksum's published check value
+    with pytest.raises(ValueError):
+        list(fields(b"\x0b"))
+    files = {
+        ("a", "events.out.tfevents.1"): [_framed(_event(1, 2.5, ("loss", 0.5, 0), ("lr", 0.25, 1))), _framed(b""), _framed(_event(-3, 3.0, ("größe", 1e-300, 2))), _framed(_event(4, 1.0, ("x", 1.0, 0)))[:-3]],
+        ("b", "events.out.tfevents.1"): [_framed(_event(1, 0.0, ("loss", 1.0, 0)), "data"), _framed(_event(2, 0.0, ("loss", 2.0, 0))), _framed(_event(3, 0.0), "length"), _framed(_event(4, 0.0, ("loss", 4.0, 0)))],
+        ("b", "notes.txt"): [b"no events"],
+        ("c", "events.out.tfevents.2"): [_framed(b"\x2a\x7f"), b"\x01"],
+        ("d", "events.out.tfevents.3"): [],
+    }
+    for (run, name), parts in files.items():
+        (tmp_path / run).mkdir(exist_ok=True)
+        (tmp_path / run / name).write_bytes(b"".join(parts))
+    found = read_events(spark, str(tmp_path)).collect()
+    good = sorted((r["run"], r["tag"], r["step"], r["wall_time"], r["value"]) for r in found if not r["fault"])
+    assert good == [("a", "größe", -3, 3.0, 1e-300), ("a", "loss", 1, 2.5, 0.5), ("a", "lr", 1, 2.5, 0.25), ("b", "loss", 2, 0.0, 2.0)]
+    assert sorted((r["run"], r["fault"]) for r in found if r["fault"]) == [("b", "record 0: checksum"), ("b", "record 2: checksum"), ("c", "record 0: a field over the record's end")]
+    (tmp_path / "none").mkdir()
+    assert read_events(spark, str(tmp_path / "none")).count() == 0

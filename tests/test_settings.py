@@ -1,17 +1,15 @@
-"""Settings, checkpoints on disk and the library tokenizer."""
+"""Settings and the library tokenizer."""
 
 import json
 import logging
-import math
 import os
 import warnings
 
-import numpy as np
 import pytest
 
 from granary.functions.tokenizer import check, decoded, encoded, framed_tokens, token_measures, with_ids
-from granary.operators import corpus, decoder
-from granary.sources import checkpoints, config, settings
+from granary.operators import corpus
+from granary.sources import config, settings
 
 from .conftest import SF
 
@@ -51,8 +49,8 @@ def test_load_with_overrides(tmp_path):
 def test_parameter_count():
     model = settings.defaults()["model"] | {"vocab_size": 10, "embed_dim": 4, "ffn_dim": 6, "n_blocks": 2, "attn_heads": 1}
     assert settings.parameter_count(model) == 40 + 2 * (64 + 72 + 16 + 8) + 4
-    for flags in ({}, {"attn_bias": True, "qk_norm": True}, {"canon_layers": True, "split_qkv_projections": True, "attn_bias": True}):
-        assert settings.parameter_count(model | flags) == sum(math.prod(s) for s in decoder.shapes(model | flags).values())
+    assert settings.parameter_count(model | {"attn_bias": True, "qk_norm": True}) == 412
+    assert settings.parameter_count(model | {"canon_layers": True, "split_qkv_projections": True, "attn_bias": True}) == 652
 
 
 def test_find_checkpoint(tmp_path):
@@ -151,13 +149,25 @@ def test_logging_sinks(tmp_path):
     assert settings.run_result("a", 5, 5, 1.0, None, "x")["completed"] and not settings.run_result("a", 4, 5, 1.0, None, "x")["completed"]
 
 
-def test_legacy_model_settings():
-    old = {"VOCAB_SIZE": "10", "N_BLOCKS": 2, "EMBED_DIM": "8", "ATTN_HEADS": 2, "FFN_DIM": 6, "SEQ_LEN": 16, "ROPE_BASE": "10000", "QK_NORM": " Yes ", "OTHER": 1}
-    got = settings.legacy_model(old, {"layers.0.attn.q_proj.weight": (8, 8), "layers.0.ca.weight": (8, 1, 3)})
-    assert got["vocab_size"] == 10 and got["rope_base"] == 10000.0 and got["qk_norm"] is True and got["split_qkv_projections"] is True and got["canon_layers"] is True and got["canon_kernel_size"] == 3 and got["attn_bias"] is False
-    for bad, shapes in (({**old, "QK_NORM": "maybe"}, {}), ({k: v for k, v in old.items() if k != "SEQ_LEN"}, {}), (old, {"a.ca.weight": (8, 1, 3), "a.cc.weight": (8, 1, 4)})):
-        with pytest.raises(ValueError):
-            settings.legacy_model(bad, shapes)
+def test_legacy_settings(spark):
+    from granary.operators.legacy import legacy_settings
+
+    old = {"VOCAB_SIZE": "10", "N_BLOCKS": "2", "EMBED_DIM": " 8", "ATTN_HEADS": "2", "FFN_DIM": "6", "SEQ_LEN": "16", "ROPE_BASE": "10000", "QK_NORM": " Yes ", "OTHER": "1"}
+    runs = {"good": old, "bad": old | {"QK_NORM": "maybe", "N_BLOCKS": "2.5"}, "short": {k: v for k, v in old.items() if k != "SEQ_LEN"}, "none": {"seq_len": "3"}}
+    recorded = spark.createDataFrame([(run, k, v) for run, own in runs.items() for k, v in own.items()], "run string, key string, value string")
+    weights = [("good", "layers.0.attn.q_proj.weight", 8), ("good", "layers.0.ca.weight", 3), ("good", "layers.1.cc.weight", 3), ("bad", "a.ca.weight", 3), ("bad", "a.attn.cb.weight", 4), ("bad", "a.attn.q_proj.bias", 8), ("stray", "x", 1)]
+    found = {(r["run"], r["name"]): r for r in legacy_settings(recorded, spark.createDataFrame(weights, "run string, name string, last_size int")).collect()}
+    good = {name: (r["value"], r["inferred"]) for (run, name), r in found.items() if run == "good"}
+    assert good == {
+        "vocab_size": ("10", False), "n_blocks": ("2", False), "embed_dim": ("8", False), "attn_heads": ("2", False), "ffn_dim": ("6", False), "seq_len": ("16", False), "rope_base": ("10000.0", False),
+        "qk_norm": ("true", False), "split_qkv_projections": ("true", True), "canon_layers": ("true", True), "attn_bias": ("false", True), "canon_kernel_size": ("3", True),
+    }
+    faults = {key: r["fault"] for key, r in found.items() if r["fault"]}
+    assert faults == {
+        ("bad", "qk_norm"): "value", ("bad", "n_blocks"): "value", ("bad", "canon_kernel_size"): "kernels", ("short", "seq_len"): "missing",
+        **{("none", n): "missing" for n in ("vocab_size", "n_blocks", "embed_dim", "attn_heads", "ffn_dim", "seq_len", "rope_base")},
+    }
+    assert found["bad", "attn_bias"]["value"] == "true" and found["short", "canon_layers"]["value"] == "false" and not any(run == "stray" for run, _ in found)
 
 
 def test_commands(spark, tmp_path, capsys):
@@ -178,64 +188,3 @@ def test_commands(spark, tmp_path, capsys):
     assert [r["text"] for r in spark.read.parquet(str(tmp_path / "sample")).orderBy("doc_id").collect()] == ["word", "word word"]
     (tmp_path / "run.toml").write_text('name = "run"\n')
     assert main(["check", str(tmp_path / "run.toml"), "--override", "training.epochs=7"]) == 0 and "epochs = 7" in capsys.readouterr().out
-
-
-def _small_run(**model):
-    return settings.validated({"name": "run", "model": {"vocab_size": 11, "embed_dim": 8, "ffn_dim": 6, "n_blocks": 1, "attn_heads": 2, "seq_len": 12} | model, "training": {"batch_size": 2, "grad_accum_steps": 3}, "checkpoint": {"keep_last": 2}})
-
-
-def test_checkpoints_go_on_only_where_they_may(tmp_path):
-    run = _small_run()
-    weights = decoder.initial_weights(run["model"], 1)
-    progress = {"epoch": 1, "next_batch": 3, "global_step": 5, "total_steps": 12, "tokens_seen": 5 * 2 * 3 * 12, "clipped_steps": 2}
-    told = []
-    (tmp_path / "notes.npz").write_bytes(b"")
-    for step in (3, 4, 5):
-        path = checkpoints.save(tmp_path, step, weights, run, progress=progress, identities={"train": "a"}, after=told.append)
-        os.utime(path, ns=(step, step))
-    assert sorted(p.name for p in tmp_path.iterdir()) == ["notes.npz", "step_00000004.npz", "step_00000005.npz"] and len(told) == 3
-    own = checkpoints.resumed(tmp_path, run, 4, {"train": "a"})
-    assert own.path == path and own.header["progress"] == progress and all((own.weights[n] == w).all() for n, w in weights.items())
-    checkpoints.resumed(tmp_path, config.merge(run, {"name": "other", "logging": {"level": "DEBUG"}, "optimizer": {"schedule": {"total_steps": 9}}}), 4)
-    for match, args in {"settings differ": (config.merge(run, {"optimizer": {"lr": 0.5}}), 4, None), "other train data": (run, 4, {"train": "b"}), "cursor differ": (run, 5, None)}.items():
-        with pytest.raises(ValueError, match=match):
-            checkpoints.resumed(tmp_path, *args)
-    checkpoints.save(tmp_path, 6, weights, run)
-    with pytest.raises(ValueError, match="weights alone"):
-        checkpoints.resumed(tmp_path, run, 4)
-    checkpoints.save(tmp_path, 7, {**weights, "norm.weight": weights["norm.weight"] * math.nan}, run, progress=progress | {"clipped_steps": 6})
-    with pytest.raises(ValueError, match="clipped steps.*finite"):
-        checkpoints.resumed(tmp_path, run, 4)
-    with pytest.raises(ValueError):
-        checkpoints.save(tmp_path, 8, {"norm.weight": weights["norm.weight"]}, run)
-
-
-def test_old_checkpoints_are_migrated_and_write_text(tmp_path, capsys):
-    from granary.__main__ import main
-
-    run = _small_run(attn_bias=True, qk_norm=True)
-    weights = decoder.initial_weights(run["model"], 1)
-    old = {k.upper(): str(run["model"][k]) for k in ("vocab_size", "n_blocks", "embed_dim", "attn_heads", "ffn_dim", "seq_len", "rope_base")}
-    np.savez(tmp_path / "old.npz", __hyperparameters__=np.array(json.dumps(old)), **weights)
-    with pytest.raises(FileNotFoundError, match="migrate"):
-        checkpoints.load_model(tmp_path)
-    np.savez(tmp_path / "bad.npz", __hyperparameters__=np.array(json.dumps(old | {"FFN_DIM": 7})), **weights)
-    with pytest.raises(ValueError, match="shape"):
-        checkpoints.migrate(tmp_path / "bad.npz")
-    (tmp_path / "bad.npz").unlink()
-    assert main(["migrate", str(tmp_path / "old.npz")]) == 0
-    with pytest.raises(FileExistsError):
-        main(["migrate", str(tmp_path / "old.npz")])
-    assert main(["migrate", str(tmp_path / "old.npz"), "--force"]) == 0
-    got, model = checkpoints.load_model(tmp_path)
-    assert model["qk_norm"] and model["attn_bias"] and all((got[n] == w).all() for n, w in weights.items())
-
-    class Letters:
-        vocab_size, bos_id, eos_id, unk_id, pad_id = (lambda self: 11), (lambda self: 1), (lambda self: 2), (lambda self: 0), (lambda self: -1)
-        encode, decode = (lambda self, text: [ord(c) - 94 for c in text]), (lambda self, ids: "".join(chr(i + 94) for i in ids))
-
-    text = checkpoints.written_by(tmp_path, Letters(), "ab", seed=3)
-    assert text == checkpoints.written_by(tmp_path, Letters(), "ab", seed=3) and len(text) <= 9 and not {chr(94), chr(95), chr(96)} & set(text)
-    Letters.vocab_size = lambda self: 12
-    with pytest.raises(ValueError, match="vocabulary"):
-        checkpoints.written_by(tmp_path, Letters(), "ab")
