@@ -27,6 +27,8 @@ IDENTITY = (
     ("disabled", "blind", "deaf"), ("old", "young"), ("frauen", "männer"), ("femmes", "hommes"), ("mujeres", "hombres"), ("musulmans", "chrétiens", "juifs"),
 )
 PREFIXES = (4, 5)
+#: What cross-validation tries: numbers of features, far below those that come to the driver, as these were ranked with all folds; and ridges.
+COUNTS, RIDGES = (50, 100, 200, 400), (2e-4, 2e-3, 2e-2)
 
 
 @dataclass
@@ -70,7 +72,7 @@ def _hash_words(terms: Sequence[str]) -> list[list[int]]:
     return [feature[row == i].tolist() for i in range(len(terms))]
 
 
-def fit(texts: list[np.ndarray], labels: np.ndarray, chosen: np.ndarray, *, identity: Sequence[Sequence[str]] = IDENTITY, fairness: float = 1.0, ridge: float = 2e-5, steps: int = 400, rate: float = 0.1, toxic_weight: float = 3.0) -> Toxicity:
+def fit(texts: list[np.ndarray], labels: np.ndarray, chosen: np.ndarray, *, identity: Sequence[Sequence[str]] = IDENTITY, fairness: float = 1.0, ridge: float = 2e-3, steps: int = 400, rate: float = 0.1, toxic_weight: float = 3.0) -> Toxicity:
     """Full-batch Adam on log loss (a toxic text counts `toxic_weight` times) + ridge + fairness * mean squared logit change under swaps.
 
     texts: each text's distinct feature hashes (identity terms' included); chosen: the features with weights.
@@ -99,24 +101,75 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, chosen: np.ndarray, *, iden
             swaps += 1
     row, col, y = np.array(row, int), np.array(col, int), labels.astype(float)
     swap_row, swap_col, swap_sign = np.array(swap_row, int), np.array(swap_col, int), np.array(swap_sign, float)
-    n, k = max(1, len(texts)), len(all_features)
-    rate_of = min(max(y.mean() if len(y) else 0.0, 1e-3), 1 - 1e-3)
+
+    def swap_pull(w: np.ndarray) -> np.ndarray | float:
+        if not swaps:
+            return 0.0
+        moved = np.bincount(swap_row, w[swap_col] * swap_sign, swaps)
+        return 2 * fairness / swaps * np.bincount(swap_col, swap_sign * moved[swap_row], len(all_features))
+
+    w, bias = _descend(row, col, y, len(all_features), ridge, steps, rate, toxic_weight, swap_pull)
+    return Toxicity(all_features, w, bias)
+
+
+def _descend(row: np.ndarray, col: np.ndarray, y: np.ndarray, k: int, ridge: float, steps: int, rate: float, toxic_weight: float, pull=lambda w: 0.0) -> tuple[np.ndarray, float]:
+    """Weights of k features and the bias, from (text, feature) pairs; `pull` is a further gradient of the weights."""
+    n = max(1, len(y))
+    share = min(max(y.mean() if len(y) else 0.0, 1e-3), 1 - 1e-3)
     w, m, s = np.zeros(k + 1), np.zeros(k + 1), np.zeros(k + 1)
-    w[k] = np.log(rate_of / (1 - rate_of))
-    for step in range(1, steps + 1 if len(texts) else 1):
+    w[k] = np.log(share / (1 - share))
+    for step in range(1, steps + 1 if len(y) else 1):
         z = w[k] + np.bincount(row, w[col], n)
         off = (1 / (1 + np.exp(-z)) - y) * np.where(y > 0, toxic_weight, 1.0)
         g = np.append(np.bincount(col, off[row], k) / n + ridge * w[:k], off.mean())
-        if swaps:
-            moved = np.bincount(swap_row, w[swap_col] * swap_sign, swaps)
-            g[:k] += 2 * fairness / swaps * np.bincount(swap_col, swap_sign * moved[swap_row], k)
+        g[:k] += pull(w[:k])
         m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
-    return Toxicity(all_features, w[:k], float(w[k]))
+    return w[:k], float(w[k])
+
+
+def _chi(row: np.ndarray, col: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
+    """Chi-squared of each of k features with the labels, -1 for those in fewer than four texts."""
+    n, pos = len(y), y.sum()
+    a, all_ = np.bincount(col, y[row], k), np.bincount(col, minlength=k)
+    b = all_ - a
+    return np.where(all_ >= 4, (a * (n - pos) - b * pos) ** 2 / (all_ * (n - all_) + 1), -1.0)
+
+
+def cross_validated(texts: list[np.ndarray], labels: np.ndarray, chosen: np.ndarray, *, folds: int = 4, steps: int = 150, rate: float = 0.1, toxic_weight: float = 3.0) -> tuple[int, float]:
+    """How many features, and the ridge, with the fewest errors on training texts held out in turn; then the least log loss.
+
+    Texts come sorted by label, so each fold has its share of both. Features are ranked anew without the fold.
+    """
+    place = {int(f): i for i, f in enumerate(chosen)}
+    own = [[place[int(f)] for f in text if int(f) in place] for text in texts]
+    row = np.repeat(np.arange(len(own)), [len(x) for x in own])
+    col, y = np.array([i for x in own for i in x], int), labels.astype(float)
+    fold = np.arange(len(y)) % folds
+    found: dict[tuple[int, float], list[float]] = {}
+    for f in range(folds):
+        apart = fold == f
+        inside = ~apart[row]
+        number = np.cumsum(~apart) - 1
+        rank = np.argsort(np.argsort(-_chi(number[row[inside]], col[inside], y[~apart], len(chosen)), kind="stable"), kind="stable")
+        for n in sorted({min(n, len(chosen)) for n in COUNTS}):
+            low = rank[col] < n
+            for ridge in RIDGES:
+                w, bias = _descend(number[row[inside & low]], rank[col[inside & low]], y[~apart], n, ridge, steps, rate, toxic_weight)
+                out = ~inside & low
+                z = bias + np.bincount(row[out], w[rank[col[out]]], len(y))[apart]
+                loss = np.logaddexp(0, np.where(y[apart] > 0, -z, z)).sum()
+                total = found.setdefault((n, ridge), [0.0, 0.0])
+                total[0] += float(((z >= 0) != (y[apart] > 0)).sum())
+                total[1] += float(loss)
+    return min(found, key=lambda key: (*found[key], key))
 
 
 def train(labelled: DataFrame, *, max_features: int = 4000, identity: Sequence[Sequence[str]] = IDENTITY, **options) -> Toxicity:
-    """Trains on (text, toxic 0/1) rows; the caller bounds their number, as 4000 features of each may come to the driver."""
+    """Trains on (text, toxic 0/1) rows; the caller bounds their number, as 4000 features of each may come to the driver.
+
+    How many features have weights, and the ridge, are chosen by cross-validation over these rows, unless options name a ridge.
+    """
     rows = labelled.filter(F.col("toxic").isNotNull()).select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,12 +187,16 @@ def train(labelled: DataFrame, *, max_features: int = 4000, identity: Sequence[S
     chi = (a * (n - pos) - b * pos) * (a * (n - pos) - b * pos) / ((a + b) * (n - a - b) + 1)
     best = sets.select("toxic", F.explode("features").alias("f")).groupBy("f").agg(F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b"))
     chosen = [r["f"] for r in best.filter(a + b >= 4).select("f", chi.alias("chi")).orderBy(F.desc("chi"), "f").limit(max_features).collect()]
-    wanted = np.array(sorted(chosen), np.int64).view(np.uint64)
+    wanted = np.array(chosen, np.int64).view(np.uint64)
     terms = np.array([f for g in identity for t in _hash_words(g) for f in t], np.uint64)
     keep = np.sort(np.concatenate([wanted, terms])).view(np.int64).tolist()
     kept = sets.select("toxic", F.array_intersect("features", F.lit(keep) if keep else F.array().cast("array<long>")).alias("features")).collect()
     kept = sorted(((r["toxic"], sorted(r["features"])) for r in kept), key=lambda x: (x[0], x[1]))
-    return fit([np.array(x[1], np.int64).view(np.uint64) for x in kept], np.array([x[0] for x in kept]), wanted, identity=identity, **options)
+    texts, labels = [np.array(x[1], np.int64).view(np.uint64) for x in kept], np.array([x[0] for x in kept])
+    if "ridge" not in options and len(wanted) and 0 < labels.sum() < len(labels):
+        count, ridge = cross_validated(texts, labels, wanted)
+        wanted, options = wanted[:count], options | {"ridge": ridge}
+    return fit(texts, labels, wanted, identity=identity, **options)
 
 
 def bounded_labels(labels: DataFrame, held_out, max_rows: int = 12_000) -> DataFrame:

@@ -130,6 +130,30 @@ def test_toxicity_learns_words_and_forgives_identity(spark, empty):
     assert all(0 <= r["score"] <= 1 for r in toxicity.score(tests, nothing).collect())
 
 
+def test_toxicity_scores_equal_a_plain_sum(spark):
+    rnd = random.Random(4)
+    bad, good = ["scum", "vermin", "schädling"], [f"word{i}" for i in range(60)]
+    rows = [(" ".join(rnd.choices(good, k=30) + (rnd.choices(bad, k=2) if i % 3 == 0 else [])), int(i % 3 == 0)) for i in range(240)]
+    model = toxicity.train(spark.createDataFrame(rows, "text string, toxic int"))
+    weight = dict(zip(model.features.tolist(), model.weights.tolist()))
+    texts = ["", None, "Vermin! SCUM", "word1, word2;word3 schädlinge vermin vermin", "x" * 50_000 + " scum", *(t for t, _ in rows[:20])]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, text in enumerate(texts):
+        found = {f for word in re.findall(r"[a-z0-9\x80-\U0010ffff]+", (text or "").lower()) for f in toxicity._hash_words([word])[0]}
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-model.bias - sum(weight.get(f, 0.0) for f in found))))
+    assert got[2] > 0.5 > got[0]
+
+
+def test_cross_validation_prefers_few_features_where_labels_are_few():
+    rnd = np.random.default_rng(2)
+    chosen = np.arange(500, dtype=np.uint64)
+    labels = np.array([0] * 90 + [1] * 30)
+    texts = [np.array([500 + i, *rnd.choice(np.arange(20, 500), 60, replace=False), *(rnd.choice(5, 2, replace=False) if y else [])], np.uint64) for i, y in enumerate(labels)]
+    count, ridge = toxicity.cross_validated(texts, labels, chosen)
+    assert count == 50 and ridge in toxicity.RIDGES
+    assert toxicity.cross_validated(texts[::-1], labels[::-1], chosen)[0] <= 100
+
+
 def test_toxicity_labels_are_bounded_and_not_held_out(spark):
     labels = spark.createDataFrame([(1, 0), (1, 1), (2, None), (None, 1), (3, 0), (4, 1)], "doc_id long, toxic int")
     got = {r["doc_id"]: r["toxic"] for r in toxicity.bounded_labels(labels, F.col("doc_id") == 3).collect()}
