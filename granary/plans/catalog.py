@@ -7,6 +7,7 @@ stands in for logits, label for the target. Figures with fractions are rounded o
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -18,6 +19,10 @@ from granary.functions.text import byte_ids, python_capitalize, strip, word_coun
 from granary.functions.tokenizer import decoded, draw, encoded, framed_tokens, raw_ids, token_measures, with_ids
 from granary.operators import artifacts, batches, corpus, legacy, metrics, progress
 from granary.sources import settings
+from granary.sources.files import shared_dir
+from granary.sources.shards import file_digests
+from granary.sources.tokens import read_blocks
+from granary.streaming.ingest import ingest_prefix, ingested
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -182,6 +187,33 @@ def block_targets(spark, sf_dir):
     return _digests(corpus.block_targets(corpus.blocks(corpus.token_stream(_docs(spark, sf_dir)), LENGTH), LENGTH), "inputs", "targets")
 
 
+def _artifact(spark, sf_dir) -> str:
+    """All documents as an artifact in the shared folder."""
+    root = f"{shared_dir(spark)}/granary-artifacts-{uuid.uuid4().hex}"
+    artifacts.publish(corpus.token_stream(_docs(spark, sf_dir)), root, "all", SHARD)
+    return f"{root}/all"
+
+
+@query(f"WITH {_BLOCKS} SELECT block_id, md5(array_to_string(ids[1:{LENGTH}], ',')) AS inputs, md5(array_to_string(ids[2:{LENGTH + 1}], ',')) AS targets FROM b")
+def artifact_block_reads(spark, sf_dir):
+    """Blocks as the data source reads them from the shards that the writer put in place."""
+    joined = lambda c: F.md5(F.array_join(F.transform(c, lambda x: x.cast("string")), ",").cast("binary")).alias(c)
+    return read_blocks(spark, _artifact(spark, sf_dir), LENGTH, blocks_per_task=256).select("block_id", joined("inputs"), joined("targets"))
+
+
+@query(f"WITH {_TOKENS}, k AS (SELECT pos // {SHARD} AS shard, count(*) AS tokens, sha256(unhex(string_agg(printf('%02X%02X', tok & 255, tok >> 8), '' ORDER BY pos))) AS sha256 FROM f GROUP BY 1) SELECT printf('tokens-%05d.bin', shard) AS file, 2 * tokens AS bytes, sha256 FROM k")
+def artifact_file_digests(spark, sf_dir):
+    return file_digests(spark, _artifact(spark, sf_dir), "tokens-*.bin")
+
+
+@query(f"WITH {_N} SELECT doc_id, start_pos, least(n_tokens, {PREFIXES['mid']} - start_pos) AS n_tokens FROM n WHERE start_pos < {PREFIXES['mid']}")
+def stream_to_target(spark, sf_dir):
+    """Documents as a stream of files that stops at a token target."""
+    out = f"{shared_dir(spark)}/granary-ingest-{uuid.uuid4().hex}"
+    ingest_prefix(spark, f"{sf_dir}/documents.parquet*", f"{out}/rows", f"{out}/checkpoint", PREFIXES["mid"], files_per_batch=64)
+    return ingested(spark, f"{out}/rows").select("doc_id", "start_pos", "n_tokens")
+
+
 _STARTS = [0, 1_011, 25_000, 25_500, 100_050]
 
 
