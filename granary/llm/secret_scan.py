@@ -24,7 +24,10 @@ BASE_KINDS = ("assign", "access", "hex")
 MARKOV = "markov"
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-CANDIDATE = r"(?<![\p{L}\p{N}+/_=-])[A-Za-z0-9+/_=-]{16,}(?![\p{L}\p{N}])"
+#: A run of characters that may be a secret; one in a UUID's form is an identifier by its form.
+CANDIDATE = (
+    r"(?<![\p{L}\p{N}+/_=-])(?![0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?![A-Za-z0-9+/_=-]))[A-Za-z0-9+/_=-]{16,}(?![\p{L}\p{N}])"
+)
 #: Parts of ordinary identifiers, for the labelled samples.
 PARTS = (
     "get set put add new old max min sum key map row col day net url doc tag log run user name data file path list item node tree page "
@@ -32,6 +35,15 @@ PARTS = (
     "output buffer string number object parser reader writer server client request response session config default handler manager"
 ).split()
 
+#: Orders of letters and keys, and words of languages whose clusters of letters English has not.
+SEQUENCES = ("abcdefghijklmnopqrstuvwxyzabcdefghijklmn", "qwertyuiopasdfghjklzxcvbnmqwertyuiop", "zxcvbnmasdfghjklqwertyuiop", "qazwsxedcrfvtgbyhnujmikolp", "0123456789012345678901234567890123456789")
+FOREIGN = (
+    "szczebrzeszyn chrzaszcz przedsiebiorstwo wszystkich zrzeszenie bezwzgledny krzyzowka zmrzlina ctvrtek vlastnost prst hrvatska krk yhteiskunta "
+    "jarjestelma tyottomyys megszentseg koszonom egeszseg llanfair gwyngyll cymraeg rhyfedd schifffahrt gesellschaft wirtschaft rechtschutz angstschweiss "
+    "slechtstschrijvend ontwikkeling vrijheid skjaergard bokstav gjennomsnitt ifjallraven oeuvre aujourdhui quelquechose ayuntamiento desarrollo conhecimento "
+    "nguyen truong phuong xiongmao zhongguo shuangxi tsukuyomi shinkansen khrushchev vladivostok mkhedruli tbilisi gvprtskvni nkrumah mbongeni ndzwana"
+).split()
+
 _SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 #: Spans that one step of a fold appends to; longer lists are folded block by block, as each append copies its list.
 _BLOCK = 128
@@ -101,8 +113,24 @@ def labelled_samples(spark: SparkSession, docs: DataFrame | None = None, *, text
         F.concat_ws("_", day, cut(1, 2), cut(3, 2), cut(5, 2)), F.concat(F.translate(day, "-", "/"), F.lit("/"), cut(1, 8)), F.concat(F.lit("/data/part-"), cut(1, 5), F.lit("-of-"), cut(6, 5)),
         F.concat(F.lit("/static/js/main-"), F.substring(digest, 1, 8)), F.concat(F.lit("/cache/"), F.substring(digest, 1, 2), F.lit("/"), F.substring(digest, 3, 7), F.lit("/index")),
     )
+    # References that look random at first sight; few, as many would make hex digits ordinary.
+    hexes = lambda at, n: F.substring(digest, at, n)
+    part = lambda at: F.element_at(F.split(parts, " "), F.pmod(F.conv(hexes(at, 4), 16, 10).cast("int"), F.lit(len(PARTS))) + 1)
+    ids = ordinary(
+        spark.range(40), F.concat_ws("/", part(1), hexes(5, 12)), F.concat(part(1), F.lit("/"), part(5), F.lit("-"), hexes(9, 7)), F.concat(part(1), F.lit("-"), part(5), F.lit("-"), hexes(9, 10)),
+        F.concat(F.lit("IPv6-"), F.concat_ws("-", hexes(1, 4), hexes(5, 4), hexes(9, 4))),
+    ).unionByName(ordinary(
+        spark.range(n_random // 16),
+        F.concat(F.upper(part(1)), cut(1, 2), F.lit("/"), F.upper(F.substring(part(5), 1, 3)), F.lit("-"), part(9), F.lit("-"), cut(3, 2), F.upper(F.substring(part(13), 1, 1)), F.lit("-"), F.upper(F.substring(part(17), 1, 4)), cut(5, 5)),
+        F.concat(part(1), F.lit("/"), F.upper(part(5)), F.lit("-"), cut(1, 4), F.lit("-"), part(9), F.lit("-"), part(13)),
+    ))
+    lines = spark.range(1).select(F.explode(F.array(*map(F.lit, (*SEQUENCES, *map(str.upper, SEQUENCES[:-1]))))).alias("line"))
+    at, size = F.col("at"), F.col("size")
+    pieces = lines.select("line", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("at")).select("*", F.explode(F.sequence(F.lit(16), F.lit(30), F.lit(2))).alias("size"))
+    sequences = ordinary(pieces, F.substring("line", at, size), F.reverse(F.substring("line", at, size)))
+    foreign = ordinary(pieces.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, FOREIGN))).alias("a")).crossJoin(spark.range(1).select(F.explode(F.array(*map(F.lit, FOREIGN))).alias("b"))), F.concat_ws("_", a, b), F.concat(a, b), F.concat(upper(a), upper(b)), F.concat_ws("-", a, b))
     rulers = ordinary(spark.range(1).select(F.explode(F.split(F.lit(ALPHABET), "")).alias("a")).filter("a <> ''"), *(F.repeat(a, F.lit(n)) for n in range(16, 32, 2)))
-    out = random.unionByName(names).unionByName(numbers).unionByName(rulers)
+    out = random.unionByName(names).unionByName(numbers).unionByName(rulers).unionByName(ids).unionByName(sequences).unionByName(foreign)
     if docs is not None:
         ids = docs.select(F.xxhash64("doc_id").alias("h"))
         least = ids.distinct().orderBy("h").limit(n_docs).agg(F.max("h")).first()[0]
@@ -141,7 +169,7 @@ class Markov:
         return F.aggregate(_codes(sample), start, step, lambda s: s["sum"])
 
 
-def train(samples: DataFrame, *, false_positives: float = 0.001, least_threshold: float = 4.0) -> Markov:
+def train(samples: DataFrame, *, false_positives: float = 0.001, least_threshold: float = 13.0) -> Markov:
     """Both models from four fifths of the samples; the threshold from the ordinary rest of 16 characters or more.
 
     Of these, at most a share of `false_positives` has a ratio over the threshold, which is `least_threshold` at least.
