@@ -177,12 +177,13 @@ def jaccard_classes(docs: DataFrame, *, text: str = "text", threshold: float = 0
         F.min("rid").alias("node"), F.count("*").alias("copies"), F.min(F.struct("doc_id", "rid")).alias("least"), F.first("sketch").alias("sketch"), F.first("n").alias("n")
     )
     nodes = written(nodes, "nodes")
+    n_nodes = nodes.count()
 
     # Buckets of two nodes or more, in blocks.
     cut = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sketch"), i * (4 * rows) + 1, F.lit(4 * rows)))))
     in_band = nodes.select("node", cut.alias("band", "bucket"))
-    shared = in_band.groupBy("bucket").agg(F.count("*").alias("count")).filter("count > 1")
-    members = in_band.join(shared, "bucket").select("node", "bucket", "count")
+    shared = written(in_band.groupBy("bucket").agg(F.count("*").alias("count")).filter("count > 1"), "buckets")
+    members = join_groups(in_band.drop("band"), shared, ["bucket"], "count", bands * n_nodes)
     placed = _parts(members, F.col("bucket"), F.col("node"), F.col("count") / block).select("block", "crossed", "part", "node")
     placed = placed.join(nodes.select("node", "sketch"), "node").repartition("block").sortWithinPartitions("block")
     fewest = least_matches(threshold, tolerance, size, step)
@@ -213,9 +214,10 @@ def jaccard_classes(docs: DataFrame, *, text: str = "text", threshold: float = 0
 
     edges = placed.select("block", "crossed", "part", "node", "sketch").mapInArrow(trimmed(prune), "a long, b long").filter("a <> b")
     clusters = components(edges, "clusters")
-    clustered = nodes.select("node", *keys, "copies", "n").join(clusters, "node")
-    parts = clustered.groupBy("label").agg(F.greatest(F.count("*") / block, 8 * F.sum("n") / block_bytes).alias("wanted"))
-    placed = written(_parts(clustered.join(parts, "label"), F.col("label"), F.col("node"), F.col("wanted")).select("node", *keys, "copies", "block", "crossed", "part"), "placed")
+    clustered = written(nodes.select("node", *keys, "copies", "n").join(clusters, "node"), "clustered")
+    parts = clustered.groupBy("label").agg(F.count("*").alias("count"), F.greatest(F.count("*") / block, 8 * F.sum("n") / block_bytes).alias("wanted"))
+    sized = join_groups(clustered, parts, ["label"], "count", clustered.count())
+    placed = written(_parts(sized, F.col("label"), F.col("node"), F.col("wanted")).select("node", *keys, "copies", "block", "crossed", "part"), "placed")
 
     # The sets of the clustered nodes: a filter of fixed size lets through few other texts, which the join then drops.
     wanted = _filter(placed.select("node").distinct(), filter_bits)
@@ -263,10 +265,11 @@ def jaccard_classes(docs: DataFrame, *, text: str = "text", threshold: float = 0
     verified = written(whole.mapInArrow(trimmed(verify), "a long, b long, links long"), "links")
     labels = components(verified.filter("a <> b").select("a", "b"), "classes")
     links = verified.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    named = nodes.join(labels, "node", "left").join(links, "node", "left")
-    named = named.select(*keys, "copies", "least", F.coalesce("label", "node").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    named = named.drop("least").join(named.groupBy("label").agg(F.min("least").alias("least")), "label")
-    named = written(named.select(*keys, "copies", "least", "n_links"), "named")
+    labelled = written(labels.join(nodes.select("node", "least"), "node"), "labelled")
+    heads = labelled.groupBy("label").agg(F.count("*").alias("count"), F.min("least").alias("head"))
+    heads = join_groups(labelled.select("node", "label"), heads, ["label"], "count", labelled.count()).select("node", "head")
+    named = nodes.join(heads, "node", "left").join(links, "node", "left")
+    named = written(named.select(*keys, "copies", F.coalesce("head", "least").alias("least"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "named")
     total = sketched.count()
     slim = sketched.filter("n > 0").select("rid", "doc_id", "n", *keys)
     out = join_groups(slim, named, keys, "copies", total)
@@ -276,7 +279,10 @@ def jaccard_classes(docs: DataFrame, *, text: str = "text", threshold: float = 0
 
 
 def row_id(text: str = "text") -> Column:
-    """The hash of id and text by which jaccard_classes names a row, as `rid`."""
+    """The hash of id and text by which jaccard_classes names a row, as `rid`.
+
+    It has 64 bits: of 5e10 different rows some 70 pairs share one, and each such pair counts as one row, or as one node.
+    """
     return F.xxhash64("doc_id", text)
 
 

@@ -183,22 +183,26 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 
     Each round gives a node its least neighbour, if that is less, and puts it in the node's place in all edges; equal edges
     become one, and a star of any size is gone after a round. The parents of each round, written to the shared folder, are
-    then followed back. Only nodes are shuffled, and nothing but whether edges are left comes to the driver. Names should be
-    hashes: in their random order a path of n nodes takes some log n rounds, in its own order n.
+    then followed back. Only nodes are shuffled, those that a large share of all edges or parents name are broadcast
+    (join_groups), and nothing but the number of edges comes to the driver. Names should be hashes: in their random order a
+    path of n nodes takes some log n rounds, in its own order n.
     """
     edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-edges")
     parents = []
-    while edges.limit(1).count():
+    while left := edges.count():
         ends = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
-        parent = written(ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("parent")), f"{name}-parents")
-        parents.append(parent)
-        moved = edges.join(parent.select(F.col("node").alias("a"), F.col("parent").alias("c")), "a")
-        moved = moved.join(parent.select(F.col("node").alias("b"), F.col("parent").alias("d")), "b").filter("c <> d")
+        parent = ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b"), F.count("*").alias("degree"))
+        parent = written(parent.select("node", F.least("node", "b").alias("parent"), "degree"), f"{name}-parents")
+        parents.append(parent.select("node", "parent"))
+        moved = join_groups(edges, parent.select(F.col("node").alias("a"), F.col("parent").alias("c"), "degree"), ["a"], "degree", left).drop("degree")
+        moved = join_groups(moved, parent.select(F.col("node").alias("b"), F.col("parent").alias("d"), "degree"), ["b"], "degree", left).filter("c <> d")
         edges = written(moved.select(F.greatest("c", "d").alias("a"), F.least("c", "d").alias("b")).distinct(), f"{name}-edges")
     if not parents:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     labels = parents.pop().withColumnRenamed("parent", "label")
     while parents:
-        above = labels.select(F.col("node").alias("parent"), "label")
-        labels = parents.pop().join(above, "parent", "left").select("node", F.coalesce("label", "parent").alias("label"))
+        own = parents.pop()
+        above = own.groupBy("parent").agg(F.count("*").alias("named")).join(labels.withColumnRenamed("node", "parent"), "parent", "left")
+        above = written(above.select("parent", "named", F.coalesce("label", "parent").alias("label")), f"{name}-above")
+        labels = join_groups(own, above, ["parent"], "named", own.count()).select("node", "label")
     return written(labels, f"{name}-labels")
