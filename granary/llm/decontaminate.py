@@ -6,7 +6,8 @@ walks, which turn edits into differing places; tables of sampled places bring wi
 found is verified by the exact edit distance of the item to the best stretch of words about the window.
 
 Of each length of item, walks are added until the tables of random strings and of copies with as many random edits as the
-bound allows meet with the target recall. Places past the end of a walk make no key, as all strings look alike there.
+bound allows meet with the target recall; where the most walks allowed do not reach it, windows of that length go to the
+exact check without tables. Places past the end of a walk make no key, as all strings look alike there.
 """
 
 from __future__ import annotations
@@ -58,7 +59,7 @@ def edited(strings: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndar
 
 
 def walks_needed(n: int, edits: int, places: int, samples: int, target: float, most: int, pairs: int = 200) -> int:
-    """The fewest walks with whose tables random strings of n words meet their edited copies with the target recall, `most` at most."""
+    """The fewest walks with whose tables random strings of n words meet their edited copies with the target recall; 0 if `most` of them don't."""
     rng = np.random.default_rng(n)
     strings = rng.integers(2, 1 << 63, (pairs, n)).astype(np.uint64)
     copies, missed = edited(strings, edits, rng), np.ones(pairs)
@@ -66,8 +67,8 @@ def walks_needed(n: int, edits: int, places: int, samples: int, target: float, m
         a, b = cgk(strings, walk, 2 * n), cgk(copies, walk, 2 * n)
         missed *= (1 - ((a == b) & (a != 0)).mean(axis=1) ** places) ** samples
         if 1 - missed.mean() >= target:
-            break
-    return walk + 1
+            return walk + 1
+    return 0
 
 
 def edit_distances(items: np.ndarray, texts: np.ndarray, anchored: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -106,6 +107,7 @@ class Benchmark:
     """Distinct items as word hashes, and what finds them: anchors, words held, and tables of sampled places.
 
     ids: those of the items in order, `copies` of each. Memory is in proportion to the items' words and number of tables.
+    Items whose length needs more than `most_walks` walks for the target recall have no tables and lose nothing by it.
     """
 
     ids: pa.Array
@@ -143,7 +145,7 @@ class Benchmark:
                 walks[near] = walks_needed(near, int(near * (1 - self.similarity) + 1e-9), self.places, self.samples, self.target_recall, self.most_walks)
             self.picks[n] = rng.integers(0, 2 * n, (walks[near], self.samples, self.places))
         keys, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for n in self.picks:
+        for n in (n for n in self.picks if len(self.picks[n])):
             which = np.flatnonzero(self.length == n)
             for key, ok in self._keys(np.stack([self.items[i] for i in which]), n):
                 keys.append(key[ok])
@@ -225,7 +227,11 @@ class Benchmark:
         """(text, window's first word, item) that share a table's key; windows are of the lengths that anchored them."""
         found = [np.zeros((0, 3), np.int64)]
         for n in np.unique(self.length[item]).tolist():
-            windows = np.unique(np.stack([row, at], axis=1)[self.length[item] == n], axis=0)
+            which = self.length[item] == n
+            if not len(self.picks[n]):
+                found.append(np.stack([row, at, item], axis=1)[which])
+                continue
+            windows = np.unique(np.stack([row, at], axis=1)[which], axis=0)
             for part in _chunks(np.full(len(windows), 2 * n)):
                 window = windows[part]
                 for key, ok in self._keys(self._cut(own, first, window[:, 0], window[:, 1], n), n):
@@ -296,9 +302,8 @@ def benchmark(items: DataFrame, *, text: str = "text", block_chars: int = 3_000_
 
 def _scans(docs: DataFrame, blocks: list[Benchmark], at_once: int = 4) -> Iterator[list]:
     """The blocks' broadcasts in lists of at most `at_once`, each for one reading of the texts."""
-    shared = [docs.sparkSession.sparkContext.broadcast(block) for block in blocks]
-    for lo in range(0, len(shared), at_once):
-        yield shared[lo : lo + at_once]
+    for lo in range(0, len(blocks), at_once):
+        yield [docs.sparkSession.sparkContext.broadcast(block) for block in blocks[lo : lo + at_once]]
 
 
 def contamination(docs: DataFrame, blocks: list[Benchmark], *, text: str = "text") -> DataFrame:
