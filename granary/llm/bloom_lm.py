@@ -1,9 +1,9 @@
 """Language-model scoring from a log-frequency Bloom filter.
 
 A quantised count of level q is held as q memberships of its n-gram, (n-gram, 1) to (n-gram, q); reading asks for level
-1, 2, ... until one is absent. The filter is cut by hash into segments, as many as shuffles have partitions; each is built
-by the task that has merged the counts of its part and kept as a row in the shared folder, so the filter grows with the
-texts and is nowhere held whole. Scoring sends its questions, once for each chunk of texts, to the task that has the
+1, 2, ... until one is absent. The filter is cut by hash into segments, as many as shuffles have partitions and more where
+the texts' bytes ask for it; each is built by the task that has merged the counts of its part and kept as a row in the
+shared folder, so the filter grows with the texts and is nowhere held whole. Scoring sends its questions, once for each chunk of texts, to the task that has the
 segment, and the answers back to the chunk.
 
 Counting: each task sums its own n-grams in numpy and sends, for each segment, one block of sorted hashes and counts, so
@@ -41,12 +41,16 @@ LEVELS = np.array(_LEVELS, np.int64)
 
 
 def pair_key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """32 bits of either hash, the left one's on top, so that the context can be told from a pair."""
-    return (context_key(left) << np.uint64(32)) | (right >> np.uint64(32))
+    """36 bits of the left hash on top, so that the context can be told from a pair, and 28 of the right one.
+
+    Of 1e8 distinct tokens, one in 700 shares its context with another; after a token with a million different successors,
+    one in 270 of the words that never follow it is taken for one that does.
+    """
+    return (context_key(left) << np.uint64(28)) | (right >> np.uint64(36))
 
 
 def context_key(left: np.ndarray) -> np.ndarray:
-    return left >> np.uint64(32)
+    return left >> np.uint64(28)
 
 
 def member(kind: str, keys: np.ndarray) -> np.ndarray:
@@ -291,15 +295,18 @@ def build_segment(members: np.ndarray, counts: np.ndarray, probes: int, bits_eac
     return bits
 
 
-def train(texts: DataFrame, *, text: str = "text", segments: int | None = None, probes: int = 4, bits_each: float = 8.0, mu: float = 64.0, flush_tokens: int = 4_000_000) -> tuple[StoredLM, DataFrame]:
+def train(texts: DataFrame, *, text: str = "text", segments: int | None = None, segment_bytes: int = 256 << 20, probes: int = 4, bits_each: float = 8.0, mu: float = 64.0, flush_tokens: int = 4_000_000) -> tuple[StoredLM, DataFrame]:
     """The model, and the exact counts (kind "w" blocks of token hashes) that it came from.
 
     The filter has `bits_each` bits, 4 at least, for each membership and holds all of them, at any size of the input.
-    `mu` is the weight of p(w) after any word, in occurrences.
+    `mu` is the weight of p(w) after any word, in occurrences. Without `segments`, there are as many as shuffles have
+    partitions, but at least one for each `segment_bytes` bytes of the texts, which bounds what a task holds.
     """
     if bits_each < 4 or probes < 1:
         raise ValueError("a membership needs 4 bits and a probe at least: with less, false ones outweigh the true")
-    segments = segments or int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not segments:
+        size = texts.agg(F.sum(F.octet_length(text))).first()[0] or 0
+        segments = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // segment_bytes))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {"w": [], "p": []}
