@@ -108,7 +108,13 @@ def fit(windows: np.ndarray, labels: np.ndarray, languages: list[str], *, widths
                 m[name] = 0.9 * m[name] + 0.1 * g[name]
                 s[name] = 0.999 * s[name] + 0.001 * g[name] ** 2
                 p[name] -= (rate * (m[name] / (1 - 0.9**step)) / (np.sqrt(s[name] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-    tables = [np.concatenate([p["e"] @ p[f"w{w}"][j * dim : (j + 1) * dim] for w in sorted(widths) if w > j], axis=1).astype(np.float32) for j in range(reach)]
+    return folded(p, languages, window)
+
+
+def folded(p: dict[str, np.ndarray], languages: list[str], window: int) -> ByteConv:
+    """The network of these parameters, with embedding and filters as one table a place: e (256, dim), w2, w3, ... (width * dim, filters), b, v, c."""
+    widths, dim = sorted(int(name[1:]) for name in p if name[0] == "w"), p["e"].shape[1]
+    tables = [np.concatenate([p["e"] @ p[f"w{w}"][j * dim : (j + 1) * dim] for w in widths if w > j], axis=1).astype(np.float32) for j in range(widths[-1])]
     return ByteConv(languages, window, tables, p["b"], p["v"], p["c"])
 
 

@@ -259,6 +259,20 @@ def test_tables_alone_reach_the_target_recall(n):
     assert met.mean() >= 0.95 and others == 0
 
 
+@pytest.mark.parametrize("n", [6, 40])
+def test_items_that_need_more_walks_are_checked_without_tables(n):
+    rng = np.random.default_rng(n)
+    items = rng.integers(2, 1 << 63, (60, n)).astype(np.uint64)
+    bench = decontaminate.Benchmark(pa.array(range(60)), np.ones(60, int), list(items), target_recall=1.1, most_walks=2)
+    assert not len(bench.picks[n]) and not len(bench.keys)
+    texts = [np.concatenate([rng.integers(2, 1 << 63, 9).astype(np.uint64), x, rng.integers(2, 1 << 63, 9).astype(np.uint64)]) for x in decontaminate.edited(items, n // 5, rng)]
+    first = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+    row, item, edits, begin, end = bench.find(np.concatenate(texts), first)
+    least = [int(decontaminate.edit_distances(items[i : i + 1], texts[i][None])[0][0]) for i in range(60)]
+    want = [(i, i, x) for i, x in enumerate(least) if x <= n // 5]  # a copy cut to its item's length may be further away
+    assert len(want) >= 30 and list(zip(row.tolist(), item.tolist(), edits.tolist(), strict=True)) == want
+
+
 # 4
 
 
@@ -346,6 +360,15 @@ def test_filter_is_neither_cut_nor_broadcast(spark, docs, monkeypatch):
         assert r["score"] == pytest.approx(chunk.log10(levels, left, right, model.train_tokens, model.distinct, model.mu)[back].sum())
 
 
+def test_segments_follow_the_bytes_of_the_texts(spark, docs):
+    rows = docs.withColumn("held_out", F.lit(False))
+    size = sum(len((t or "").encode()) for _, t in fixture_rows())
+    few = bloom_lm.train(rows)[0].segments
+    model, counts = bloom_lm.train(rows, segment_bytes=size // 40)
+    assert few == int(spark.conf.get("spark.sql.shuffle.partitions")) and 40 <= model.segments <= 42
+    assert bloom_lm.score(rows, model, counts).count() == len(fixture_rows())
+
+
 def test_pairs_seen_once_count(spark):
     rows = spark.createDataFrame([(0, "a b c d", False), (1, "a b", True), (2, "c b", True), (3, "a q", True)], "doc_id long, text string, held_out boolean")
     model, counts = bloom_lm.train(rows.filter("not held_out"), segments=3, bits_each=64.0, mu=1.0)
@@ -455,6 +478,21 @@ def test_language_network(spark, docs, empty):
 
 
 def test_folded_tables_are_the_network():
+    rng, dim, filters, window = np.random.default_rng(2), 3, 4, 20
+    p = {"e": rng.normal(size=(256, dim)), "b": rng.normal(size=3 * filters), "v": rng.normal(size=(3 * filters, 2)), "c": rng.normal(size=2)}
+    p |= {f"w{w}": rng.normal(size=(w * dim, filters)) for w in (2, 3, 4)}
+    windows = rng.integers(0, 256, (70, window)).astype(np.uint8)
+    got = language_id.folded({k: x.astype(np.float32) for k, x in p.items()}, ["x", "y"], window).log_probabilities(windows)
+    for window_, row in zip(windows, got, strict=True):
+        pooled = []
+        for w in (2, 3, 4):
+            at = [np.concatenate([p["e"][b] for b in window_[k : k + w]]) @ p[f"w{w}"] for k in range(window - 3)]
+            pooled += [max(x[f] for x in at) for f in range(filters)]
+        z = np.maximum(np.array(pooled) + p["b"], 0) @ p["v"] + p["c"]
+        np.testing.assert_allclose(row, z - np.log(np.exp(z).sum()), atol=1e-3)
+
+
+def test_language_fit_learns():
     rng = np.random.default_rng(0)
     windows, labels = rng.integers(0, 256, (64, 32)).astype(np.uint8), rng.integers(0, 2, 64)
     model = language_id.fit(windows, labels, ["x", "y"], epochs=40, filters=4, dim=3, batch=16, rate=0.02)
@@ -516,6 +554,11 @@ def test_components(spark):
     assert len(got) == 46 and len({got[name(i)] for i in range(41)}) == 1
     assert got[name(50)] == got[name(60)] == got[name(100)] != got[name(0)] and got[name(200)] == got[name(201)]
     assert components(spark.createDataFrame([], "a long, b long"), "test").count() == 0
+    # A star whose centre and whose label a large share of all edges names, with a path at its end.
+    star = [(0, i) for i in range(1, 2500)] + [(i, i + 1) for i in range(2499, 2530)] + [(9000, 9001)]
+    star = spark.createDataFrame([(name(a), name(b)) for a, b in star], "a long, b long")
+    got = {r["node"]: r["label"] for r in components(star, "test").collect()}
+    assert len(got) == 2533 and len({got[name(i)] for i in range(2531)}) == 1 and got[name(9000)] == got[name(9001)] != got[name(0)]
 
 
 def test_hot_groups_are_joined_whole(spark):
