@@ -18,7 +18,7 @@ from granary.functions import numeric
 from granary.functions.text import byte_ids, python_capitalize, strip, word_count
 from granary.functions.tokenizer import decoded, draw, encoded, framed_tokens, raw_ids, token_measures, with_ids
 from granary.operators import artifacts, batches, corpus, legacy, metrics, progress
-from granary.sources import settings
+from granary.sources import logs, settings
 from granary.sources.files import shared_dir
 from granary.sources.shards import file_digests
 from granary.sources.tokens import read_blocks
@@ -405,6 +405,32 @@ def registry_append_dedup(spark, sf_dir):
     return metrics.new_registry_rows(there, rows.select(path(0), F.format_string('config = {name = "%s", training = {epochs = 3}}', "event_type").alias("config")))
 
 
+@query("""WITH n AS (SELECT DISTINCT 'run' || (user_id % 40) AS model_path, event_type FROM events), e AS (SELECT DISTINCT 'run' || (user_id % 40 + 7) AS model_path, event_type FROM events),
+a AS (SELECT *, '\t' || printf('name = "%s"\n\n[training]\nepochs = 3\n', event_type) AS config FROM e UNION ALL
+SELECT *, 'config = {name = "' || event_type || '", training = {epochs = 3}}' FROM n WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.model_path = n.model_path AND e.event_type = n.event_type))
+SELECT 'run of "' || event_type || '", whole' AS experiment_name, model_path, config FROM a""")
+def registry_files(spark, sf_dir):
+    """A registry's file after three appends, the last of which adds nothing."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type").distinct()
+    path = f"{shared_dir(spark)}/granary-registry-{uuid.uuid4().hex}"
+    first, second = '\tname = "%s"\n\n[training]\nepochs = 3\n', 'config = {name = "%s", training = {epochs = 3}}'
+    for form, shift in ((first, 7), (second, 0), (first, 0)):
+        text = lambda form: F.format_string(form, "event_type")
+        told = {"config": text(form), "experiment_name": text('run of "%s", whole'), "model_path": F.concat(F.lit("run"), (F.col("user_id") % 40 + shift).cast("string"))}
+        blank = {name: F.lit(None).cast("string") for name in spark.createDataFrame([], metrics.REGISTRY).columns if name not in told}
+        logs.append_registry(spark, path, rows.select(*[c.alias(name) for name, c in {**told, **blank}.items()]))
+    return logs.read_registry(spark, path).select("experiment_name", "model_path", "config")
+
+
+@query(f"WITH {_S} SELECT run || '=a/b %41' AS run, 'train/\"' || run || '\", ' AS tag, step, step / 8.0 AS wall_time, value FROM s")
+def metric_files(spark, sf_dir):
+    """Metric logs written a folder a run, and read back; runs and tags hold signs that paths and CSV set apart."""
+    path = f"{shared_dir(spark)}/granary-metrics-{uuid.uuid4().hex}"
+    tag = F.concat(F.lit('train/"'), "run", F.lit('", '))
+    logs.write_metrics(_series(spark, sf_dir).select("value", "step", (F.col("step") / 8.0).alias("wall_time"), tag.alias("tag"), F.concat("run", F.lit("=a/b %41")).alias("run")), path)
+    return logs.read_metrics(spark, path)
+
+
 @query("WITH f AS (SELECT 'r' || (user_id % 5) || '/' || CASE WHEN event_id % 3 = 0 THEN 'notes.txt' ELSE printf('step_%08d.pt', event_id) END AS path, (event_id * 7919 % 100003)::BIGINT AS mtime_ns FROM events), m AS (SELECT * FROM f WHERE contains(path, 'step_')) SELECT path, mtime_ns, row_number() OVER (PARTITION BY split_part(path, '/', 1) ORDER BY mtime_ns DESC, path DESC) <= 25 AS keep FROM m")
 def checkpoint_retention(spark, sf_dir):
     name = F.when(F.col("event_id") % 3 == 0, F.lit("notes.txt")).otherwise(F.format_string("step_%08d.pt", F.col("event_id")))

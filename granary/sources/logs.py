@@ -2,22 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from granary.operators.metrics import REGISTRY, new_registry_rows
 
 METRICS = "tag string, step long, wall_time double, value double"
+#: Steps of a run that lie in one file, so far as tasks allow.
+STEPS_PER_FILE = 1 << 22
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    """A path and its file system, of any store that Spark reads."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """run, tag, step, wall_time, value of CSV files, one a run and named after it."""
-    rows = spark.read.schema(METRICS).option("header", True).csv(path)
-    return rows.select(F.regexp_extract(F.col("_metadata.file_name"), r"(.+)\.csv$", 1).alias("run"), "*")
+    """run, tag, step, wall_time, value of CSV files: one a run and named after it, or as `write_metrics` leaves them.
+
+    Filters on run reach the folders of the second form. A run without a name comes back null, an empty folder has no rows.
+    """
+    folder, store = _hadoop_path(spark, path)
+    by_folder = bool(store.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, "run=*")))
+    rows = spark.read.schema(f"run string, {METRICS}" if by_folder else METRICS).option("header", True).option("escape", '"').csv(path)
+    name = F.col("run") if by_folder else F.regexp_extract(F.col("_metadata.file_name"), r"(.+)\.csv$", 1)
+    return rows.select(name.alias("run"), "tag", "step", "wall_time", "value")
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
-    metrics.write.partitionBy("run").option("header", True).csv(path)
+    """Writes run, tag, step, wall_time and value, a folder a run; other columns are left out.
+
+    Rows are dealt by run and slices of its steps, so a run of any length is many files and a short one is not one a task.
+    """
+    columns = metrics.select("run", "tag", "step", "wall_time", "value")
+    dealt = columns.repartition("run", F.floor(F.col("step") / STEPS_PER_FILE))
+    _exact_csv(dealt.write.partitionBy("run").mode("errorifexists")).csv(path)
+
+
+def _exact_csv(writer: DataFrameWriter) -> DataFrameWriter:
+    """CSV with a header that keeps white space at both ends of a value and quotes inside."""
+    return writer.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
@@ -25,13 +50,14 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_registry(spark: SparkSession, path: str, rows: DataFrame) -> int:
-    """Adds the rows that aren't there yet and says how many."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    """Adds the rows that aren't there yet, their columns in the registry's order, and says how many."""
+    folder, store = _hadoop_path(spark, path)
+    exists = store.exists(folder)
+    rows = rows.select(*spark.createDataFrame([], REGISTRY).columns)
     new = new_registry_rows(read_registry(spark, path) if exists else spark.createDataFrame([], REGISTRY), rows).cache()
     n = new.count()
     if n:
-        new.coalesce(1).write.mode("append").option("header", True).option("escape", '"').csv(path)
+        _exact_csv(new.write.mode("append")).csv(path)
     new.unpersist()
     return n
 

@@ -226,9 +226,40 @@ def test_metric_files_and_listing(spark, tmp_path):
     (tmp_path / "c" / "other.txt").write_bytes(b"x")
     listed = logs.list_checkpoints(spark, str(tmp_path / "c"))
     kept = metrics.retained(listed, 1, just_written=next(r["path"] for r in listed.collect() if "00001" in r["path"]))
+    paths = [r["path"] for r in listed.collect()]
+    assert len(paths) == 3 and paths == sorted(paths)
     assert {(r["path"][-11:], r["keep"]) for r in kept.collect()} == {("00000001.pt"[-11:], True), ("00000002.pt"[-11:], False)}
 
 
+def test_metrics_come_back_as_written(spark, tmp_path, monkeypatch):
+    steps = [(1, 0.1), (9, None), (9, None), (None, -1e300)]
+    rows = [(value, step, 1 / 3, tag, run, "more") for run in ("007", "a=b/c %41+d", None) for tag in (' "x", y ', None) for step, value in steps]
+    log = spark.createDataFrame(rows, "value double, step long, wall_time double, tag string, run string, run_id string")
+    monkeypatch.setattr(logs, "STEPS_PER_FILE", 4)
+    logs.write_metrics(log, str(tmp_path / "logs"))
+    got = logs.read_metrics(spark, str(tmp_path / "logs"))
+    assert got.columns == ["run", "tag", "step", "wall_time", "value"]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, log.select(got.columns).collect())))
+    assert "PartitionFilters: [isnotnull(run" in got.filter("run = '007'")._jdf.queryExecution().toString()
+    with pytest.raises(Exception, match="exist"):
+        logs.write_metrics(log, str(tmp_path / "logs"))
+    (tmp_path / "none").mkdir()
+    assert logs.read_metrics(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_registry_keeps_texts_and_the_order_of_columns(spark, tmp_path):
+    config = '\ta = "x, y"\n\n[m]\nb = 1\n '
+    rows = spark.createDataFrame([(config, "m", "e"), (config, "m", "e"), (None, "m", "f")], "config string, model_path string, experiment_name string")
+    for name in ("train_script", "validation_loss", "train_loss", "dataset_variant"):
+        rows = rows.withColumn(name, F.lit(None).cast("string"))
+    path = str(tmp_path / "runs.csv")
+    assert logs.append_registry(spark, path, rows.withColumn("more", F.lit(1))) == 2
+    assert logs.append_registry(spark, path, rows) == 0
+    assert {(r["model_path"], r["config"], r["experiment_name"]) for r in logs.read_registry(spark, path).collect()} == {("m", config, "e"), ("m", None, "f")}
+    with pytest.raises(Exception, match="UNRESOLVED_COLUMN"):
+        logs.append_registry(spark, path, rows.drop("config"))
+
+
 def test_config(tmp_path):
     (tmp_path / "base.toml").write_text('a = 1\nlist = [1, 2]\n[m]\nx = 1\ny = "q"\n')
     (tmp_path / "top.toml").write_text('extends = ["base.toml"]\nlist = [3]\n[m]\nx = 2\n')
