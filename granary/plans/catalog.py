@@ -206,6 +206,13 @@ def artifact_file_digests(spark, sf_dir):
     return file_digests(spark, _artifact(spark, sf_dir), "tokens-*.bin")
 
 
+@query(f"WITH {_N}, t AS (SELECT sum(n_tokens)::BIGINT AS n FROM n), k AS (SELECT unnest(range((n + {SHARD - 1}) // {SHARD})) AS shard, n FROM t) SELECT printf('all/tokens-%05d.bin', shard) AS file, 2 * least({SHARD}, n - shard * {SHARD}) AS bytes FROM k")
+def artifact_listing(spark, sf_dir):
+    """The shards in a listing of the folder above the artifact."""
+    listed = logs.list_checkpoints(spark, _artifact(spark, sf_dir).rpartition("/")[0], recursive=True)
+    return listed.select(F.regexp_extract("path", r"(all/tokens-\d+\.bin)$", 1).alias("file"), "bytes").filter("file <> ''")
+
+
 @query(f"WITH {_N} SELECT doc_id, start_pos, least(n_tokens, {PREFIXES['mid']} - start_pos) AS n_tokens FROM n WHERE start_pos < {PREFIXES['mid']}")
 def stream_to_target(spark, sf_dir):
     """Documents as a stream of files that stops at a token target."""

@@ -62,7 +62,7 @@ def append_registry(spark: SparkSession, path: str, rows: DataFrame) -> int:
     return n
 
 
-def list_checkpoints(spark: SparkSession, path: str) -> DataFrame:
-    """path, mtime_ns, bytes of files under a folder, sorted by path; contents aren't read."""
-    files = spark.read.format("binaryFile").load(path).select("path", "modificationTime", "length")
+def list_checkpoints(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """path, mtime_ns, bytes of the files in a folder, with `recursive` also of those below, sorted by path; contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path).select("path", "modificationTime", "length")
     return files.select("path", (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.col("length").alias("bytes")).orderBy("path")

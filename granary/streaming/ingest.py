@@ -11,17 +11,18 @@ from pyspark.sql import functions as F
 from granary.operators.corpus import framed_bytes, prefix, token_stream
 from granary.sources.files import exists, read_json, store
 
+#: Columns of documents; where ids are of another type, a stream is given a schema of its own, with doc_id and text at least.
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 _REACHED = "granary: the token target is reached"
 
 
-def document_stream(spark: SparkSession, folder: str, files_per_batch: int = 64) -> DataFrame:
-    return spark.readStream.schema(DOCUMENTS).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+def document_stream(spark: SparkSession, folder: str, files_per_batch: int = 64, schema: str = DOCUMENTS) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, files_per_batch: int = 64) -> None:
+def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, files_per_batch: int = 64, schema: str = DOCUMENTS) -> None:
     """Frames all documents that came since the last call, and ends; a batch that is tried again is written once."""
-    framed = framed_bytes(document_stream(spark, folder, files_per_batch))
+    framed = framed_bytes(document_stream(spark, folder, files_per_batch, schema))
     framed.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
@@ -29,7 +30,7 @@ def _cursor(out: str, batch: int) -> str:
     return f"{out.rstrip('/')}/_cursor/{batch:09d}.json"
 
 
-def ingest_prefix(spark: SparkSession, folder: str, out: str, checkpoint: str, target: int, *, files_per_batch: int = 1, proto: bytes | None = None) -> dict:
+def ingest_prefix(spark: SparkSession, folder: str, out: str, checkpoint: str, target: int, *, files_per_batch: int = 1, proto: bytes | None = None, schema: str = DOCUMENTS) -> dict:
     """Takes files as they came, `files_per_batch` at a time, until the stream has `target` tokens; gives back the cursor.
 
     The cursor says how many tokens lie in `out`, the last document used, how many of its tokens, and whether the target is
@@ -60,7 +61,7 @@ def ingest_prefix(spark: SparkSession, folder: str, out: str, checkpoint: str, t
         if whole >= target:
             raise RuntimeError(_REACHED)
 
-    query = document_stream(spark, folder, files_per_batch).writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = document_stream(spark, folder, files_per_batch, schema).writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     try:
         query.awaitTermination()
     except StreamingQueryException as stopped:

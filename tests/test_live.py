@@ -147,6 +147,20 @@ def test_ingest_stops_at_the_target_and_goes_on(spark, tmp_path):
         call(0)
 
 
+def test_streams_of_string_ids(spark, tmp_path):
+    schema = "doc_id string, text string"
+    docs = spark.createDataFrame([(f"d{i:02d}/ä", "text " * i) for i in range(20)] + [("e", None), ("f", " ")], schema)
+    docs.coalesce(1).write.parquet(str(tmp_path / "in"))
+    rows = lambda df: sorted((r["start_pos"], r["doc_id"], r["n_tokens"], bytes(r["raw"])) for r in df.collect())
+    cursor = ingest.ingest_prefix(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "c"), 150, schema=schema)
+    assert cursor["complete"] and cursor["tokens"] == 150
+    assert rows(ingest.ingested(spark, str(tmp_path / "out"))) == rows(corpus.prefix(corpus.token_stream(docs), 150))
+    assert cursor["last_doc"] == rows(ingest.ingested(spark, str(tmp_path / "out")))[-1][1]
+    ingest.ingest(spark, str(tmp_path / "in"), str(tmp_path / "framed"), str(tmp_path / "d"), schema=schema)
+    framed = spark.read.parquet(str(tmp_path / "framed"))
+    assert {r["doc_id"] for r in framed.collect()} == {f"d{i:02d}/ä" for i in range(1, 20)}
+
+
 def _event(step, wall, *values):
     """An event's bytes: (tag, value, form), form 0 for a plain value, 1 and 2 for a float or double tensor."""
     import struct

@@ -226,6 +226,10 @@ def test_metric_files_and_listing(spark, tmp_path):
     (tmp_path / "c" / "other.txt").write_bytes(b"x")
     listed = logs.list_checkpoints(spark, str(tmp_path / "c"))
     kept = metrics.retained(listed, 1, just_written=next(r["path"] for r in listed.collect() if "00001" in r["path"]))
+    (tmp_path / "c" / "a").mkdir()
+    (tmp_path / "c" / "a" / "step_00000003.pt").write_bytes(b"xyz")
+    below = [(r["path"].rpartition("/c/")[2], r["bytes"]) for r in logs.list_checkpoints(spark, str(tmp_path / "c"), recursive=True).collect()]
+    assert below == [("a/step_00000003.pt", 3), ("other.txt", 1), ("step_00000001.pt", 1), ("step_00000002.pt", 1)]
     paths = [r["path"] for r in listed.collect()]
     assert len(paths) == 3 and paths == sorted(paths)
     assert {(r["path"][-11:], r["keep"]) for r in kept.collect()} == {("00000001.pt"[-11:], True), ("00000002.pt"[-11:], False)}
