@@ -33,7 +33,7 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
 def write_metrics(metrics: DataFrame, path: str) -> None:
     """Writes run, tag, step, wall_time and value, a folder a run; other columns are left out.
 
-    Rows are dealt by run and slices of its steps, so a run of any length is many files and a short one is not one a task.
+    Rows are dealt by run and slices of its steps, so a long run is many tasks' work, and a short one lies in one file.
     """
     columns = metrics.select("run", "tag", "step", "wall_time", "value")
     dealt = columns.repartition("run", F.floor(F.col("step") / STEPS_PER_FILE))
