@@ -22,6 +22,8 @@ STORAGE = {"dtype": "uint16", "endianness": "little", "layout": "flat_token_stre
 #: Where a task's files are until the commit, in the folder that becomes the artifact.
 ATTEMPTS = "_attempts"
 _READ = 1 << 20
+#: Bytes of files that a task digests, and those that opening a file counts as beside its own.
+TASK_BYTES, OPEN_BYTES = 64 << 20, 1 << 16
 
 
 def shard_file(number: int) -> str:
@@ -150,27 +152,36 @@ def write_shards(pieces: DataFrame, path: str, size: int, *, overwrite: bool = F
 
 
 @dataclass
-class OneFile(InputPartition):
-    file: str
+class Files(InputPartition):
+    names: list[str]
 
 
 class DigestReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.pattern = options["path"].rstrip("/"), options.get("pattern", "*")
 
-    def partitions(self) -> list[OneFile]:
-        return [OneFile(name) for name in sorted(sizes(self.path)) if fnmatch.fnmatchcase(name, self.pattern)] or [OneFile("")]
-
-    def read(self, partition: OneFile) -> Iterator[tuple]:
-        if not partition.file:
-            return
+    def partitions(self) -> list[Files]:
+        """Files in order of their names, TASK_BYTES together, so that tasks grow with the bytes, however small the files; a larger file is a task of its own."""
+        found, held = [Files([])], 0
+        for name, size in sorted(sizes(self.path).items()):
+            if not fnmatch.fnmatchcase(name, self.pattern):
+                continue
+            if found[-1].names and held + size + OPEN_BYTES > TASK_BYTES:
+                found.append(Files([]))
+                held = 0
+            found[-1].names.append(name)
+            held += size + OPEN_BYTES
+        return found
+
+    def read(self, partition: Files) -> Iterator[tuple]:
         files, place = store(self.path)
-        digest, n = hashlib.sha256(), 0
-        with files.open_input_stream(f"{place}/{partition.file}", compression=None) as file:
-            while block := file.read(_READ):
-                digest.update(block)
-                n += len(block)
-        yield partition.file, n, digest.hexdigest()
+        for name in partition.names:
+            digest, n = hashlib.sha256(), 0
+            with files.open_input_stream(f"{place}/{name}", compression=None) as file:
+                while block := file.read(_READ):
+                    digest.update(block)
+                    n += len(block)
+            yield name, n, digest.hexdigest()
 
 
 class FileDigests(DataSource):
@@ -188,6 +199,6 @@ class FileDigests(DataSource):
 
 
 def file_digests(spark: SparkSession, directory: str, pattern: str = "*") -> DataFrame:
-    """file, bytes, sha256 of the files of a folder, a task a file; a file of any size takes a mebibyte of memory."""
+    """file, bytes, sha256 of the files of a folder, small ones together in a task; a file of any size takes a mebibyte of memory."""
     spark.dataSource.register(FileDigests)
     return spark.read.format("file_digests").options(path=directory, pattern=pattern).load()

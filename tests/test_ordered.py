@@ -208,3 +208,21 @@ def test_digests_of_a_file_over_two_gigabytes(spark, tmp_path):
     assert found["small.bin"]["sha256"] == hashlib.sha256(b"abc").hexdigest() and set(found) == {"big.bin", "small.bin"}
     assert found["big.bin"]["bytes"] == 9 << 28
     assert shards.file_digests(spark, str(tmp_path), "*.none").count() == 0
+
+
+def test_small_files_share_a_digest_task(tmp_path, monkeypatch):
+    for i in range(300):
+        (tmp_path / f"{i:03d}.bin").write_bytes(bytes([i % 256]) * i)
+    (tmp_path / "100_large.bin").write_bytes(b"x" * (2 << 20))
+    want = {p.name: (p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in tmp_path.iterdir()}
+
+    def parts():
+        reader = shards.DigestReader({"path": str(tmp_path), "pattern": "*.bin"})
+        found = reader.partitions()
+        assert {name: (n, sha) for part in found for name, n, sha in reader.read(part)} == want
+        return [part.names for part in found]
+
+    assert parts() == [sorted(want)]
+    monkeypatch.setattr(shards, "TASK_BYTES", 1 << 20)
+    found = parts()
+    assert [name for part in found for name in part] == sorted(want) and ["100_large.bin"] in found and 15 < len(found) < 40
