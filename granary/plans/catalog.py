@@ -197,7 +197,7 @@ def _artifact(spark, sf_dir) -> str:
 @query(f"WITH {_BLOCKS} SELECT block_id, md5(array_to_string(ids[1:{LENGTH}], ',')) AS inputs, md5(array_to_string(ids[2:{LENGTH + 1}], ',')) AS targets FROM b")
 def artifact_block_reads(spark, sf_dir):
     """Blocks as the data source reads them from the shards that the writer put in place."""
-    joined = lambda c: F.md5(F.array_join(F.transform(c, lambda x: x.cast("string")), ",").cast("binary")).alias(c)
+    joined = lambda c: F.md5(F.concat_ws(",", F.col(c).cast("array<string>")).cast("binary")).alias(c)
     return read_blocks(spark, _artifact(spark, sf_dir), LENGTH, blocks_per_task=256).select("block_id", joined("inputs"), joined("targets"))
 
 

@@ -3,6 +3,7 @@
 import bisect
 import hashlib
 import os
+import pickle
 import random
 import time
 from itertools import accumulate
@@ -226,3 +227,25 @@ def test_small_files_share_a_digest_task(tmp_path, monkeypatch):
     monkeypatch.setattr(shards, "TASK_BYTES", 1 << 20)
     found = parts()
     assert [name for part in found for name in part] == sorted(want) and ["100_large.bin"] in found and 15 < len(found) < 40
+
+
+def test_a_block_task_gets_its_own_shards_alone(spark, tmp_path, monkeypatch):
+    ids = np.arange(1000).astype("<u2")
+    stream = spark.createDataFrame([(0, 1000, bytearray(ids.tobytes()))], "start_pos long, n_tokens long, raw binary")
+    artifacts.publish(stream, str(tmp_path), "a", 7)
+    sample = {"sequence_length": 10, "block_count": 3, "blocks": [{"start_token": at} for at in (500, 3, 989)]}
+    artifacts.publish(stream, str(tmp_path), "b", 7, fixed_evaluation_sample=sample)
+
+    def read(name):
+        reader = TokenBlockReader({"path": str(tmp_path / name), "length": "10", "blockspertask": "1"})
+        parts = reader.partitions()
+        sent = pickle.loads(pickle.dumps(reader))
+        rows = [(r["block_id"], r["inputs"][0], r["targets"][-1]) for part in parts for batch in sent.read(pickle.loads(pickle.dumps(part))) for r in batch.to_pylist()]
+        return rows, len(parts), len(pickle.dumps(reader)), max(len(part.part.files) for part in parts)
+
+    whole, of_sample = [(i, 10 * i, 10 * i + 10) for i in range(99)], [(0, 500, 510), (1, 3, 13), (2, 989, 999)]
+    assert read("a")[:2] == (whole, 1) and read("b")[:2] == (of_sample, 1)
+    monkeypatch.setattr("granary.sources.tokens.TASK_IDS", 1)
+    for name, want in (("a", whole), ("b", of_sample)):
+        rows, tasks, sent, files = read(name)
+        assert rows == want and tasks == len(want) and sent < 1000 and files <= 3
