@@ -65,6 +65,21 @@ def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 _DECIMAL = [str(i) for i in range(1 << 16)]
+#: Ids that are written in decimal at once.
+_AT_ONCE = 1 << 16
+
+
+def _digest(raw: pa.Array) -> pa.Array:
+    """MD5 of each value's ids in decimal, joined by commas; few ids are Python's numbers at a time, however many a batch or a value has."""
+    ids, at = raw_ids(raw)
+
+    def one(lo: int, hi: int) -> str:
+        own = hashlib.md5()
+        for first in range(lo, hi, _AT_ONCE):
+            own.update(b"," * (first > lo) + ",".join(map(_DECIMAL.__getitem__, ids[first : min(hi, first + _AT_ONCE)].tolist())).encode())
+        return own.hexdigest()
+
+    return pa.array(map(one, at[:-1].tolist(), at[1:].tolist()), pa.string())
 
 
 def _digests(rows: DataFrame, *columns: str) -> DataFrame:
@@ -72,14 +87,9 @@ def _digests(rows: DataFrame, *columns: str) -> DataFrame:
     fields = [(c, "string" if c in columns else kind) for c, kind in rows.dtypes]
     names = [c for c, _ in fields]
 
-    def digest(raw: pa.Array) -> pa.Array:
-        ids, at = raw_ids(raw)
-        shown, at = list(map(_DECIMAL.__getitem__, ids.tolist())), at.tolist()
-        return pa.array([hashlib.md5(",".join(shown[lo:hi]).encode()).hexdigest() for lo, hi in zip(at[:-1], at[1:], strict=True)], pa.string())
-
     def run(found):
         for batch in found:
-            yield pa.RecordBatch.from_arrays([digest(x) if c in columns else x for c, x in zip(names, batch.columns, strict=True)], names)
+            yield pa.RecordBatch.from_arrays([_digest(x) if c in columns else x for c, x in zip(names, batch.columns, strict=True)], names)
 
     return rows.mapInArrow(run, ", ".join(f"`{c}` {kind}" for c, kind in fields))
 
