@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from granary.functions.text import BOS, BYTE_BASE, EOS, is_blank, strip, word_count
 
-#: Bytes of text that one step works on; a longer text is a step of its own.
+#: Bytes that one step works on; a longer value is a step of its own.
 STEP_BYTES = 4 << 20
 _loaded: dict[str, object] = {}
 
@@ -55,10 +55,10 @@ def encoded(docs: DataFrame, proto: bytes, *, framed: bool = True) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def _steps(texts: pa.Array, most: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
-    """First row and row after the last of runs of at most `most` bytes, one text at least."""
-    ends, lo = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)), 0
-    while lo < len(texts):
+def steps(values: pa.Array, most: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
+    """First row and row after the last of runs of at most `most` bytes of texts or binary values, one at least."""
+    ends, lo = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while lo < len(values):
         done = int(ends[lo - 1]) if lo else 0
         hi = max(lo + 1, int(np.searchsorted(ends, done + most, "right")))
         yield lo, hi
@@ -100,7 +100,7 @@ def raw_ids(raw: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def framed_steps(texts: pa.Array, proto: bytes | None = None) -> Iterator[tuple[int, int, pa.Array]]:
     """(first row, row after the last, ids between a begin and an end id) of stripped texts, some at a time; without a sentencepiece model, an id a byte."""
-    for lo, hi in _steps(texts):
+    for lo, hi in steps(texts):
         ids, at = _framed_pieces(processor(proto), texts.slice(lo, hi - lo)) if proto else _framed_bytes(texts.slice(lo, hi - lo))
         yield lo, hi, raw_array(ids, at)
 
@@ -130,13 +130,12 @@ def with_ids(rows: DataFrame, *columns: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = list(batch.columns)
-            for place in places:
-                ids, at = raw_ids(own[place])
-                own[place] = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays(own, [name for name, _ in fields])
+            for lo, hi in steps(batch.column(places[0])):
+                own = batch.slice(lo, hi - lo).columns
+                for place in places:
+                    ids, at = raw_ids(own[place])
+                    own[place] = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays(own, [name for name, _ in fields])
 
     return rows.mapInArrow(run, ", ".join(f"`{name}` {kind}" for name, kind in fields))
 
@@ -163,7 +162,7 @@ def token_measures(docs: DataFrame, proto: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = processor(proto)
         for batch in batches:
-            for lo, hi in _steps(batch.column(3)):
+            for lo, hi in steps(batch.column(3)):
                 part = batch.slice(lo, hi - lo)
                 n = [len(x) for x in own.encode(part.column(3).to_pylist(), num_threads=1)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n, pa.int64())], ["doc_id", "n_chars", "n_words", "n_tokens"])

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.text import is_blank, strip, word_count
-from granary.functions.tokenizer import check, framed_steps, framed_tokens, raw_array, raw_ids, token_measures, with_ids
+from granary.functions.tokenizer import check, framed_steps, framed_tokens, raw_array, raw_ids, steps, token_measures, with_ids
 from granary.operators.ordered import at_starts, binned, last_mark, overlaps, running_total
 from granary.sources.files import written
 
@@ -150,11 +150,9 @@ def _cut(length: int):
                 yield out([first + many], [rest], [held[rest - at :]], False)
             held, at = held[rest - at :], rest
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            start, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            ids, begin = raw_ids(batch.column(2))
+        for part in (batch.slice(lo, hi - lo) for batch in batches for lo, hi in steps(batch.column(2))):
+            start, n = part.column(0).to_numpy(), part.column(1).to_numpy()
+            ids, begin = raw_ids(part.column(2))
             breaks = np.flatnonzero(start[1:] != start[:-1] + n[:-1]) + 1
             for lo, hi in zip([0, *breaks], [*breaks, len(n)], strict=True):
                 if start[lo] != at + len(held):

@@ -6,7 +6,8 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from granary.functions.tokenizer import raw_array
+from granary.functions.tokenizer import raw_array, with_ids
+from granary.operators import corpus
 from granary.plans import catalog
 
 
@@ -28,3 +29,38 @@ def test_digests_of_a_large_batch_take_little_memory():
     assert catalog._digest(raw).to_pylist() == want and catalog._digest(raw.slice(2)).to_pylist() == want[2:]
     assert peak(lambda: catalog._digest(raw)) < 20
     assert catalog._digest(pa.array([], pa.binary())).to_pylist() == []
+
+
+def test_blocks_of_a_large_batch_take_little_memory():
+    ids = (np.arange(12_000_000) % 60_000).astype(np.uint16)
+    at = np.arange(0, 12_000_001, 1000)
+    batch = pa.RecordBatch.from_arrays([pa.array(at[:-1]), pa.array(np.diff(at)), raw_array(ids, at)], ["start_pos", "n_tokens", "raw"])
+    got = {}
+
+    def cut():
+        for out in corpus._cut(1024)(iter([batch])):
+            got.update({(r["block_id"], r["from_pos"]): hashlib.md5(r["raw"]).digest() for r in out.to_pylist() if r["whole"]})
+
+    assert peak(lambda: sum(out.num_rows for out in corpus._cut(1024)(iter([batch])))) < 40
+    cut()
+    assert got == {(b, 1024 * b): hashlib.md5(ids[1024 * b : 1024 * b + 1025].tobytes()).digest() for b in range((12_000_000 - 1) // 1024)}
+
+
+class Rows:
+    """Takes the place of a DataFrame, to get at the function that mapInArrow would run."""
+
+    def __init__(self, *dtypes):
+        self.dtypes, self.columns = list(dtypes), [c for c, _ in dtypes]
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_ids_of_a_large_batch_come_in_parts():
+    ids = (np.arange(8_000_000) % 60_000).astype(np.uint16)
+    at = np.arange(0, 8_000_001, 1000)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8000)), raw_array(ids, at)], ["n", "raw"])
+    run = with_ids(Rows(("n", "long"), ("raw", "binary")))
+    assert peak(lambda: sum(out.num_rows for out in run(iter([batch])))) < 20  # two parts
+    out = pa.Table.from_batches(run(iter([batch, batch.slice(0, 0)])))
+    assert out.column("n").to_pylist() == list(range(8000)) and (out.column("ids").combine_chunks().flatten().to_numpy() == ids).all()
