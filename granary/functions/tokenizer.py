@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from granary.functions.text import BOS, BYTE_BASE, EOS, is_blank, strip, word_count
 
-#: Bytes that one step works on; a longer value is a step of its own.
-STEP_BYTES = 4 << 20
+#: Bytes that one step works on, and those where a library's ids become Python's numbers; a longer value is a step of its own.
+STEP_BYTES, PIECE_BYTES = 4 << 20, 1 << 20
 _loaded: dict[str, object] = {}
 
 
@@ -47,8 +47,8 @@ def encoded(docs: DataFrame, proto: bytes, *, framed: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = processor(proto)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for lo, hi in steps(batch.column(1), PIECE_BYTES):
+                part = batch.slice(lo, hi - lo)
                 ids = own.encode(part.column(1).to_pylist(), num_threads=1)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([[BOS, *x, EOS] if framed else x for x in ids], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -56,8 +56,9 @@ def encoded(docs: DataFrame, proto: bytes, *, framed: bool = True) -> DataFrame:
 
 
 def steps(values: pa.Array, most: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
-    """First row and row after the last of runs of at most `most` bytes of texts or binary values, one at least."""
-    ends, lo = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    """First row and row after the last of runs of at most `most` bytes of texts, binary values or lists of 32-bit ids, one value at least."""
+    sizes = pc.multiply(pc.list_value_length(values), 4) if pa.types.is_list(values.type) else pc.binary_length(values)
+    ends, lo = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
     while lo < len(values):
         done = int(ends[lo - 1]) if lo else 0
         hi = max(lo + 1, int(np.searchsorted(ends, done + most, "right")))
@@ -148,7 +149,9 @@ def decoded(rows: DataFrame, proto: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = processor(proto)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.decode(x or []) for x in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
+            for lo, hi in steps(batch.column(1), PIECE_BYTES):
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([own.decode(x or []) for x in part.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
     return rows.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
 

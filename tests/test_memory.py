@@ -5,8 +5,9 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
-from granary.functions.tokenizer import raw_array, with_ids
+from granary.functions.tokenizer import decoded, encoded, processor, raw_array, with_ids
 from granary.operators import corpus
 from granary.plans import catalog
 
@@ -64,3 +65,25 @@ def test_ids_of_a_large_batch_come_in_parts():
     assert peak(lambda: sum(out.num_rows for out in run(iter([batch])))) < 20  # two parts
     out = pa.Table.from_batches(run(iter([batch, batch.slice(0, 0)])))
     assert out.column("n").to_pylist() == list(range(8000)) and (out.column("ids").combine_chunks().flatten().to_numpy() == ids).all()
+
+
+def test_encoded_and_decoded_texts_come_in_parts(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    proto, text = catalog._piece_model(), "some words of a text, again and again. " * 500
+    texts = [f"{i} {text}"[: 20_000 + i] for i in range(150)]
+
+    def functions(work):
+        found = []
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(type(docs), "mapInArrow", lambda rows, run, schema: found.append(run) or rows)
+            work()
+        return found[0]
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(150)), pa.array(texts)], ["doc_id", "text"])
+    ids = list(functions(lambda: encoded(docs, proto))(iter([batch])))
+    assert len(ids) >= 3 and [i for part in ids for i in part.column(0).to_pylist()] == list(range(150))
+    whole = pa.Table.from_batches(ids).combine_chunks().to_batches()[0]
+    assert whole.column(1).to_pylist()[::50] == [[1, *processor(proto).encode(x), 2] for x in texts[::50]]
+    many = pa.Table.from_batches([whole] * 4).combine_chunks().to_batches()[0]
+    back = list(functions(lambda: decoded(docs.selectExpr("doc_id", "array(1) AS ids"), proto))(iter([many])))
+    assert len(back) >= 3 and [x for part in back for x in part.column(1).to_pylist()] == processor(proto).decode(whole.column(1).to_pylist()) * 4
