@@ -101,7 +101,7 @@ def raw_ids(raw: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def framed_steps(texts: pa.Array, proto: bytes | None = None) -> Iterator[tuple[int, int, pa.Array]]:
     """(first row, row after the last, ids between a begin and an end id) of stripped texts, some at a time; without a sentencepiece model, an id a byte."""
-    for lo, hi in steps(texts):
+    for lo, hi in steps(texts, PIECE_BYTES if proto else STEP_BYTES):
         ids, at = _framed_pieces(processor(proto), texts.slice(lo, hi - lo)) if proto else _framed_bytes(texts.slice(lo, hi - lo))
         yield lo, hi, raw_array(ids, at)
 
@@ -165,7 +165,7 @@ def token_measures(docs: DataFrame, proto: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = processor(proto)
         for batch in batches:
-            for lo, hi in steps(batch.column(3)):
+            for lo, hi in steps(batch.column(3), PIECE_BYTES):
                 part = batch.slice(lo, hi - lo)
                 n = [len(x) for x in own.encode(part.column(3).to_pylist(), num_threads=1)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n, pa.int64())], ["doc_id", "n_chars", "n_words", "n_tokens"])

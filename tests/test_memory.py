@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from granary.functions.tokenizer import decoded, encoded, processor, raw_array, with_ids
+from granary.functions.tokenizer import decoded, encoded, framed_steps, processor, raw_array, with_ids
 from granary.operators import corpus
 from granary.plans import catalog
 
@@ -87,3 +87,12 @@ def test_encoded_and_decoded_texts_come_in_parts(spark):
     many = pa.Table.from_batches([whole] * 4).combine_chunks().to_batches()[0]
     back = list(functions(lambda: decoded(docs.selectExpr("doc_id", "array(1) AS ids"), proto))(iter([many])))
     assert len(back) >= 3 and [x for part in back for x in part.column(1).to_pylist()] == processor(proto).decode(whole.column(1).to_pylist()) * 4
+
+
+def test_framed_pieces_come_in_parts():
+    proto, text = catalog._piece_model(), "some words of a text, again and again. " * 500
+    texts = [f"{i} {text}"[: 20_000 + i] for i in range(150)]
+    parts = list(framed_steps(pa.array(texts), proto))
+    assert len(parts) >= 3 and [i for lo, hi, _ in parts for i in range(lo, hi)] == list(range(150))
+    found = [np.frombuffer(x, "<u2").tolist() for *_, raw in parts for x in raw.to_pylist()]
+    assert found == [[1, *x, 2] for x in processor(proto).encode(texts)]
